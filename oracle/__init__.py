@@ -5,6 +5,8 @@ It rebuilds the delivery model from the given tables in SQL (see
 """
 
 from oracle.business_sql import SQL as _BUSINESS
+from oracle.star_sql import SQL as _STAR
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(_BUSINESS)
+ORACLE.update(_STAR)

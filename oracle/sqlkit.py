@@ -38,3 +38,17 @@ def with_ctes(ctes: dict, names, body: str) -> str:
     """``WITH`` the fixture CTEs ``names`` (in dependency order) then ``body``."""
     parts = [f"{n} AS (\n{ctes[n]}\n)" for n in names]
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def rint(num: str, den: str, s: int) -> str:
+    """round(num/den, s) * 10^s as an exact integer (non-negative operands)."""
+    m = 10 ** s
+    return f"((2 * CAST(({num}) AS HUGEINT) * {m} + ({den})) // (2 * NULLIF(({den}), 0)))"
+
+
+def ymd(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%d')"
+
+
+def ts(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%d %H:%M:%S')"

@@ -29,10 +29,11 @@ def star(model, fact_cols=None, **dim_cols) -> DataFrame:
 
     ``star(m, ["route_km"], dim_date=["year_month"], dim_postcode=["city"])``
     joins on each dimension's key; a dimension column replaces a fact
-    column of the same name (the query reads the dimension's value).
+    column of the same name (the query reads the dimension's value).  A
+    ``(column, alias)`` pair renames a dimension column.
     """
     fact = model.fact_deliveries
-    wanted_from_dims = {c for cols in dim_cols.values() for c in cols}
+    wanted_from_dims = {c if isinstance(c, str) else c[1] for cols in dim_cols.values() for c in cols}
     keys = [DIM_KEYS[d] for d in dim_cols]
     if fact_cols is None:
         fact_cols = [c for c in fact.columns if c not in wanted_from_dims]
@@ -40,7 +41,8 @@ def star(model, fact_cols=None, **dim_cols) -> DataFrame:
     out = fact.select(*cols)
     for dim, dcols in dim_cols.items():
         key = DIM_KEYS[dim]
-        d = model.dim(dim).select(key, *[c for c in dcols if c != key])
+        d = model.dim(dim).select(key, *[F.col(c) if isinstance(c, str) else F.col(c[0]).alias(c[1])
+                                         for c in dcols if c != key])
         out = out.join(d, key)
     return out
 

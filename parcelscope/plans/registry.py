@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelscope.plans import business
+from parcelscope.plans import advanced, business, overview, routes, views
 
 QUERIES = {
     # business questions 1-5 (flat model)
@@ -24,4 +24,19 @@ QUERIES = {
     "locker_impact": business.locker_impact,
     "dispatch_impact": business.dispatch_impact,
     "combined_impact": business.combined_impact,
+    # executive overview, routes, advanced analytics (star model)
+    "headline_kpis": overview.headline_kpis,
+    "otd_trend": overview.otd_trend,
+    "carrier_ranking": overview.carrier_ranking,
+    "postcode_performance": routes.postcode_performance,
+    "fail_reason_by_city": routes.fail_reason_by_city,
+    "vehicle_mix_by_city": routes.vehicle_mix_by_city,
+    "peak_vs_normal": routes.peak_vs_normal,
+    "rain_impact": advanced.rain_impact,
+    "co2_savings": advanced.co2_savings,
+    "worst_postcodes": advanced.worst_postcodes,
+    "weekday_pattern": advanced.weekday_pattern,
+    "rolling_fail_rate": advanced.rolling_fail_rate,
+    "revenue_at_risk": advanced.revenue_at_risk,
+    "deliveries_enriched": views.deliveries_enriched,
 }

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 # submission; ``get_session`` never overrides a value that is already set.
 LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
