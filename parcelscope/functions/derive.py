@@ -61,11 +61,13 @@ def forecast_error(actual="actual_volume", forecast="forecast_volume") -> Column
     return (_c(actual) - _c(forecast)).cast("decimal(10,0)")
 
 
-# P8 — stock / capacity x 100 at 2 dp, NULL when capacity <= 0 or NULL
+# P8 — stock / capacity x 100 at 2 dp, NULL when capacity <= 0 or NULL.
+# Declared NUMERIC(5,2) in the published schema; widened to (7,2) because
+# an over-full warehouse (> 999.99 %) would otherwise overflow.
 def utilisation_pct(stock="current_stock_units", capacity="max_capacity_units") -> Column:
     cap = _c(capacity)
     return F.when(cap > 0, F.round(_c(stock).cast(COUNT_T) * 100 / cap.cast(COUNT_T), 2)
-                  ).cast("decimal(5,2)")
+                  ).cast("decimal(7,2)")
 
 
 # P9 / P10 — EXTRACT(EPOCH FROM interval) as a decimal number of seconds

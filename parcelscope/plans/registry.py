@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelscope.plans import advanced, business, overview, routes, views
+from parcelscope.plans import advanced, business, drivers, inventory, overview, routes, views
 
 QUERIES = {
     # business questions 1-5 (flat model)
@@ -39,4 +39,13 @@ QUERIES = {
     "rolling_fail_rate": advanced.rolling_fail_rate,
     "revenue_at_risk": advanced.revenue_at_risk,
     "deliveries_enriched": views.deliveries_enriched,
+    # drivers and inventory (dimension and snapshot marts)
+    "driver_scorecard": drivers.driver_scorecard,
+    "band_distribution": drivers.band_distribution,
+    "driver_outliers": drivers.driver_outliers,
+    "vehicle_fail_stats": drivers.vehicle_fail_stats,
+    "inventory_status": inventory.inventory_status,
+    "inventory_value": inventory.inventory_value,
+    "supply_trend": inventory.supply_trend,
+    "inventory_health": views.inventory_health,
 }

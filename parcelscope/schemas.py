@@ -206,7 +206,7 @@ MART_INVENTORY_SNAPSHOT = _s(
     ("stockout_days_ytd", T.ShortType()), ("last_replenish_date", T.DateType()),
     ("supplier_lead_days", T.ShortType()), ("unit_cost_eur", D(10, 2)),
     ("inventory_value_eur", D(14, 2)), ("stock_status", T.StringType()),
-    ("utilisation_pct", D(5, 2)),
+    ("utilisation_pct", D(7, 2)),
 )
 
 MART_DAILY_FORECAST = _s(
