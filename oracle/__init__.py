@@ -7,8 +7,10 @@ It rebuilds the delivery model from the given tables in SQL (see
 from oracle.business_sql import SQL as _BUSINESS
 from oracle.star_sql import SQL as _STAR
 from oracle.dims_sql import SQL as _DIMS
+from oracle.marts_sql import SQL as _MARTS
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(_BUSINESS)
 ORACLE.update(_STAR)
 ORACLE.update(_DIMS)
+ORACLE.update(_MARTS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelscope.plans import advanced, business, drivers, inventory, overview, routes, views
+from parcelscope.plans import advanced, business, drivers, inventory, marts, overview, routes, views
 
 QUERIES = {
     # business questions 1-5 (flat model)
@@ -48,4 +48,9 @@ QUERIES = {
     "inventory_value": inventory.inventory_value,
     "supply_trend": inventory.supply_trend,
     "inventory_health": views.inventory_health,
+    # monthly KPI mart: build (M1), MoM columns (M3), refresh by upsert (KF1)
+    "monthly_kpi": lambda m: marts.build_monthly_kpi(m).drop("refreshed_at"),
+    "monthly_kpi_with_mom": lambda m: marts.with_mom_changes(marts.build_monthly_kpi(m))
+    .drop("refreshed_at"),
+    "refresh_monthly_kpi": marts.refresh_after_partial_load,
 }
