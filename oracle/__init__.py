@@ -8,9 +8,11 @@ from oracle.business_sql import SQL as _BUSINESS
 from oracle.star_sql import SQL as _STAR
 from oracle.dims_sql import SQL as _DIMS
 from oracle.marts_sql import SQL as _MARTS
+from oracle.loading_sql import SQL as _LOADING
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(_BUSINESS)
 ORACLE.update(_STAR)
 ORACLE.update(_DIMS)
 ORACLE.update(_MARTS)
+ORACLE.update(_LOADING)

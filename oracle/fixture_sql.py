@@ -85,8 +85,20 @@ CTES = {
                       WHEN 1225 THEN 'Christmas Day' WHEN 1226 THEN 'Second Christmas Day' END AS hol
           FROM (SELECT CAST(generate_series AS DATE) AS d
                 FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)))""",
+    "forecast_full": """
+    SELECT forecast_date, city, dayname(forecast_date) AS day_of_week, weekofyear(forecast_date) AS week_number,
+           monthname(forecast_date) AS month_name, year(forecast_date) AS year,
+           CASE month(forecast_date) * 100 + day(forecast_date) WHEN 101 THEN TRUE WHEN 427 THEN TRUE
+                WHEN 1225 THEN TRUE WHEN 1226 THEN TRUE ELSE FALSE END AS is_public_holiday,
+           month(forecast_date) IN (11, 12) AS is_peak_period,
+           CASE WHEN month(forecast_date) IN (11, 12) THEN 'Q4 peak' END AS peak_event_name,
+           actual_volume, forecast_volume, actual_volume - forecast_volume AS forecast_error,
+           'Actual' AS data_type
+    FROM forecast""",
     "dim_warehouse": """
     SELECT 'WH-' || CAST(r_regionkey AS VARCHAR) AS warehouse_id, r_name AS city,
+           CAST(52 + r_regionkey * 0.1 AS DECIMAL(7,4)) AS latitude,
+           CAST(4 + r_regionkey * 0.1 AS DECIMAL(7,4)) AS longitude,
            CAST(5000 + r_regionkey * 2000 AS INTEGER) AS max_capacity_units
     FROM region""",
     "dim_driver": """

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from parcelscope.plans import advanced, business, drivers, inventory, marts, overview, routes, views
+from parcelscope.plans import (advanced, business, drivers, inventory, loading, marts, overview,
+                               routes, views)
 
 QUERIES = {
     # business questions 1-5 (flat model)
@@ -53,4 +54,20 @@ QUERIES = {
     "monthly_kpi_with_mom": lambda m: marts.with_mom_changes(marts.build_monthly_kpi(m))
     .drop("refreshed_at"),
     "refresh_monthly_kpi": marts.refresh_after_partial_load,
+    # load, inspection, quality and audit jobs
+    "verify_counts": loading.verify_counts,
+    "calendar_span": loading.calendar_span,
+    "profile_deliveries": loading.profile_deliveries,
+    "dispatch_range": loading.dispatch_range,
+    "city_list": loading.city_list,
+    "fail_reason_counts": loading.fail_reason_counts,
+    "seed_warehouses": loading.seed_warehouses,
+    "seed_categories": loading.seed_categories,
+    "fact_quality_report": loading.fact_quality_report,
+    "dimension_quality_report": loading.dimension_quality_report,
+    "key_uniqueness": loading.key_uniqueness,
+    "reference_integrity": loading.reference_integrity,
+    "lineitem_validation": loading.lineitem_validation,
+    "load_audit": loading.load_audit,
+    "daily_forecast": loading.daily_forecast,
 }

@@ -43,33 +43,55 @@ def peak_of(d, peak_months=DEFAULT_PEAK_MONTHS):
     return F.element_at(m, F.month(d))
 
 
-def build_dim_date(spark: SparkSession, start: str = DEFAULT_START, end: str = DEFAULT_END,
-                   holidays=DEFAULT_HOLIDAYS, peak_months=DEFAULT_PEAK_MONTHS) -> DataFrame:
-    d0 = dt.date.fromisoformat(start)
-    n_days = (dt.date.fromisoformat(end) - d0).days + 1
+def calendar_columns(days: DataFrame, holidays=DEFAULT_HOLIDAYS,
+                     peak_months=DEFAULT_PEAK_MONTHS) -> DataFrame:
+    """The dim_date columns for a DataFrame holding one ``full_date`` per row."""
     d = F.col("full_date")
     holiday = holiday_of(d, holidays)
     peak = peak_of(d, peak_months)
     iso_dow = F.weekday(d) + 1  # weekday(): Monday = 0
-    return (spark.range(n_days)
-            .select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("full_date"))
-            .select(
-                (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int").alias("date_key"),
-                d,
-                F.year(d).cast("short").alias("year"),
-                F.quarter(d).cast("short").alias("quarter"),
-                F.month(d).cast("short").alias("month_number"),
-                F.date_format(d, "MMMM").alias("month_name"),
-                F.weekofyear(d).cast("short").alias("week_number"),
-                iso_dow.cast("short").alias("day_of_week_number"),
-                F.date_format(d, "EEEE").alias("day_of_week_name"),
-                F.dayofmonth(d).cast("short").alias("day_of_month"),
-                (iso_dow >= 6).alias("is_weekend"),
-                holiday.isNotNull().alias("is_public_holiday"),
-                holiday.alias("holiday_name"),
-                peak.isNotNull().alias("is_peak_period"),
-                peak.alias("peak_event_name"),
-                F.date_format(d, "yyyy-MM").alias("year_month"),
-                F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))
-                .alias("year_quarter"),
-            ))
+    return days.select(
+        (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int").alias("date_key"),
+        d,
+        F.year(d).cast("short").alias("year"),
+        F.quarter(d).cast("short").alias("quarter"),
+        F.month(d).cast("short").alias("month_number"),
+        F.date_format(d, "MMMM").alias("month_name"),
+        F.weekofyear(d).cast("short").alias("week_number"),
+        iso_dow.cast("short").alias("day_of_week_number"),
+        F.date_format(d, "EEEE").alias("day_of_week_name"),
+        F.dayofmonth(d).cast("short").alias("day_of_month"),
+        (iso_dow >= 6).alias("is_weekend"),
+        holiday.isNotNull().alias("is_public_holiday"),
+        holiday.alias("holiday_name"),
+        peak.isNotNull().alias("is_peak_period"),
+        peak.alias("peak_event_name"),
+        F.date_format(d, "yyyy-MM").alias("year_month"),
+        F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))
+        .alias("year_quarter"),
+    )
+
+
+def build_dim_date(spark: SparkSession, start: str = DEFAULT_START, end: str = DEFAULT_END,
+                   holidays=DEFAULT_HOLIDAYS, peak_months=DEFAULT_PEAK_MONTHS) -> DataFrame:
+    """Calendar for a fixed range: rows from ``spark.range`` (split over tasks)."""
+    d0 = dt.date.fromisoformat(start)
+    n_days = (dt.date.fromisoformat(end) - d0).days + 1
+    days = spark.range(n_days).select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("full_date"))
+    return calendar_columns(days, holidays, peak_months)
+
+
+def calendar_spanning(df: DataFrame, date_col, holidays=DEFAULT_HOLIDAYS,
+                      peak_months=DEFAULT_PEAK_MONTHS) -> DataFrame:
+    """Calendar covering the whole years in which ``date_col`` of ``df`` falls.
+
+    The span comes from one min/max aggregate of the data; the days are
+    generated from that single row (size bounded by the calendar span, a few
+    thousand rows per decade), so nothing passes through the driver.
+    """
+    c = F.col(date_col) if isinstance(date_col, str) else date_col
+    span = df.agg(F.min(F.to_date(c)).alias("lo"), F.max(F.to_date(c)).alias("hi"))
+    days = span.select(F.explode(F.sequence(F.trunc("lo", "year"),
+                                            F.add_months(F.trunc("hi", "year"), 12) - F.expr("INTERVAL 1 DAY")))
+                       .alias("full_date"))
+    return calendar_columns(days, holidays, peak_months)

@@ -34,6 +34,7 @@ class Model:
     source: str = ""
     materialized_at: str | None = None
     _small: dict = field(default_factory=dict)
+    sources: dict = field(default_factory=dict)
 
     def __getattr__(self, name):
         tables = self.__dict__.get("tables", {})
@@ -58,16 +59,17 @@ class Model:
     @property
     def flat_fact(self) -> DataFrame:
         """The flat ``fact_deliveries`` the business questions read: the
-        fact with its city and calendar labels stored on the row."""
+        fact with its city and calendar labels stored on the row, columns
+        named as the load renames them (month→month_name, year→year_num,
+        year_month→yr_month)."""
+        from parcelscope import schemas as S
+        from parcelscope.sources.ingest import rename
         pc = self.dim("dim_postcode").select("postcode_pc4", "city")
         d = F.to_date("dispatch_datetime")
-        return (self.fact_deliveries.join(pc, "postcode_pc4")
-                .withColumns({
-                    "dispatch_date": d,
-                    "month_name": F.date_format(d, "MMMM"),
-                    "year_num": F.year(d),
-                    "yr_month": F.col("year_month"),
-                }))
+        sheet = (self.fact_deliveries.join(pc, "postcode_pc4")
+                 .withColumns({"dispatch_date": d, "month": F.date_format(d, "MMMM"),
+                               "year": F.year(d)}))
+        return rename(sheet, S.RENAME_DELIVERIES)
 
     @property
     def flat_postcodes(self) -> DataFrame:
@@ -78,6 +80,31 @@ class Model:
             .alias("parcel_locker_nearby"),
             "historical_fail_rate_pct")
 
+    @property
+    def flat_drivers(self) -> DataFrame:
+        """``dim_drivers``: sheet columns ``name``/``active`` renamed on load."""
+        from parcelscope import schemas as S
+        from parcelscope.sources.ingest import rename
+        sheet = self.dim_driver.withColumnsRenamed({"driver_name": "name", "is_active": "active"})
+        return rename(sheet, S.RENAME_DRIVERS)
+
+    @property
+    def flat_inventory(self) -> DataFrame:
+        """``warehouse_inventory``: sheet column ``status`` renamed on load."""
+        from parcelscope import schemas as S
+        from parcelscope.sources.ingest import rename
+        return rename(self.mart_inventory_snapshot.withColumnRenamed("stock_status", "status"),
+                      S.RENAME_INVENTORY)
+
+    @property
+    def flat_forecast(self) -> DataFrame:
+        """``daily_volume_forecast``: ``date``/``month``/``year`` renamed on load."""
+        from parcelscope import schemas as S
+        from parcelscope.sources.ingest import rename
+        sheet = self.mart_daily_forecast.withColumnsRenamed(
+            {"forecast_date": "date", "month_name": "month", "year": "year"})
+        return rename(sheet, S.RENAME_FORECAST).withColumnRenamed("peak_event_name", "peak_event")
+
 
 def read_sources(spark: SparkSession, sf_dir: str) -> dict:
     return {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in SOURCE_TABLES}
@@ -96,7 +123,7 @@ def build_model(spark: SparkSession, sf_dir: str) -> Model:
         "mart_inventory_snapshot": tpch_fixture.build_inventory_snapshot(src["lineitem"], src["part"]),
         "mart_daily_forecast": tpch_fixture.build_daily_forecast(src["events"], src["region"]),
     }
-    return Model(spark, tables, source=sf_dir)
+    return Model(spark, tables, source=sf_dir, sources=src)
 
 
 _CACHE: dict = {}
@@ -136,4 +163,4 @@ def materialize(model: Model, path: str | None = None) -> Model:
     # restore the declared column order (partition columns are read last)
     for name in PARTITION_COLUMNS:
         out[name] = out[name].select(*model.tables[name].columns)
-    return Model(spark, out, source=model.source, materialized_at=root)
+    return Model(spark, out, source=model.source, materialized_at=root, sources=model.sources)
