@@ -176,7 +176,7 @@ t AS (
       CASE WHEN NOT (l.l_discount >= 0 AND l.l_discount <= 1) THEN 'range:l_discount' END,
       CASE WHEN d.l_orderkey IS NOT NULL THEN 'duplicate:l_orderkey,l_linenumber' END,
       CASE WHEN l.l_orderkey IS NOT NULL AND o.o_orderkey IS NULL THEN 'orphan:l_orderkey' END
-    ], x -> x IS NOT NULL) AS r
+    ], lambda x: x IS NOT NULL) AS r
   FROM lineitem l
   LEFT JOIN dup d ON l.l_orderkey = d.l_orderkey AND l.l_linenumber = d.l_linenumber
   LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders) o ON l.l_orderkey = o.o_orderkey)
