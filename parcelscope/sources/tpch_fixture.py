@@ -6,9 +6,9 @@ city = customer region, driver = supplier, stock = monthly line-item flow,
 daily volume = events).  The rules are integer/decimal expressions so any
 SQL engine can rebuild the same rows.
 
-Scale: the fact build is the only large job (line item joined to its
-order, customer and part — three shuffle joins on their keys, AQE handles a
-skewed key by splitting).  Dimensions are bounded by construction: zones by
+Scale: the fact build is the only large job: orders ⋈ customer, then line
+item ⋈ that on the order key, then ⋈ part — line items cross the network
+twice when nothing is small enough to broadcast; AQE splits a skewed key.  Dimensions are bounded by construction: zones by
 nations, cities by regions, the calendar by its day range.
 """
 
@@ -47,8 +47,11 @@ def build_fact(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
     o = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     p = part.select("p_partkey", "p_type")
-    j = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(c, F.col("o_custkey") == F.col("c_custkey"))
+    # Join order: orders ⋈ customer first (order-sized shuffle), so line
+    # items are shuffled only twice — by order key, then by part key — when
+    # the sides are too large to broadcast.
+    oc = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    j = (li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(p, F.col("l_partkey") == F.col("p_partkey")))
 
     failed = (F.col("l_returnflag") == "R") & (
