@@ -47,6 +47,13 @@ def star(model, fact_cols=None, **dim_cols) -> DataFrame:
     return out
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``broadcast(df)`` when a bounded count (``limit(max_rows + 1)``) proves
+    at most ``max_rows`` rows; otherwise ``df`` unchanged, so the planner and
+    AQE pick a shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def top1_per_group(df: DataFrame, group_cols, order_cols) -> DataFrame:
     """First row of each group under ``order_cols`` (deterministic when the
     order ends in a unique tie-break).  Apply to aggregated rows only."""

@@ -1,7 +1,8 @@
 """Driver analytics (dimension only — the fact carries no driver): KC1–KC4.
 
 The driver dimension grows with the fleet, so nothing here is broadcast
-except per-city statistics (one row per city) in KC3.
+except per-city statistics (one row per city) in KC3, and those only after
+a bounded count proves them small.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import dec
+from parcelscope.operators.joins import broadcast_if_small
 
 
 def _active(m) -> DataFrame:
@@ -63,7 +65,7 @@ def driver_outliers(m, labels=S.ALERT_LABELS) -> DataFrame:
     city = d.groupBy("city").agg(
         M.round_mean(F.col("fail_rate_pct"), 2).alias("city_avg_fail"),
         _round_std("fail_rate_pct").alias("city_std_fail"))
-    j = d.join(F.broadcast(city), "city")
+    j = d.join(broadcast_if_small(city), "city")
     fail, mu, sd = F.col("fail_rate_pct"), F.col("city_avg_fail"), F.col("city_std_fail")
     status = (F.when(fail > mu + 2 * sd, F.lit(labels[0]))
               .when(fail > mu + 1 * sd, F.lit(labels[1]))
