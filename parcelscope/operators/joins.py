@@ -24,15 +24,18 @@ DIM_KEYS = {
 }
 
 
-def star(model, fact_cols=None, **dim_cols) -> DataFrame:
+def star(model, fact_cols=None, where: Column | None = None, **dim_cols) -> DataFrame:
     """Fact ⋈ selected dimensions.
 
     ``star(m, ["route_km"], dim_date=["year_month"], dim_postcode=["city"])``
     joins on each dimension's key; a dimension column replaces a fact
     column of the same name (the query reads the dimension's value).  A
-    ``(column, alias)`` pair renames a dimension column.
+    ``(column, alias)`` pair renames a dimension column.  ``where`` filters
+    the fact before the joins (e.g. on its partition column).
     """
     fact = model.fact_deliveries
+    if where is not None:
+        fact = fact.filter(where)
     wanted_from_dims = {c if isinstance(c, str) else c[1] for cols in dim_cols.values() for c in cols}
     keys = [DIM_KEYS[d] for d in dim_cols]
     if fact_cols is None:
@@ -66,6 +69,17 @@ def latest_only(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col) == df.select(F.max(col)).scalar())
 
 
+def max_in_last_partition(df: DataFrame, part_col: str, col) -> Column:
+    """Scalar subquery ``max(col)`` taken over the rows of the greatest
+    ``part_col`` value only — equal to ``max(col)`` over all rows when
+    ``part_col`` is a coarsening of ``col`` (month of a date).  On a table
+    partitioned by ``part_col`` the inner maximum reads file metadata only
+    and the outer one reads a single partition, not the whole table."""
+    c = F.col(col) if isinstance(col, str) else col
+    last = df.select(F.max(part_col)).scalar()
+    return df.filter(F.col(part_col) == last).select(F.max(c)).scalar()
+
+
 def max_of(df: DataFrame, col) -> Column:
     """Scalar-subquery column holding ``max(col)`` over ``df``."""
     c = F.col(col) if isinstance(col, str) else col

@@ -14,7 +14,7 @@ from parcelscope import schemas as S
 from parcelscope.functions import derive
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if, dec, sum_if
-from parcelscope.operators.joins import max_of, star
+from parcelscope.operators.joins import max_in_last_partition, star
 
 
 def N():
@@ -104,11 +104,10 @@ def weekday_pattern(m) -> DataFrame:
 
 
 def last_dispatch_date(m) -> F.Column:
-    """Scalar subquery: the latest calendar date with a shipment (the
-    default ``as_of``; the published query uses today's date, which finds
-    nothing in historical data)."""
-    f = star(m, [], dim_date=["full_date"])
-    return max_of(f, "full_date")
+    """Scalar subquery: the latest dispatch date of the fact (the default
+    ``as_of``; the published query uses today's date, which finds nothing in
+    historical data).  Read from the newest ``year_month`` partition only."""
+    return max_in_last_partition(m.fact_deliveries, "year_month", F.to_date("dispatch_datetime"))
 
 
 # KE5 — trailing window of ``days`` before ``as_of``; the moving average is
@@ -116,8 +115,13 @@ def last_dispatch_date(m) -> F.Column:
 def rolling_fail_rate(m, days: int = S.TRAILING_DAYS, as_of=None,
                       rows: int = S.ROLLING_ROWS, alert: float = S.ROLLING_ALERT_PCT) -> DataFrame:
     as_of_col = last_dispatch_date(m) if as_of is None else F.lit(as_of).cast("date")
-    f = (star(m, ["is_first_attempt_fail"], dim_date=["full_date"], dim_postcode=["city"])
-         .filter(F.col("full_date") >= F.date_sub(as_of_col, days)))
+    start = F.date_sub(as_of_col, days)
+    # the month filter is implied by the date filter; on the fact's
+    # partition column it prunes every month before the window
+    in_months = F.col("year_month") >= F.date_format(start, "yyyy-MM")
+    f = (star(m, ["is_first_attempt_fail"], where=in_months, dim_date=["full_date"],
+              dim_postcode=["city"])
+         .filter(F.col("full_date") >= start))
     g = f.groupBy("full_date", "city").agg(
         N().alias("shipments"),
         count_if(FAIL()).alias("fails"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if, sum_if
-from parcelscope.operators.joins import max_of, star, top1_per_group
+from parcelscope.operators.joins import max_in_last_partition, star, top1_per_group
 from parcelscope.operators.upsert import upsert
 
 KEYS = S.MART_KEYS
@@ -103,6 +103,7 @@ def refresh_after_partial_load(m, lag_days: int = 30) -> DataFrame:
     last dispatch left it (its last month partial), refreshed with all data.
     The month that was partial gets the nine listed metrics updated while
     its other columns stay stale; later months are inserted."""
-    cutoff = F.date_sub(max_of(m.fact_deliveries, F.to_date("dispatch_datetime")), lag_days)
+    last = max_in_last_partition(m.fact_deliveries, "year_month", F.to_date("dispatch_datetime"))
+    cutoff = F.date_sub(last, lag_days)
     previous = build_monthly_kpi(m, until=cutoff.cast("timestamp_ntz"))
     return refresh_monthly_kpi(m, previous).drop("refreshed_at")
