@@ -1,8 +1,8 @@
 """Monthly KPI mart: build (M1), month-over-month columns (M3), refresh (KF1).
 
 One scan of the fact feeds everything: the fact is aggregated once to
-(month, city, category) with additive partial sums; the city-month metrics
-sum those partials and the top category is ranked among them.  The
+(month, city, category) with additive partial sums; a window over
+(month, city) on those rows sums them and ranks the categories.  The
 correlated "most frequent category" subquery of the published refresh
 becomes a ``row_number`` over that small aggregate, with the category name
 as tie-break (the published form is not deterministic on ties).
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
-from parcelscope.functions.metrics import count_if, sum_if
-from parcelscope.operators.joins import max_in_last_partition, star, top1_per_group
+from parcelscope.functions.metrics import count_if
+from parcelscope.operators.joins import max_in_last_partition, star
 from parcelscope.operators.upsert import upsert
 
 KEYS = S.MART_KEYS
@@ -46,38 +46,48 @@ def _div(num: str, den: str):
     return F.col(num) / M.nz(F.col(den)).cast(M.COUNT_T)
 
 
+_SUMS = ["n", "ok", "fails", "returns", "cost", "n_cost", "value", "co2", "n_co2", "km", "weight",
+         "n_weight", "zero"]
+
+
 # M1
 def build_monthly_kpi(m, until=None) -> DataFrame:
-    """City-month KPI rows; ``until`` limits to shipments dispatched before it."""
+    """City-month KPI rows; ``until`` limits to shipments dispatched before it.
+
+    One fact scan: the (month, city, category) partials are summed to the
+    city-month with a whole-group window, and the same window partition
+    ranks the categories — no second scan, no join back.  The window input
+    is aggregated rows (at most one per category in a group)."""
     p = _partials(m, until)
-    g = p.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in
-                               ["n", "ok", "fails", "returns", "cost", "n_cost", "value", "co2",
-                                "n_co2", "km", "weight", "n_weight", "zero"]])
-    top = top1_per_group(p.select(*KEYS, "category_name", "n"), KEYS,
-                         [F.desc("n"), F.asc("category_name")])
-    n = F.col("n")
-    return (g.join(top.select(*KEYS, F.col("category_name").alias("top_product_category")), KEYS)
-            .select(
-                *KEYS,
-                n.alias("total_shipments"),
-                F.col("ok").alias("successful_deliveries"),
-                F.col("fails").alias("failed_first_attempt"),
-                F.col("returns").alias("returned_shipments"),
-                M.pct(F.col("ok"), n, 2).cast("decimal(6,2)").alias("otd_rate_pct"),
-                M.pct(F.col("fails"), n, 2).cast("decimal(6,2)").alias("first_attempt_fail_pct"),
-                M.pct(F.col("returns"), n, 2).cast("decimal(6,2)").alias("return_rate_pct"),
-                F.round(_div("cost", "n_cost"), 2).cast("decimal(8,2)").alias("avg_delivery_cost_eur"),
-                F.round("value", 2).cast("decimal(14,2)").alias("total_revenue_eur"),
-                F.round("co2", 4).cast("decimal(10,4)").alias("total_co2_kg"),
-                F.round(_div("co2", "n_co2"), 6).cast("decimal(8,6)").alias("avg_co2_per_shipment_kg"),
-                F.round("km", 2).cast("decimal(12,2)").alias("total_route_km"),
-                F.round(_div("weight", "n_weight"), 2).cast("decimal(6,2)").alias("avg_weight_kg"),
-                "top_product_category",
-                M.pct(F.col("zero"), n, 1).cast("decimal(5,1)").alias("electric_vehicle_pct"),
-                # declared but never set by the published refresh (see with_mom_changes)
-                F.lit(None).cast("decimal(6,2)").alias("otd_rate_mom_change_pp"),
-                F.lit(None).cast("decimal(6,2)").alias("cost_mom_change_pct"),
-                F.current_timestamp().alias("refreshed_at")))
+    group = Window.partitionBy(*KEYS)
+    ranked = p.withColumns({
+        **{f"t_{c}": F.sum(c).over(group) for c in _SUMS},
+        "_rn": F.row_number().over(group.orderBy(F.desc("n"), F.asc("category_name"))),
+    })
+    top = ranked.filter(F.col("_rn") == 1)
+    t = {c: F.col(f"t_{c}") for c in _SUMS}
+    n = t["n"]
+    return top.select(
+        *KEYS,
+        n.alias("total_shipments"),
+        t["ok"].alias("successful_deliveries"),
+        t["fails"].alias("failed_first_attempt"),
+        t["returns"].alias("returned_shipments"),
+        M.pct(t["ok"], n, 2).cast("decimal(6,2)").alias("otd_rate_pct"),
+        M.pct(t["fails"], n, 2).cast("decimal(6,2)").alias("first_attempt_fail_pct"),
+        M.pct(t["returns"], n, 2).cast("decimal(6,2)").alias("return_rate_pct"),
+        F.round(_div("t_cost", "t_n_cost"), 2).cast("decimal(8,2)").alias("avg_delivery_cost_eur"),
+        F.round(t["value"], 2).cast("decimal(14,2)").alias("total_revenue_eur"),
+        F.round(t["co2"], 4).cast("decimal(10,4)").alias("total_co2_kg"),
+        F.round(_div("t_co2", "t_n_co2"), 6).cast("decimal(8,6)").alias("avg_co2_per_shipment_kg"),
+        F.round(t["km"], 2).cast("decimal(12,2)").alias("total_route_km"),
+        F.round(_div("t_weight", "t_n_weight"), 2).cast("decimal(6,2)").alias("avg_weight_kg"),
+        F.col("category_name").alias("top_product_category"),
+        M.pct(t["zero"], n, 1).cast("decimal(5,1)").alias("electric_vehicle_pct"),
+        # declared but never set by the published refresh (see with_mom_changes)
+        F.lit(None).cast("decimal(6,2)").alias("otd_rate_mom_change_pp"),
+        F.lit(None).cast("decimal(6,2)").alias("cost_mom_change_pct"),
+        F.current_timestamp().alias("refreshed_at"))
 
 
 # M3 — the month-over-month columns, computed like KA1's deltas

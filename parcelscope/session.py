@@ -1,8 +1,8 @@
 """Session construction and the shared folder for lineage cuts.
 
 On a cluster the shared folder is whatever ``spark.checkpoint.dir`` names;
-the library only falls back to a local scratch folder when that setting is
-absent (unit tests, a laptop).
+the library only falls back to a local scratch folder for a ``local[...]``
+session without that setting (unit tests, a laptop).
 """
 
 from __future__ import annotations
@@ -12,27 +12,46 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Session defaults for local runs.  On a cluster these come from the job
-# submission; ``get_session`` never overrides a value that is already set.
-LOCAL_DEFAULTS = {
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
-    "spark.sql.shuffle.partitions": "8",
+# Settings the library's results depend on (exact decimals, UTC calendar
+# days) and the adaptive execution it relies on for skew and join choice.
+# Applied only where the job submission has not set them.
+SESSION_DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Extra defaults for a single-machine ``local[...]`` session (tests, bench).
+# A cluster sizes its own shuffle partitions (with AQE coalescing, start
+# high: thousands for tens of terabytes) and keeps its own UI policy.
+LOCAL_DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+def _is_local(master: str | None) -> bool:
+    return bool(master) and master.startswith("local")
 
 
 def get_session(master: str | None = None, app_name: str = "parcelscope",
                 extra: dict | None = None) -> SparkSession:
+    """Session for the library.  Defaults never override a value the job
+    submission (``--conf`` / ``spark-defaults.conf``) already set; ``extra``
+    is applied as given."""
+    from pyspark import SparkConf
+    submitted = SparkConf()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in {**LOCAL_DEFAULTS, **(extra or {})}.items():
+    defaults = {**SESSION_DEFAULTS, **(LOCAL_DEFAULTS if _is_local(master) else {})}
+    for k, v in defaults.items():
+        if not submitted.contains(k):
+            builder = builder.config(k, v)
+    for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,13 +60,19 @@ def get_session(master: str | None = None, app_name: str = "parcelscope",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a scratch one only when unset."""
+    """Return the checkpoint folder: ``spark.checkpoint.dir`` as the cluster
+    names it.  Only a local-mode session without one gets a scratch folder;
+    a cluster session without one is an error (a machine-local folder would
+    not be shared by the executors)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not _is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by all "
+                               "executors (e.g. on the cluster file system)")
         configured = tempfile.mkdtemp(prefix="parcelscope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
