@@ -93,6 +93,31 @@ def check_reference(child: DataFrame, parent: DataFrame, key: str, child_name: s
                     F.lit(key).alias("key_column"), "orphan_rows"))
 
 
+def check_references(child: DataFrame, refs, child_name: str = "") -> DataFrame:
+    """All foreign keys of one child table; one row per key, like
+    ``check_reference``.  ``refs`` holds ``(parent, key, parent_name,
+    parent_small)``.  Keys of small parents are checked in ONE pass over the
+    child: each broadcast parent key set contributes a hit flag through a
+    left join, and one aggregate counts the misses.  A parent that is not
+    proven small gets its own anti join (shuffled, AQE-split on skew)."""
+    small = [(p, k, n) for p, k, n, is_small in refs if is_small]
+    large = [(p, k, n) for p, k, n, is_small in refs if not is_small]
+    parts = []
+    if small:
+        tagged = child.select(*dict.fromkeys(k for _, k, _ in small))
+        for i, (parent, key, _) in enumerate(small):
+            keys = F.broadcast(parent.select(key).distinct().withColumn(f"_hit{i}", F.lit(True)))
+            tagged = tagged.join(keys, key, "left")
+        agg = tagged.agg(*[F.count_if(F.col(k).isNotNull() & F.col(f"_hit{i}").isNull()).alias(f"_o{i}")
+                           for i, (_, k, _) in enumerate(small)])
+        rows = F.array(*[F.struct(F.lit(child_name).alias("child_table"), F.lit(n).alias("parent_table"),
+                                  F.lit(k).alias("key_column"), F.col(f"_o{i}").alias("orphan_rows"))
+                         for i, (_, k, n) in enumerate(small)])
+        parts.append(agg.select(F.inline(rows)))
+    parts += [check_reference(child, p, k, child_name, n, False) for p, k, n in large]
+    return union_all(parts)
+
+
 # M9
 def tag_rejects(df: DataFrame, rules: list[Rule], unique_keys=None,
                 references: list[tuple[DataFrame, str]] | None = None) -> DataFrame:

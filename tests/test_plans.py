@@ -110,3 +110,9 @@ def test_rolling_window_prunes_months(written):
     p = plan(QUERIES["rolling_fail_rate"](written))
     main = [s for s in scans(p, "fact_deliveries") if "is_first_attempt_fail" in s]
     assert main and "year_month" in main[0].split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_foreign_keys_of_the_fact_in_one_pass(written):
+    p = plan(QUERIES["reference_integrity"](written))
+    assert len(scans(p, "fact_deliveries")) == 1
+    assert p.count("LeftOuter, BuildRight") == 5 and "SortMergeJoin" not in p
