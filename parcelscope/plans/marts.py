@@ -10,6 +10,8 @@ as tie-break (the published form is not deterministic on ties).
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if
 from parcelscope.operators.joins import max_in_last_partition, star
-from parcelscope.operators.upsert import upsert
+from parcelscope.operators import quality as Q
+from parcelscope.operators.upsert import upsert, upsert_counts
 
 KEYS = S.MART_KEYS
 
@@ -117,3 +120,39 @@ def refresh_after_partial_load(m, lag_days: int = 30) -> DataFrame:
     cutoff = F.date_sub(last, lag_days)
     previous = build_monthly_kpi(m, until=cutoff.cast("timestamp_ntz"))
     return refresh_monthly_kpi(m, previous).drop("refreshed_at")
+
+
+def _stored_mart(spark, path: str | None, like: DataFrame) -> DataFrame:
+    """The stored mart at ``path`` in ``like``'s column order, or an empty
+    mart when there is none yet (first refresh inserts every key)."""
+    if path:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(jvm_path):
+            return spark.read.parquet(path).select(*like.columns)
+    return spark.createDataFrame([], like.schema)
+
+
+def refresh_to(m, new_path: str, current_path: str | None = None,
+               audit_path: str | None = None) -> DataFrame:
+    """KF1 as a stored-table job: upsert this month's aggregate into the mart
+    at ``current_path`` and write the result as a new version at
+    ``new_path`` (partitioned by ``year_month``; never over the path being
+    read).  The fresh aggregate — city-month rows, small — is checkpointed
+    to the cluster's checkpoint folder so the upsert and its insert/update
+    counts reuse it instead of re-scanning the fact, and a lost executor
+    does not re-run the aggregation.  With ``audit_path`` a REFRESH row with
+    the counts is appended to the load log (M10).  Returns the new mart."""
+    spark = m.spark
+    start = datetime.datetime.now(datetime.timezone.utc)
+    fresh = build_monthly_kpi(m).checkpoint(eager=True)
+    current = _stored_mart(spark, current_path, fresh)
+    merged = upsert(current, fresh, KEYS, S.MART_UPDATE_COLUMNS,
+                    touch={"refreshed_at": F.current_timestamp()})
+    (merged.hint("rebalance", "year_month").write.mode("errorifexists")
+     .partitionBy("year_month").parquet(new_path))
+    if audit_path:
+        counts = upsert_counts(current, fresh, KEYS)
+        Q.log_load(Q.audit_rows(counts, "mart_monthly_kpi", "REFRESH", "SUCCESS", start=start),
+                   audit_path)
+    return spark.read.parquet(new_path).select(*fresh.columns)

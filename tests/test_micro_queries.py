@@ -75,3 +75,17 @@ def test_zone_without_shipments_drops_out_of_inner_join(spark):
     got = {r.postcode_pc4 for r in overview.__dict__["star"](m, ["route_km"], dim_postcode=["city"]).collect()}
     assert got == {1001, 3001}
     assert {r.city for r in business.city_volume(m).collect()} == {"Amsterdam", "Rotterdam"}
+
+
+def test_refresh_to_writes_new_version_and_audits(spark, tmp_path):
+    ships = [micro.shipment(1, "2024-01-10", 1001), micro.shipment(2, "2024-02-10", 3001),
+             micro.shipment(3, "2024-02-11", 3001, failed=True, reason="Not home")]
+    m = micro.model(spark, ships)
+    v1, v2, audit = str(tmp_path / "mart_v1"), str(tmp_path / "mart_v2"), str(tmp_path / "audit")
+    first = marts.refresh_to(m, v1, current_path=str(tmp_path / "absent"), audit_path=audit)
+    assert first.count() == 2
+    second = marts.refresh_to(m, v2, current_path=v1, audit_path=audit)
+    assert sorted((r.year_month, r.city, r.total_shipments, r.failed_first_attempt)
+                  for r in second.collect()) == [("2024-01", "Amsterdam", 1, 0), ("2024-02", "Rotterdam", 2, 1)]
+    log = sorted((r.rows_inserted, r.rows_updated, r.load_type) for r in spark.read.parquet(audit).collect())
+    assert log == [(0, 2, "REFRESH"), (2, 0, "REFRESH")]
