@@ -25,10 +25,11 @@ from parcelscope.operators.upsert import upsert, upsert_counts
 KEYS = S.MART_KEYS
 
 
-def _partials(m, until=None) -> DataFrame:
+def _partials(m, until=None, from_month: str | None = None) -> DataFrame:
+    where = None if from_month is None else F.col("year_month") >= F.lit(from_month)
     f = star(m, ["final_status", "is_first_attempt_fail", "is_returned", "delivery_cost_eur",
                  "order_value_eur", "co2_emission_kg", "route_km", "weight_kg", "is_zero_emission",
-                 "dispatch_datetime"],
+                 "dispatch_datetime"], where=where,
              dim_date=["year_month"], dim_postcode=["city"], dim_product_category=["category_name"])
     if until is not None:
         f = f.filter(F.col("dispatch_datetime") < until)
@@ -54,14 +55,16 @@ _SUMS = ["n", "ok", "fails", "returns", "cost", "n_cost", "value", "co2", "n_co2
 
 
 # M1
-def build_monthly_kpi(m, until=None) -> DataFrame:
-    """City-month KPI rows; ``until`` limits to shipments dispatched before it.
+def build_monthly_kpi(m, until=None, from_month: str | None = None) -> DataFrame:
+    """City-month KPI rows; ``until`` limits to shipments dispatched before it,
+    ``from_month`` ('YYYY-MM') to months from it on — a filter on the fact's
+    partition column, so an incremental refresh reads only those months.
 
     One fact scan: the (month, city, category) partials are summed to the
     city-month with a whole-group window, and the same window partition
     ranks the categories — no second scan, no join back.  The window input
     is aggregated rows (at most one per category in a group)."""
-    p = _partials(m, until)
+    p = _partials(m, until, from_month)
     group = Window.partitionBy(*KEYS)
     ranked = p.withColumns({
         **{f"t_{c}": F.sum(c).over(group) for c in _SUMS},
@@ -134,7 +137,7 @@ def _stored_mart(spark, path: str | None, like: DataFrame) -> DataFrame:
 
 
 def refresh_to(m, new_path: str, current_path: str | None = None,
-               audit_path: str | None = None) -> DataFrame:
+               audit_path: str | None = None, from_month: str | None = None) -> DataFrame:
     """KF1 as a stored-table job: upsert this month's aggregate into the mart
     at ``current_path`` and write the result as a new version at
     ``new_path`` (partitioned by ``year_month``; never over the path being
@@ -142,10 +145,12 @@ def refresh_to(m, new_path: str, current_path: str | None = None,
     to the cluster's checkpoint folder so the upsert and its insert/update
     counts reuse it instead of re-scanning the fact, and a lost executor
     does not re-run the aggregation.  With ``audit_path`` a REFRESH row with
-    the counts is appended to the load log (M10).  Returns the new mart."""
+    the counts is appended to the load log (M10).  ``from_month`` limits
+    the recomputation to months from it on (the others keep their stored
+    rows).  Returns the new mart."""
     spark = m.spark
     start = datetime.datetime.now(datetime.timezone.utc)
-    fresh = build_monthly_kpi(m).checkpoint(eager=True)
+    fresh = build_monthly_kpi(m, from_month=from_month).checkpoint(eager=True)
     current = _stored_mart(spark, current_path, fresh)
     merged = upsert(current, fresh, KEYS, S.MART_UPDATE_COLUMNS,
                     touch={"refreshed_at": F.current_timestamp()})

@@ -1,5 +1,6 @@
 """Query edge cases on hand-made models (FIXTURES part C)."""
 
+import re
 from decimal import Decimal
 
 from parcelscope.plans import advanced, business, drivers, marts, overview
@@ -89,3 +90,17 @@ def test_refresh_to_writes_new_version_and_audits(spark, tmp_path):
                   for r in second.collect()) == [("2024-01", "Amsterdam", 1, 0), ("2024-02", "Rotterdam", 2, 1)]
     log = sorted((r.rows_inserted, r.rows_updated, r.load_type) for r in spark.read.parquet(audit).collect())
     assert log == [(0, 2, "REFRESH"), (2, 0, "REFRESH")]
+
+
+def test_incremental_refresh_reads_touched_months_only(spark, tmp_path):
+    ships = [micro.shipment(1, "2024-01-10", 1001), micro.shipment(2, "2024-02-10", 3001)]
+    m = micro.model(spark, ships)
+    v1, v2 = str(tmp_path / "v1"), str(tmp_path / "v2")
+    marts.refresh_to(m, v1)
+    ships2 = ships + [micro.shipment(3, "2024-02-12", 3001, failed=True, reason="Not home")]
+    m2 = micro.model(spark, ships2)
+    plan = marts.build_monthly_kpi(m2, from_month="2024-02")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"year_month#\d+ >= 2024-02", plan)
+    out = {r.year_month: r for r in marts.refresh_to(m2, v2, current_path=v1, from_month="2024-02").collect()}
+    assert out["2024-01"].total_shipments == 1 and out["2024-02"].total_shipments == 2
+    assert out["2024-02"].failed_first_attempt == 1
