@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelscope.session import shared_dir
-from parcelscope.sources import calendar, tpch_fixture
+from parcelscope.sources import calendar, ingest, tpch_fixture
 
 SOURCE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 MODEL_TABLES = ["fact_deliveries", "dim_date", "dim_postcode", "dim_driver", "dim_warehouse",
@@ -151,14 +151,9 @@ def materialize(model: Model, path: str | None = None) -> Model:
     out = {}
     for name in MODEL_TABLES:
         target = f"{root}/{name}"
-        w = model.tables[name].write.mode("overwrite")
-        parts = PARTITION_COLUMNS.get(name)
-        df = model.tables[name]
-        if parts:
-            # AQE rebalance: rows of a partition value go to few tasks, and a
-            # value holding a large share of rows is split, not sent to one task
-            w = df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts)
-        w.parquet(target)
+        # partitioned tables are rebalanced by AQE: a partition value holding
+        # a large share of the rows is split over tasks, not sent to one
+        ingest.write_table(model.tables[name], target, partition_by=PARTITION_COLUMNS.get(name))
         out[name] = spark.read.parquet(target)
     # restore the declared column order (partition columns are read last)
     for name in PARTITION_COLUMNS:

@@ -1,0 +1,8 @@
+"""Streaming operators: none.
+
+The reference has no streams, watermarks or stateful operators; its only
+recurring job is the monthly mart refresh, a batch upsert
+(``parcelscope.plans.marts.refresh_to``, incremental via ``from_month``).
+This package stays empty rather than adding operators the reference does
+not have.
+"""
