@@ -100,7 +100,7 @@ CTES = {
            CAST(52 + r_regionkey * 0.1 AS DECIMAL(7,4)) AS latitude,
            CAST(4 + r_regionkey * 0.1 AS DECIMAL(7,4)) AS longitude,
            CAST(5000 + r_regionkey * 2000 AS INTEGER) AS max_capacity_units
-    FROM region""",
+    FROM region WHERE r_regionkey IN (SELECT s_suppkey % 5 FROM supplier)""",
     "dim_driver": """
     SELECT 'DRV-' || CAST(s_suppkey AS VARCHAR) AS driver_id, s_name AS driver_name, r_name AS city,
            CAST(s_suppkey % 20 AS INTEGER) AS years_experience,

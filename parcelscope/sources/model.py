@@ -118,7 +118,7 @@ def build_model(spark: SparkSession, sf_dir: str) -> Model:
         "dim_date": calendar.build_dim_date(spark),
         "dim_postcode": tpch_fixture.build_dim_postcode(src["nation"], src["region"]),
         "dim_driver": tpch_fixture.build_dim_driver(src["supplier"], src["region"]),
-        "dim_warehouse": tpch_fixture.build_dim_warehouse(src["region"]),
+        "dim_warehouse": tpch_fixture.build_dim_warehouse(src["supplier"], src["region"]),
         "dim_product_category": tpch_fixture.build_dim_product_category(src["part"]),
         "mart_inventory_snapshot": tpch_fixture.build_inventory_snapshot(src["lineitem"], src["part"]),
         "mart_daily_forecast": tpch_fixture.build_daily_forecast(src["events"], src["region"]),

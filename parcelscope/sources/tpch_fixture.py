@@ -147,9 +147,12 @@ def build_dim_driver(supplier: DataFrame, region: DataFrame) -> DataFrame:
             ))
 
 
-def build_dim_warehouse(region: DataFrame) -> DataFrame:
+def build_dim_warehouse(supplier: DataFrame, region: DataFrame) -> DataFrame:
+    """One row per warehouse some supplier ships from (index ``s_suppkey %
+    5``), placed in the city of the region with that number."""
+    used = supplier.select((F.col("s_suppkey") % 5).alias("r_regionkey")).distinct()
     k = F.col("r_regionkey")
-    return region.select(
+    return region.join(used, "r_regionkey", "left_semi").select(
         _wh(k).alias("warehouse_id"),
         F.col("r_name").alias("city"),
         (F.lit(52) + k * dec("0.1")).cast("decimal(7,4)").alias("latitude"),
