@@ -5,6 +5,6 @@ lazy DataFrame.  Nothing is collected to the driver inside the library.
 """
 
 from parcelscope.session import get_session, shared_dir
-from parcelscope.sources.model import Model, model_for, materialize
+from parcelscope.sources.model import Model, materialize, model_for, read_model
 
-__all__ = ["get_session", "shared_dir", "Model", "model_for", "materialize"]
+__all__ = ["get_session", "shared_dir", "Model", "model_for", "materialize", "read_model"]

@@ -118,6 +118,15 @@ RENAME_DRIVERS = {"name": "driver_name", "active": "is_active"}
 RENAME_DELIVERIES = {"month": "month_name", "year": "year_num", "year_month": "yr_month"}
 RENAME_INVENTORY = {"status": "stock_status"}
 RENAME_FORECAST = {"date": "forecast_date", "month": "month_name", "year": "year_num"}
+# the six flat tables the load writes, with the rename map each one gets
+FLAT_RENAMES = {
+    "dim_postcodes": {},
+    "dim_drivers": RENAME_DRIVERS,
+    "fact_deliveries": RENAME_DELIVERIES,
+    "warehouse_inventory": RENAME_INVENTORY,
+    "daily_volume_forecast": RENAME_FORECAST,
+    "kpi_summary": {},
+}
 
 # ---------------------------------------------------------------------------
 # Star-model contracts (Spark types of the declared columns)

@@ -140,6 +140,28 @@ def model_for(spark: SparkSession, sf_dir: str) -> Model:
 PARTITION_COLUMNS = {"fact_deliveries": ["year_month"], "mart_inventory_snapshot": ["snapshot_date"]}
 
 
+def declared_schemas() -> dict:
+    """Table name → declared ``StructType`` of the star model."""
+    from parcelscope import schemas as S
+    return {"fact_deliveries": S.FACT_DELIVERIES, "dim_date": S.DIM_DATE,
+            "dim_postcode": S.DIM_POSTCODE, "dim_driver": S.DIM_DRIVER,
+            "dim_warehouse": S.DIM_WAREHOUSE, "dim_product_category": S.DIM_PRODUCT_CATEGORY,
+            "mart_inventory_snapshot": S.MART_INVENTORY_SNAPSHOT,
+            "mart_daily_forecast": S.MART_DAILY_FORECAST}
+
+
+def read_model(spark: SparkSession, root: str, fmt: str = "parquet") -> Model:
+    """A model over star tables stored at ``root/<table>`` (e.g. by
+    ``materialize``, or a user's own load), read with the declared schemas —
+    no inference pass, columns in contract order, partition columns
+    recognised from the folder layout."""
+    tables = {}
+    for name, schema in declared_schemas().items():
+        df = ingest.read_table(spark, f"{root.rstrip('/')}/{name}", schema, fmt)
+        tables[name] = df.select(*schema.fieldNames())
+    return Model(spark, tables, source=root, materialized_at=root)
+
+
 def materialize(model: Model, path: str | None = None) -> Model:
     """Write every model table as Parquet and return a model reading them.
 
@@ -148,14 +170,11 @@ def materialize(model: Model, path: str | None = None) -> Model:
     """
     spark = model.spark
     root = path or shared_dir(spark, "model", uuid.uuid4().hex)
-    out = {}
     for name in MODEL_TABLES:
         target = f"{root}/{name}"
         # partitioned tables are rebalanced by AQE: a partition value holding
         # a large share of the rows is split over tasks, not sent to one
         ingest.write_table(model.tables[name], target, partition_by=PARTITION_COLUMNS.get(name))
-        out[name] = spark.read.parquet(target)
-    # restore the declared column order (partition columns are read last)
-    for name in PARTITION_COLUMNS:
-        out[name] = out[name].select(*model.tables[name].columns)
-    return Model(spark, out, source=model.source, materialized_at=root, sources=model.sources)
+    out = read_model(spark, root)
+    out.source, out.sources = model.source, model.sources
+    return out
