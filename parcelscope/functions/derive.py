@@ -50,7 +50,7 @@ def is_returned(final="final_status") -> Column:
     return _c(final) == S.RETURNED
 
 
-# P6 — as written: NULL NOT IN ('N/A') is NULL, so the AND is false
+# P6 / F10 — as written: NULL NOT IN ('N/A') is NULL, so the AND is false
 def is_multi_attempt(second="attempt_2_status") -> Column:
     s = _c(second)
     return F.coalesce(~s.isin("N/A") & s.isNotNull(), F.lit(False))
@@ -70,7 +70,7 @@ def utilisation_pct(stock="current_stock_units", capacity="max_capacity_units")
                   ).cast("decimal(7,2)")
 
 
-# P9 / P10 — EXTRACT(EPOCH FROM interval) as a decimal number of seconds
+# P9 / P10 / F7 — EXTRACT(EPOCH FROM interval) as a decimal number of seconds
 def seconds_between(start, end) -> Column:
     return (_c(end) - _c(start)).cast("decimal(18,6)")
 

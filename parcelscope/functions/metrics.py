@@ -25,7 +25,7 @@ PRODUCT_T = "decimal(30,4)"
 
 
 def dec(value) -> Column:
-    """A decimal literal with the scale written in ``value`` (e.g. '0.60')."""
+    """F6 — a decimal literal with the scale written in ``value`` (e.g. '0.60')."""
     return F.lit(Decimal(str(value)))
 
 
@@ -34,22 +34,22 @@ def as_count(c) -> Column:
 
 
 def nz(c: Column) -> Column:
-    """NULL instead of zero, to guard a divisor (``NULLIF(x, 0)``)."""
+    """F2 — NULL instead of zero, to guard a divisor (``NULLIF(x, 0)``)."""
     return F.nullif(c, F.lit(0))
 
 
 def count_if(pred: Column) -> Column:
-    """``SUM(CASE WHEN pred THEN 1 ELSE 0 END)`` — a NULL predicate counts 0."""
+    """A2 — ``SUM(CASE WHEN pred THEN 1 ELSE 0 END)``; a NULL predicate counts 0."""
     return F.sum(F.when(pred, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
 def sum_if(pred: Column, value: Column) -> Column:
-    """``SUM(CASE WHEN pred THEN value ELSE 0 END)``."""
+    """A3 / A10 / A11 — ``SUM(CASE WHEN pred THEN value ELSE 0 END)``."""
     return F.sum(F.when(pred, value).otherwise(F.lit(0)))
 
 
 def pct(num: Column, den: Column, digits: int) -> Column:
-    """``ROUND(num / den * 100, digits)`` for integer counts, exact."""
+    """A7 / F1 — ``ROUND(num / den * 100, digits)`` for integer counts, exact."""
     return F.round(num.cast(COUNT_T) * 100 / nz(den).cast(COUNT_T), digits)
 
 
@@ -59,7 +59,7 @@ def rate(pred: Column, digits: int) -> Column:
 
 
 def mean(col: Column) -> Column:
-    """Exact mean ``sum(x) / count(x)`` of a decimal column (aggregate)."""
+    """A4 — exact mean ``sum(x) / count(x)`` of a decimal column (aggregate)."""
     return F.sum(col) / nz(F.count(col)).cast(COUNT_T)
 
 
@@ -70,38 +70,39 @@ def round_mean(col: Column, digits: int, scale: int = 1) -> Column:
 
 
 def times_mean(factor: Column, col: Column) -> Column:
-    """``factor * AVG(col)`` as ``factor * sum / count`` (wasted-cost basis)."""
+    """A9 — ``factor * AVG(col)`` as ``factor * sum / count`` (wasted-cost basis)."""
     prod = (factor.cast(COUNT_T) * F.sum(col)).cast(PRODUCT_T)
     return prod / nz(F.count(col)).cast(COUNT_T)
 
 
 def share_of_total(n: Column, over, digits: int) -> Column:
-    """``ROUND(n * 100 / SUM(n) OVER w, digits)``; use on aggregated rows."""
+    """W1 / W2 — ``ROUND(n * 100 / SUM(n) OVER w, digits)``; use on aggregated rows."""
     return F.round(n.cast(COUNT_T) * 100 / nz(F.sum(n).over(over)).cast(COUNT_T), digits)
 
 
 def delta_pp(cur: Column, prev: Column, digits: int) -> Column:
-    """Change in percentage points; 0 for the first row of a series."""
+    """W3 / A8 — change in percentage points; 0 for the first row of a series."""
     return F.round(cur - F.coalesce(prev, cur), digits)
 
 
 def delta_pct(cur: Column, prev: Column, digits: int) -> Column:
-    """Relative change in percent; NULL for the first row of a series."""
+    """W3 — relative change in percent; NULL for the first row of a series."""
     return F.round((cur - F.coalesce(prev, cur)) / nz(prev) * 100, digits)
 
 
 def scenario_saving(base: Column, effect, years=None) -> Column:
-    """``base × effect / years`` — the what-if saving of one action."""
+    """A15 — ``base × effect / years``, the what-if saving of one action."""
     out = base * dec(effect)
     return out / F.lit(years) if years is not None else out
 
 
 def zscore(x: Column, mu: Column, sigma: Column) -> Column:
+    """F13 — ``(x - mu) / NULLIF(sigma, 0)``."""
     return (x - mu) / nz(sigma)
 
 
 def band(col: Column, cuts, labels, zero_label=None) -> Column:
-    """Map a number to a label: optional ``= 0`` band, then ``< cut`` bands.
+    """F4 / P15 — map a number to a label: optional ``= 0`` band, then ``< cut`` bands.
 
     A NULL input falls through to the last label, as a SQL CASE does.
     """
@@ -118,7 +119,8 @@ def band(col: Column, cuts, labels, zero_label=None) -> Column:
 
 
 def rank_of(col: Column, ordered_labels) -> Column:
-    """Position of ``col`` in ``ordered_labels`` (1-based), last+1 otherwise."""
+    """F5 / O2 — position of ``col`` in ``ordered_labels`` (1-based), last+1
+    otherwise: the sort key of a custom CASE order."""
     expr = None
     for i, label in enumerate(ordered_labels, start=1):
         expr = F.when(col == label, F.lit(i)) if expr is None else expr.when(col == label, F.lit(i))

@@ -25,7 +25,7 @@ DIM_KEYS = {
 
 
 def star(model, fact_cols=None, where: Column | None = None, **dim_cols) -> DataFrame:
-    """Fact ⋈ selected dimensions.
+    """J1 / J2 / J3 — fact ⋈ selected dimensions.
 
     ``star(m, ["route_km"], dim_date=["year_month"], dim_postcode=["city"])``
     joins on each dimension's key; a dimension column replaces a fact
@@ -51,21 +51,21 @@ def star(model, fact_cols=None, where: Column | None = None, **dim_cols) -> Data
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``broadcast(df)`` when a bounded count (``limit(max_rows + 1)``) proves
+    """J5 — ``broadcast(df)`` when a bounded count (``limit(max_rows + 1)``) proves
     at most ``max_rows`` rows; otherwise ``df`` unchanged, so the planner and
     AQE pick a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def top1_per_group(df: DataFrame, group_cols, order_cols) -> DataFrame:
-    """First row of each group under ``order_cols`` (deterministic when the
+    """J6 / O4 — first row of each group under ``order_cols`` (deterministic when the
     order ends in a unique tie-break).  Apply to aggregated rows only."""
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def latest_only(df: DataFrame, col: str) -> DataFrame:
-    """Rows whose ``col`` equals the table-wide maximum of ``col``."""
+    """P14 — rows whose ``col`` equals the table-wide maximum of ``col``."""
     return df.filter(F.col(col) == df.select(F.max(col)).scalar())
 
 

@@ -41,7 +41,7 @@ def domain(col: str, values) -> Rule:
     return Rule("domain", col, F.col(col).isin(list(values)))
 
 
-# M6
+# M6 / F10 — BETWEEN-style bounds
 def in_range(col: str, lo=None, hi=None, lo_inclusive=True) -> Rule:
     c = F.col(col)
     ok = F.lit(True)

@@ -1,4 +1,4 @@
-"""M2 — insert-or-update by key without MERGE (Parquet tables).
+"""M2 / J7 — insert-or-update by key without MERGE (Parquet tables).
 
 ``ON CONFLICT (keys) DO UPDATE SET c = EXCLUDED.c`` becomes one full outer
 join on the keys: listed columns take the new value when the key arrives in

@@ -25,7 +25,7 @@ def FAIL():
     return F.col("is_first_attempt_fail")
 
 
-# KE1 — grouped by the band label, ordered by the band's rank
+# KE1 [P15 A14 O2 F4] — grouped by the band label, ordered by the band's rank
 def rain_impact(m) -> DataFrame:
     f = m.fact_deliveries.select(derive.rain_band().alias("rain_band"),
                                  derive.rain_band_rank().alias("_rank"),
@@ -39,7 +39,7 @@ def rain_impact(m) -> DataFrame:
         .orderBy("_rank").drop("_rank"))
 
 
-# KE2 — counterfactual CO2 of zero-emission trips at the diesel factor,
+# KE2 [A16 W8] — counterfactual CO2 of zero-emission trips at the diesel factor,
 # with a running total per city (default RANGE frame, unique order keys)
 def co2_savings(m, diesel_kg_per_km=S.DIESEL_KG_PER_KM) -> DataFrame:
     f = star(m, ["is_zero_emission", "co2_emission_kg", "route_km"],
@@ -62,7 +62,7 @@ def co2_savings(m, diesel_kg_per_km=S.DIESEL_KG_PER_KM) -> DataFrame:
         .orderBy("city", "year", "month_number").drop("month_number"))
 
 
-# KE3 — second-attempt extra cost (x2) per zone, annualised /3.0*12,
+# KE3 [A3 O3] — second-attempt extra cost (x2) per zone, annualised /3.0*12,
 # top k by that cost with the zone as tie-break
 def worst_postcodes(m, k: int = 10, cuts=S.LOCKER_CUTS_KPI, labels=S.LOCKER_LABELS_KPI) -> DataFrame:
     f = star(m, ["is_first_attempt_fail", "is_multi_attempt", "delivery_cost_eur"],
@@ -87,7 +87,7 @@ def worst_postcodes(m, k: int = 10, cuts=S.LOCKER_CUTS_KPI, labels=S.LOCKER_LABE
         .orderBy(F.desc("wasted_cost_eur"), "postcode_pc4").limit(k))
 
 
-# KE4 — share of weekly volume: window over the seven aggregated rows
+# KE4 [P17 W1] — share of weekly volume: window over the seven aggregated rows
 def weekday_pattern(m) -> DataFrame:
     f = star(m, ["delivery_cost_eur", "is_first_attempt_fail", "route_km"],
              dim_date=["day_of_week_number"])
@@ -110,7 +110,7 @@ def last_dispatch_date(m) -> F.Column:
     return max_in_last_partition(m.fact_deliveries, "year_month", F.to_date("dispatch_datetime"))
 
 
-# KE5 — trailing window of ``days`` before ``as_of``; the moving average is
+# KE5 [P13 W6 W7 F8] — trailing window of ``days`` before ``as_of``; the moving average is
 # over the last 7 *rows* (days with shipments), unweighted, as published
 def rolling_fail_rate(m, days: int = S.TRAILING_DAYS, as_of=None,
                       rows: int = S.ROLLING_ROWS, alert: float = S.ROLLING_ALERT_PCT) -> DataFrame:
@@ -135,7 +135,7 @@ def rolling_fail_rate(m, days: int = S.TRAILING_DAYS, as_of=None,
             .orderBy("city", F.desc("full_date")))
 
 
-# KE6 — two-level aggregation: per zone, then per risk tier and city;
+# KE6 [A12 A6 O2 P20] — two-level aggregation: per zone, then per risk tier and city;
 # the return rate here is by order value (KA1's is by count)
 def revenue_at_risk(m, years=S.DATA_YEARS) -> DataFrame:
     f = star(m, ["order_value_eur", "is_returned"], dim_postcode=["city", "fail_risk_tier"])

@@ -46,25 +46,25 @@ def _wasted(count_col) -> F.Column:
     return M.times_mean(count_col, F.col("delivery_cost_eur"))
 
 
-# Q1a
+# Q1a [S12] — explicit columns, no order
 def scan_deliveries(m) -> DataFrame:
     return m.flat_fact.select(*FLAT_COLUMNS)
 
 
-# Q1b
+# Q1b [A1 O1]
 def city_volume(m) -> DataFrame:
     return (m.flat_fact.groupBy("city").agg(N().alias("total_shipments"))
             .orderBy(F.desc("total_shipments")))
 
 
-# Q1c
+# Q1c [A1 A2 O1]
 def city_fails(m) -> DataFrame:
     return (m.flat_fact.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"))
             .orderBy(F.desc("total_shipments")))
 
 
-# Q1d
+# Q1d [A2 A7 O1]
 def city_fail_rate(m) -> DataFrame:
     return (m.flat_fact.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
@@ -72,7 +72,7 @@ def city_fail_rate(m) -> DataFrame:
             .orderBy(F.desc("fail_rate_pct")))
 
 
-# Q1e
+# Q1e [A7 A9 A4 O1]
 def city_fail_cost(m) -> DataFrame:
     return (m.flat_fact.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
@@ -82,7 +82,7 @@ def city_fail_cost(m) -> DataFrame:
             .orderBy(F.desc("fail_rate_pct")))
 
 
-# Q1f
+# Q1f [A7 A9 A11 O1]
 def city_scorecard(m) -> DataFrame:
     return (m.flat_fact.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
@@ -93,13 +93,13 @@ def city_scorecard(m) -> DataFrame:
             .orderBy(F.desc("wasted_cost_eur")))
 
 
-# Q2a
+# Q2a [P12 A1 O1]
 def reason_counts(m) -> DataFrame:
     return (m.flat_fact.filter(FAILED()).groupBy("fail_reason").agg(N().alias("total_fails"))
             .orderBy(F.desc("total_fails")))
 
 
-# Q2b — share of all failures: window over the aggregated reasons
+# Q2b [P12 W1 A10 A11] — share of all failures: window over the aggregated reasons
 def reason_cost(m) -> DataFrame:
     g = (m.flat_fact.filter(FAILED()).groupBy("fail_reason")
          .agg(N().alias("total_fails"),
@@ -112,7 +112,7 @@ def reason_cost(m) -> DataFrame:
             .orderBy(F.desc("total_fails")))
 
 
-# Q2c
+# Q2c [P12 W2 O1]
 def reason_by_city(m) -> DataFrame:
     g = m.flat_fact.filter(FAILED()).groupBy("city", "fail_reason").agg(N().alias("total_fails"))
     return (g.withColumn("pct_within_city",
@@ -120,7 +120,7 @@ def reason_by_city(m) -> DataFrame:
             .orderBy("city", F.desc("total_fails")))
 
 
-# Q3a — one global row (a group that may be empty: divisors guarded)
+# Q3a [A13 A4] — one global row (a group that may be empty: divisors guarded)
 def co2_total(m) -> DataFrame:
     co2 = F.col("co2_emission_kg")
     failed_co2 = sum_if(FAILED(), co2)
@@ -131,7 +131,7 @@ def co2_total(m) -> DataFrame:
         F.round(failed_co2 / M.nz(F.sum(co2)) * 100, 1).alias("wasted_co2_pct"))
 
 
-# Q3b — share_of_total_co2_pct divides CO2 by the total *shipment count*
+# Q3b [W1 A7 A4] — share_of_total_co2_pct divides CO2 by the total *shipment count*
 # as the published query does; it is not a share of CO2.
 def co2_by_vehicle(m) -> DataFrame:
     co2 = F.col("co2_emission_kg")
@@ -149,7 +149,7 @@ def co2_by_vehicle(m) -> DataFrame:
             .orderBy(F.desc("total_co2_kg")))
 
 
-# Q3c
+# Q3c [A16 A4 A7]
 def electrification_potential(m) -> DataFrame:
     co2 = F.col("co2_emission_kg")
     electric = N().cast(M.COUNT_T) * dec(S.ELECTRIC_KG_PER_SHIPMENT)
@@ -163,7 +163,7 @@ def electrification_potential(m) -> DataFrame:
             .orderBy(F.desc("actual_co2_kg")))
 
 
-# Q4a
+# Q4a [A7 O3]
 def postcode_fail_top(m, k: int = 10) -> DataFrame:
     return (m.flat_fact.groupBy("postcode_pc4", "city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
@@ -176,7 +176,7 @@ def _with_postcodes(m) -> DataFrame:
     return m.flat_fact.join(F.broadcast(pc) if m.is_small("dim_postcode") else pc, "postcode_pc4")
 
 
-# Q4b
+# Q4b [J2 A7 A8 A9 O3]
 def postcode_vs_history(m, k: int = 10) -> DataFrame:
     fails = count_if(FAILED())
     exact_rate = fails.cast(M.COUNT_T) * 100 / M.nz(N()).cast(M.COUNT_T)
@@ -190,7 +190,7 @@ def postcode_vs_history(m, k: int = 10) -> DataFrame:
             .orderBy(F.desc("actual_fail_rate_pct"), "postcode_pc4").limit(k))
 
 
-# Q4c — label uses the *rounded* rate, strictly greater than the cut-off
+# Q4c [A7 A9 O3 F4] — label uses the *rounded* rate, strictly greater than the cut-off
 def locker_roi(m, k: int = 15, cut: float = S.LOCKER_CUT_BQ,
                labels=S.LOCKER_LABELS_BQ) -> DataFrame:
     fails = count_if(FAILED())
@@ -207,7 +207,7 @@ def locker_roi(m, k: int = 15, cut: float = S.LOCKER_CUT_BQ,
             .orderBy(F.desc("wasted_cost_eur"), "postcode_pc4").limit(k))
 
 
-# Q5a
+# Q5a [P12 A9 A15]
 def locker_impact(m, postcodes=(1004, 1009, 1014), effect=S.LOCKER_EFFECT,
                   years=S.DATA_YEARS) -> DataFrame:
     fails = count_if(FAILED())
@@ -224,7 +224,7 @@ def locker_impact(m, postcodes=(1004, 1009, 1014), effect=S.LOCKER_EFFECT,
             .orderBy(F.desc("wasted_cost_3yr_eur")))
 
 
-# Q5b — rounds the 3-year bases first, then derives the annual figures
+# Q5b [A10 A15 P20] — rounds the 3-year bases first, then derives the annual figures
 def dispatch_impact(m, effect=S.DISPATCH_EFFECT, years=S.DATA_YEARS) -> DataFrame:
     base = (m.flat_fact.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(NOT_HOME()).alias("not_home_fails"),
@@ -241,7 +241,7 @@ def dispatch_impact(m, effect=S.DISPATCH_EFFECT, years=S.DATA_YEARS) -> DataFram
         .orderBy(F.desc("annual_saving_eur")))
 
 
-# Q5c — the three scenarios from ONE scan: conditional sums, then 3 rows
+# Q5c [U1 A15 A3] — the three scenarios from ONE scan: conditional sums, then 3 rows
 def combined_impact(m, postcodes=(1004, 1009, 1014), years=S.DATA_YEARS,
                     scale=S.SCALE_MULTIPLIER) -> DataFrame:
     chosen = NOT_HOME() & F.col("postcode_pc4").isin(list(postcodes))
@@ -268,7 +268,7 @@ def combined_impact(m, postcodes=(1004, 1009, 1014), years=S.DATA_YEARS,
                            F.round(F.col("annual_cost_saving_eur") * scale, 0))
 
 
-# VF — row count per loaded table, compared with the expected counts
+# VF [S11 U1] — row count per loaded table, compared with the expected counts
 def verify_counts(m, tables=None, expected: dict | None = None) -> DataFrame:
     from parcelscope.sources.ingest import verify_counts as _vc
     names = tables or list(m.tables)

@@ -21,11 +21,11 @@ def _active(m) -> DataFrame:
 
 
 def _round_std(col: str, digits: int = 2) -> F.Column:
-    # sample standard deviation (NULL for one driver), rounded as a decimal
+    # A5 — sample standard deviation (NULL for one driver), rounded as a decimal
     return F.round(F.stddev_samp(col).cast("decimal(38,12)"), digits)
 
 
-# KC1 — efficiency = daily volume vs the 40/day target; composite score
+# KC1 [P12 F11 F12 P19] — efficiency = daily volume vs the 40/day target; composite score
 # 0.5·otd + 0.3·(100 − fail) + 0.2·(rating / 5 · 100), rounded once
 def driver_scorecard(m, target=S.TARGET_DAILY_VOLUME, weights=S.SCORE_WEIGHTS) -> DataFrame:
     d = _active(m)
@@ -47,7 +47,7 @@ def driver_scorecard(m, target=S.TARGET_DAILY_VOLUME, weights=S.SCORE_WEIGHTS) -
         .orderBy(F.desc("composite_score")))
 
 
-# KC2
+# KC2 [A4 O2 F5]
 def band_distribution(m) -> DataFrame:
     return (_active(m).groupBy("city", "performance_band").agg(
         F.count(F.lit(1)).alias("driver_count"),
@@ -58,7 +58,7 @@ def band_distribution(m) -> DataFrame:
         .orderBy("city", M.rank_of(F.col("performance_band"), S.PERFORMANCE_BANDS[:3])))
 
 
-# KC3 — z-score against the *rounded* city mean and deviation; a city with
+# KC3 [J5 A5 F13 F2] — z-score against the *rounded* city mean and deviation; a city with
 # one driver has no deviation: z NULL, status Normal, sorted first
 def driver_outliers(m, labels=S.ALERT_LABELS) -> DataFrame:
     d = _active(m)
@@ -78,7 +78,7 @@ def driver_outliers(m, labels=S.ALERT_LABELS) -> DataFrame:
             .orderBy(F.desc_nulls_first("z_score")))
 
 
-# KC4
+# KC4 [A4 A5]
 def vehicle_fail_stats(m) -> DataFrame:
     return (_active(m).groupBy("vehicle_type").agg(
         F.count(F.lit(1)).alias("drivers"),

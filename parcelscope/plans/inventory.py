@@ -21,7 +21,7 @@ def _latest_with_city(m) -> DataFrame:
     return inv.join(m.dim("dim_warehouse").select("warehouse_id", "city"), "warehouse_id")
 
 
-# KD1 — status sorted descending as text: Normal, Low, Critical
+# KD1 [J4 P11 P14] — status sorted descending as text: Normal, Low, Critical
 def inventory_status(m, labels=S.PROCUREMENT_FLAGS) -> DataFrame:
     return (_latest_with_city(m).select(
         "city", "warehouse_id", "product_category", "sku_code", "current_stock_units",
@@ -32,7 +32,7 @@ def inventory_status(m, labels=S.PROCUREMENT_FLAGS) -> DataFrame:
         .orderBy(F.desc("stock_status"), "days_of_supply"))
 
 
-# KD2
+# KD2 [A2 P14]
 def inventory_value(m) -> DataFrame:
     return (_latest_with_city(m).groupBy("city", "warehouse_id").agg(
         F.sum("inventory_value_eur").alias("total_inventory_value_eur"),
@@ -43,7 +43,7 @@ def inventory_value(m) -> DataFrame:
         .orderBy(F.desc("total_inventory_value_eur")))
 
 
-# KD3 — 7-row moving mean of the already rounded daily average
+# KD3 [W6] — 7-row moving mean of the already rounded daily average
 def supply_trend(m, rows: int = S.ROLLING_ROWS) -> DataFrame:
     daily = m.mart_inventory_snapshot.groupBy("snapshot_date", "warehouse_id").agg(
         M.round_mean(F.col("days_of_supply"), 1).alias("avg_days_of_supply"),

@@ -43,7 +43,7 @@ def fail_reason_counts(m, k: int = 5) -> DataFrame:
     return ingest.value_counts(m.flat_fact, "fail_reason", k)
 
 
-# VF / S11 — row counts of the six flat tables the notebook loads
+# VF [S11 U1] — row counts of the six flat tables the notebook loads
 def flat_tables(m) -> dict:
     return {
         "dim_postcodes": m.flat_postcodes,

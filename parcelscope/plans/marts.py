@@ -106,7 +106,7 @@ def with_mom_changes(mart: DataFrame) -> DataFrame:
     })
 
 
-# KF1 — refresh: aggregate, then upsert into the current mart.  On a key
+# KF1 [M1 M2 J6 J7 F9] — refresh: aggregate, then upsert into the current mart.  On a key
 # conflict only the nine listed metrics and refreshed_at change.
 def refresh_monthly_kpi(m, target: DataFrame) -> DataFrame:
     fresh = build_monthly_kpi(m)

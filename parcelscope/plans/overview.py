@@ -25,7 +25,7 @@ def DELIVERED():
     return F.col("final_status").isin(S.DELIVERED_STATUSES)
 
 
-# KA1 — as published this returns every month of every city (the
+# KA1 [J1 J2 A2 A7 W3 W4 F2 F3 O1] — as published this returns every month of every city (the
 # recency rank is computed but not used); ``latest_only=True`` keeps the
 # newest month per city, which is what the dashboard card shows.
 def headline_kpis(m, latest_only: bool = False) -> DataFrame:
@@ -68,7 +68,7 @@ def headline_kpis(m, latest_only: bool = False) -> DataFrame:
         .orderBy("city", F.desc("year_month")))
 
 
-# KA2
+# KA2 [J1 J2 A7 O1]
 def otd_trend(m) -> DataFrame:
     f = star(m, ["final_status", "delivery_cost_eur", "co2_emission_kg"],
              dim_date=["year_month"], dim_postcode=["city"])
@@ -80,7 +80,7 @@ def otd_trend(m) -> DataFrame:
         .orderBy("year_month", "city"))
 
 
-# KA3 — RANK over the unrounded on-time ratio; the window sees one row per
+# KA3 [A7 W5] — RANK over the unrounded on-time ratio; the window sees one row per
 # carrier (aggregated), so the single-partition window is tiny.
 def carrier_ranking(m) -> DataFrame:
     g = (m.fact_deliveries.groupBy("carrier").agg(

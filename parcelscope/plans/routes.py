@@ -22,7 +22,7 @@ def FAIL():
     return F.col("is_first_attempt_fail")
 
 
-# KB1 — one row per zone with its dimension attributes
+# KB1 [J2 A7 A8] — one row per zone with its dimension attributes
 def postcode_performance(m) -> DataFrame:
     f = star(m, ["shipment_id", "is_first_attempt_fail", "route_km", "delivery_cost_eur",
                  "co2_emission_kg"], dim_postcode=PC_DIMS)
@@ -37,7 +37,7 @@ def postcode_performance(m) -> DataFrame:
         .orderBy(F.desc("actual_fail_rate_pct")))
 
 
-# KB2 — groups by the raw reason, labels NULL as 'No Failure'; the share is
+# KB2 [P18 W2 F3] — groups by the raw reason, labels NULL as 'No Failure'; the share is
 # of ALL shipments of the city (successes included)
 def fail_reason_by_city(m) -> DataFrame:
     f = star(m, ["fail_reason"], dim_postcode=["city"])
@@ -48,7 +48,7 @@ def fail_reason_by_city(m) -> DataFrame:
             .orderBy("city", F.desc("occurrences")))
 
 
-# KB3
+# KB3 [W2 A7]
 def vehicle_mix_by_city(m) -> DataFrame:
     f = star(m, ["vehicle_type", "is_zero_emission", "route_km", "delivery_cost_eur",
                  "co2_emission_kg", "is_first_attempt_fail"], dim_postcode=["city"])
@@ -66,7 +66,7 @@ def vehicle_mix_by_city(m) -> DataFrame:
             .orderBy("city", F.desc("shipments")))
 
 
-# KB4 — the peak flag is the shipment's, the event name the calendar's
+# KB4 [P16 A7] — the peak flag is the shipment's, the event name the calendar's
 def peak_vs_normal(m) -> DataFrame:
     f = star(m, ["is_peak_period", "delivery_cost_eur", "is_first_attempt_fail", "route_km"],
              dim_date=["peak_event_name"], dim_postcode=["city"])

@@ -9,7 +9,7 @@ from parcelscope.functions import derive
 from parcelscope.operators.joins import latest_only, star
 
 
-# V1 — four broadcast joins onto the fact; no shuffle of the fact at all
+# V1 [J3 P10 F7] — four broadcast joins onto the fact; no shuffle of the fact at all
 def deliveries_enriched(m) -> DataFrame:
     f = star(m, None,
              dim_date=["full_date", "year", "month_name", "quarter", "week_number",
@@ -35,7 +35,7 @@ def deliveries_enriched(m) -> DataFrame:
         F.col("is_peak_period").alias("shipment_in_peak"))
 
 
-# V2
+# V2 [J4 P11 P14]
 def inventory_health(m) -> DataFrame:
     inv = latest_only(m.mart_inventory_snapshot, "snapshot_date")
     w = m.dim("dim_warehouse").select("warehouse_id", "city")

@@ -113,7 +113,8 @@ CATEGORY_SEED = [
     ("Toys & Games", "55.00", "0.90", "11.0", "Miscellaneous manufactured articles"),
 ]
 
-# load-time renames of the flat model
+# load-time renames of the flat model (S2 drivers, S3 deliveries, S4
+# inventory, S5 forecast)
 RENAME_DRIVERS = {"name": "driver_name", "active": "is_active"}
 RENAME_DELIVERIES = {"month": "month_name", "year": "year_num", "year_month": "yr_month"}
 RENAME_INVENTORY = {"status": "stock_status"}
