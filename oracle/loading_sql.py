@@ -41,6 +41,10 @@ SQL["fail_reason_counts"] = with_ctes(CTES, FLAT_DEPS, """
 SELECT fail_reason, COUNT(*) AS count FROM flat_fact GROUP BY fail_reason
 ORDER BY count DESC, fail_reason NULLS FIRST LIMIT 5""")
 
+SQL["peak_event_counts"] = with_ctes(CTES, ["forecast", "forecast_full"], """
+SELECT peak_event_name AS peak_event, COUNT(*) AS count FROM forecast_full GROUP BY peak_event_name
+ORDER BY count DESC, peak_event NULLS FIRST LIMIT 5""")
+
 SQL["verify_counts"] = with_ctes(
     CTES, FLAT_DEPS + ["dim_driver", "inv_base", "inventory", "forecast", "dim_date"], """
 SELECT 'dim_postcodes' AS table_name, COUNT(*) AS row_count FROM dim_postcode

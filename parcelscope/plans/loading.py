@@ -43,6 +43,12 @@ def fail_reason_counts(m, k: int = 5) -> DataFrame:
     return ingest.value_counts(m.flat_fact, "fail_reason", k)
 
 
+# S10 — as the load inspects the forecast sheet: top-5 peak events
+# including the NULL (ordinary day) group
+def peak_event_counts(m, k: int = 5) -> DataFrame:
+    return ingest.value_counts(m.flat_forecast, "peak_event", k)
+
+
 # VF [S11 U1] — row counts of the six flat tables the notebook loads
 def flat_tables(m) -> dict:
     return {

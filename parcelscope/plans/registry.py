@@ -61,6 +61,7 @@ QUERIES = {
     "dispatch_range": loading.dispatch_range,
     "city_list": loading.city_list,
     "fail_reason_counts": loading.fail_reason_counts,
+    "peak_event_counts": loading.peak_event_counts,
     "seed_warehouses": loading.seed_warehouses,
     "seed_categories": loading.seed_categories,
     "fact_quality_report": loading.fact_quality_report,
