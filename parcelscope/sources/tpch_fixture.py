@@ -8,8 +8,10 @@ SQL engine can rebuild the same rows.
 
 Scale: the fact build is the only large job: orders ⋈ customer, then line
 item ⋈ that on the order key, then ⋈ part — line items cross the network
-twice when nothing is small enough to broadcast; AQE splits a skewed key.  Dimensions are bounded by construction: zones by
-nations, cities by regions, the calendar by its day range.
+twice when nothing is small enough to broadcast; AQE splits a skewed key.
+Dimensions are bounded by construction (zones by nations, cities by
+regions, the calendar by its day range) and broadcast only after a size
+check.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import derive
 from parcelscope.functions.metrics import COUNT_T, dec, label_by_index
+from parcelscope.operators.joins import broadcast_if_small
 from parcelscope.sources import calendar
 
 # Fixed values of the fixture mapping (see FIXTURES.md, part B).
@@ -103,7 +106,7 @@ def build_fact(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
 def build_dim_postcode(nation: DataFrame, region: DataFrame) -> DataFrame:
     n = F.col("n_nationkey")
     hist = (F.lit(6) + n * dec("0.75")).cast("decimal(5,2)")
-    return (nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    return (nation.join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 (n + POSTCODE_BASE).cast("short").alias("postcode_pc4"),
                 F.col("r_name").alias("city"),
@@ -128,7 +131,7 @@ def build_dim_driver(supplier: DataFrame, region: DataFrame) -> DataFrame:
     fail = F.when(s % 23 == 7, F.lit(30)).otherwise(F.lit(2) + (s * 3) % 17).cast("decimal(5,2)")
     rating = ((F.lit(30) + s % 21).cast("decimal(4,0)") / 10).cast("decimal(3,2)")
     veh = label_by_index(s % 4, S.VEHICLE_TYPES)
-    return (supplier.join(F.broadcast(region), (s % 5) == F.col("r_regionkey"))
+    return (supplier.join(broadcast_if_small(region), (s % 5) == F.col("r_regionkey"))
             .select(
                 F.concat(F.lit("DRV-"), s.cast("string")).alias("driver_id"),
                 F.col("s_name").alias("driver_name"),
@@ -218,7 +221,7 @@ def build_daily_forecast(events: DataFrame, region: DataFrame) -> DataFrame:
     hol = calendar.holiday_of(d)
     peak = calendar.peak_of(d)
     fc = (F.lit(FORECAST_BASE) + F.weekday(d)).cast("decimal(10,0)")
-    out = (g.join(F.broadcast(region), F.col("k") == F.col("r_regionkey"))
+    out = (g.join(broadcast_if_small(region), F.col("k") == F.col("r_regionkey"))
            .select(
                d, F.col("r_name").alias("city"),
                F.date_format(d, "EEEE").alias("day_of_week"),
