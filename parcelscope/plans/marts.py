@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,10 +130,11 @@ def _stored_mart(spark, path: str | None, like: DataFrame) -> DataFrame:
     """The stored mart at ``path`` in ``like``'s column order, or an empty
     mart when there is none yet (first refresh inserts every key)."""
     if path:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(jvm_path):
+        try:
             return spark.read.parquet(path).select(*like.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.createDataFrame([], like.schema)
 
 
