@@ -33,13 +33,20 @@ def rename(df: DataFrame, mapping: dict) -> DataFrame:
 
 # S6
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
-                partition_by: list | None = None) -> None:
-    """Full replace (``mode='overwrite'``) of a Parquet table."""
+                partition_by: list | None = None, sort_within: list | None = None,
+                **options) -> None:
+    """Full replace (``mode='overwrite'``) of a Parquet table.
+
+    ``sort_within`` orders rows inside each written file so Parquet
+    row-group min/max statistics can skip groups for filters on those
+    columns (e.g. failed shipments only).  ``options`` go to the writer."""
     w = df
     if partition_by:
         # AQE splits a partition value that holds a large share of the rows
         w = df.hint("rebalance", *partition_by)
-    writer = w.write.mode(mode)
+    if sort_within:
+        w = w.sortWithinPartitions(*(partition_by or []), *sort_within)
+    writer = w.write.mode(mode).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

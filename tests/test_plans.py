@@ -116,3 +116,31 @@ def test_foreign_keys_of_the_fact_in_one_pass(written):
     p = plan(QUERIES["reference_integrity"](written))
     assert len(scans(p, "fact_deliveries")) == 1
     assert p.count("LeftOuter, BuildRight") == 5 and "SortMergeJoin" not in p
+
+
+def test_sorted_months_let_failed_only_scans_skip_row_groups(spark, tmp_path):
+    # sf0.01 with tiny row groups stands in for months of many row groups
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    from parcelscope.sources import ingest
+    from parcelscope.sources.model import PARTITION_COLUMNS, SORT_COLUMNS
+    src = "/root/testdata/sf0.01"
+    if not os.path.isdir(src):
+        pytest.skip("sf0.01 not present")
+    out = str(tmp_path / "fact")
+    ingest.write_table(build_model(spark, src).fact_deliveries, out,
+                       partition_by=PARTITION_COLUMNS["fact_deliveries"],
+                       sort_within=SORT_COLUMNS["fact_deliveries"],
+                       **{"parquet.block.size": 4096, "parquet.page.size.row.check.min": 10})
+    groups = skippable = 0
+    for f in glob.glob(out + "/*/*.parquet"):
+        md = pq.ParquetFile(f).metadata
+        col = [md.schema.column(i).name for i in range(md.num_columns)].index("attempt_1_status")
+        for i in range(md.num_row_groups):
+            st = md.row_group(i).column(col).statistics
+            groups += 1
+            skippable += not (st.min <= "Failed" <= st.max)
+    assert groups > 83 and skippable >= groups // 2
