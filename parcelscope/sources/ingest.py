@@ -32,24 +32,27 @@ def rename(df: DataFrame, mapping: dict) -> DataFrame:
 
 
 # S6
-def write_table(df: DataFrame, path: str, mode: str = "overwrite",
+def write_table(df: DataFrame, path: str | None, mode: str = "overwrite",
                 partition_by: list | None = None, sort_within: list | None = None,
-                **options) -> None:
-    """Full replace (``mode='overwrite'``) of a Parquet table.
+                fmt: str = "parquet", **options) -> None:
+    """Full replace (``mode='overwrite'``) of a table, Parquet by default.
 
     ``sort_within`` orders rows inside each written file so Parquet
     row-group min/max statistics can skip groups for filters on those
-    columns (e.g. failed shipments only).  ``options`` go to the writer."""
+    columns (e.g. failed shipments only).  ``fmt`` is any Spark data source
+    (``"jdbc"`` with ``url``/``dbtable`` options and ``path=None`` replaces a
+    database table, as the published load does); ``options`` go to the
+    writer."""
     w = df
     if partition_by:
         # AQE splits a partition value that holds a large share of the rows
         w = df.hint("rebalance", *partition_by)
     if sort_within:
         w = w.sortWithinPartitions(*(partition_by or []), *sort_within)
-    writer = w.write.mode(mode).options(**options)
+    writer = w.write.mode(mode).format(fmt).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    writer.save(path) if path is not None else writer.save()
 
 
 # S7

@@ -42,6 +42,26 @@ class Model:
             return tables[name]
         raise AttributeError(name)
 
+    def register_views(self, which: str = "star", prefix: str = "") -> list:
+        """Temp views for querying the model in SQL (``spark.sql``).
+
+        ``which="star"`` registers the star tables (``fact_deliveries``,
+        ``dim_date``, ``dim_postcode`` …) the KPI statements read;
+        ``which="flat"`` the six flat tables the business questions read
+        (their ``fact_deliveries`` carries ``city``).  The two models share
+        table names, so they are registered separately or with a prefix.
+        Returns the registered names."""
+        if which == "star":
+            views = dict(self.tables)
+        elif which == "flat":
+            from parcelscope.plans.loading import flat_tables
+            views = flat_tables(self)
+        else:
+            raise ValueError(f"which must be 'star' or 'flat', not {which!r}")
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]
+
     # --- joins helpers --------------------------------------------------
     def dim(self, name: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
         """Dimension ``name``, hinted for broadcast when a bounded count

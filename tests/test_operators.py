@@ -153,3 +153,24 @@ def test_read_model_round_trip(spark, smoke_model, tmp_path):
     a = _rows(QUERIES["headline_kpis"](smoke_model), "city", "year_month", "total_shipments", "fail_rate_pct")
     b = _rows(QUERIES["headline_kpis"](again), "city", "year_month", "total_shipments", "fail_rate_pct")
     assert a == b and written.materialized_at == root
+
+
+def test_register_views_for_sql(spark, smoke_model):
+    from parcelscope.plans.registry import QUERIES
+    names = smoke_model.register_views("flat", prefix="t_flat_")
+    assert "t_flat_fact_deliveries" in names and "t_flat_dim_postcodes" in names
+    sql = _rows(spark.sql("SELECT city, COUNT(*) AS total_shipments FROM t_flat_fact_deliveries "
+                          "GROUP BY city"), "city", "total_shipments")
+    assert sql == _rows(QUERIES["city_volume"](smoke_model), "city", "total_shipments")
+    star = smoke_model.register_views("star", prefix="t_star_")
+    assert "t_star_dim_date" in star
+    n = spark.sql("SELECT COUNT(*) AS n FROM t_star_fact_deliveries f "
+                  "JOIN t_star_dim_postcode p ON f.postcode_pc4 = p.postcode_pc4").first().n
+    assert n == sum(r[1] for r in sql)
+
+
+def test_write_table_other_formats(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    out = str(tmp_path / "json")
+    ingest.write_table(df, out, fmt="json")
+    assert _rows(spark.read.json(out), "k", "v") == [(1, "a"), (2, "b")]
