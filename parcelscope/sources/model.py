@@ -11,6 +11,7 @@ files, not recomputing the joins.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass, field
 
@@ -162,6 +163,7 @@ PARTITION_COLUMNS = {"fact_deliveries": ["year_month"], "mart_inventory_snapshot
 # failed-only and per-zone filters skip row groups by their statistics
 SORT_COLUMNS = {"fact_deliveries": ["attempt_1_status", "postcode_pc4"]}
 _LOADED: dict = {}
+_LOADED_LOCK = threading.Lock()
 
 
 def loaded_model_for(spark: SparkSession, sf_dir: str) -> Model:
@@ -170,9 +172,10 @@ def loaded_model_for(spark: SparkSession, sf_dir: str) -> Model:
     the written, partitioned tables instead of re-running the derivation
     joins, and a lost executor costs a file re-read, not a re-derivation."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LOADED:
-        _LOADED[key] = materialize(model_for(spark, sf_dir))
-    return _LOADED[key]
+    with _LOADED_LOCK:   # queries submitted from several threads load once
+        if key not in _LOADED:
+            _LOADED[key] = materialize(model_for(spark, sf_dir))
+        return _LOADED[key]
 
 
 def declared_schemas() -> dict:
