@@ -26,7 +26,11 @@ from parcelscope.operators.upsert import upsert, upsert_counts
 KEYS = S.MART_KEYS
 
 
-def _partials(m, until=None, from_month: str | None = None) -> DataFrame:
+def _partials(m, until=None, from_month: str | None = None, split_at=None) -> DataFrame:
+    """Additive sums per (month, city, category).  ``until`` keeps shipments
+    dispatched before it; ``split_at`` instead keeps all and adds a
+    ``before`` grouping flag, so marts as of two points in time come from
+    one scan of the fact."""
     where = None if from_month is None else F.col("year_month") >= F.lit(from_month)
     f = star(m, ["final_status", "is_first_attempt_fail", "is_returned", "delivery_cost_eur",
                  "order_value_eur", "co2_emission_kg", "route_km", "weight_kg", "is_zero_emission",
@@ -34,7 +38,11 @@ def _partials(m, until=None, from_month: str | None = None) -> DataFrame:
              dim_date=["year_month"], dim_postcode=["city"], dim_product_category=["category_name"])
     if until is not None:
         f = f.filter(F.col("dispatch_datetime") < until)
-    return f.groupBy("year_month", "city", "category_name").agg(
+    keys = ["year_month", "city", "category_name"]
+    if split_at is not None:
+        f = f.withColumn("before", F.col("dispatch_datetime") < split_at)
+        keys.append("before")
+    return f.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         count_if(F.col("final_status").isin(S.DELIVERED_STATUSES)).alias("ok"),
         count_if(F.col("is_first_attempt_fail")).alias("fails"),
@@ -65,7 +73,11 @@ def build_monthly_kpi(m, until=None, from_month: str | None = None) -> DataFrame
     city-month with a whole-group window, and the same window partition
     ranks the categories — no second scan, no join back.  The window input
     is aggregated rows (at most one per category in a group)."""
-    p = _partials(m, until, from_month)
+    return _mart_from_partials(_partials(m, until, from_month))
+
+
+def _mart_from_partials(p: DataFrame) -> DataFrame:
+    """The city-month mart rows from (month, city, category) sums."""
     group = Window.partitionBy(*KEYS)
     ranked = p.withColumns({
         **{f"t_{c}": F.sum(c).over(group) for c in _SUMS},
@@ -119,11 +131,21 @@ def refresh_after_partial_load(m, lag_days: int = 30) -> DataFrame:
     """KF1 on the given data: the mart as a refresh ``lag_days`` before the
     last dispatch left it (its last month partial), refreshed with all data.
     The month that was partial gets the nine listed metrics updated while
-    its other columns stay stale; later months are inserted."""
+    its other columns stay stale; later months are inserted.  Both marts
+    come from one scan: sums split by a before-cutoff flag, re-added for
+    the old mart (flagged rows) and the fresh one (all rows)."""
     last = max_in_last_partition(m.fact_deliveries, "year_month", F.to_date("dispatch_datetime"))
-    cutoff = F.date_sub(last, lag_days)
-    previous = build_monthly_kpi(m, until=cutoff.cast("timestamp_ntz"))
-    return refresh_monthly_kpi(m, previous).drop("refreshed_at")
+    cutoff = F.date_sub(last, lag_days).cast("timestamp_ntz")
+    split = _partials(m, split_at=cutoff)
+    cat = ["year_month", "city", "category_name"]
+
+    def resum(df):
+        return df.groupBy(*cat).agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+    previous = _mart_from_partials(resum(split.filter(F.col("before"))))
+    fresh = _mart_from_partials(resum(split))
+    return upsert(previous, fresh, KEYS, S.MART_UPDATE_COLUMNS,
+                  touch={"refreshed_at": F.current_timestamp()}).drop("refreshed_at")
 
 
 def _stored_mart(spark, path: str | None, like: DataFrame) -> DataFrame:
