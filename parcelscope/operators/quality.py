@@ -143,6 +143,29 @@ def tag_rejects(df: DataFrame, rules: list[Rule], unique_keys=None,
     return tagged.drop(*helper)
 
 
+def reason_labels(rules: list[Rule], unique_keys=None,
+                  references: list[tuple[DataFrame, str]] | None = None) -> list[str]:
+    """Every label ``tag_rejects`` can put in ``reject_reasons``, in order."""
+    labels = [f"{r.name}:{r.column}" for r in rules]
+    if unique_keys:
+        labels.append("duplicate:" + ",".join(unique_keys))
+    labels += ["orphan:" + key for _, key in references or []]
+    return list(dict.fromkeys(labels))
+
+
+def outcome_counts(tagged: DataFrame, labels: list[str]) -> DataFrame:
+    """Rows per outcome — 'valid', 'rejected' and each reason that occurs —
+    as ONE global aggregate of conditional counts (no per-row explode, no
+    keyed shuffle), turned into rows with ``inline``."""
+    r = F.col("reject_reasons")
+    counts = [("valid", F.count_if(F.size(r) == 0)), ("rejected", F.count_if(F.size(r) > 0))]
+    counts += [(label, F.count_if(F.array_contains(r, label))) for label in labels]
+    agg = tagged.agg(*[c.alias(f"_c{i}") for i, (_, c) in enumerate(counts)])
+    rows = F.array(*[F.struct(F.lit(label).alias("reason"), F.col(f"_c{i}").alias("rows"))
+                     for i, (label, _) in enumerate(counts)])
+    return agg.select(F.inline(rows)).filter(F.col("rows") > 0)
+
+
 def split_valid(df: DataFrame, rules: list[Rule], unique_keys=None,
                 references: list[tuple[DataFrame, str]] | None = None):
     """(valid, rejected); every input row lands in exactly one of them and

@@ -51,6 +51,10 @@ def test_split_valid_reasons_and_partition(spark):
                        "orphan:parent": 1, "duplicate:id": 2}
     counts = Q.validation_counts(Q.tag_rejects(df, rules, ["id"], [(parent, "parent")])).first()
     assert (counts.rows_inserted, counts.rows_rejected) == (2, 6)
+    labels = Q.reason_labels(rules, ["id"], [(parent, "parent")])
+    outcomes = dict(_rows(Q.outcome_counts(Q.tag_rejects(df, rules, ["id"], [(parent, "parent")]), labels),
+                          "reason", "rows"))
+    assert outcomes == {"valid": 2, "rejected": 6, **summary}
 
 
 def test_rule_report_one_row_per_rule(spark):
