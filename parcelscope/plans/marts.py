@@ -172,13 +172,17 @@ def refresh_to(m, new_path: str, current_path: str | None = None,
     the counts is appended to the load log (M10).  ``from_month`` limits
     the recomputation to months from it on (the others keep their stored
     rows).  Returns the new mart."""
+    if current_path and new_path.rstrip("/") == current_path.rstrip("/"):
+        raise ValueError("new_path must differ from current_path (the upsert reads it)")
     spark = m.spark
     start = datetime.datetime.now(datetime.timezone.utc)
     fresh = build_monthly_kpi(m, from_month=from_month).checkpoint(eager=True)
     current = _stored_mart(spark, current_path, fresh)
     merged = upsert(current, fresh, KEYS, S.MART_UPDATE_COLUMNS,
                     touch={"refreshed_at": F.current_timestamp()})
-    (merged.hint("rebalance", "year_month").write.mode("errorifexists")
+    # overwrite: the new version's folder is this job's alone, so a rerun
+    # after a failed attempt replaces any partial output
+    (merged.hint("rebalance", "year_month").write.mode("overwrite")
      .partitionBy("year_month").parquet(new_path))
     if audit_path:
         counts = upsert_counts(current, fresh, KEYS)

@@ -104,3 +104,10 @@ def test_incremental_refresh_reads_touched_months_only(spark, tmp_path):
     out = {r.year_month: r for r in marts.refresh_to(m2, v2, current_path=v1, from_month="2024-02").collect()}
     assert out["2024-01"].total_shipments == 1 and out["2024-02"].total_shipments == 2
     assert out["2024-02"].failed_first_attempt == 1
+
+
+def test_refresh_to_refuses_to_overwrite_its_input(spark, tmp_path):
+    import pytest
+    m = micro.model(spark, [micro.shipment(1, "2024-01-10", 1001)])
+    with pytest.raises(ValueError):
+        marts.refresh_to(m, str(tmp_path / "v1"), current_path=str(tmp_path / "v1"))
