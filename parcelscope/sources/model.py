@@ -14,6 +14,7 @@ from __future__ import annotations
 import threading
 import uuid
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ class Model:
         return self._small[name]
 
     # --- flat (business-question) model --------------------------------
-    @property
+    @cached_property
     def flat_fact(self) -> DataFrame:
         """The flat ``fact_deliveries`` the business questions read: the
         fact with its city and calendar labels stored on the row, columns
@@ -92,7 +93,7 @@ class Model:
                                "year": F.year(d)}))
         return rename(sheet, S.RENAME_DELIVERIES)
 
-    @property
+    @cached_property
     def flat_postcodes(self) -> DataFrame:
         """``dim_postcodes`` of the flat model: locker flag as 'Yes'/'No'."""
         return self.dim_postcode.select(
@@ -101,7 +102,7 @@ class Model:
             .alias("parcel_locker_nearby"),
             "historical_fail_rate_pct")
 
-    @property
+    @cached_property
     def flat_drivers(self) -> DataFrame:
         """``dim_drivers``: sheet columns ``name``/``active`` renamed on load."""
         from parcelscope import schemas as S
@@ -109,7 +110,7 @@ class Model:
         sheet = self.dim_driver.withColumnsRenamed({"driver_name": "name", "is_active": "active"})
         return rename(sheet, S.RENAME_DRIVERS)
 
-    @property
+    @cached_property
     def flat_inventory(self) -> DataFrame:
         """``warehouse_inventory``: sheet column ``status`` renamed on load."""
         from parcelscope import schemas as S
@@ -117,7 +118,7 @@ class Model:
         return rename(self.mart_inventory_snapshot.withColumnRenamed("stock_status", "status"),
                       S.RENAME_INVENTORY)
 
-    @property
+    @cached_property
     def flat_forecast(self) -> DataFrame:
         """``daily_volume_forecast``: ``date``/``month``/``year`` renamed on load."""
         from parcelscope import schemas as S
