@@ -111,3 +111,18 @@ def test_refresh_to_refuses_to_overwrite_its_input(spark, tmp_path):
     m = micro.model(spark, [micro.shipment(1, "2024-01-10", 1001)])
     with pytest.raises(ValueError):
         marts.refresh_to(m, str(tmp_path / "v1"), current_path=str(tmp_path / "v1"))
+
+
+def test_locker_label_uses_rounded_rate_strictly_greater(spark):
+    # zone 1002: 276/2500 = 11.04 % → 11.0, not > 11; zone 3001: 221/2000 = 11.05 % → 11.1
+    ships, i = [], 0
+    for pc, n, fails in [(1002, 2500, 276), (3001, 2000, 221), (1001, 10, 5)]:
+        for j in range(n):
+            i += 1
+            ships.append(micro.shipment(i, "2024-05-01", pc, failed=j < fails, reason="Not home"))
+    m = micro.model(spark, ships)
+    got = {r.postcode_pc4: (r.fail_rate_pct, r.recommendation)
+           for r in business.locker_roi(m).collect()}
+    assert got[1002] == (Decimal("11.0"), "Review coverage")
+    assert got[3001] == (Decimal("11.1"), "Install locker - High Priority")
+    assert got[1001][1] == "Monitor"      # locker present
