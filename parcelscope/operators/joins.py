@@ -50,6 +50,24 @@ def star(model, fact_cols=None, where: Column | None = None, **dim_cols) -> Data
     return out
 
 
+def per_zone(model, aggs, where: Column | None = None, attrs=None,
+             flat: bool = False) -> DataFrame:
+    """Eager aggregation for zone-grain queries: aggregate the fact by its
+    zone key (a short integer) first, then join the few aggregated rows to
+    the zone attributes ``attrs``.  Equal to joining every shipment to the
+    zone and grouping by the zone's columns (they are functions of the key),
+    but the per-row work is one integer-keyed partial aggregate — no
+    per-row join probe, no string grouping keys.  ``flat`` takes the
+    attributes from the flat model (locker flag 'Yes'/'No')."""
+    fact = model.fact_deliveries if where is None else model.fact_deliveries.filter(where)
+    g = fact.groupBy("postcode_pc4").agg(*aggs)
+    zones = model.flat_postcodes if flat else model.tables["dim_postcode"]
+    zones = zones.select("postcode_pc4", *(attrs or []))
+    if model.is_small("dim_postcode"):
+        zones = F.broadcast(zones)
+    return g.join(zones, "postcode_pc4")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """J5 — ``broadcast(df)`` when a bounded count (``limit(max_rows + 1)``) proves
     at most ``max_rows`` rows; otherwise ``df`` unchanged, so the planner and

@@ -14,7 +14,7 @@ from parcelscope import schemas as S
 from parcelscope.functions import derive
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if, dec, sum_if
-from parcelscope.operators.joins import max_in_last_partition, star
+from parcelscope.operators.joins import max_in_last_partition, per_zone, star
 
 
 def N():
@@ -65,15 +65,13 @@ def co2_savings(m, diesel_kg_per_km=S.DIESEL_KG_PER_KM) -> DataFrame:
 # KE3 [A3 O3] — second-attempt extra cost (x2) per zone, annualised /3.0*12,
 # top k by that cost with the zone as tie-break
 def worst_postcodes(m, k: int = 10, cuts=S.LOCKER_CUTS_KPI, labels=S.LOCKER_LABELS_KPI) -> DataFrame:
-    f = star(m, ["is_first_attempt_fail", "is_multi_attempt", "delivery_cost_eur"],
-             dim_postcode=["city", "district", "parcel_locker_nearby", "historical_fail_rate_pct"])
-    g = f.groupBy("postcode_pc4", "city", "district", "parcel_locker_nearby",
-                  "historical_fail_rate_pct").agg(
+    g = per_zone(m, [
         N().alias("total_shipments"),
         count_if(FAIL()).alias("total_fails"),
         sum_if(F.col("is_multi_attempt"), F.col("delivery_cost_eur") * 2).alias("extra"),
         M.rate(FAIL(), 2).alias("actual_fail_rate_pct"),
-        M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur"))
+        M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur")],
+        attrs=["city", "district", "parcel_locker_nearby", "historical_fail_rate_pct"])
     no_locker = F.col("parcel_locker_nearby") == F.lit(False)
     rec = (F.when(no_locker & (F.col("actual_fail_rate_pct") > cuts[0]), F.lit(labels[0]))
            .when(no_locker & (F.col("actual_fail_rate_pct") > cuts[1]), F.lit(labels[1]))
@@ -138,13 +136,12 @@ def rolling_fail_rate(m, days: int = S.TRAILING_DAYS, as_of=None,
 # KE6 [A12 A6 O2 P20] — two-level aggregation: per zone, then per risk tier and city;
 # the return rate here is by order value (KA1's is by count)
 def revenue_at_risk(m, years=S.DATA_YEARS) -> DataFrame:
-    f = star(m, ["order_value_eur", "is_returned"], dim_postcode=["city", "fail_risk_tier"])
     ret = F.col("is_returned")
-    zone = f.groupBy("postcode_pc4", "city", "fail_risk_tier").agg(
+    zone = per_zone(m, [
         F.sum("order_value_eur").alias("total_order_value"),
         sum_if(ret, F.col("order_value_eur")).alias("returned_value"),
         N().alias("shipments"),
-        count_if(ret).alias("returns"))
+        count_if(ret).alias("returns")], attrs=["city", "fail_risk_tier"])
     tier_rank = M.rank_of(F.col("fail_risk_tier"), ["High", "Medium"])
     return (zone.groupBy("fail_risk_tier", "city").agg(
         F.count_distinct("postcode_pc4").alias("zone_count"),

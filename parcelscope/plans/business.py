@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if, dec, sum_if
+from parcelscope.operators.joins import per_zone
 
 
 def FAILED():
@@ -166,28 +167,27 @@ def electrification_potential(m) -> DataFrame:
 
 # Q4a [A7 O3]
 def postcode_fail_top(m, k: int = 10) -> DataFrame:
-    return (m.flat_fact.groupBy("postcode_pc4", "city")
-            .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
-                 M.rate(FAILED(), 1).alias("fail_rate_pct"))
+    z = per_zone(m, [N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
+                     M.rate(FAILED(), 1).alias("fail_rate_pct")], attrs=["city"], flat=True)
+    return (z.select("postcode_pc4", "city", "total_shipments", "total_fails", "fail_rate_pct")
             .orderBy(F.desc("fail_rate_pct"), "postcode_pc4").limit(k))
 
 
-def _with_postcodes(m) -> DataFrame:
-    pc = m.flat_postcodes.drop("city")
-    return m.flat_fact.join(F.broadcast(pc) if m.is_small("dim_postcode") else pc, "postcode_pc4")
-
-
 # Q4b [J2 A7 A8 A9 O3]
 def postcode_vs_history(m, k: int = 10) -> DataFrame:
     fails = count_if(FAILED())
-    exact_rate = fails.cast(M.COUNT_T) * 100 / M.nz(N()).cast(M.COUNT_T)
-    return (_with_postcodes(m)
-            .groupBy("postcode_pc4", "city", "district", "zone_type", "parcel_locker_nearby",
-                     "historical_fail_rate_pct")
-            .agg(N().alias("total_shipments"), fails.alias("total_fails"),
-                 F.round(exact_rate, 1).alias("actual_fail_rate_pct"),
-                 F.round(exact_rate - F.col("historical_fail_rate_pct"), 1).alias("vs_historical_pp"),
-                 F.round(_wasted(fails), 0).alias("wasted_cost_eur"))
+    z = per_zone(m, [N().alias("total_shipments"), fails.alias("total_fails"),
+                     F.round(_wasted(fails), 0).alias("wasted_cost_eur")],
+                 attrs=["city", "district", "zone_type", "parcel_locker_nearby",
+                        "historical_fail_rate_pct"], flat=True)
+    exact_rate = (F.col("total_fails").cast(M.COUNT_T) * 100
+                  / M.nz(F.col("total_shipments")).cast(M.COUNT_T))
+    return (z.select("postcode_pc4", "city", "district", "zone_type", "parcel_locker_nearby",
+                     "historical_fail_rate_pct", "total_shipments", "total_fails",
+                     F.round(exact_rate, 1).alias("actual_fail_rate_pct"),
+                     F.round(exact_rate - F.col("historical_fail_rate_pct"), 1)
+                     .alias("vs_historical_pp"),
+                     "wasted_cost_eur")
             .orderBy(F.desc("actual_fail_rate_pct"), "postcode_pc4").limit(k))
 
 
@@ -195,12 +195,14 @@ def postcode_vs_history(m, k: int = 10) -> DataFrame:
 def locker_roi(m, k: int = 15, cut: float = S.LOCKER_CUT_BQ,
                labels=S.LOCKER_LABELS_BQ) -> DataFrame:
     fails = count_if(FAILED())
-    g = (_with_postcodes(m)
-         .groupBy("postcode_pc4", "city", "district", "parcel_locker_nearby", "zone_type")
-         .agg(N().alias("total_shipments"), fails.alias("total_fails"),
-              M.rate(FAILED(), 1).alias("fail_rate_pct"),
-              F.round(_wasted(fails), 0).alias("wasted_cost_eur"),
-              F.round(_wasted(fails) * 4, 0).alias("est_annual_waste_eur")))
+    g = per_zone(m, [N().alias("total_shipments"), fails.alias("total_fails"),
+                     M.rate(FAILED(), 1).alias("fail_rate_pct"),
+                     F.round(_wasted(fails), 0).alias("wasted_cost_eur"),
+                     F.round(_wasted(fails) * 4, 0).alias("est_annual_waste_eur")],
+                 attrs=["city", "district", "parcel_locker_nearby", "zone_type"], flat=True)
+    g = g.select("postcode_pc4", "city", "district", "parcel_locker_nearby", "zone_type",
+                 "total_shipments", "total_fails", "fail_rate_pct", "wasted_cost_eur",
+                 "est_annual_waste_eur")
     no_locker = F.col("parcel_locker_nearby") == "No"
     rec = (F.when(no_locker & (F.col("fail_rate_pct") > cut), F.lit(labels[0]))
            .when(no_locker, F.lit(labels[1])).otherwise(F.lit(labels[2])))
@@ -213,15 +215,18 @@ def locker_impact(m, postcodes=(1004, 1009, 1014), effect=S.LOCKER_EFFECT,
                   years=S.DATA_YEARS) -> DataFrame:
     fails = count_if(FAILED())
     nh = count_if(NOT_HOME())
-    return (_with_postcodes(m).filter(F.col("postcode_pc4").isin(list(postcodes)))
-            .groupBy("postcode_pc4", "city", "district")
-            .agg(N().alias("total_shipments"), fails.alias("total_fails"),
-                 M.rate(FAILED(), 1).alias("fail_rate_pct"),
-                 F.round(_wasted(fails), 0).alias("wasted_cost_3yr_eur"),
-                 F.round(_wasted(fails) / years, 0).alias("wasted_cost_annual_eur"),
-                 F.round(sum_if(FAILED(), F.col("co2_emission_kg")) * 1000 / years, 1)
-                 .alias("wasted_co2_annual_grams"),
-                 F.round(M.scenario_saving(_wasted(nh), effect, years), 0).alias("annual_saving_eur"))
+    z = per_zone(m, [
+        N().alias("total_shipments"), fails.alias("total_fails"),
+        M.rate(FAILED(), 1).alias("fail_rate_pct"),
+        F.round(_wasted(fails), 0).alias("wasted_cost_3yr_eur"),
+        F.round(_wasted(fails) / years, 0).alias("wasted_cost_annual_eur"),
+        F.round(sum_if(FAILED(), F.col("co2_emission_kg")) * 1000 / years, 1)
+        .alias("wasted_co2_annual_grams"),
+        F.round(M.scenario_saving(_wasted(nh), effect, years), 0).alias("annual_saving_eur")],
+        where=F.col("postcode_pc4").isin(list(postcodes)), attrs=["city", "district"], flat=True)
+    return (z.select("postcode_pc4", "city", "district", "total_shipments", "total_fails",
+                     "fail_rate_pct", "wasted_cost_3yr_eur", "wasted_cost_annual_eur",
+                     "wasted_co2_annual_grams", "annual_saving_eur")
             .orderBy(F.desc("wasted_cost_3yr_eur")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelscope.functions import derive
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if
-from parcelscope.operators.joins import star
+from parcelscope.operators.joins import per_zone, star
 
 PC_DIMS = ["city", "district", "latitude", "longitude", "zone_type", "housing_density",
            "fail_risk_tier", "parcel_locker_nearby", "historical_fail_rate_pct"]
@@ -24,16 +24,18 @@ def FAIL():
 
 # KB1 [J2 A7 A8] — one row per zone with its dimension attributes
 def postcode_performance(m) -> DataFrame:
-    f = star(m, ["shipment_id", "is_first_attempt_fail", "route_km", "delivery_cost_eur",
-                 "co2_emission_kg"], dim_postcode=PC_DIMS)
-    exact = count_if(FAIL()).cast(M.COUNT_T) * 100 / M.nz(N()).cast(M.COUNT_T)
-    return (f.groupBy("postcode_pc4", *PC_DIMS).agg(
+    z = per_zone(m, [
         F.count("shipment_id").alias("total_shipments"),
-        F.round(exact, 2).alias("actual_fail_rate_pct"),
-        F.round(exact - F.col("historical_fail_rate_pct"), 2).alias("fail_rate_vs_benchmark_pp"),
+        count_if(FAIL()).alias("_fails"), N().alias("_n"),
         M.round_mean(F.col("route_km"), 2).alias("avg_route_km"),
         M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur"),
-        M.round_mean(F.col("co2_emission_kg"), 3, 1000).alias("avg_co2_grams"))
+        M.round_mean(F.col("co2_emission_kg"), 3, 1000).alias("avg_co2_grams")], attrs=PC_DIMS)
+    exact = F.col("_fails").cast(M.COUNT_T) * 100 / M.nz(F.col("_n")).cast(M.COUNT_T)
+    return (z.select(
+        "postcode_pc4", *PC_DIMS, "total_shipments",
+        F.round(exact, 2).alias("actual_fail_rate_pct"),
+        F.round(exact - F.col("historical_fail_rate_pct"), 2).alias("fail_rate_vs_benchmark_pp"),
+        "avg_route_km", "avg_cost_eur", "avg_co2_grams")
         .orderBy(F.desc("actual_fail_rate_pct")))
 
 

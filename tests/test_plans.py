@@ -144,3 +144,14 @@ def test_sorted_months_let_failed_only_scans_skip_row_groups(spark, tmp_path):
             groups += 1
             skippable += not (st.min <= "Failed" <= st.max)
     assert groups > 83 and skippable >= groups // 2
+
+
+def test_zone_queries_aggregate_before_joining_zone_attributes(written):
+    for name in ["postcode_performance", "worst_postcodes", "postcode_fail_top",
+                 "postcode_vs_history", "locker_roi", "locker_impact", "revenue_at_risk"]:
+        p = plan(QUERIES[name](written))
+        join = p.index("BroadcastHashJoin [postcode_pc4")
+        below = p[join:]
+        # the fact reaches the zone join only through an aggregate keyed by the zone
+        assert below.index("HashAggregate(keys=[postcode_pc4") < below.index("FileScan"), name
+        assert len(scans(p, "fact_deliveries")) == 1, name
