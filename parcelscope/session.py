@@ -37,20 +37,25 @@ def _is_local(master: str | None) -> bool:
     return bool(master) and master.startswith("local")
 
 
+def defaults_to_apply(master: str | None, submitted) -> dict:
+    """The library defaults a new session gets: session defaults always,
+    local ones only for a ``local[...]`` master, and none that the job
+    submission (``submitted``, a ``SparkConf``) already sets."""
+    defaults = {**SESSION_DEFAULTS, **(LOCAL_DEFAULTS if _is_local(master) else {})}
+    return {k: v for k, v in defaults.items() if not submitted.contains(k)}
+
+
 def get_session(master: str | None = None, app_name: str = "parcelscope",
                 extra: dict | None = None) -> SparkSession:
     """Session for the library.  Defaults never override a value the job
     submission (``--conf`` / ``spark-defaults.conf``) already set; ``extra``
     is applied as given."""
     from pyspark import SparkConf
-    submitted = SparkConf()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    defaults = {**SESSION_DEFAULTS, **(LOCAL_DEFAULTS if _is_local(master) else {})}
-    for k, v in defaults.items():
-        if not submitted.contains(k):
-            builder = builder.config(k, v)
+    for k, v in defaults_to_apply(master, SparkConf()).items():
+        builder = builder.config(k, v)
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
