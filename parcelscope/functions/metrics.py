@@ -63,6 +63,12 @@ def mean(col: Column) -> Column:
     return F.sum(col) / nz(F.count(col)).cast(COUNT_T)
 
 
+def ratio(total: Column, n: Column) -> Column:
+    """A4 on pre-aggregated columns: exact ``total / n`` (a sum and its
+    count), the mean ``mean`` computes from raw rows."""
+    return total / nz(n).cast(COUNT_T)
+
+
 def round_mean(col: Column, digits: int, scale: int = 1) -> Column:
     """``ROUND(AVG(col) * scale, digits)`` computed without double rounding."""
     m = mean(col)

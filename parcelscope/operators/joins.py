@@ -50,6 +50,30 @@ def star(model, fact_cols=None, where: Column | None = None, **dim_cols) -> Data
     return out
 
 
+def day_zone_rollup(model, partials, group_by, dim_date=(), dim_postcode=()) -> DataFrame:
+    """Eager aggregation below the star joins: the fact is aggregated to
+    additive ``partials`` per (``date_key``, ``postcode_pc4``) — at most
+    calendar days × zones rows, however many shipments — then those rows are
+    joined to the date and zone attributes and summed again per
+    ``group_by``.  Equal to joining every shipment first (the attributes
+    are functions of the keys, sums and counts are additive); each re-summed
+    column is cast back to the type a single ``sum`` gives, so divisions and
+    roundings downstream see the same decimals."""
+    g = model.fact_deliveries.groupBy("date_key", "postcode_pc4").agg(*partials)
+    names = [c for c in g.columns if c not in ("date_key", "postcode_pc4")]
+    fields = {f.name: f for f in g.schema.fields}
+    if dim_date:
+        g = g.join(model.dim("dim_date").select("date_key", *dim_date), "date_key")
+    if dim_postcode:
+        g = g.join(model.dim("dim_postcode").select("postcode_pc4", *dim_postcode), "postcode_pc4")
+
+    def resum(c):   # a non-nullable partial (a row count) stays non-nullable
+        total = F.sum(c) if fields[c].nullable else F.coalesce(F.sum(c), F.lit(0))
+        return total.cast(fields[c].dataType).alias(c)
+
+    return g.groupBy(*group_by).agg(*[resum(c) for c in names])
+
+
 def per_zone(model, aggs, where: Column | None = None, attrs=None,
              flat: bool = False) -> DataFrame:
     """Eager aggregation for zone-grain queries: aggregate the fact by its

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if
-from parcelscope.operators.joins import star
+from parcelscope.operators.joins import day_zone_rollup
 
 
 def N():
@@ -29,20 +29,27 @@ def DELIVERED():
 # recency rank is computed but not used); ``latest_only=True`` keeps the
 # newest month per city, which is what the dashboard card shows.
 def headline_kpis(m, latest_only: bool = False) -> DataFrame:
-    f = star(m, ["final_status", "is_first_attempt_fail", "is_returned", "delivery_cost_eur",
-                 "co2_emission_kg", "order_value_eur", "route_km", "is_zero_emission"],
-             dim_date=["year_month"], dim_postcode=["city"])
-    base = (f.groupBy("year_month", "city").agg(
+    p = day_zone_rollup(m, [
         N().alias("total_shipments"),
-        (count_if(F.col("final_status") == "Delivered")
-         + count_if(F.col("final_status") == "Delivered (2nd attempt)")).alias("delivered"),
+        count_if(F.col("final_status") == "Delivered").alias("_d1"),
+        count_if(F.col("final_status") == "Delivered (2nd attempt)").alias("_d2"),
         count_if(F.col("is_first_attempt_fail")).alias("first_attempt_fails"),
         count_if(F.col("is_returned")).alias("returned"),
-        M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur"),
-        M.round_mean(F.col("co2_emission_kg"), 6).alias("avg_co2_kg"),
-        F.round(F.sum("order_value_eur"), 2).alias("total_revenue_eur"),
-        M.round_mean(F.col("route_km"), 2).alias("avg_route_km"),
-        count_if(F.col("is_zero_emission")).alias("zero_emission_count")))
+        F.sum("delivery_cost_eur").alias("_cost"), F.count("delivery_cost_eur").alias("_n_cost"),
+        F.sum("co2_emission_kg").alias("_co2"), F.count("co2_emission_kg").alias("_n_co2"),
+        F.sum("order_value_eur").alias("_value"),
+        F.sum("route_km").alias("_km"), F.count("route_km").alias("_n_km"),
+        count_if(F.col("is_zero_emission")).alias("zero_emission_count")],
+        ["year_month", "city"], dim_date=["year_month"], dim_postcode=["city"])
+    base = p.select(
+        "year_month", "city", "total_shipments",
+        (F.col("_d1") + F.col("_d2")).alias("delivered"),
+        "first_attempt_fails", "returned",
+        F.round(M.ratio(F.col("_cost"), F.col("_n_cost")), 2).alias("avg_cost_eur"),
+        F.round(M.ratio(F.col("_co2"), F.col("_n_co2")), 6).alias("avg_co2_kg"),
+        F.round(F.col("_value"), 2).alias("total_revenue_eur"),
+        F.round(M.ratio(F.col("_km"), F.col("_n_km")), 2).alias("avg_route_km"),
+        "zero_emission_count")
     rates = base.withColumns({
         "otd_rate_pct": M.pct(F.col("delivered"), F.col("total_shipments"), 2),
         "fail_rate_pct": M.pct(F.col("first_attempt_fails"), F.col("total_shipments"), 2),
@@ -70,13 +77,16 @@ def headline_kpis(m, latest_only: bool = False) -> DataFrame:
 
 # KA2 [J1 J2 A7 O1]
 def otd_trend(m) -> DataFrame:
-    f = star(m, ["final_status", "delivery_cost_eur", "co2_emission_kg"],
-             dim_date=["year_month"], dim_postcode=["city"])
-    return (f.groupBy("year_month", "city").agg(
-        N().alias("shipments"),
-        M.rate(DELIVERED(), 2).alias("otd_rate_pct"),
-        M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur"),
-        M.round_mean(F.col("co2_emission_kg"), 4, 1000).alias("avg_co2_grams"))
+    p = day_zone_rollup(m, [
+        N().alias("shipments"), count_if(DELIVERED()).alias("_ok"),
+        F.sum("delivery_cost_eur").alias("_cost"), F.count("delivery_cost_eur").alias("_n_cost"),
+        F.sum("co2_emission_kg").alias("_co2"), F.count("co2_emission_kg").alias("_n_co2")],
+        ["year_month", "city"], dim_date=["year_month"], dim_postcode=["city"])
+    return (p.select(
+        "year_month", "city", "shipments",
+        M.pct(F.col("_ok"), F.col("shipments"), 2).alias("otd_rate_pct"),
+        F.round(M.ratio(F.col("_cost"), F.col("_n_cost")), 2).alias("avg_cost_eur"),
+        F.round(M.ratio(F.col("_co2"), F.col("_n_co2")) * 1000, 4).alias("avg_co2_grams"))
         .orderBy("year_month", "city"))
 
 

@@ -73,7 +73,8 @@ def test_rain_null_goes_to_extreme_band(spark):
 def test_zone_without_shipments_drops_out_of_inner_join(spark):
     ships = [micro.shipment(1, "2024-01-10", 1001), micro.shipment(2, "2024-01-11", 3001)]
     m = micro.model(spark, ships)
-    got = {r.postcode_pc4 for r in overview.__dict__["star"](m, ["route_km"], dim_postcode=["city"]).collect()}
+    from parcelscope.operators.joins import star
+    got = {r.postcode_pc4 for r in star(m, ["route_km"], dim_postcode=["city"]).collect()}
     assert got == {1001, 3001}
     assert {r.city for r in business.city_volume(m).collect()} == {"Amsterdam", "Rotterdam"}
 

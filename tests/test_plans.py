@@ -155,3 +155,11 @@ def test_zone_queries_aggregate_before_joining_zone_attributes(written):
         # the fact reaches the zone join only through an aggregate keyed by the zone
         assert below.index("HashAggregate(keys=[postcode_pc4") < below.index("FileScan"), name
         assert len(scans(p, "fact_deliveries")) == 1, name
+
+
+def test_month_city_kpis_aggregate_by_day_and_zone_before_the_star_joins(written):
+    for name in ["headline_kpis", "otd_trend"]:
+        p = plan(QUERIES[name](written))
+        below = p[p.index("BroadcastHashJoin [date_key"):]
+        assert below.index("HashAggregate(keys=[date_key") < below.index("FileScan"), name
+        assert len(scans(p, "fact_deliveries")) == 1, name
