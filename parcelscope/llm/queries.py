@@ -7,7 +7,9 @@ query against a brute-force version, a library or an exact round trip.
 
 from __future__ import annotations
 
+from parcelscope.llm.bpe_counts import op2_token_counts
+from parcelscope.llm.kneser_ney import op8_language_id
 from parcelscope.llm.simhash import op7_simhash_groups
 
-QUERIES = {f.__name__: f for f in (op7_simhash_groups,)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op7_simhash_groups, op8_language_id)}
 ORACLE: dict[str, str] = {}
