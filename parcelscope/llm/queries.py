@@ -8,9 +8,10 @@ query against a brute-force version, a library or an exact round trip.
 from __future__ import annotations
 
 from parcelscope.llm.bpe_counts import op2_token_counts
+from parcelscope.llm.cap_filters import op1_cap_filter_neardup
 from parcelscope.llm.kneser_ney import op8_language_id
 from parcelscope.llm.simhash import op7_simhash_groups
 from parcelscope.llm.warc_zstd import op5_warc_zstd
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_warc_zstd, op7_simhash_groups, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_cap_filter_neardup, op2_token_counts, op5_warc_zstd, op7_simhash_groups, op8_language_id)}
 ORACLE: dict[str, str] = {}
