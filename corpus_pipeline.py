@@ -1,23 +1,64 @@
-"""Corpus pipeline over ``documents``: each stage is one operator of
-``parcelscope.llm``; its result is written as Parquet and read again as the
-next one's input.
+"""Corpus pipeline over ``documents``: quality, near copies, benchmark
+passages, secrets, subword encoding.
+
+Each stage calls one operator of ``parcelscope.llm`` on all that the stage
+before it kept; its result is written as Parquet and read again as the next
+one's input.  All stages but the last return the columns of ``documents``;
+the last returns the piece ids of what is left.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parcelscope.llm.common import stored, table
+from parcelscope.llm.decontaminate import drop_contaminated
+from parcelscope.llm.piece_lattice import encode
+from parcelscope.llm.secret_forest import redact, scan
 from parcelscope.llm.simhash import keep_first
+from parcelscope.llm.site_quality import keep_good
+
+VOCABULARY = "piece_bpe_32k.model"
+
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (3-word shingles, 2 bits)."""
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (3-word shingles,
+    at most 2 differing bits)."""
     return keep_first(docs, shingle=3, distance=2)
 
 
-STAGES = [("simhash_dedup", simhash_stage)]
-#: No stage can be said in SQL; tests/llm holds run() against brute force.
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; n_chars follows, where it is there."""
+    found = stored(scan(docs, path=F.col("source")), "secret_findings")
+    clean = redact(docs, found)
+    if "n_chars" not in docs.columns:
+        return clean
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_pieces, ids)``: the encoded texts."""
+    found = encode(docs, public_tokenizers.path(VOCABULARY))
+    return found.select(F.col("row_id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids")
+
+
+STAGES = [("quality_classifier", quality), ("simhash_near_dedup", near_copies),
+          ("benchmark_decontamination", benchmark), ("secret_scan", secrets), ("sentencepiece", pieces)]
+#: Model training, fingerprints and merges can't be said in SQL; tests/llm
+#: holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 

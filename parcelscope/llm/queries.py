@@ -12,11 +12,12 @@ from parcelscope.llm.cap_filters import op1_cap_filter_neardup
 from parcelscope.llm.chat_tree import op10_chat_prefix_tree
 from parcelscope.llm.decontaminate import op3_template_decontamination
 from parcelscope.llm.kneser_ney import op8_language_id
+from parcelscope.llm.piece_lattice import op9_piece_lattice
 from parcelscope.llm.secret_forest import op4_secret_forest
 from parcelscope.llm.site_quality import op6_site_quality
 from parcelscope.llm.simhash import op7_simhash_groups
 from parcelscope.llm.warc_zstd import op5_warc_zstd
 
-QUERIES = {f.__name__: f for f in (op1_cap_filter_neardup, op2_token_counts, op3_template_decontamination, op4_secret_forest, op5_warc_zstd, op6_site_quality, op7_simhash_groups, op8_language_id,
+QUERIES = {f.__name__: f for f in (op1_cap_filter_neardup, op2_token_counts, op3_template_decontamination, op4_secret_forest, op5_warc_zstd, op6_site_quality, op7_simhash_groups, op8_language_id, op9_piece_lattice,
                                   op10_chat_prefix_tree)}
 ORACLE: dict[str, str] = {}
