@@ -40,13 +40,15 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; n_chars follows, where it is there."""
+    """Secrets are masked in the texts; n_chars, where it is there, changes
+    by as many characters as its text."""
     found = stored(scan(docs, path=F.col("source")), "secret_findings")
-    clean = redact(docs, found)
     if "n_chars" not in docs.columns:
-        return clean
-    kind = docs.schema["n_chars"].dataType
-    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
+        return redact(docs, found)
+    clean = redact(docs.withColumn("__before", F.length("text")), found)
+    change = F.coalesce(F.length("text") - F.col("__before"), F.lit(0))
+    n_chars = (F.col("n_chars") + change).cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
