@@ -87,7 +87,7 @@ class _Archive:
         self.uri, self.level, self.records, self.bytes = uri, level, 0, 0
         system, path = fs.FileSystem.from_uri(uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = system.open_output_stream(path)
+        self.out = system.open_output_stream(path, compression=None)
         self.first: list[bytes] | None = []
         self.first_bytes = 0
 
@@ -291,7 +291,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
             for uri in part.column(0).to_pylist():
                 system, path = fs.FileSystem.from_uri(uri)
                 rows, size = [], 0
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     records = read_stream(stream)
                     while True:
                         try:
