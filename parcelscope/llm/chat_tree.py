@@ -45,7 +45,8 @@ from parcelscope.llm.common import stored, table
 OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 # Control strings of this and of common chat templates.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
+# a backslash, or the first character of a control string (they may overlap)
+_ESCAPE = re.compile("|".join([r"\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL)]))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 
 LAID = ("kind string, task int, conv_id bigint, fresh int, from_first int, starts array<bigint>, "
@@ -59,7 +60,7 @@ READ = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint,
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: m[0][0] + "\\" + m[0][1:] if len(m[0]) > 1 else "\\\\", text)
+    return _ESCAPE.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:
@@ -75,8 +76,8 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of a formatted conversation; raises if it is none."""
     out, at = [], 0
     while at < len(formatted):
-        shut = formatted.find(SHUT, at)
-        end = formatted.find(END, shut)
+        shut = formatted.find(SHUT, at + len(OPEN))
+        end = formatted.find(END, shut + len(SHUT))
         if not formatted.startswith(OPEN, at) or shut < 0 or end < 0:
             raise ValueError(f"no turn at character {at}")
         out.append((unescape(formatted[at + len(OPEN):shut]), unescape(formatted[shut + len(SHUT):end])))

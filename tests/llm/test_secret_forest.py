@@ -1,0 +1,67 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from parcelscope.llm.secret_forest import CANDIDATE, MASK, op4_secret_forest, redact, scan
+from tests.llm.common import docs, rows
+
+
+
+def _key(i):
+    return hashlib.sha1(str(i).encode()).hexdigest()
+
+
+def _corpus():
+    """Secrets assigned to a credential word, and harmless runs."""
+    out = []
+    for i in range(40):
+        out.append((i, f'some text before token = "{_key(i)}" and after number {4000000000000000 + i * 7919}'))
+        out.append((100 + i, f"mail to host{i}.example{i}.com on 2024-01-{i % 28 + 10} at path/to/file{i}.txt today"))
+    return out
+
+
+def test_query_finds_the_planted_keys(spark, smoke_dir):
+    given = dict(rows(smoke_dir, "documents", "doc_id", "text"))
+    got = op4_secret_forest(spark, smoke_dir).collect()
+    want = {(i, m.start(1)) for i, t in given.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")}
+    assert {(r.doc_id, r.start) for r in got if r.secret} == want
+    # the candidates by the same expression in another engine, with their places
+    all_ = {(i, m.start(), len(m[0]), hashlib.sha256(m[0].encode()).hexdigest())
+            for i, t in given.items() for m in re.finditer(CANDIDATE, t or "")}
+    assert {(r.doc_id, r.start, r.length, r.run_sha256) for r in got} == all_
+
+
+def test_distant_labels_and_forest(spark):
+    got = scan(docs(spark, _corpus(), clash=True)).collect()
+    assert {r.row_id for r in got if r.secret} == set(range(40))
+    assert all(r.run == _key(r.row_id) for r in got if r.secret)
+
+
+def test_given_labels_teach(spark):
+    given = docs(spark, _corpus())
+    # the reviewers call the mail hosts secrets and the keys none
+    found = scan(given).select("row_id", "nth", F.col("run").rlike("^host").alias("secret"))
+    got = scan(given, labels=found).collect()
+    assert {r.run[:4] for r in got if r.secret} == {"host"}
+
+
+def test_redact(spark):
+    given = _corpus() + [(200, None), (201, ""), (None, f"token = '{_key(7)}'"), (5, "other text of five")]
+    frame = docs(spark, given, clash=True)
+    got = {(r.doc_id, r.text) for r in redact(frame, scan(frame)).collect()}
+    want = {(i, t if t is None else re.sub(r"[0-9a-f]{40}", MASK, t)) for i, t in given}
+    assert got == want and redact(frame, scan(frame)).columns == frame.columns
+
+
+def test_edge_cases(spark):
+    long = "nothing here 123 " * 20_000 + f'secret: "{_key(1)}"'
+    given = [(1, None), (2, ""), (3, long), (3, long), (None, f'password="{_key(2)}"'), (4, "a1" * 30_000)]
+    got = scan(docs(spark, given, clash=True)).collect()
+    assert sorted((str(r.row_id), r.start) for r in got) == [("3", len(long) - 41), ("4", 0), ("None", 10)]
+    # labels of one kind: they stand; no label: nothing is a secret
+    assert all(r.secret for r in got)
+    assert not any(r.secret for r in scan(docs(spark, [(1, "run a1b2c3d4e5f6g7h8 alone")])).collect())
+    assert scan(docs(spark, [])).count() == 0
+    frame = docs(spark, [])
+    assert redact(frame, scan(frame)).count() == 0
