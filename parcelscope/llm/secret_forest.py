@@ -24,13 +24,13 @@ is a secret.  An empty table has no findings; other columns are ignored by
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import stored, table
+from parcelscope.llm.common import scratch_path, stored, table
 
 CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_.\-]*[0-9])"
              r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{10,}[A-Za-z0-9+/_\-]={0,2}")
@@ -163,6 +163,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     if len(kinds) == 2:
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt",
                                         minInstancesPerNode=2).fit(train.coalesce(1))
+        # as read back: a fitted model keeps its session, which can't always
+        # be sent to executors
+        path = scratch_path(docs.sparkSession, "forest")
+        forest.write().save(path)
+        forest = RandomForestClassificationModel.load(path)
         judged = forest.transform(assembled).withColumn("chance", F.get(vector_to_array("probability"), F.lit(1)))
     else:
         judged = assembled.withColumn("chance", F.lit(float(kinds[0]) if kinds else 0.0))

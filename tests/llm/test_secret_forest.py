@@ -65,3 +65,11 @@ def test_edge_cases(spark):
     assert scan(docs(spark, [])).count() == 0
     frame = docs(spark, [])
     assert redact(frame, scan(frame)).count() == 0
+
+
+def test_after_an_observation(spark):
+    from pyspark.sql import Observation
+    seen = Observation("any")
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 3       # the session has state now that can't be sent to executors
+    assert any(r.secret for r in scan(docs(spark, _corpus())).collect())
