@@ -27,9 +27,12 @@ def _wasted(count_expr, s=0, extra_num="1", extra_den="1"):
 SQL = {}
 
 SQL["scan_deliveries"] = _flat(f"""
-SELECT shipment_id, city, {big('postcode_pc4')} AS postcode_pc4,
-       strftime(dispatch_date, '%Y-%m-%d') AS dispatch_date, month_name, {big('year_num')} AS year_num,
-       yr_month, warehouse_id, carrier, vehicle_type, {dbl('order_value_eur')} AS order_value_eur,
+SELECT shipment_id, {big('date_key')} AS date_key, city, {big('postcode_pc4')} AS postcode_pc4,
+       category_name AS product_category, strftime(dispatch_date, '%Y-%m-%d') AS dispatch_date,
+       strftime(dispatch_datetime, '%Y-%m-%d %H:%M:%S') AS dispatch_datetime,
+       strftime(delivery_datetime, '%Y-%m-%d %H:%M:%S') AS delivery_datetime,
+       is_peak_period, is_first_attempt_fail, is_returned, is_zero_emission, is_multi_attempt,
+       month_name, {big('year_num')} AS year_num, yr_month, warehouse_id, carrier, vehicle_type, {dbl('order_value_eur')} AS order_value_eur,
        {dbl('weight_kg')} AS weight_kg, attempt_1_status, attempt_2_status, fail_reason, final_status,
        {dbl('delivery_cost_eur')} AS delivery_cost_eur, {dbl('route_km')} AS route_km,
        {dbl('co2_emission_kg')} AS co2_emission_kg, {dbl('temp_celsius')} AS temp_celsius,
@@ -180,7 +183,7 @@ def _scenario(name, pred, cost_pct, co2_pct, where=""):
 SQL["combined_impact"] = _flat(
     "SELECT *, " + rdiv("CAST(annual_cost_saving_eur AS BIGINT) * 45000", "1", 0)
     + " AS postnl_scale_saving_eur FROM (\n"
-    + _scenario("Parcel lockers — Rotterdam 3025, 3012, 3021", NOT_HOME, 60, 60,
+    + _scenario("Parcel lockers — Zones 1004, 1009, 1014", NOT_HOME, 60, 60,
                 "WHERE postcode_pc4 IN (1004, 1009, 1014)")
     + "\nUNION ALL" + _scenario("Predictive dispatch — all cities", NOT_HOME, 70, 70)
     + "\nUNION ALL" + _scenario("Fleet electrification — 50% to 80%", FOSSIL, 2, 30)

@@ -64,7 +64,7 @@ CTES = {
     SELECT f.*, p.city, CAST(f.dispatch_datetime AS DATE) AS dispatch_date,
            monthname(CAST(f.dispatch_datetime AS DATE)) AS month_name,
            year(CAST(f.dispatch_datetime AS DATE)) AS year_num, f.year_month AS yr_month
-    FROM fact f JOIN dim_postcode p ON f.postcode_pc4 = p.postcode_pc4""",
+    FROM fact f LEFT JOIN dim_postcode p ON f.postcode_pc4 = p.postcode_pc4""",
     "flat_postcodes": """
     SELECT postcode_pc4, city, district, zone_type,
            CASE WHEN parcel_locker_nearby THEN 'Yes' ELSE 'No' END AS parcel_locker_nearby,
@@ -83,8 +83,9 @@ CTES = {
     FROM (SELECT d,
                  CASE month(d) * 100 + day(d) WHEN 101 THEN 'New Year''s Day' WHEN 427 THEN 'King''s Day'
                       WHEN 1225 THEN 'Christmas Day' WHEN 1226 THEN 'Second Christmas Day' END AS hol
-          FROM (SELECT CAST(generate_series AS DATE) AS d
-                FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)))""",
+          FROM (SELECT CAST(unnest(generate_series(lo, hi - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d
+                FROM (SELECT date_trunc('year', MIN(l_shipdate)) AS lo,
+                             date_trunc('year', MAX(l_shipdate)) + INTERVAL 1 YEAR AS hi FROM lineitem)))""",
     "forecast_full": """
     SELECT forecast_date, city, dayname(forecast_date) AS day_of_week, weekofyear(forecast_date) AS week_number,
            monthname(forecast_date) AS month_name, year(forecast_date) AS year,

@@ -1,8 +1,9 @@
 """S13 — the calendar dimension.
 
-Rows come from ``spark.range`` (split over tasks like any table) instead of
-a driver-side list; holidays and peak events are literal maps looked up per
-row, so no join is needed.
+The calendar covers the whole years in which the data's dates fall
+(``calendar_spanning``), or a range the caller names (``build_dim_date``).
+Holidays and peak events are rules by month and day (literal maps looked up
+per row), or the caller's own tables of dates and periods (``mark_days``).
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ DEFAULT_HOLIDAYS = [
     (12, 26, "Second Christmas Day"),
 ]
 DEFAULT_PEAK_MONTHS = {11: "Q4 peak", 12: "Q4 peak"}
-DEFAULT_START = "1995-01-01"
-DEFAULT_END = "2001-12-31"
 
 
 def holiday_of(d, holidays=DEFAULT_HOLIDAYS):
@@ -72,9 +71,30 @@ def calendar_columns(days: DataFrame, holidays=DEFAULT_HOLIDAYS,
     )
 
 
-def build_dim_date(spark: SparkSession, start: str = DEFAULT_START, end: str = DEFAULT_END,
+def mark_days(dim_date: DataFrame, holidays: DataFrame | None = None,
+              peaks: DataFrame | None = None) -> DataFrame:
+    """Holidays and peak periods from the caller's tables in place of the
+    rules: ``holidays`` with ``full_date``, ``holiday_name`` (movable feasts
+    too) and ``peaks`` with ``start_date``, ``end_date``, ``peak_event_name``
+    (both ends included).  A day named twice takes the name that comes first
+    in the alphabet; rows with a null date are ignored."""
+    out, columns = dim_date, dim_date.columns
+    if holidays is not None:
+        named = holidays.groupBy("full_date").agg(F.min("holiday_name").alias("holiday_name"))
+        out = (out.drop("holiday_name").join(named, "full_date", "left")
+               .withColumn("is_public_holiday", F.col("holiday_name").isNotNull()))
+    if peaks is not None:
+        days = (peaks.where("start_date <= end_date")
+                .select(F.explode(F.sequence("start_date", "end_date")).alias("full_date"), "peak_event_name")
+                .groupBy("full_date").agg(F.min("peak_event_name").alias("peak_event_name")))
+        out = (out.drop("peak_event_name").join(days, "full_date", "left")
+               .withColumn("is_peak_period", F.col("peak_event_name").isNotNull()))
+    return out.select(*columns)
+
+
+def build_dim_date(spark: SparkSession, start: str, end: str,
                    holidays=DEFAULT_HOLIDAYS, peak_months=DEFAULT_PEAK_MONTHS) -> DataFrame:
-    """Calendar for a fixed range: rows from ``spark.range`` (split over tasks)."""
+    """Calendar for a named range: rows from ``spark.range`` (split over tasks)."""
     d0 = dt.date.fromisoformat(start)
     n_days = (dt.date.fromisoformat(end) - d0).days + 1
     days = spark.range(n_days).select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("full_date"))
