@@ -62,12 +62,12 @@ def forecast_error(actual="actual_volume", forecast="forecast_volume") -> Column
 
 
 # P8 — stock / capacity x 100 at 2 dp, NULL when capacity <= 0 or NULL.
-# Declared NUMERIC(5,2) in the published schema; widened to (7,2) because
-# an over-full warehouse (> 999.99 %) would otherwise overflow.
+# Declared NUMERIC(5,2) in the published schema; the stock is a sum that
+# grows with the data, so only the declared scale is kept.
 def utilisation_pct(stock="current_stock_units", capacity="max_capacity_units") -> Column:
     cap = _c(capacity)
     return F.when(cap > 0, F.round(_c(stock).cast(COUNT_T) * 100 / cap.cast(COUNT_T), 2)
-                  ).cast("decimal(7,2)")
+                  ).cast("decimal(24,2)")
 
 
 # P9 / P10 / F7 — EXTRACT(EPOCH FROM interval) as a decimal number of seconds
@@ -76,7 +76,7 @@ def seconds_between(start, end) -> Column:
 
 
 def duration_seconds(start="start_time", end="end_time") -> Column:
-    return F.round(seconds_between(start, end), 2).cast("decimal(8,2)")
+    return F.round(seconds_between(start, end), 2).cast("decimal(18,2)")
 
 
 def transit_hours(dispatch="dispatch_datetime", delivery="delivery_datetime") -> Column:
@@ -127,9 +127,6 @@ def stock_status(supply="days_of_supply") -> Column:
     return F.when(s < 3, "Critical").when(s < 4, "Low").otherwise("Normal")
 
 
-def is_delivered(final="final_status") -> Column:
-    return _c(final).isin(S.DELIVERED_STATUSES)
-
 
 def fact_flags(df):
     """Attach the five stored boolean flags of the fact table."""

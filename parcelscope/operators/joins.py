@@ -1,13 +1,14 @@
 """Join patterns of the KPI queries.
 
 * ``star`` — fact joined to the dimensions a query needs (inner equi-joins,
-  unmatched facts drop out).  Dimensions go through ``Model.dim`` so they are
-  broadcast only after their size is checked; the fact is never shuffled
-  for these joins.
+  unmatched facts drop out; ``keep`` names dimensions whose unmatched facts
+  stay).  No hint: Spark broadcasts a dimension whose bytes fit
+  ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-plans or splits the
+  join of a larger one.
 * ``top1_per_group`` — the rewrite of a correlated ``ORDER BY … LIMIT 1``
   subquery: rank pre-aggregated rows inside each group.
-* ``latest_only`` — ``WHERE d = (SELECT MAX(d) FROM t)`` as a scalar
-  subquery (no cross join).
+* ``latest_only`` — ``WHERE d = (SELECT MAX(d) FROM t)``; the maximum is the
+  one the load noted, or a scalar subquery (no cross join).
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ DIM_KEYS = {
 }
 
 
-def star(model, fact_cols=None, where: Column | None = None, **dim_cols) -> DataFrame:
+def star(model, fact_cols=None, where: Column | None = None, keep=(), **dim_cols) -> DataFrame:
     """J1 / J2 / J3 — fact ⋈ selected dimensions.
 
     ``star(m, ["route_km"], dim_date=["year_month"], dim_postcode=["city"])``
     joins on each dimension's key; a dimension column replaces a fact
     column of the same name (the query reads the dimension's value).  A
     ``(column, alias)`` pair renames a dimension column.  ``where`` filters
-    the fact before the joins (e.g. on its partition column).
+    the fact before the joins (e.g. on its partition column).  Dimensions in
+    ``keep`` are left-joined: a fact without a match stays, with NULLs.
     """
     fact = model.fact_deliveries
     if where is not None:
@@ -44,13 +46,13 @@ def star(model, fact_cols=None, where: Column | None = None, **dim_cols) -> Data
     out = fact.select(*cols)
     for dim, dcols in dim_cols.items():
         key = DIM_KEYS[dim]
-        d = model.dim(dim).select(key, *[F.col(c) if isinstance(c, str) else F.col(c[0]).alias(c[1])
+        d = model.tables[dim].select(key, *[F.col(c) if isinstance(c, str) else F.col(c[0]).alias(c[1])
                                          for c in dcols if c != key])
-        out = out.join(d, key)
+        out = out.join(d, key, "left" if dim in keep else "inner")
     return out
 
 
-def day_zone_rollup(model, partials, group_by, dim_date=(), dim_postcode=()) -> DataFrame:
+def day_zone_rollup(model, partials, group_by, dim_date=(), dim_postcode=(), by=()) -> DataFrame:
     """Eager aggregation below the star joins: the fact is aggregated to
     additive ``partials`` per (``date_key``, ``postcode_pc4``) — at most
     calendar days × zones rows, however many shipments — then those rows are
@@ -58,14 +60,16 @@ def day_zone_rollup(model, partials, group_by, dim_date=(), dim_postcode=()) ->
     ``group_by``.  Equal to joining every shipment first (the attributes
     are functions of the keys, sums and counts are additive); each re-summed
     column is cast back to the type a single ``sum`` gives, so divisions and
-    roundings downstream see the same decimals."""
-    g = model.fact_deliveries.groupBy("date_key", "postcode_pc4").agg(*partials)
-    names = [c for c in g.columns if c not in ("date_key", "postcode_pc4")]
+    roundings downstream see the same decimals.  ``by`` names flags of the
+    shipment itself that are grouped as well."""
+    keys = ["date_key", "postcode_pc4", *by]
+    g = model.fact_deliveries.groupBy(*keys).agg(*partials)
+    names = [c for c in g.columns if c not in keys]
     fields = {f.name: f for f in g.schema.fields}
     if dim_date:
-        g = g.join(model.dim("dim_date").select("date_key", *dim_date), "date_key")
+        g = g.join(model.tables["dim_date"].select("date_key", *dim_date), "date_key")
     if dim_postcode:
-        g = g.join(model.dim("dim_postcode").select("postcode_pc4", *dim_postcode), "postcode_pc4")
+        g = g.join(model.tables["dim_postcode"].select("postcode_pc4", *dim_postcode), "postcode_pc4")
 
     def resum(c):   # a non-nullable partial (a row count) stays non-nullable
         total = F.sum(c) if fields[c].nullable else F.coalesce(F.sum(c), F.lit(0))
@@ -86,17 +90,7 @@ def per_zone(model, aggs, where: Column | None = None, attrs=None,
     fact = model.fact_deliveries if where is None else model.fact_deliveries.filter(where)
     g = fact.groupBy("postcode_pc4").agg(*aggs)
     zones = model.flat_postcodes if flat else model.tables["dim_postcode"]
-    zones = zones.select("postcode_pc4", *(attrs or []))
-    if model.is_small("dim_postcode"):
-        zones = F.broadcast(zones)
-    return g.join(zones, "postcode_pc4")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """J5 — ``broadcast(df)`` when a bounded count (``limit(max_rows + 1)``) proves
-    at most ``max_rows`` rows; otherwise ``df`` unchanged, so the planner and
-    AQE pick a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return g.join(zones.select("postcode_pc4", *(attrs or [])), "postcode_pc4")
 
 
 def top1_per_group(df: DataFrame, group_cols, order_cols) -> DataFrame:
@@ -106,23 +100,16 @@ def top1_per_group(df: DataFrame, group_cols, order_cols) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def latest_only(df: DataFrame, col: str) -> DataFrame:
-    """P14 — rows whose ``col`` equals the table-wide maximum of ``col``."""
-    return df.filter(F.col(col) == df.select(F.max(col)).scalar())
-
-
-def max_in_last_partition(df: DataFrame, part_col: str, col) -> Column:
-    """Scalar subquery ``max(col)`` taken over the rows of the greatest
-    ``part_col`` value only — equal to ``max(col)`` over all rows when
-    ``part_col`` is a coarsening of ``col`` (month of a date).  On a table
-    partitioned by ``part_col`` the inner maximum reads file metadata only
-    and the outer one reads a single partition, not the whole table."""
-    c = F.col(col) if isinstance(col, str) else col
-    last = df.select(F.max(part_col)).scalar()
-    return df.filter(F.col(part_col) == last).select(F.max(c)).scalar()
+def latest_only(model, table: str, col: str) -> DataFrame:
+    """P14 — rows of a model table whose ``col`` equals its maximum."""
+    return model.tables[table].filter(F.col(col) == newest(model, table, col, F.col(col)))
 
 
-def max_of(df: DataFrame, col) -> Column:
-    """Scalar-subquery column holding ``max(col)`` over ``df``."""
-    c = F.col(col) if isinstance(col, str) else col
-    return df.select(F.max(c)).scalar()
+def newest(model, table: str, col: str, value) -> Column:
+    """``max(value)`` over a model table: the mark the load noted for
+    (table, col) — see ``Model.marks`` — else a scalar subquery over the
+    table, which reads that one column of every row."""
+    mark = model.marks.get((table, col))
+    if mark is not None:
+        return F.lit(mark)
+    return model.tables[table].select(F.max(value)).scalar()

@@ -9,16 +9,18 @@ Spark jobs:
   passes, as a SQL CHECK does;
 * uniqueness — ``groupBy(keys).count()`` with map-side partial counts, so a
   hot key costs one partial row per task, never a whole group in one task;
-* references — ``left_anti`` against the parent keys (broadcast only when
-  the parent is proven small, otherwise a shuffle join that AQE can split).
+* references — ``left_anti`` against the parent keys, or hit flags for all
+  keys of a table at once; Spark broadcasts small parents by their bytes.
 """
 
 from __future__ import annotations
 
+import datetime
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelscope.functions import derive
@@ -62,9 +64,10 @@ def rule_report(df: DataFrame, rules: list[Rule], table: str = "") -> DataFrame:
 
 # M7
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
-    """Keys occurring more than once, with their multiplicity."""
+    """Keys occurring more than once, with their multiplicity.  A key with a
+    NULL in it is never a duplicate, as in a SQL UNIQUE constraint."""
     keys = list(keys)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
 
 
 def check_unique(df: DataFrame, keys, table: str = "") -> DataFrame:
@@ -78,44 +81,35 @@ def check_unique(df: DataFrame, keys, table: str = "") -> DataFrame:
 
 
 # M8
-def orphans(child: DataFrame, parent: DataFrame, key: str, parent_small: bool = False) -> DataFrame:
+def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose non-NULL ``key`` has no parent row (FK violation)."""
-    p = parent.select(key).distinct()
-    if parent_small:
-        p = F.broadcast(p)
-    return child.filter(F.col(key).isNotNull()).join(p, key, "left_anti")
+    return child.filter(F.col(key).isNotNull()).join(parent.select(key).distinct(), key, "left_anti")
 
 
 def check_reference(child: DataFrame, parent: DataFrame, key: str, child_name: str = "",
-                    parent_name: str = "", parent_small: bool = False) -> DataFrame:
-    return (orphans(child, parent, key, parent_small).agg(F.count(F.lit(1)).alias("orphan_rows"))
+                    parent_name: str = "") -> DataFrame:
+    return (orphans(child, parent, key).agg(F.count(F.lit(1)).alias("orphan_rows"))
             .select(F.lit(child_name).alias("child_table"), F.lit(parent_name).alias("parent_table"),
                     F.lit(key).alias("key_column"), "orphan_rows"))
 
 
 def check_references(child: DataFrame, refs, child_name: str = "") -> DataFrame:
     """All foreign keys of one child table; one row per key, like
-    ``check_reference``.  ``refs`` holds ``(parent, key, parent_name,
-    parent_small)``.  Keys of small parents are checked in ONE pass over the
-    child: each broadcast parent key set contributes a hit flag through a
-    left join, and one aggregate counts the misses.  A parent that is not
-    proven small gets its own anti join (shuffled, AQE-split on skew)."""
-    small = [(p, k, n) for p, k, n, is_small in refs if is_small]
-    large = [(p, k, n) for p, k, n, is_small in refs if not is_small]
-    parts = []
-    if small:
-        tagged = child.select(*dict.fromkeys(k for _, k, _ in small))
-        for i, (parent, key, _) in enumerate(small):
-            keys = F.broadcast(parent.select(key).distinct().withColumn(f"_hit{i}", F.lit(True)))
-            tagged = tagged.join(keys, key, "left")
-        agg = tagged.agg(*[F.count_if(F.col(k).isNotNull() & F.col(f"_hit{i}").isNull()).alias(f"_o{i}")
-                           for i, (_, k, _) in enumerate(small)])
-        rows = F.array(*[F.struct(F.lit(child_name).alias("child_table"), F.lit(n).alias("parent_table"),
-                                  F.lit(k).alias("key_column"), F.col(f"_o{i}").alias("orphan_rows"))
-                         for i, (_, k, n) in enumerate(small)])
-        parts.append(agg.select(F.inline(rows)))
-    parts += [check_reference(child, p, k, child_name, n, False) for p, k, n in large]
-    return union_all(parts)
+    ``check_reference``.  ``refs`` holds ``(parent, key, parent_name)``.  One
+    pass over the child: its distinct key combinations with their counts (a
+    map-side partial aggregate), each parent's keys joined as a hit flag,
+    and one aggregate of the misses."""
+    keys = list(dict.fromkeys(k for _, k, _ in refs))
+    tagged = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    for i, (parent, key, _) in enumerate(refs):
+        hit = parent.select(key).distinct().withColumn(f"_hit{i}", F.lit(True))
+        tagged = tagged.join(hit, key, "left")
+    agg = tagged.agg(*[F.coalesce(F.sum(F.when(F.col(k).isNotNull() & F.col(f"_hit{i}").isNull(), F.col("_n"))),
+                                  F.lit(0)).cast("bigint").alias(f"_o{i}") for i, (_, k, _) in enumerate(refs)])
+    rows = F.array(*[F.struct(F.lit(child_name).alias("child_table"), F.lit(n).alias("parent_table"),
+                              F.lit(k).alias("key_column"), F.col(f"_o{i}").alias("orphan_rows"))
+                     for i, (_, k, n) in enumerate(refs)])
+    return agg.select(F.inline(rows))
 
 
 # M9
@@ -216,6 +210,32 @@ def log_load(audit: DataFrame, path: str) -> None:
     audit.write.mode("append").parquet(path)
 
 
+class Audit:
+    """Counts of a running load, set by the load itself."""
+    counts: DataFrame | None = None
+
+
+@contextmanager
+def audited(spark: SparkSession, path: str | None, table_name: str, load_type: str):
+    """Status life cycle of a load (M10): a RUNNING row when it starts, then
+    a SUCCESS row with ``Audit.counts`` or a FAILED row with the error.
+    Without a path nothing is logged."""
+    audit, start = Audit(), datetime.datetime.now(datetime.timezone.utc)
+    none = spark.range(1).select(F.lit(0).cast("bigint").alias("rows_inserted")) if path else None
+    if path:
+        log_load(audit_rows(none, table_name, load_type, "RUNNING", start=start, end=start), path)
+    try:
+        yield audit
+    except Exception as error:
+        if path:
+            log_load(audit_rows(none, table_name, load_type, "FAILED", start=start,
+                                error=f"{type(error).__name__}: {error}"[:1000]), path)
+        raise
+    if path:
+        log_load(audit_rows(none if audit.counts is None else audit.counts, table_name, load_type, "SUCCESS",
+                            start=start), path)
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Newest audit row per table (RUNNING rows are superseded by the end row)."""
     from pyspark.sql import Window

@@ -19,13 +19,17 @@ def upsert(target: DataFrame, updates: DataFrame, keys, update_cols,
     """Rows of ``target`` with ``updates`` applied.
 
     ``touch`` maps extra columns to a Column set on updated *and* inserted
-    rows (e.g. ``{"refreshed_at": F.current_timestamp()}``).
+    rows (e.g. ``{"refreshed_at": F.current_timestamp()}``).  A key that
+    occurs twice in ``updates`` is an error, as in the published form.
     """
     keys = list(keys)
     update_cols = set(update_cols)
     touch = touch or {}
     t = target.withColumn("_in_t", F.lit(True))
-    u = updates.withColumn("_in_u", F.lit(True))
+    rest = [c for c in updates.columns if c not in keys]
+    once = F.when(F.count(F.lit(1)) == 1, F.first(F.struct(F.lit(True).alias("_in_u"), *rest))).otherwise(
+        F.raise_error(F.lit(f"upsert: a key ({', '.join(keys)}) occurs more than once in the updates")))
+    u = updates.groupBy(*keys).agg(once.alias("_u")).select(*keys, "_u.*")
     j = t.alias("t").join(u.alias("u"), keys, "full_outer")
     in_t, in_u = F.col("t._in_t").isNotNull(), F.col("u._in_u").isNotNull()
 

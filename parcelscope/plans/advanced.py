@@ -14,7 +14,7 @@ from parcelscope import schemas as S
 from parcelscope.functions import derive
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if, dec, sum_if
-from parcelscope.operators.joins import max_in_last_partition, per_zone, star
+from parcelscope.operators.joins import day_zone_rollup, newest, per_zone, star
 
 
 def N():
@@ -42,14 +42,14 @@ def rain_impact(m) -> DataFrame:
 # KE2 [A16 W8] — counterfactual CO2 of zero-emission trips at the diesel factor,
 # with a running total per city (default RANGE frame, unique order keys)
 def co2_savings(m, diesel_kg_per_km=S.DIESEL_KG_PER_KM) -> DataFrame:
-    f = star(m, ["is_zero_emission", "co2_emission_kg", "route_km"],
-             dim_date=["year", "month_name", "month_number"], dim_postcode=["city"])
     zero = F.col("is_zero_emission")
-    g = f.groupBy("year", "month_name", "month_number", "city").agg(
+    g = day_zone_rollup(m, [
         sum_if(zero, F.col("co2_emission_kg")).alias("actual_co2_zero_kg"),
         count_if(zero).alias("zero_em_shipments"),
         count_if(~zero).alias("fossil_shipments"),
-        sum_if(zero, F.col("route_km") * dec(diesel_kg_per_km)).alias("counterfactual_co2_kg"))
+        sum_if(zero, F.col("route_km") * dec(diesel_kg_per_km)).alias("counterfactual_co2_kg")],
+        ["year", "month_name", "month_number", "city"],
+        dim_date=["year", "month_name", "month_number"], dim_postcode=["city"])
     saved = F.col("counterfactual_co2_kg") - F.col("actual_co2_zero_kg")
     running = Window.partitionBy("city").orderBy("year", "month_number")
     return (g.select(
@@ -87,13 +87,16 @@ def worst_postcodes(m, k: int = 10, cuts=S.LOCKER_CUTS_KPI, labels=S.LOCKER_LABE
 
 # KE4 [P17 W1] — share of weekly volume: window over the seven aggregated rows
 def weekday_pattern(m) -> DataFrame:
-    f = star(m, ["delivery_cost_eur", "is_first_attempt_fail", "route_km"],
-             dim_date=["day_of_week_number"])
-    g = f.groupBy("day_of_week_number").agg(
-        N().alias("total_shipments"),
-        M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur"),
-        M.rate(FAIL(), 2).alias("fail_rate_pct"),
-        M.round_mean(F.col("route_km"), 2).alias("avg_route_km"))
+    p = day_zone_rollup(m, [
+        N().alias("total_shipments"), count_if(FAIL()).alias("_fails"),
+        F.sum("delivery_cost_eur").alias("_cost"), F.count("delivery_cost_eur").alias("_n_cost"),
+        F.sum("route_km").alias("_km"), F.count("route_km").alias("_n_km")],
+        ["day_of_week_number"], dim_date=["day_of_week_number"])
+    g = p.select(
+        "day_of_week_number", "total_shipments",
+        F.round(M.ratio(F.col("_cost"), F.col("_n_cost")), 2).alias("avg_cost_eur"),
+        M.pct(F.col("_fails"), F.col("total_shipments"), 2).alias("fail_rate_pct"),
+        F.round(M.ratio(F.col("_km"), F.col("_n_km")), 2).alias("avg_route_km"))
     return (g.select(derive.day_name().alias("day_of_week"), "day_of_week_number",
                      "total_shipments", "avg_cost_eur", "fail_rate_pct", "avg_route_km",
                      M.share_of_total(F.col("total_shipments"), Window.partitionBy(), 1)
@@ -102,10 +105,10 @@ def weekday_pattern(m) -> DataFrame:
 
 
 def last_dispatch_date(m) -> F.Column:
-    """Scalar subquery: the latest dispatch date of the fact (the default
+    """The latest dispatch date of the fact (the default
     ``as_of``; the published query uses today's date, which finds nothing in
-    historical data).  Read from the newest ``year_month`` partition only."""
-    return max_in_last_partition(m.fact_deliveries, "year_month", F.to_date("dispatch_datetime"))
+    historical data).  The load notes it when it writes the fact."""
+    return newest(m, "fact_deliveries", "dispatch_date", F.to_date("dispatch_datetime"))
 
 
 # KE5 [P13 W6 W7 F8] — trailing window of ``days`` before ``as_of``; the moving average is

@@ -36,74 +36,68 @@ def FOSSIL():
 def N():
     return F.count(F.lit(1))
 
-FLAT_COLUMNS = ["shipment_id", "city", "postcode_pc4", "dispatch_date", "month_name", "year_num",
-                "yr_month", "warehouse_id", "carrier", "vehicle_type", "order_value_eur",
-                "weight_kg", "attempt_1_status", "attempt_2_status", "fail_reason",
-                "final_status", "delivery_cost_eur", "route_km", "co2_emission_kg",
-                "temp_celsius", "rain_mm", "wind_speed_kmh"]
-
 
 def _wasted(count_col) -> F.Column:
     """fails × AVG(cost) — the average-cost basis of wasted cost."""
     return M.times_mean(count_col, F.col("delivery_cost_eur"))
 
 
-# Q1a [S12] — explicit columns, no order
+# Q1a [S12] — all columns, no order
 def scan_deliveries(m) -> DataFrame:
-    return m.flat_fact.select(*FLAT_COLUMNS)
+    return m.flat_fact
 
 
 # Q1b [A1 O1]
 def city_volume(m) -> DataFrame:
-    return (m.flat_fact.groupBy("city").agg(N().alias("total_shipments"))
-            .orderBy(F.desc("total_shipments")))
+    return (m.flat_cities.groupBy("city").agg(N().alias("total_shipments"))
+            .orderBy(F.desc("total_shipments"), "city"))
 
 
 # Q1c [A1 A2 O1]
 def city_fails(m) -> DataFrame:
-    return (m.flat_fact.groupBy("city")
+    return (m.flat_cities.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"))
-            .orderBy(F.desc("total_shipments")))
+            .orderBy(F.desc("total_shipments"), "city"))
 
 
 # Q1d [A2 A7 O1]
 def city_fail_rate(m) -> DataFrame:
-    return (m.flat_fact.groupBy("city")
+    return (m.flat_cities.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
                  M.rate(FAILED(), 1).alias("fail_rate_pct"))
-            .orderBy(F.desc("fail_rate_pct")))
+            .orderBy(F.desc("fail_rate_pct"), "city"))
 
 
 # Q1e [A7 A9 A4 O1]
 def city_fail_cost(m) -> DataFrame:
-    return (m.flat_fact.groupBy("city")
+    return (m.flat_cities.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
                  M.rate(FAILED(), 1).alias("fail_rate_pct"),
                  M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur"),
                  F.round(_wasted(count_if(FAILED())), 0).alias("wasted_cost_eur"))
-            .orderBy(F.desc("fail_rate_pct")))
+            .orderBy(F.desc("fail_rate_pct"), "city"))
 
 
 # Q1f [A7 A9 A11 O1]
 def city_scorecard(m) -> DataFrame:
-    return (m.flat_fact.groupBy("city")
+    return (m.flat_cities.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(FAILED()).alias("total_fails"),
                  M.rate(FAILED(), 1).alias("fail_rate_pct"),
                  F.round(_wasted(count_if(FAILED())), 0).alias("wasted_cost_eur"),
                  F.round(sum_if(FAILED(), F.col("co2_emission_kg")) * 1000, 1).alias("wasted_co2_grams"),
                  M.rate(ZERO(), 1).alias("zero_emission_pct"))
-            .orderBy(F.desc("wasted_cost_eur")))
+            .orderBy(F.desc("wasted_cost_eur"), "city"))
 
 
 # Q2a [P12 A1 O1]
 def reason_counts(m) -> DataFrame:
-    return (m.flat_fact.filter(FAILED()).groupBy("fail_reason").agg(N().alias("total_fails"))
-            .orderBy(F.desc("total_fails")))
+    return (m.flat_rows.filter(FAILED()).groupBy("fail_reason").agg(N().alias("total_fails"))
+            .orderBy(F.desc("total_fails"), "fail_reason"))
 
 
 # Q2b [P12 W1 A10 A11] — share of all failures: window over the aggregated reasons
 def reason_cost(m) -> DataFrame:
-    g = (m.flat_fact.filter(FAILED()).groupBy("fail_reason")
+    g = (m.flat_rows.filter(FAILED()).groupBy("fail_reason")
          .agg(N().alias("total_fails"),
               F.round(F.sum("delivery_cost_eur"), 0).alias("wasted_cost_eur"),
               F.round(F.sum("co2_emission_kg") * 1000, 1).alias("wasted_co2_grams")))
@@ -111,22 +105,22 @@ def reason_cost(m) -> DataFrame:
                      M.share_of_total(F.col("total_fails"), Window.partitionBy(), 1)
                      .alias("pct_of_all_fails"),
                      "wasted_cost_eur", "wasted_co2_grams")
-            .orderBy(F.desc("total_fails")))
+            .orderBy(F.desc("total_fails"), "fail_reason"))
 
 
 # Q2c [P12 W2 O1]
 def reason_by_city(m) -> DataFrame:
-    g = m.flat_fact.filter(FAILED()).groupBy("city", "fail_reason").agg(N().alias("total_fails"))
+    g = m.flat_cities.filter(FAILED()).groupBy("city", "fail_reason").agg(N().alias("total_fails"))
     return (g.withColumn("pct_within_city",
                          M.share_of_total(F.col("total_fails"), Window.partitionBy("city"), 1))
-            .orderBy("city", F.desc("total_fails")))
+            .orderBy("city", F.desc("total_fails"), "fail_reason"))
 
 
 # Q3a [A13 A4] — one global row (a group that may be empty: divisors guarded)
 def co2_total(m) -> DataFrame:
     co2 = F.col("co2_emission_kg")
     failed_co2 = sum_if(FAILED(), co2)
-    return m.flat_fact.agg(
+    return m.flat_rows.agg(
         F.round(F.sum(co2), 2).alias("total_co2_kg"),
         M.round_mean(co2, 2, 1000).alias("avg_co2_grams_per_delivery"),
         F.round(failed_co2, 2).alias("co2_from_failed_kg"),
@@ -137,7 +131,7 @@ def co2_total(m) -> DataFrame:
 # as the published query does; it is not a share of CO2.
 def co2_by_vehicle(m) -> DataFrame:
     co2 = F.col("co2_emission_kg")
-    g = (m.flat_fact.groupBy("vehicle_type")
+    g = (m.flat_rows.groupBy("vehicle_type")
          .agg(N().alias("total_shipments"), F.sum(co2).alias("_co2"),
               F.round(F.sum(co2), 3).alias("total_co2_kg"),
               M.round_mean(co2, 2, 1000).alias("avg_co2_grams"),
@@ -148,21 +142,21 @@ def co2_by_vehicle(m) -> DataFrame:
                      M.share_of_total(F.col("total_shipments"), all_rows, 1).alias("fleet_share_pct"),
                      "total_co2_kg", "avg_co2_grams", "fail_rate_pct",
                      F.round(F.col("_co2") / M.nz(total_n) * 100, 1).alias("share_of_total_co2_pct"))
-            .orderBy(F.desc("total_co2_kg")))
+            .orderBy(F.desc("total_co2_kg"), "vehicle_type"))
 
 
 # Q3c [A16 A4 A7]
 def electrification_potential(m) -> DataFrame:
     co2 = F.col("co2_emission_kg")
     electric = N().cast(M.COUNT_T) * dec(S.ELECTRIC_KG_PER_SHIPMENT)
-    return (m.flat_fact.groupBy("vehicle_type")
+    return (m.flat_rows.groupBy("vehicle_type")
             .agg(N().alias("shipments"),
                  F.round(F.sum(co2), 3).alias("actual_co2_kg"),
                  M.round_mean(co2, 2, 1000).alias("avg_co2_grams"),
                  M.rate(ZERO(), 1).alias("zero_em_pct"),
                  F.round(electric, 3).alias("co2_if_all_electric_kg"),
                  F.round(F.sum(co2) - electric, 3).alias("co2_saving_potential_kg"))
-            .orderBy(F.desc("actual_co2_kg")))
+            .orderBy(F.desc("actual_co2_kg"), "vehicle_type"))
 
 
 # Q4a [A7 O3]
@@ -211,7 +205,7 @@ def locker_roi(m, k: int = 15, cut: float = S.LOCKER_CUT_BQ,
 
 
 # Q5a [P12 A9 A15]
-def locker_impact(m, postcodes=(1004, 1009, 1014), effect=S.LOCKER_EFFECT,
+def locker_impact(m, postcodes=S.LOCKER_ZONES, effect=S.LOCKER_EFFECT,
                   years=S.DATA_YEARS) -> DataFrame:
     fails = count_if(FAILED())
     nh = count_if(NOT_HOME())
@@ -227,12 +221,12 @@ def locker_impact(m, postcodes=(1004, 1009, 1014), effect=S.LOCKER_EFFECT,
     return (z.select("postcode_pc4", "city", "district", "total_shipments", "total_fails",
                      "fail_rate_pct", "wasted_cost_3yr_eur", "wasted_cost_annual_eur",
                      "wasted_co2_annual_grams", "annual_saving_eur")
-            .orderBy(F.desc("wasted_cost_3yr_eur")))
+            .orderBy(F.desc("wasted_cost_3yr_eur"), "postcode_pc4"))
 
 
 # Q5b [A10 A15 P20] — rounds the 3-year bases first, then derives the annual figures
 def dispatch_impact(m, effect=S.DISPATCH_EFFECT, years=S.DATA_YEARS) -> DataFrame:
-    base = (m.flat_fact.groupBy("city")
+    base = (m.flat_cities.groupBy("city")
             .agg(N().alias("total_shipments"), count_if(NOT_HOME()).alias("not_home_fails"),
                  M.rate(NOT_HOME(), 2).alias("not_home_rate_pct"),
                  F.round(sum_if(NOT_HOME(), F.col("delivery_cost_eur")), 0).alias("nh_cost"),
@@ -244,15 +238,15 @@ def dispatch_impact(m, effect=S.DISPATCH_EFFECT, years=S.DATA_YEARS) -> DataFram
         F.col("nh_co2_g").alias("wasted_co2_3yr_grams"),
         F.round(M.scenario_saving(F.col("nh_cost"), effect, years), 0).alias("annual_saving_eur"),
         F.round(M.scenario_saving(F.col("nh_co2_g"), effect, years), 1).alias("annual_co2_saving_grams"))
-        .orderBy(F.desc("annual_saving_eur")))
+        .orderBy(F.desc("annual_saving_eur"), "city"))
 
 
 # Q5c [U1 A15 A3] — the three scenarios from ONE scan: conditional sums, then 3 rows
-def combined_impact(m, postcodes=(1004, 1009, 1014), years=S.DATA_YEARS,
+def combined_impact(m, postcodes=S.LOCKER_ZONES, place=S.LOCKER_CITY, years=S.DATA_YEARS,
                     scale=S.SCALE_MULTIPLIER) -> DataFrame:
     chosen = NOT_HOME() & F.col("postcode_pc4").isin(list(postcodes))
     cost, co2 = F.col("delivery_cost_eur"), F.col("co2_emission_kg")
-    a = m.flat_fact.agg(
+    a = m.flat_rows.agg(
         count_if(chosen).alias("n1"), sum_if(chosen, cost).alias("c1"), sum_if(chosen, co2).alias("e1"),
         count_if(NOT_HOME()).alias("n2"), sum_if(NOT_HOME(), cost).alias("c2"), sum_if(NOT_HOME(), co2).alias("e2"),
         count_if(FOSSIL()).alias("n3"), sum_if(FOSSIL(), cost).alias("c3"), sum_if(FOSSIL(), co2).alias("e3"))
@@ -265,7 +259,8 @@ def combined_impact(m, postcodes=(1004, 1009, 1014), years=S.DATA_YEARS,
             F.round(M.scenario_saving(F.col(e) * 1000, co2_effect, years), 1)
             .alias("annual_co2_saving_grams"))
 
-    names = S.SCENARIO_NAMES
+    where = " ".join([place, ", ".join(str(p) for p in postcodes)]).strip()
+    names = [n.format(place=where) for n in S.SCENARIO_NAMES]
     rows = a.select(F.inline(F.array(
         scenario(names[0], "n1", "c1", "e1", S.LOCKER_EFFECT, S.LOCKER_EFFECT),
         scenario(names[1], "n2", "c2", "e2", S.DISPATCH_EFFECT, S.DISPATCH_EFFECT),

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import dec
-from parcelscope.operators.joins import broadcast_if_small
 
 
 def _active(m) -> DataFrame:
@@ -65,7 +64,7 @@ def driver_outliers(m, labels=S.ALERT_LABELS) -> DataFrame:
     city = d.groupBy("city").agg(
         M.round_mean(F.col("fail_rate_pct"), 2).alias("city_avg_fail"),
         _round_std("fail_rate_pct").alias("city_std_fail"))
-    j = d.join(broadcast_if_small(city), "city")
+    j = d.join(city, "city")
     fail, mu, sd = F.col("fail_rate_pct"), F.col("city_avg_fail"), F.col("city_std_fail")
     status = (F.when(fail > mu + 2 * sd, F.lit(labels[0]))
               .when(fail > mu + 1 * sd, F.lit(labels[1]))

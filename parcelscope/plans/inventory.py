@@ -17,8 +17,8 @@ from parcelscope.operators.joins import latest_only
 
 
 def _latest_with_city(m) -> DataFrame:
-    inv = latest_only(m.mart_inventory_snapshot, "snapshot_date")
-    return inv.join(m.dim("dim_warehouse").select("warehouse_id", "city"), "warehouse_id")
+    inv = latest_only(m, "mart_inventory_snapshot", "snapshot_date")
+    return inv.join(m.dim_warehouse.select("warehouse_id", "city"), "warehouse_id")
 
 
 # KD1 [J4 P11 P14] — status sorted descending as text: Normal, Low, Critical

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from parcelscope import schemas as S
 from parcelscope.operators import quality as Q
 from parcelscope.plans import marts
-from parcelscope.plans.business import FLAT_COLUMNS
 from parcelscope.sources import calendar, ingest
+from parcelscope.sources.model import AUDIT_LOG
 
 
 # S13 — calendar over the whole years the shipments span
@@ -26,21 +26,21 @@ def calendar_span(m) -> DataFrame:
 
 # S8
 def profile_deliveries(m) -> DataFrame:
-    return ingest.profile(m.flat_fact.select(*FLAT_COLUMNS))
+    return ingest.profile(m.flat_fact)
 
 
 # S9
 def dispatch_range(m) -> DataFrame:
-    return ingest.value_range(m.flat_fact, "dispatch_date")
+    return ingest.value_range(m.flat_rows, "dispatch_date")
 
 
 def city_list(m) -> DataFrame:
-    return ingest.distinct_values(m.flat_fact, "city")
+    return ingest.distinct_values(m.flat_cities, "city")
 
 
 # S10 — top-5 fail reasons including the NULL (no failure) group
 def fail_reason_counts(m, k: int = 5) -> DataFrame:
-    return ingest.value_counts(m.flat_fact, "fail_reason", k)
+    return ingest.value_counts(m.flat_rows, "fail_reason", k)
 
 
 # S10 — as the load inspects the forecast sheet: top-5 peak events
@@ -139,7 +139,7 @@ def key_uniqueness(m) -> DataFrame:
 # of one child table are checked in a single pass over it
 def reference_integrity(m) -> DataFrame:
     def ref(parent, key):
-        return (m.tables[parent], key, parent, m.is_small(parent))
+        return (m.tables[parent], key, parent)
 
     return Q.union_all([
         Q.check_references(m.fact_deliveries, [
@@ -174,10 +174,16 @@ def lineitem_validation(m) -> DataFrame:
 
 # M10 — audit rows of a full load of the fact (times excluded here)
 def load_audit(m) -> DataFrame:
-    tagged = Q.tag_rejects(m.fact_deliveries, fact_rules(), unique_keys=["shipment_id"])
-    return Q.audit_rows(Q.validation_counts(tagged), "fact_deliveries", "FULL", "SUCCESS").select(
-        "table_name", "load_type", "rows_inserted", "rows_updated", "rows_rejected", "status",
-        "error_message")
+    """The newest log row of the load that wrote the model; for a model that
+    was not written, the row its load would log."""
+    if m.materialized_at:
+        log = Q.latest_status(ingest.read_table(m.spark, f"{m.materialized_at.rstrip('/')}/{AUDIT_LOG}",
+                                                S.AUDIT_LOAD_LOG))
+    else:
+        tagged = Q.tag_rejects(m.fact_deliveries, fact_rules())
+        log = Q.audit_rows(Q.validation_counts(tagged), "fact_deliveries", "FULL", "SUCCESS")
+    return log.select("table_name", "load_type", "rows_inserted", "rows_updated", "rows_rejected", "status",
+                      "error_message")
 
 
 # P7 — the daily volume mart with its derived forecast error

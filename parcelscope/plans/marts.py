@@ -5,12 +5,14 @@ One scan of the fact feeds everything: the fact is aggregated once to
 (month, city) on those rows sums them and ranks the categories.  The
 correlated "most frequent category" subquery of the published refresh
 becomes a ``row_number`` over that small aggregate, with the category name
-as tie-break (the published form is not deterministic on ties).
+as tie-break (the published form is not deterministic on ties).  The category
+join keeps shipments of an unknown category: they count in every measure and
+are only ignored when the categories are ranked, as in the published form.
 """
 
 from __future__ import annotations
 
-import datetime
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -19,30 +21,26 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if
-from parcelscope.operators.joins import max_in_last_partition, star
+from parcelscope.operators.joins import newest, star
 from parcelscope.operators import quality as Q
 from parcelscope.operators.upsert import upsert, upsert_counts
+from parcelscope.session import shared_dir
 
 KEYS = S.MART_KEYS
 
 
-def _partials(m, until=None, from_month: str | None = None, split_at=None) -> DataFrame:
+def _partials(m, until=None, from_month: str | None = None) -> DataFrame:
     """Additive sums per (month, city, category).  ``until`` keeps shipments
-    dispatched before it; ``split_at`` instead keeps all and adds a
-    ``before`` grouping flag, so marts as of two points in time come from
-    one scan of the fact."""
+    dispatched before it."""
     where = None if from_month is None else F.col("year_month") >= F.lit(from_month)
     f = star(m, ["final_status", "is_first_attempt_fail", "is_returned", "delivery_cost_eur",
                  "order_value_eur", "co2_emission_kg", "route_km", "weight_kg", "is_zero_emission",
                  "dispatch_datetime"], where=where,
-             dim_date=["year_month"], dim_postcode=["city"], dim_product_category=["category_name"])
+             dim_date=["year_month"], dim_postcode=["city"], dim_product_category=["category_name"],
+             keep=("dim_product_category",))
     if until is not None:
         f = f.filter(F.col("dispatch_datetime") < until)
-    keys = ["year_month", "city", "category_name"]
-    if split_at is not None:
-        f = f.withColumn("before", F.col("dispatch_datetime") < split_at)
-        keys.append("before")
-    return f.groupBy(*keys).agg(
+    return f.groupBy("year_month", "city", "category_name").agg(
         F.count(F.lit(1)).alias("n"),
         count_if(F.col("final_status").isin(S.DELIVERED_STATUSES)).alias("ok"),
         count_if(F.col("is_first_attempt_fail")).alias("fails"),
@@ -81,7 +79,7 @@ def _mart_from_partials(p: DataFrame) -> DataFrame:
     group = Window.partitionBy(*KEYS)
     ranked = p.withColumns({
         **{f"t_{c}": F.sum(c).over(group) for c in _SUMS},
-        "_rn": F.row_number().over(group.orderBy(F.desc("n"), F.asc("category_name"))),
+        "_rn": F.row_number().over(group.orderBy(F.col("category_name").isNull(), F.desc("n"), F.asc("category_name"))),
     })
     top = ranked.filter(F.col("_rn") == 1)
     t = {c: F.col(f"t_{c}") for c in _SUMS}
@@ -96,11 +94,11 @@ def _mart_from_partials(p: DataFrame) -> DataFrame:
         M.pct(t["fails"], n, 2).cast("decimal(6,2)").alias("first_attempt_fail_pct"),
         M.pct(t["returns"], n, 2).cast("decimal(6,2)").alias("return_rate_pct"),
         F.round(_div("t_cost", "t_n_cost"), 2).cast("decimal(8,2)").alias("avg_delivery_cost_eur"),
-        F.round(t["value"], 2).cast("decimal(14,2)").alias("total_revenue_eur"),
-        F.round(t["co2"], 4).cast("decimal(10,4)").alias("total_co2_kg"),
-        F.round(_div("t_co2", "t_n_co2"), 6).cast("decimal(8,6)").alias("avg_co2_per_shipment_kg"),
-        F.round(t["km"], 2).cast("decimal(12,2)").alias("total_route_km"),
-        F.round(_div("t_weight", "t_n_weight"), 2).cast("decimal(6,2)").alias("avg_weight_kg"),
+        F.round(t["value"], 2).cast("decimal(30,2)").alias("total_revenue_eur"),
+        F.round(t["co2"], 4).cast("decimal(30,4)").alias("total_co2_kg"),
+        F.round(_div("t_co2", "t_n_co2"), 6).cast("decimal(14,6)").alias("avg_co2_per_shipment_kg"),
+        F.round(t["km"], 2).cast("decimal(30,2)").alias("total_route_km"),
+        F.round(_div("t_weight", "t_n_weight"), 2).cast("decimal(9,2)").alias("avg_weight_kg"),
         F.col("category_name").alias("top_product_category"),
         M.pct(t["zero"], n, 1).cast("decimal(5,1)").alias("electric_vehicle_pct"),
         # declared but never set by the published refresh (see with_mom_changes)
@@ -128,24 +126,19 @@ def refresh_monthly_kpi(m, target: DataFrame) -> DataFrame:
 
 
 def refresh_after_partial_load(m, lag_days: int = 30) -> DataFrame:
-    """KF1 on the given data: the mart as a refresh ``lag_days`` before the
-    last dispatch left it (its last month partial), refreshed with all data.
-    The month that was partial gets the nine listed metrics updated while
-    its other columns stay stale; later months are inserted.  Both marts
-    come from one scan: sums split by a before-cutoff flag, re-added for
-    the old mart (flagged rows) and the fresh one (all rows)."""
-    last = max_in_last_partition(m.fact_deliveries, "year_month", F.to_date("dispatch_datetime"))
+    """KF1 as stored-table jobs on the given data: a first load writes the
+    mart as of ``lag_days`` before the last dispatch (its last month is
+    partial), then ``refresh_to`` upserts all data into it and writes the
+    next version.  The month that was partial gets the nine listed metrics
+    updated while its other columns stay stale; later months are inserted.
+    Each job scans the fact once."""
+    last = newest(m, "fact_deliveries", "dispatch_date", F.to_date("dispatch_datetime"))
     cutoff = F.date_sub(last, lag_days).cast("timestamp_ntz")
-    split = _partials(m, split_at=cutoff)
-    cat = ["year_month", "city", "category_name"]
-
-    def resum(df):
-        return df.groupBy(*cat).agg(*[F.sum(c).alias(c) for c in _SUMS])
-
-    previous = _mart_from_partials(resum(split.filter(F.col("before"))))
-    fresh = _mart_from_partials(resum(split))
-    return upsert(previous, fresh, KEYS, S.MART_UPDATE_COLUMNS,
-                  touch={"refreshed_at": F.current_timestamp()}).drop("refreshed_at")
+    root = shared_dir(m.spark, "marts", uuid.uuid4().hex)
+    (build_monthly_kpi(m, until=cutoff).hint("rebalance", "year_month")
+     .write.partitionBy("year_month").parquet(f"{root}/v1"))
+    return refresh_to(m, f"{root}/v2", current_path=f"{root}/v1",
+                      audit_path=f"{root}/audit_load_log").drop("refreshed_at")
 
 
 def _stored_mart(spark, path: str | None, like: DataFrame) -> DataFrame:
@@ -168,24 +161,22 @@ def refresh_to(m, new_path: str, current_path: str | None = None,
     read).  The fresh aggregate — city-month rows, small — is checkpointed
     to the cluster's checkpoint folder so the upsert and its insert/update
     counts reuse it instead of re-scanning the fact, and a lost executor
-    does not re-run the aggregation.  With ``audit_path`` a REFRESH row with
-    the counts is appended to the load log (M10).  ``from_month`` limits
+    does not re-run the aggregation.  With ``audit_path`` the load log (M10)
+    gets a RUNNING row at the start and a SUCCESS row with the counts, or a
+    FAILED row with the error, at the end.  ``from_month`` limits
     the recomputation to months from it on (the others keep their stored
     rows).  Returns the new mart."""
     if current_path and new_path.rstrip("/") == current_path.rstrip("/"):
         raise ValueError("new_path must differ from current_path (the upsert reads it)")
     spark = m.spark
-    start = datetime.datetime.now(datetime.timezone.utc)
-    fresh = build_monthly_kpi(m, from_month=from_month).checkpoint(eager=True)
-    current = _stored_mart(spark, current_path, fresh)
-    merged = upsert(current, fresh, KEYS, S.MART_UPDATE_COLUMNS,
-                    touch={"refreshed_at": F.current_timestamp()})
-    # overwrite: the new version's folder is this job's alone, so a rerun
-    # after a failed attempt replaces any partial output
-    (merged.hint("rebalance", "year_month").write.mode("overwrite")
-     .partitionBy("year_month").parquet(new_path))
-    if audit_path:
-        counts = upsert_counts(current, fresh, KEYS)
-        Q.log_load(Q.audit_rows(counts, "mart_monthly_kpi", "REFRESH", "SUCCESS", start=start),
-                   audit_path)
+    with Q.audited(spark, audit_path, "mart_monthly_kpi", "REFRESH") as audit:
+        fresh = build_monthly_kpi(m, from_month=from_month).checkpoint(eager=True)
+        current = _stored_mart(spark, current_path, fresh)
+        merged = upsert(current, fresh, KEYS, S.MART_UPDATE_COLUMNS,
+                        touch={"refreshed_at": F.current_timestamp()})
+        # overwrite: the new version's folder is this job's alone, so a rerun
+        # after a failed attempt replaces any partial output
+        (merged.hint("rebalance", "year_month").write.mode("overwrite")
+         .partitionBy("year_month").parquet(new_path))
+        audit.counts = upsert_counts(current, fresh, KEYS)
     return spark.read.parquet(new_path).select(*fresh.columns)

@@ -26,13 +26,12 @@ def DELIVERED():
 
 
 # KA1 [J1 J2 A2 A7 W3 W4 F2 F3 O1] — as published this returns every month of every city (the
-# recency rank is computed but not used); ``latest_only=True`` keeps the
-# newest month per city, which is what the dashboard card shows.
+# recency rank is not used there); ``latest_only=True`` keeps the newest
+# month per city, which is what the dashboard card shows.
 def headline_kpis(m, latest_only: bool = False) -> DataFrame:
     p = day_zone_rollup(m, [
         N().alias("total_shipments"),
-        count_if(F.col("final_status") == "Delivered").alias("_d1"),
-        count_if(F.col("final_status") == "Delivered (2nd attempt)").alias("_d2"),
+        count_if(DELIVERED()).alias("delivered"),
         count_if(F.col("is_first_attempt_fail")).alias("first_attempt_fails"),
         count_if(F.col("is_returned")).alias("returned"),
         F.sum("delivery_cost_eur").alias("_cost"), F.count("delivery_cost_eur").alias("_n_cost"),
@@ -43,8 +42,7 @@ def headline_kpis(m, latest_only: bool = False) -> DataFrame:
         ["year_month", "city"], dim_date=["year_month"], dim_postcode=["city"])
     base = p.select(
         "year_month", "city", "total_shipments",
-        (F.col("_d1") + F.col("_d2")).alias("delivered"),
-        "first_attempt_fails", "returned",
+        "delivered", "first_attempt_fails", "returned",
         F.round(M.ratio(F.col("_cost"), F.col("_n_cost")), 2).alias("avg_cost_eur"),
         F.round(M.ratio(F.col("_co2"), F.col("_n_co2")), 6).alias("avg_co2_kg"),
         F.round(F.col("_value"), 2).alias("total_revenue_eur"),
@@ -61,10 +59,10 @@ def headline_kpis(m, latest_only: bool = False) -> DataFrame:
         "prev_otd_rate": F.lag("otd_rate_pct").over(by_month),
         "prev_fail_rate": F.lag("fail_rate_pct").over(by_month),
         "prev_avg_cost": F.lag("avg_cost_eur").over(by_month),
-        "recency_rank": F.rank().over(Window.partitionBy("city").orderBy(F.desc("year_month"))),
     })
     if latest_only:
-        ranked = ranked.filter(F.col("recency_rank") == 1)
+        newest_first = Window.partitionBy("city").orderBy(F.desc("year_month"))
+        ranked = ranked.withColumn("_recency", F.rank().over(newest_first)).filter("_recency = 1")
     return (ranked.select(
         "city", "year_month", "total_shipments", "delivered", "first_attempt_fails", "returned",
         "otd_rate_pct", "fail_rate_pct", "return_rate_pct", "avg_cost_eur", "avg_co2_kg",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from parcelscope.plans import (advanced, business, drivers, inventory, loading, marts, overview,
                                routes, views)
 
+# zones of the mapped data that stand for the locker scenario's (FIXTURES.md)
+FIXTURE_ZONES = (1004, 1009, 1014)
+
 QUERIES = {
     # business questions 1-5 (flat model)
     "scan_deliveries": business.scan_deliveries,
@@ -22,9 +25,9 @@ QUERIES = {
     "postcode_fail_top": business.postcode_fail_top,
     "postcode_vs_history": business.postcode_vs_history,
     "locker_roi": business.locker_roi,
-    "locker_impact": business.locker_impact,
+    "locker_impact": lambda m: business.locker_impact(m, FIXTURE_ZONES),
     "dispatch_impact": business.dispatch_impact,
-    "combined_impact": business.combined_impact,
+    "combined_impact": lambda m: business.combined_impact(m, FIXTURE_ZONES, place="Zones"),
     # executive overview, routes, advanced analytics (star model)
     "headline_kpis": overview.headline_kpis,
     "otd_trend": overview.otd_trend,

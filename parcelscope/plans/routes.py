@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelscope.functions import derive
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if
-from parcelscope.operators.joins import per_zone, star
+from parcelscope.operators.joins import day_zone_rollup, per_zone, star
 
 PC_DIMS = ["city", "district", "latitude", "longitude", "zone_type", "housing_density",
            "fail_risk_tier", "parcel_locker_nearby", "historical_fail_rate_pct"]
@@ -70,13 +70,14 @@ def vehicle_mix_by_city(m) -> DataFrame:
 
 # KB4 [P16 A7] — the peak flag is the shipment's, the event name the calendar's
 def peak_vs_normal(m) -> DataFrame:
-    f = star(m, ["is_peak_period", "delivery_cost_eur", "is_first_attempt_fail", "route_km"],
-             dim_date=["peak_event_name"], dim_postcode=["city"])
-    return (f.groupBy("city", "peak_event_name", "is_peak_period").agg(
-        N().alias("shipments"),
-        M.round_mean(F.col("delivery_cost_eur"), 2).alias("avg_cost_eur"),
-        M.rate(FAIL(), 2).alias("fail_rate_pct"),
-        M.round_mean(F.col("route_km"), 2).alias("avg_route_km"))
-        .select("city", "peak_event_name", derive.period_type().alias("period_type"),
-                "shipments", "avg_cost_eur", "fail_rate_pct", "avg_route_km")
-        .orderBy("city", "period_type"))
+    p = day_zone_rollup(m, [
+        N().alias("shipments"), count_if(FAIL()).alias("_fails"),
+        F.sum("delivery_cost_eur").alias("_cost"), F.count("delivery_cost_eur").alias("_n_cost"),
+        F.sum("route_km").alias("_km"), F.count("route_km").alias("_n_km")],
+        ["city", "peak_event_name", "is_peak_period"], by=["is_peak_period"],
+        dim_date=["peak_event_name"], dim_postcode=["city"])
+    return (p.select("city", "peak_event_name", derive.period_type().alias("period_type"), "shipments",
+                     F.round(M.ratio(F.col("_cost"), F.col("_n_cost")), 2).alias("avg_cost_eur"),
+                     M.pct(F.col("_fails"), F.col("shipments"), 2).alias("fail_rate_pct"),
+                     F.round(M.ratio(F.col("_km"), F.col("_n_km")), 2).alias("avg_route_km"))
+            .orderBy("city", "period_type", "peak_event_name"))

@@ -9,7 +9,7 @@ from parcelscope.functions import derive
 from parcelscope.operators.joins import latest_only, star
 
 
-# V1 [J3 P10 F7] — four broadcast joins onto the fact; no shuffle of the fact at all
+# V1 [J3 P10 F7] — four star joins; small dimensions are broadcast by their size
 def deliveries_enriched(m) -> DataFrame:
     f = star(m, None,
              dim_date=["full_date", "year", "month_name", "quarter", "week_number",
@@ -37,8 +37,8 @@ def deliveries_enriched(m) -> DataFrame:
 
 # V2 [J4 P11 P14]
 def inventory_health(m) -> DataFrame:
-    inv = latest_only(m.mart_inventory_snapshot, "snapshot_date")
-    w = m.dim("dim_warehouse").select("warehouse_id", "city")
+    inv = latest_only(m, "mart_inventory_snapshot", "snapshot_date")
+    w = m.dim_warehouse.select("warehouse_id", "city")
     return inv.join(w, "warehouse_id").select(
         "warehouse_id", "city", "product_category", "sku_code", "current_stock_units",
         "max_capacity_units", "utilisation_pct", "days_of_supply", "reorder_point",

@@ -79,8 +79,11 @@ LOCKER_EFFECT = "0.60"
 DISPATCH_EFFECT = "0.70"
 EV_COST_EFFECT = "0.02"
 EV_CO2_EFFECT = "0.30"
+# zones of the locker scenario (a parameter of Q5a and Q5c) and its city
+LOCKER_ZONES = (3025, 3012, 3021)
+LOCKER_CITY = "Rotterdam"
 SCENARIO_NAMES = (
-    "Parcel lockers — Rotterdam 3025, 3012, 3021",
+    "Parcel lockers — {place}",
     "Predictive dispatch — all cities",
     "Fleet electrification — 50% to 80%",
 )
@@ -200,9 +203,9 @@ MART_MONTHLY_KPI = _s(
     ("failed_first_attempt", T.LongType()), ("returned_shipments", T.LongType()),
     ("otd_rate_pct", D(6, 2)), ("first_attempt_fail_pct", D(6, 2)),
     ("return_rate_pct", D(6, 2)), ("avg_delivery_cost_eur", D(8, 2)),
-    ("total_revenue_eur", D(14, 2)), ("total_co2_kg", D(10, 4)),
-    ("avg_co2_per_shipment_kg", D(8, 6)), ("total_route_km", D(12, 2)),
-    ("avg_weight_kg", D(6, 2)), ("top_product_category", T.StringType()),
+    ("total_revenue_eur", D(30, 2)), ("total_co2_kg", D(30, 4)),
+    ("avg_co2_per_shipment_kg", D(14, 6)), ("total_route_km", D(30, 2)),
+    ("avg_weight_kg", D(9, 2)), ("top_product_category", T.StringType()),
     ("electric_vehicle_pct", D(5, 1)), ("otd_rate_mom_change_pp", D(6, 2)),
     ("cost_mom_change_pct", D(6, 2)), ("refreshed_at", T.TimestampType()),
 )
@@ -210,13 +213,13 @@ MART_MONTHLY_KPI = _s(
 MART_INVENTORY_SNAPSHOT = _s(
     ("snapshot_date", T.DateType()), ("warehouse_id", T.StringType()),
     ("product_category", T.StringType()), ("sku_code", T.StringType()),
-    ("current_stock_units", T.IntegerType()), ("max_capacity_units", T.IntegerType()),
+    ("current_stock_units", T.LongType()), ("max_capacity_units", T.IntegerType()),
     ("reorder_point", T.IntegerType()), ("reorder_qty", T.IntegerType()),
-    ("avg_daily_outbound", T.IntegerType()), ("days_of_supply", D(8, 1)),
+    ("avg_daily_outbound", T.LongType()), ("days_of_supply", D(24, 1)),
     ("stockout_days_ytd", T.ShortType()), ("last_replenish_date", T.DateType()),
-    ("supplier_lead_days", T.ShortType()), ("unit_cost_eur", D(10, 2)),
-    ("inventory_value_eur", D(14, 2)), ("stock_status", T.StringType()),
-    ("utilisation_pct", D(7, 2)),
+    ("supplier_lead_days", T.ShortType()), ("unit_cost_eur", D(24, 2)),
+    ("inventory_value_eur", D(30, 2)), ("stock_status", T.StringType()),
+    ("utilisation_pct", D(24, 2)),
 )
 
 MART_DAILY_FORECAST = _s(
@@ -233,7 +236,7 @@ AUDIT_LOAD_LOG = _s(
     ("table_name", T.StringType()), ("load_type", T.StringType()),
     ("rows_inserted", T.LongType()), ("rows_updated", T.LongType()),
     ("rows_rejected", T.LongType()), ("start_time", T.TimestampType()),
-    ("end_time", T.TimestampType()), ("duration_seconds", D(8, 2)),
+    ("end_time", T.TimestampType()), ("duration_seconds", D(18, 2)),
     ("status", T.StringType()), ("error_message", T.StringType()),
     ("loaded_by", T.StringType()),
 )

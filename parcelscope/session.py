@@ -7,7 +7,6 @@ session without that setting (unit tests, a laptop).
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -87,18 +86,3 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A path under the cluster-wide checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "parcelscope", *parts])
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or path.startswith("/")
-
-
-def strip_scheme(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

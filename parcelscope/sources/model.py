@@ -16,7 +16,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelscope.session import shared_dir
@@ -25,8 +25,6 @@ from parcelscope.sources import calendar, ingest, tpch_fixture
 SOURCE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 MODEL_TABLES = ["fact_deliveries", "dim_date", "dim_postcode", "dim_driver", "dim_warehouse",
                 "dim_product_category", "mart_inventory_snapshot", "mart_daily_forecast"]
-# Dimensions are broadcast only after a row count proves them small.
-BROADCAST_MAX_ROWS = 200_000
 
 
 @dataclass
@@ -35,8 +33,9 @@ class Model:
     tables: dict
     source: str = ""
     materialized_at: str | None = None
-    _small: dict = field(default_factory=dict)
     sources: dict = field(default_factory=dict)
+    # newest value per (table, column), noted when the load writes a table
+    marks: dict = field(default_factory=dict)
 
     def __getattr__(self, name):
         tables = self.__dict__.get("tables", {})
@@ -64,33 +63,34 @@ class Model:
             df.createOrReplaceTempView(prefix + name)
         return [prefix + n for n in views]
 
-    # --- joins helpers --------------------------------------------------
-    def dim(self, name: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-        """Dimension ``name``, hinted for broadcast when a bounded count
-        (``limit(max_rows + 1).count()``) proves it has at most ``max_rows``
-        rows; otherwise the planner and AQE choose the join."""
-        df = self.tables[name]
-        return F.broadcast(df) if self.is_small(name, max_rows) else df
-
-    def is_small(self, name: str, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-        if name not in self._small:
-            self._small[name] = self.tables[name].limit(max_rows + 1).count() <= max_rows
-        return self._small[name]
-
     # --- flat (business-question) model --------------------------------
     @cached_property
     def flat_fact(self) -> DataFrame:
-        """The flat ``fact_deliveries`` the business questions read: the
-        fact with its city and calendar labels stored on the row, columns
+        """The flat ``fact_deliveries`` the business questions read:
+        ``flat_rows`` with the zone's city and the category's name.  Both
+        are left joins: the published table stores them on the row, so a
+        shipment of an unknown zone or category is still there."""
+        pc = self.dim_postcode.select("postcode_pc4", "city")
+        cat = self.dim_product_category.select("category_id", F.col("category_name").alias("product_category"))
+        return self.flat_rows.join(pc, "postcode_pc4", "left").join(cat, "category_id", "left").drop("category_id")
+
+    @cached_property
+    def flat_cities(self) -> DataFrame:
+        """``flat_rows`` with the zone's city only."""
+        pc = self.dim_postcode.select("postcode_pc4", "city")
+        return self.flat_rows.join(pc, "postcode_pc4", "left")
+
+    @cached_property
+    def flat_rows(self) -> DataFrame:
+        """The flat fact without looked-up columns, for questions that need
+        neither city nor category: calendar labels stored on the row, columns
         named as the load renames them (month→month_name, year→year_num,
-        year_month→yr_month)."""
+        year_month→yr_month).  No join."""
         from parcelscope import schemas as S
         from parcelscope.sources.ingest import rename
-        pc = self.dim("dim_postcode").select("postcode_pc4", "city")
         d = F.to_date("dispatch_datetime")
-        sheet = (self.fact_deliveries.join(pc, "postcode_pc4")
-                 .withColumns({"dispatch_date": d, "month": F.date_format(d, "MMMM"),
-                               "year": F.year(d)}))
+        sheet = self.fact_deliveries.withColumns(
+            {"dispatch_date": d, "month": F.date_format(d, "MMMM"), "year": F.year(d)})
         return rename(sheet, S.RENAME_DELIVERIES)
 
     @cached_property
@@ -137,7 +137,7 @@ def build_model(spark: SparkSession, sf_dir: str) -> Model:
     tables = {
         "fact_deliveries": tpch_fixture.build_fact(src["lineitem"], src["orders"],
                                                    src["customer"], src["part"]),
-        "dim_date": calendar.build_dim_date(spark),
+        "dim_date": calendar.calendar_spanning(src["lineitem"], "l_shipdate"),
         "dim_postcode": tpch_fixture.build_dim_postcode(src["nation"], src["region"]),
         "dim_driver": tpch_fixture.build_dim_driver(src["supplier"], src["region"]),
         "dim_warehouse": tpch_fixture.build_dim_warehouse(src["supplier"], src["region"]),
@@ -205,16 +205,60 @@ def materialize(model: Model, path: str | None = None) -> Model:
     """Write every model table as Parquet and return a model reading them.
 
     ``path`` defaults to a fresh folder under ``spark.checkpoint.dir`` (the
-    cluster's shared folder), never a machine-local temp folder.
+    cluster's shared folder), never a machine-local temp folder.  Facts that
+    break a row rule are left out and written to ``rejected/``; the load log
+    beside the tables has the life cycle and the counts of the fact's load.
     """
     spark = model.spark
     root = path or shared_dir(spark, "model", uuid.uuid4().hex)
     for name in MODEL_TABLES:
-        target = f"{root}/{name}"
+        if name == "fact_deliveries":
+            load_fact(model.tables[name], root)
+            continue
         # partitioned tables are rebalanced by AQE: a partition value holding
         # a large share of the rows is split over tasks, not sent to one
-        ingest.write_table(model.tables[name], target, partition_by=PARTITION_COLUMNS.get(name),
+        ingest.write_table(model.tables[name], f"{root}/{name}", partition_by=PARTITION_COLUMNS.get(name),
                            sort_within=SORT_COLUMNS.get(name))
     out = read_model(spark, root)
     out.source, out.sources = model.source, model.sources
+    out.marks = note_marks(out)
     return out
+
+
+AUDIT_LOG = "audit_load_log"
+
+
+def load_fact(fact: DataFrame, root: str) -> None:
+    """Validated load (M4-M6, M9, M10) of the fact: one pass writes the valid
+    rows and counts both kinds; a second one writes the rejected rows, with
+    their reasons, only if there are any.  Repeated line keys are reported
+    (M7), not rejected: the published fact numbers its rows itself."""
+    from parcelscope.operators import quality as Q
+    from parcelscope.plans.loading import fact_rules
+    name, spark = "fact_deliveries", fact.sparkSession
+    with Q.audited(spark, f"{root}/{AUDIT_LOG}", name, "FULL") as audit:
+        tagged = Q.tag_rejects(fact, fact_rules())
+        bad = F.size("reject_reasons") > 0
+        seen = Observation(f"load-{uuid.uuid4().hex}")
+        valid = (tagged.observe(seen, F.count_if(~bad).alias("rows_inserted"), F.count_if(bad).alias("rows_rejected"))
+                 .filter(~bad).drop("reject_reasons"))
+        ingest.write_table(valid, f"{root}/{name}", partition_by=PARTITION_COLUMNS[name],
+                           sort_within=SORT_COLUMNS[name])
+        counts = seen.get
+        if counts["rows_rejected"]:
+            ingest.write_table(tagged.filter(bad), f"{root}/rejected/{name}")
+        audit.counts = spark.range(1).select(*[F.lit(counts[c]).cast("bigint").alias(c)
+                                               for c in ("rows_inserted", "rows_rejected")])
+
+
+def note_marks(model: Model) -> dict:
+    """Newest dispatch date and snapshot date of the written tables, so that
+    queries neither search for them nor defer partition pruning to run time.
+    The months and snapshot dates are partition values: the first step reads
+    their folder names as a column, the second one month of the fact."""
+    fact, stock = model.fact_deliveries, model.mart_inventory_snapshot
+    month = fact.agg(F.max("year_month").alias("v")).first().v
+    dispatch = fact.filter(F.col("year_month") == month).agg(F.max(F.to_date("dispatch_datetime")).alias("v")).first().v
+    marks = {("fact_deliveries", "dispatch_date"): dispatch,
+             ("mart_inventory_snapshot", "snapshot_date"): stock.agg(F.max("snapshot_date").alias("v")).first().v}
+    return {k: v for k, v in marks.items() if v is not None}

@@ -10,8 +10,8 @@ Scale: the fact build is the only large job: orders ⋈ customer, then line
 item ⋈ that on the order key, then ⋈ part — line items cross the network
 twice when nothing is small enough to broadcast; AQE splits a skewed key.
 Dimensions are bounded by construction (zones by nations, cities by
-regions, the calendar by its day range) and broadcast only after a size
-check.
+regions, the calendar by its day range); Spark broadcasts them by their
+bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from parcelscope import schemas as S
 from parcelscope.functions import derive
 from parcelscope.functions.metrics import COUNT_T, dec, label_by_index
-from parcelscope.operators.joins import broadcast_if_small
 from parcelscope.sources import calendar
 
 # Fixed values of the fixture mapping (see FIXTURES.md, part B).
@@ -106,7 +105,7 @@ def build_fact(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
 def build_dim_postcode(nation: DataFrame, region: DataFrame) -> DataFrame:
     n = F.col("n_nationkey")
     hist = (F.lit(6) + n * dec("0.75")).cast("decimal(5,2)")
-    return (nation.join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    return (nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 (n + POSTCODE_BASE).cast("short").alias("postcode_pc4"),
                 F.col("r_name").alias("city"),
@@ -131,7 +130,7 @@ def build_dim_driver(supplier: DataFrame, region: DataFrame) -> DataFrame:
     fail = F.when(s % 23 == 7, F.lit(30)).otherwise(F.lit(2) + (s * 3) % 17).cast("decimal(5,2)")
     rating = ((F.lit(30) + s % 21).cast("decimal(4,0)") / 10).cast("decimal(3,2)")
     veh = label_by_index(s % 4, S.VEHICLE_TYPES)
-    return (supplier.join(broadcast_if_small(region), (s % 5) == F.col("r_regionkey"))
+    return (supplier.join(region, (s % 5) == F.col("r_regionkey"))
             .select(
                 F.concat(F.lit("DRV-"), s.cast("string")).alias("driver_id"),
                 F.col("s_name").alias("driver_name"),
@@ -189,7 +188,7 @@ def build_inventory_snapshot(lineitem: DataFrame, part: DataFrame) -> DataFrame:
               F.min(F.to_date("l_shipdate")).alias("last_replenish_date"),
               F.sum(F.col("l_extendedprice").cast("decimal(10,2)")).alias("value")))
     supply = F.round(F.col("stock").cast(COUNT_T) / F.nullif(F.col("outbound"), F.lit(0)).cast(COUNT_T),
-                     1).cast("decimal(8,1)")
+                     1).cast("decimal(24,1)")
     wh = _wh(F.col("wh_idx"))
     cap = (F.lit(BASE_CAPACITY) + F.col("wh_idx") * CAPACITY_STEP).cast("int")
     out = g.select(
@@ -197,18 +196,18 @@ def build_inventory_snapshot(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         wh.alias("warehouse_id"),
         "product_category",
         F.concat(wh, F.lit("-"), F.col("product_category")).alias("sku_code"),
-        F.col("stock").cast("int").alias("current_stock_units"),
+        F.col("stock").alias("current_stock_units"),
         cap.alias("max_capacity_units"),
         F.lit(REORDER_POINT).alias("reorder_point"),
         F.lit(REORDER_QTY).alias("reorder_qty"),
-        F.col("outbound").cast("int").alias("avg_daily_outbound"),
+        F.col("outbound").alias("avg_daily_outbound"),
         supply.alias("days_of_supply"),
         (F.col("n") % 5).cast("short").alias("stockout_days_ytd"),
         "last_replenish_date",
         (F.lit(2) + F.length("product_category") % 3).cast("short").alias("supplier_lead_days"),
         F.round(F.col("value") / F.nullif(F.col("stock"), F.lit(0)).cast(COUNT_T), 2)
-        .cast("decimal(10,2)").alias("unit_cost_eur"),
-        F.col("value").cast("decimal(14,2)").alias("inventory_value_eur"),
+        .cast("decimal(24,2)").alias("unit_cost_eur"),
+        F.col("value").cast("decimal(30,2)").alias("inventory_value_eur"),
         derive.stock_status(supply).alias("stock_status"),
     )
     return out.withColumn("utilisation_pct", derive.utilisation_pct())
@@ -221,7 +220,7 @@ def build_daily_forecast(events: DataFrame, region: DataFrame) -> DataFrame:
     hol = calendar.holiday_of(d)
     peak = calendar.peak_of(d)
     fc = (F.lit(FORECAST_BASE) + F.weekday(d)).cast("decimal(10,0)")
-    out = (g.join(broadcast_if_small(region), F.col("k") == F.col("r_regionkey"))
+    out = (g.join(region, F.col("k") == F.col("r_regionkey"))
            .select(
                d, F.col("r_name").alias("city"),
                F.date_format(d, "EEEE").alias("day_of_week"),

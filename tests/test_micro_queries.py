@@ -89,8 +89,9 @@ def test_refresh_to_writes_new_version_and_audits(spark, tmp_path):
     second = marts.refresh_to(m, v2, current_path=v1, audit_path=audit)
     assert sorted((r.year_month, r.city, r.total_shipments, r.failed_first_attempt)
                   for r in second.collect()) == [("2024-01", "Amsterdam", 1, 0), ("2024-02", "Rotterdam", 2, 1)]
-    log = sorted((r.rows_inserted, r.rows_updated, r.load_type) for r in spark.read.parquet(audit).collect())
-    assert log == [(0, 2, "REFRESH"), (2, 0, "REFRESH")]
+    log = sorted((r.status, r.rows_inserted, r.rows_updated, r.load_type)
+                 for r in spark.read.parquet(audit).collect())
+    assert log == [("RUNNING", 0, 0, "REFRESH")] * 2 + [("SUCCESS", 0, 2, "REFRESH"), ("SUCCESS", 2, 0, "REFRESH")]
 
 
 def test_incremental_refresh_reads_touched_months_only(spark, tmp_path):

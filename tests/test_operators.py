@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from parcelscope.operators import quality as Q
-from parcelscope.operators.joins import broadcast_if_small, top1_per_group
+from parcelscope.operators.joins import top1_per_group
 from parcelscope.operators.upsert import upsert, upsert_counts
 from parcelscope.sources import ingest
 
@@ -69,7 +69,7 @@ def test_unique_and_reference_checks(spark):
     parent = spark.createDataFrame([("x",)], "p string")
     u = Q.check_unique(df, ["k"], "t").first()
     assert (u.duplicate_keys, u.rows_with_duplicate_key) == (1, 2)
-    r = Q.check_reference(df, parent, "p", "t", "parent", parent_small=True).first()
+    r = Q.check_reference(df, parent, "p", "t", "parent").first()
     assert r.orphan_rows == 1   # NULL reference is not an orphan
 
 
@@ -119,16 +119,10 @@ def test_rename_ignores_absent_columns(spark):
     assert ingest.rename(df, {"month": "month_name", "year": "year_num"}).columns == ["month_name", "other"]
 
 
-def test_top1_per_group_and_broadcast_check(spark):
+def test_top1_per_group(spark):
     df = spark.createDataFrame([("g", "b", 2), ("g", "a", 2), ("h", "c", 1)], "g string, n string, c int")
     got = _rows(top1_per_group(df, ["g"], [F.desc("c"), F.asc("n")]), "g", "n")
     assert got == [("g", "a"), ("h", "c")]
-    small = broadcast_if_small(spark.range(5), max_rows=10)
-    big = broadcast_if_small(spark.range(50), max_rows=10)
-    j_small = spark.range(100).join(small, "id")
-    j_big = spark.range(100).join(big, "id")
-    assert "ResolvedHint (strategy=broadcast)" in j_small._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" not in j_big._jdf.queryExecution().analyzed().toString()
 
 
 def test_load_tables_renames_writes_and_verifies(spark, smoke_model, tmp_path):

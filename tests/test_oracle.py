@@ -5,9 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from parcelscope.plans.registry import QUERIES
 from tools.check_oracle import TABLES, rows_of
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 SQL = E.oracle_sql()
 
 
@@ -21,7 +22,7 @@ def duck(smoke_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(SQL) == set(NAMES)
+    assert set(SQL) == set(NAMES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
