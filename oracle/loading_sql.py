@@ -58,6 +58,16 @@ UNION ALL SELECT 'kpi_summary', COUNT(*) FROM (
     SELECT DISTINCT d.year_month, p.city FROM fact f JOIN dim_date d ON f.date_key = d.date_key
     JOIN dim_postcode p ON f.postcode_pc4 = p.postcode_pc4)""")
 
+SQL["verify_load"] = with_ctes(CTES, STAR_DEPS + ["dim_driver"], """
+, pair AS (
+  SELECT 'fact_deliveries' AS t, (SELECT COUNT(*) FROM fact) AS got, (SELECT COUNT(*) FROM lineitem) AS want
+  UNION ALL SELECT 'dim_postcodes', (SELECT COUNT(*) FROM dim_postcode), (SELECT COUNT(*) FROM nation)
+  UNION ALL SELECT 'dim_drivers', (SELECT COUNT(*) FROM dim_driver), (SELECT COUNT(*) FROM supplier)),
+whole AS (SELECT CAST(SUM(got) AS BIGINT) AS n, bool_and(got = want) AS fine FROM pair)
+SELECT t AS table_name, got AS row_count, want AS expected_count,
+       CASE WHEN got = want THEN 'OK' ELSE 'MISMATCH' END AS status, whole.n AS total_rows, whole.fine AS all_ok
+FROM pair, whole""")
+
 # fixed values: the reference warehouses and categories a load seeds
 SQL["seed_warehouses"] = with_ctes(CTES, ["dim_warehouse"], """
 , seed(warehouse_id, city, latitude, longitude, max_capacity_units) AS (VALUES

@@ -65,6 +65,14 @@ def verify_counts(m, expected: dict | None = None) -> DataFrame:
     return ingest.verify_counts(flat_tables(m), expected)
 
 
+# S11 — a load's tables against its sources: counts, status, total, flag
+def verify_load(m) -> DataFrame:
+    return ingest.verify_against(
+        {"fact_deliveries": m.fact_deliveries, "dim_postcodes": m.dim_postcode, "dim_drivers": m.dim_driver},
+        {"fact_deliveries": m.sources["lineitem"], "dim_postcodes": m.sources["nation"],
+         "dim_drivers": m.sources["supplier"]})
+
+
 # S7 — seed the reference warehouses / categories unless the key exists
 def seed_warehouses(m) -> DataFrame:
     spark = m.spark

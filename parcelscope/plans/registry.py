@@ -59,6 +59,7 @@ QUERIES = {
     "refresh_monthly_kpi": marts.refresh_after_partial_load,
     # load, inspection, quality and audit jobs
     "verify_counts": loading.verify_counts,
+    "verify_load": loading.verify_load,
     "calendar_span": loading.calendar_span,
     "profile_deliveries": loading.profile_deliveries,
     "dispatch_range": loading.dispatch_range,

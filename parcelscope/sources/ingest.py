@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +113,21 @@ def verify_counts(tables: dict, expected: dict | None = None) -> DataFrame:
     })
 
 
+def verify_against(tables: dict, expected: dict) -> DataFrame:
+    """``verify_counts`` with the expected counts taken from other tables
+    (the sources of a load) instead of known numbers, and the total and
+    overall flag on every row.  ``expected`` maps a table name to the
+    DataFrame whose rows it should have; one row per such table."""
+    want = verify_counts(expected).withColumnRenamed("row_count", "expected_count")
+    both = verify_counts({k: tables[k] for k in expected}).join(want, "table_name")
+    status = F.when(F.col("row_count") == F.col("expected_count"), "OK").otherwise("MISMATCH")
+    everything = Window.partitionBy()       # one row per verified table
+    return (both.withColumn("status", status)
+            .withColumns({"total_rows": F.sum("row_count").over(everything),
+                          "all_ok": F.bool_and(F.col("status") == "OK").over(everything)})
+            .orderBy("table_name"))
+
+
 def verify_summary(verified: DataFrame) -> DataFrame:
     """Total rows and the overall flag of a ``verify_counts`` result."""
     return verified.agg(F.sum("row_count").alias("total_rows"),
