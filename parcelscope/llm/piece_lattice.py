@@ -97,7 +97,7 @@ class Vocabulary:
         return [text[a:b] for a, b in zip(at.tolist(), ends.tolist())], counts
 
     def merged(self, fragment: str) -> list[int]:
-        """BPE of one long fragment by a priority queue."""
+        """Ends of the pieces of one long fragment, by a priority queue."""
         n = len(fragment)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         queue: list[tuple[float, int, int]] = []
@@ -120,12 +120,20 @@ class Vocabulary:
                 before[stop] = i
             push(before[i])
             push(i)
+        return [end[i] for i in range(n) if alive[i]]
+
+    def spell(self, fragment: str, cuts: list[int] | None) -> list[int]:
+        """Piece ids of a fragment cut at ``cuts`` (None: every character)."""
         out: list[int] = []
-        i = 0
-        while i < n:
-            known = self.normal.get(fragment[i:end[i]])
-            out += [known[0]] if known else [self.bytes[b] for b in fragment[i].encode("utf-8", "surrogatepass")]
-            i = end[i]
+        start = 0
+        for stop in cuts if cuts is not None else range(1, len(fragment) + 1):
+            piece = fragment[start:stop]
+            known = self.normal.get(piece)
+            if known:
+                out.append(known[0])
+            else:
+                out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            start = stop
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -224,100 +232,75 @@ def pieces_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return F.broadcast(pieces) if len(rows) <= BROADCAST_PIECES else pieces
 
 
-def _merge_fold(edges: Column, n: Column) -> Column:
-    """Boundary mask after all merges; edges sorted by rank and start."""
-    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), (n + 1).cast("int")) - 1
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
+
 
+def _merge_fold(edges: Column, n: Column) -> Column:
+    """Mask of the symbol boundaries left after all merges; edges are sorted
+    by rank and start, ``ends`` and ``inner`` are masks of their bounds."""
     def step(mask: Column, _: Column) -> Column:
         ready = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"])
                          & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
         return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["inner"], F.lit(0).cast("bigint"))))
 
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), n - 1), full, step)).otherwise(full)
+    return F.aggregate(F.sequence(F.lit(1), n - 1), _bit(n + 1) - 1, step)
 
 
 def _viterbi_fold(edges: Column) -> Column:
-    """``array<struct<score, s, id>>`` per end position 0..n; edges sorted by
-    end and start."""
-    node = "struct<score: double, s: int, id: int>"
+    """``array<struct<score, s>>`` per end position 0..n: the best score and
+    the start of its last piece; edges are sorted by end and start."""
+    node = "struct<score: double, s: int>"
 
-    def at(score: Column, s: Column, i: Column) -> Column:
-        return F.struct(score.alias("score"), s.cast("int").alias("s"), i.cast("int").alias("id")).cast(node)
+    def at(score: Column, s: Column) -> Column:
+        return F.struct(score.alias("score"), s.cast("int").alias("s")).cast(node)
 
     def step(best: Column, e: Column) -> Column:
         total = F.get(best, e["s"])["score"] + e["score"]
-        new = F.array(at(total, e["s"], e["id"]))
+        new = F.array(at(total, e["s"]))
         return (F.when(F.size(best) == e["t"], F.concat(best, new))
                 .when(total > F.get(best, e["t"])["score"], F.concat(F.slice(best, 1, e["t"]), new))
                 .otherwise(best))
 
-    return F.aggregate(edges, F.array(at(F.lit(0.0), F.lit(-1), F.lit(-1))), step)
-
-
-def _byte_ids(fragment: Column, s: Column, first_byte: int) -> Column:
-    raw = F.encode(F.substring(fragment, s + 1, 1), "utf-8")
-    return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: (
-        F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + first_byte))
+    return F.aggregate(edges, F.array(at(F.lit(0.0), F.lit(-1))), step)
 
 
 def encode_fragments(fragments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(fragment, ids)`` of distinct fragments, by lattice and fold."""
-    spark = fragments.sparkSession
+    """``(fragment, cuts)`` by lattice and fold: where the pieces of each
+    distinct fragment end.  Fragments in which no piece of several characters
+    occurs have no row: each of their characters stands alone."""
     n = F.length("fragment")
-    pieces = pieces_table(spark, vocabulary)
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - s)),
+    pieces = pieces_table(fragments.sparkSession, vocabulary)
+    least = 2 if vocabulary.bpe else 1      # merges start from single characters
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - least), lambda s: F.transform(
+        F.sequence(F.lit(least), F.least(F.lit(vocabulary.longest), n - s)),
         lambda k: F.struct(s.alias("s"), (s + k).alias("t"), F.substring("fragment", s + 1, k).alias("piece")))))
-    matched = (fragments.select("fragment", F.explode_outer(spans).alias("e")).select("fragment", "e.*")
-               .join(pieces, "piece"))
-    edge = F.struct((-F.col("score")).alias("cost"), "s", "t", "id")
-    # an inner join loses fragments without any edge: single unknown characters
-    grouped = matched.groupBy("fragment").agg(F.collect_list(edge).alias("edges"))
-    known = F.transform(F.filter("edges", lambda e: e["t"] == e["s"] + 1), lambda e: e["s"])
-    first_byte = vocabulary.bytes[0]
-    if [vocabulary.bytes[b] for b in range(256)] != list(range(first_byte, first_byte + 256)):
-        raise ValueError("the byte pieces are not in order")
+    matched = (fragments.where(n >= 2).select("fragment", F.explode_outer(spans).alias("e"))
+               .select("fragment", "e.*").join(pieces, "piece"))
     if vocabulary.bpe:
-        one = F.lit(1).cast("bigint")
-
-        def bit(k: Column) -> Column:
-            return F.call_function("shiftleft", one, k.cast("int"))
-
-        masked = grouped.select("fragment", n.alias("n"), F.transform(F.sort_array("edges"), lambda e: F.struct(
-            e["s"].alias("s"), e["t"].alias("t"), e["id"].alias("id"), (bit(e["s"]) + bit(e["t"])).alias("ends"),
-            (bit(e["t"]) - bit(e["s"] + 1)).alias("inner"))).alias("edges"))
-        longer = masked.select("fragment", "n", "edges", F.filter("edges", lambda e: e["inner"] != 0).alias("pairs"))
-        folded = longer.select("fragment", "n", "edges", "pairs", _merge_fold(F.col("pairs"), F.col("n")).alias("mask"))
-        path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"])
-                        & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-        chosen = folded.select("fragment", "n", F.transform(path, lambda e: F.struct(e["s"], e["t"], e["id"])).alias("path"))
-    else:
-        missing = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), known), lambda s: F.struct(
-            (s + 1).alias("t"), s.alias("s"), F.lit(vocabulary.unknown).alias("score"), F.lit(-1).alias("id")))
-        ranked = F.sort_array(F.concat(F.transform("edges", lambda e: F.struct(
-            e["t"].alias("t"), e["s"].alias("s"), (-e["cost"]).alias("score"), e["id"].alias("id"))), missing))
-        ordered = grouped.select("fragment", n.alias("n"), ranked.alias("edges"))
-        best = ordered.select("fragment", "n", _viterbi_fold(F.col("edges")).alias("best"))
-        # back from the end; the last edges come first
-        walk = F.aggregate(
-            F.sequence(F.col("n"), F.lit(1), F.lit(-1)),
-            F.struct(F.col("n").alias("at"), F.array().cast("array<struct<s: int, t: int, id: int>>").alias("path")),
-            lambda w, t: F.when(w["at"] == t, F.struct(
-                F.get(F.col("best"), t)["s"].alias("at"), F.concat(w["path"], F.array(F.struct(
-                    F.get(F.col("best"), t)["s"].alias("s"), t.alias("t"),
-                    F.get(F.col("best"), t)["id"].alias("id")))).alias("path"))).otherwise(w))
-        chosen = best.select("fragment", "n", F.filter(walk["path"], lambda e: e["id"] >= 0).alias("path"))
-    # what no chosen piece covers are characters without a piece
-    ids = F.flatten(F.transform(F.sort_array("path"), lambda e: F.array(e["id"])))
-    covered = F.aggregate("path", F.lit(0), lambda a, e: a + e["t"] - e["s"])
-    with_bytes = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.coalesce(
-        F.get(F.transform(F.filter("path", lambda e: e["s"] == s), lambda e: F.array(e["id"])), F.lit(0)),
-        F.when(F.exists("path", lambda e: (e["s"] < s) & (e["t"] > s)), F.array().cast("array<int>"))
-        .otherwise(_byte_ids(F.col("fragment"), s, first_byte)))))
-    lattice = chosen.select("fragment", F.when(covered == F.col("n"), ids).otherwise(with_bytes).alias("ids"))
-    lone = (fragments.where(n == 1).join(pieces, F.col("fragment") == F.col("piece"), "left_anti")
-            .select("fragment", _byte_ids(F.col("fragment"), F.lit(0), first_byte).alias("ids")))
-    return lattice.unionByName(lone)
+        edges = matched.groupBy("fragment").agg(F.sort_array(F.collect_list(F.struct(
+            (-F.col("score")).alias("cost"), "s", "t"))).alias("edges"))
+        masked = edges.select("fragment", n.alias("n"), F.transform("edges", lambda e: F.struct(
+            (_bit(e["s"]) + _bit(e["t"])).alias("ends"), (_bit(e["t"]) - _bit(e["s"] + 1)).alias("inner"))).alias("edges"))
+        # a column that only a lambda reads would be computed again in every
+        # step; naming it outside the lambda too keeps it computed once a row
+        folded = masked.select("fragment", "n", F.when(
+            F.size("edges") > 0, _merge_fold(F.col("edges"), F.col("n"))).alias("mask"))
+        return folded.select("fragment", F.when(F.col("mask") != 0, F.filter(
+            F.sequence(F.lit(1), F.col("n")), lambda k: F.col("mask").bitwiseAND(_bit(k)) != 0)).alias("cuts"))
+    edges = matched.groupBy("fragment").agg(F.collect_list(F.struct("t", "s", "score")).alias("edges"))
+    known = F.transform(F.filter("edges", lambda e: e["t"] == e["s"] + 1), lambda e: e["s"])
+    missing = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), known), lambda s: F.struct(
+        (s + 1).alias("t"), s.alias("s"), F.lit(vocabulary.unknown).alias("score")))
+    ordered = edges.select("fragment", n.alias("n"), F.sort_array(F.concat("edges", missing)).alias("edges"))
+    best = ordered.select("fragment", "n", _viterbi_fold(F.col("edges")).alias("best"))
+    # back from the end: each end position on the best path names the one before
+    walk = F.aggregate(
+        F.sequence(F.col("n"), F.lit(1), F.lit(-1)),
+        F.struct(F.col("n").alias("at"), F.array().cast("array<int>").alias("cuts")),
+        lambda w, t: F.when(w["at"] == t, F.struct(
+            F.get(F.col("best"), t)["s"].alias("at"), F.concat(w["cuts"], F.array(t)).alias("cuts"))).otherwise(w))
+    return best.select("fragment", F.when((F.col("n") > 0) & (F.size("best") > 0), F.sort_array(walk["cuts"])).alias("cuts"))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,23 +309,24 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     vocabulary = load(model_path)
 
     def vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words, at = load(model_path), set(), None
+        own, words, names, at = load(model_path), set(), set(), None
 
         def emit():
-            found, _ = own.fragments(list(words))
-            names = sorted(set(found))
+            ordered = sorted(names)
+            for k in range(0, len(ordered), 1 << 16):
+                part = pa.array(ordered[k:k + (1 << 16)], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), part], ["block", "fragment"])
             words.clear()
-            for k in range(0, len(names), 1 << 16):
-                part = names[k:k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "fragment"])
+            names.clear()
 
         for block, part in _blocks(batches):
-            if block != at and words:
+            if block != at and names:
                 yield from emit()
             at = block
-            words.update(Coder(part.column(1)).words)
-        if words:
+            fresh = [w for w in Coder(part.column(1)).words if w not in words]
+            words.update(fresh)
+            names.update(own.fragments(fresh)[0])
+        if names:
             yield from emit()
 
     def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,31 +340,38 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 ["block", "packed"])
 
     parts = stored(rows.mapInArrow(vocabulary_rows, "block bigint, fragment string"), "block_fragments")
-    distinct = parts.select("fragment").distinct()
+    # a fragment becomes many substrings: more partitions than its bytes ask for
+    spread = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = parts.select("fragment").repartition(spread, "fragment").distinct()
     if vocabulary.bpe:
         def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = load(model_path)
             for b in batches:
-                names = b.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), pa.array([own.merged(x) for x in names], pa.list_(pa.int32()))],
-                    ["fragment", "ids"])
+                cuts = [own.merged(x) for x in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.list_(pa.int32()))], ["fragment", "cuts"])
 
         short = F.length("fragment") <= MASK_CHARS - 1
         coded = encode_fragments(distinct.where(short), vocabulary).unionByName(
-            distinct.where(~short).mapInArrow(merged, "fragment string, ids array<int>"))
+            distinct.where(~short).mapInArrow(merged, "fragment string, cuts array<int>"))
     else:
         coded = encode_fragments(distinct, vocabulary)
     coded = stored(coded, "coded_fragments")
-    book = parts.join(coded, "fragment").select("block", "fragment", "ids")
+    book = parts.join(coded, "fragment", "left").select("block", "fragment", "cuts")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         own, unpack = load(model_path), zstandard.ZstdDecompressor()
         # every fragment's ids end to end in one array
-        lists = right["ids"].combine_chunks()
-        number = dict(zip(right["fragment"].to_pylist(), range(right.num_rows)))
-        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, start = lists.flatten().to_numpy(), np.cumsum(size) - size
+        number, numbers, size = {}, [], []
+        for at in range(0, right.num_rows, 1 << 14):
+            part = right.slice(at, 1 << 14)
+            for fragment, cuts in zip(part["fragment"].to_pylist(), part["cuts"].to_pylist()):
+                number[fragment] = len(size)
+                spelled = own.spell(fragment, cuts)
+                numbers += spelled
+                size.append(len(spelled))
+        flat, size = np.array(numbers, np.int32), np.array(size, np.int64)
+        start = np.cumsum(size) - size
+        del numbers
         out_ids, out_rows = [], []
         for packed in left["packed"]:
             for part in pa.ipc.open_stream(unpack.decompress(packed.as_py())):
