@@ -7,8 +7,7 @@ of five template elements are hashed and joined to the windows of the
 benchmark items.  For every matching window the values behind the
 placeholders are compared: inside one (document, item) pair an item's value
 must always stand for the same value of the document.  Windows that break
-this, whose templates differ after all, or that have fewer than two plain
-words and other values, do not count.  A document is contaminated by an item
+this, or that have fewer than two plain words and other values, do not count.  A document is contaminated by an item
 when at least 0.8 of the item's windows count; where values differ it is a
 re-parameterised copy, else an exact one.
 
@@ -34,6 +33,7 @@ WORDS = 5
 LEAST = 0.8
 PLAIN = 2                       # plain words a re-parameterised window needs
 BROADCAST_WINDOWS = 500_000     # about 32 bytes each
+PART = "\x1f"                   # never inside a token
 TOKEN = r"[.!?\n]|\p{L}[\p{L}\p{M}'’]*|\d+(?:[.,]\d+)*"
 STOPS = (".", "!", "?", "\n")
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
@@ -57,95 +57,98 @@ def _element(x: Column, before: Column) -> Column:
 
 
 def templates(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``raw`` and ``canon``, the tokens and their template
-    elements, in place of ``text``."""
+    """``rows`` with ``tokens`` in place of ``text``: an array of structs of
+    the token ``r`` and its template element ``c``."""
     keep = [c for c in rows.columns if c != text]
     cut = rows.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-                      .alias("tokens"))
-    pairs = cut.select(*keep, F.filter(
-        F.transform("tokens", lambda x, i: F.struct(
-            x.alias("r"), _element(x, F.get(F.col("tokens"), i - 1)).alias("c"))),
-        lambda t: t["c"].isNotNull()).alias("pairs"))
-    # transform, not field access: the optimizer would move a cheap field
-    # access into the lambdas that read these arrays, once per window
-    return pairs.select(*keep, F.transform("pairs", lambda t: t["r"]).alias("raw"),
-                        F.transform("pairs", lambda t: t["c"]).alias("canon"))
+                      .alias("found"))
+    return cut.select(*keep, F.filter(
+        F.transform("found", lambda x, i: F.struct(
+            x.alias("r"), _element(x, F.get(F.col("found"), i - 1)).alias("c"))),
+        lambda t: t["c"].isNotNull()).alias("tokens"))
+
+
+def _plain(c: Column) -> Column:
+    return ~c.isin(NUMBER, UNIT, NAME)
+
+
+def _slots(tokens: Column) -> Column:
+    """The placeholders among some tokens, with their values."""
+    return F.filter(tokens, lambda t: ~_plain(t["c"]))
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``hashes``, one per window of ``canon``."""
-    size = F.size("canon")
-    hashed = (F.when(size >= WORDS, F.transform(F.sequence(F.lit(1), size - (WORDS - 1)),
-                                                lambda i: F.xxhash64(F.slice("canon", i, WORDS))))
-              .when(size > 0, F.array(F.xxhash64("canon")))
-              .otherwise(F.array().cast("array<bigint>")))
-    return rows.withColumn("hashes", hashed)
+    """``rows`` with ``windows``, one ``(hash, values)`` per window of
+    ``tokens``; ``values`` are those of its placeholders, parted by PART."""
+    keep = [c for c in rows.columns if c != "tokens"]
+    # transform, not field access: the optimizer would move a cheap field
+    # access into the lambdas that read these arrays, once per window
+    both = rows.select(*keep, "tokens", F.transform("tokens", lambda t: t["c"]).alias("canon"),
+                       F.transform("tokens", lambda t: F.when(~_plain(t["c"]), t["r"])).alias("held"))
+    size = F.least(F.size("canon"), F.size("held"))
 
+    def window(canon: Column, held: Column) -> Column:
+        return F.struct(F.xxhash64(canon).alias("hash"), F.array_join(held, PART).alias("values"))
 
-def _plain(c: Column) -> Column:
-    return ~c.isin(NUMBER, UNIT, NAME)
+    made = (F.when(size >= WORDS, F.transform(F.sequence(F.lit(1), size - (WORDS - 1)), lambda i: window(
+        F.slice("canon", i, WORDS), F.slice("held", i, WORDS))))
+        .when(size > 0, F.array(window(F.col("canon"), F.col("held")))))
+    return both.select(*keep, "tokens", made.alias("windows"))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(item, first, hash, part_canon, part_raw, total)``: one row per
-    distinct window of each item, at its first place.  The first word may
-    stand inside a sentence of a document, so its window is there with a
-    name in that place too; it has the same ``first``."""
+    """``(item, first, hash, plain, item_slots, total)``: one row per distinct
+    window of each item, at its first place, with its number of plain words.
+    The first word may stand inside a sentence of a document, so its window
+    is there with a name in that place too; it has the same ``first``."""
     rows = items.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("body"))
     cut = windows(templates(rows.where("item is not null").distinct(), "body"))
-    each = cut.select("item", "raw", "canon", F.posexplode_outer("hashes").alias("first", "hash"))
-    each = (each.where("hash is not null").select("item", "first", "hash", F.slice("canon", F.col("first") + 1, WORDS).alias("part_canon"),
-                        F.slice("raw", F.col("first") + 1, WORDS).alias("part_raw"))
-            .groupBy("item", "hash").agg(F.min_by(F.struct("first", "part_canon", "part_raw"), "first").alias("w"))
+    each = cut.select("item", "tokens", F.posexplode_outer("windows").alias("first", "w")).where("w is not null")
+    each = (each.select("item", "first", F.col("w.hash").alias("hash"),
+                        F.slice("tokens", F.col("first") + 1, WORDS).alias("part"))
+            .groupBy("item", "hash").agg(F.min_by(F.struct("first", "part"), "first").alias("w"))
             .select("item", "hash", "w.*"))
-    total = each.groupBy("item").agg(F.count("*").alias("total"))
-    each = each.join(total, "item")
-    inside = F.concat(F.array(F.lit(NAME)), F.slice("part_canon", 2, WORDS))
-    named = (each.where((F.col("first") == 0) & _plain(F.get("part_canon", F.lit(0)))
-                        & (F.lower(F.get("part_raw", F.lit(0))) != F.get("part_raw", F.lit(0))))
-             .withColumn("part_canon", inside).withColumn("hash", F.xxhash64("part_canon")))
-    return each.unionByName(named)
+    each = each.join(each.groupBy("item").agg(F.count("*").alias("total")), "item")
+    head = F.get("part", F.lit(0))
+    named = (each.where((F.col("first") == 0) & _plain(head["c"]) & (F.lower(head["r"]) != head["r"]))
+             .withColumn("part", F.concat(F.array(F.struct(head["r"].alias("r"), F.lit(NAME).alias("c"))),
+                                          F.slice("part", 2, WORDS)))
+             .withColumn("hash", F.xxhash64(F.transform("part", lambda t: t["c"]))))
+    return each.unionByName(named).select(
+        "item", "first", "hash", F.size(F.filter("part", lambda t: _plain(t["c"]))).alias("plain"),
+        _slots(F.col("part")).alias("item_slots"), "total")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(row_id, item, containment, exact)`` for each document and each item
-    whose windows count to at least LEAST."""
+    whose windows count to at least LEAST.  Texts are read once and never
+    shuffled: only windows that hit go on, with their values."""
     known = stored(item_windows(items, item_id_col, item_text_col), "item_windows")
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).cast("string").alias("body"))
-    cut = windows(templates(rows, "body"))
     # outer: for the inner form the optimizer adds a filter on the array's
     # size and moves it, with all that makes the array, below the lambdas
-    spots = cut.select("row_id", F.posexplode_outer("hashes").alias("at", "hash")).where("hash is not null")
-    index = known.select("hash", "item", "first")
-    if known.count() <= BROADCAST_WINDOWS:
-        index = F.broadcast(index)
-    hits = stored(spots.join(index, "hash").groupBy("row_id", "item")
-                  .agg(F.collect_set(F.struct("at", "first", "hash")).alias("hits"))
-                  .join(known.select("item", F.col("total").alias("all")).distinct(), "item")
-                  .where(F.size(F.array_distinct(F.col("hits.first"))) >= F.col("all") * LEAST)
-                  .select(F.col("row_id").alias("hit_id"), "item", "hits"), "hits")
-    # the texts of the documents that hit are read again for the values
-    found = templates(rows.join(hits, F.col("row_id").eqNullSafe(F.col("hit_id"))).drop("hit_id"), "body")
-    # naming both arrays outside the lambda too keeps them computed once a row
-    cuts = F.when((F.size("canon") > 0) & (F.size("raw") > 0), F.transform("hits", lambda h: F.struct(
-        h["first"].alias("first"), h["hash"].alias("hash"),
-        F.slice("canon", h["at"] + 1, WORDS).alias("doc_canon"),
-        F.slice("raw", h["at"] + 1, WORDS).alias("doc_raw"))))
-    part = found.select("row_id", "item", F.explode_outer(cuts).alias("h")).select("row_id", "item", "h.*")
-    both = part.join(known, ["item", "first", "hash"]).where(F.col("doc_canon") == F.col("part_canon"))
-    slots = F.filter(F.zip_with("part_canon", F.zip_with("part_raw", "doc_raw", lambda a, b: F.struct(
-        a.alias("item_value"), b.alias("doc_value"))), lambda c, v: F.struct(
-            F.concat(c, v["item_value"]).alias("slot"), c.alias("c"), v["item_value"].alias("item_value"),
-            v["doc_value"].alias("doc_value"))), lambda s: ~_plain(s["c"]))
-    both = stored(both.select("row_id", "item", "first", "total", slots.alias("slots"),
-                              F.size(F.filter("part_canon", _plain)).alias("plain")), "window_pairs")
+    spots = (windows(templates(rows, "body")).select("row_id", F.explode_outer("windows").alias("w"))
+             .where("w is not null").select("row_id", "w.*"))
+    index = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    # equal windows have their placeholders in the same places
+    values = F.when(F.col("values") != "", F.split("values", PART)).otherwise(F.array().cast("array<string>"))
+    slots = F.zip_with("item_slots", values, lambda a, b: F.struct(
+        F.concat(a["c"], a["r"]).alias("slot"), a["r"].alias("item_value"), b.alias("doc_value")))
+    hits = stored(spots.join(index, "hash").select("row_id", "item", "first", "total", "plain", slots.alias("slots")),
+                  "window_hits")
+    enough = stored(hits.groupBy("row_id", "item").agg(F.count_distinct("first").alias("n"), F.max("total").alias("t"))
+                    .where(F.col("n") >= F.col("t") * LEAST)
+                    .select(F.col("row_id").alias("e_id"), F.col("item").alias("e_item")), "candidates")
+    both = stored(hits.join(enough, F.col("row_id").eqNullSafe(F.col("e_id")) & (F.col("item") == F.col("e_item")),
+                            "left_semi"), "window_pairs")
     # the value that most often stands for an item's value
     value = (both.select("row_id", "item", F.explode("slots").alias("s"))
              .groupBy("row_id", "item", "s.slot", "s.doc_value").agg(F.count("*").alias("n"))
              .groupBy("row_id", "item", "slot").agg(F.max_by("doc_value", F.struct("n", "doc_value")).alias("v"))
              .groupBy("row_id", "item").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("values"))
              .select(F.col("row_id").alias("v_id"), F.col("item").alias("v_item"), "values"))
+    value = stored(value, "slot_values")
     checked = both.join(value, F.col("row_id").eqNullSafe(F.col("v_id")) & (F.col("item") == F.col("v_item")), "left")
     same = F.forall("slots", lambda s: F.lower(s["item_value"]) == F.lower(s["doc_value"]))
     holds = F.forall("slots", lambda s: F.col("values")[s["slot"]] == s["doc_value"])

@@ -70,8 +70,8 @@ def test_tables_of_numbers_are_clean(spark):
 def test_templates(spark):
     df = spark.createDataFrame([(1, "It weighs 3.5 kg in Rome. Then Bob's dog, 2 days on!")], "i int, t string")
     row = templates(df, "t").first()
-    assert row.canon == ["it", "weighs", "<num>", "<unit>", "in", "<name>", "then", "<name>", "dog", "<num>", "<unit>", "on"]
-    assert row.raw[2:4] == ["3.5", "kg"]
+    assert [t.c for t in row.tokens] == ["it", "weighs", "<num>", "<unit>", "in", "<name>", "then", "<name>", "dog", "<num>", "<unit>", "on"]
+    assert [t.r for t in row.tokens[2:4]] == ["3.5", "kg"]
 
 
 def test_edge_cases(spark):
