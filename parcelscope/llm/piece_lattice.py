@@ -34,6 +34,7 @@ mask holds (62 characters) is merged by a priority queue instead of the fold.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,6 +79,10 @@ class Vocabulary:
         self.unknown = min((s for _, s in self.normal.values()), default=0.0) - 10.0
         met = {ord(a) << 21 | ord(b) for p in self.normal for a, b in zip(p, p[1:])}
         self.met = np.append(np.array(sorted(met), np.int64), np.iinfo(np.int64).max)
+        # parts the pieces of a spelled fragment; a character of no piece, so
+        # in a text it is a fragment of its own
+        used = set("".join(self.normal))
+        self.mark = next(chr(c) for c in range(1, 0x110000) if chr(c) not in used)
 
     def fragments(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """All fragments of the words, end to end, and how many each has."""
@@ -97,7 +102,7 @@ class Vocabulary:
         return [text[a:b] for a, b in zip(at.tolist(), ends.tolist())], counts
 
     def merged(self, fragment: str) -> list[int]:
-        """Ends of the pieces of one long fragment, by a priority queue."""
+        """Starts of the pieces of one long fragment, by a priority queue."""
         n = len(fragment)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         queue: list[tuple[float, int, int]] = []
@@ -120,20 +125,17 @@ class Vocabulary:
                 before[stop] = i
             push(before[i])
             push(i)
-        return [end[i] for i in range(n) if alive[i]]
+        return [i for i in range(n) if alive[i]]
 
-    def spell(self, fragment: str, cuts: list[int] | None) -> list[int]:
-        """Piece ids of a fragment cut at ``cuts`` (None: every character)."""
+    def ids(self, spelled: str) -> list[int]:
+        """Piece ids of a fragment whose pieces are parted by the mark."""
         out: list[int] = []
-        start = 0
-        for stop in cuts if cuts is not None else range(1, len(fragment) + 1):
-            piece = fragment[start:stop]
+        for piece in [spelled] if spelled == self.mark else spelled.split(self.mark):
             known = self.normal.get(piece)
             if known:
                 out.append(known[0])
             else:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            start = stop
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -303,6 +305,18 @@ def encode_fragments(fragments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return best.select("fragment", F.when((F.col("n") > 0) & (F.size("best") > 0), F.sort_array(walk["cuts"])).alias("cuts"))
 
 
+def _spelled(cuts: DataFrame, mark: str) -> DataFrame:
+    """``(spelled)``: the fragments of ``(fragment, cuts)`` with the mark
+    between their pieces."""
+    def piece(i: Column) -> Column:
+        start = F.coalesce(F.get("cuts", i - 1), F.lit(0))
+        return F.substring("fragment", start + 1, F.get("cuts", i) - start)
+
+    # no filter here: it would be moved, with the fold inside it, below the fold
+    return cuts.select(F.array_join(
+        F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), piece), mark).alias("spelled"))
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row_id, ids)`` for every row: the piece ids of its whole text."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).cast("string").alias("body"))
@@ -347,31 +361,36 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = load(model_path)
             for b in batches:
-                cuts = [own.merged(x) for x in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.list_(pa.int32()))], ["fragment", "cuts"])
+                out = []
+                for name in b.column(0).to_pylist():
+                    starts = own.merged(name)
+                    out.append(own.mark.join(name[i:j] for i, j in zip(starts, [*starts[1:], len(name)])))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["spelled"])
 
         short = F.length("fragment") <= MASK_CHARS - 1
-        coded = encode_fragments(distinct.where(short), vocabulary).unionByName(
-            distinct.where(~short).mapInArrow(merged, "fragment string, cuts array<int>"))
+        coded = _spelled(encode_fragments(distinct.where(short), vocabulary), vocabulary.mark).unionByName(
+            distinct.where(~short).mapInArrow(merged, "spelled string"))
     else:
-        coded = encode_fragments(distinct, vocabulary)
+        coded = _spelled(encode_fragments(distinct, vocabulary), vocabulary.mark)
     coded = stored(coded, "coded_fragments")
-    book = parts.join(coded, "fragment", "left").select("block", "fragment", "cuts")
+    # the fragment is its spelling without the marks, so it is not shuffled twice
+    single = F.array_join(F.transform(F.sequence(F.lit(1), F.length("fragment")),
+                                      lambda i: F.substring("fragment", i, F.lit(1))), vocabulary.mark)
+    book = (parts.join(coded, F.col("fragment") == F.replace("spelled", F.lit(vocabulary.mark), F.lit("")), "left")
+            .select("block", F.coalesce("spelled", single).alias("spelled")))
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         own, unpack = load(model_path), zstandard.ZstdDecompressor()
         # every fragment's ids end to end in one array
-        number, numbers, size = {}, [], []
+        number, numbers, size = {}, array("i"), array("q")
         for at in range(0, right.num_rows, 1 << 14):
-            part = right.slice(at, 1 << 14)
-            for fragment, cuts in zip(part["fragment"].to_pylist(), part["cuts"].to_pylist()):
-                number[fragment] = len(size)
-                spelled = own.spell(fragment, cuts)
-                numbers += spelled
-                size.append(len(spelled))
+            for spelled in right["spelled"].slice(at, 1 << 14).to_pylist():
+                number[spelled if spelled == own.mark else spelled.replace(own.mark, "")] = len(size)
+                found = own.ids(spelled)
+                numbers.extend(found)
+                size.append(len(found))
         flat, size = np.array(numbers, np.int32), np.array(size, np.int64)
         start = np.cumsum(size) - size
-        del numbers
         out_ids, out_rows = [], []
         for packed in left["packed"]:
             for part in pa.ipc.open_stream(unpack.decompress(packed.as_py())):
