@@ -4,7 +4,10 @@ Texts become tokens (words and numbers) and each token a template element:
 numbers, units after a number and names (capitalised words inside a
 sentence) turn into typed placeholders, other words are lower-cased.  Windows
 of five template elements are hashed and joined to the windows of the
-benchmark items.  For every matching window the values behind the
+benchmark items.  Copies in other letter case have other names, so each
+window is hashed in a second form too, where all words are folded to one case
+and only numbers and units are typed; a window that matches in either form
+goes on.  For every matching window the values behind the
 placeholders are compared: inside one (document, item) pair an item's value
 must always stand for the same value of the document.  Windows that break
 this, or that have fewer than two plain words and other values, do not count.  A document is contaminated by an item
@@ -24,7 +27,7 @@ every document clean; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelscope.llm.common import stored, table
@@ -34,6 +37,7 @@ LEAST = 0.8
 PLAIN = 2                       # plain words a re-parameterised window needs
 BROADCAST_WINDOWS = 500_000     # about 32 bytes each
 PART = "\x1f"                   # never inside a token
+NAMED = "\x1e"                  # before the value of a name
 TOKEN = r"[.!?\n]|\p{L}[\p{L}\p{M}'’]*|\d+(?:[.,]\d+)*"
 STOPS = (".", "!", "?", "\n")
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
@@ -60,14 +64,25 @@ def templates(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``tokens`` in place of ``text``: an array of structs of
     the token ``r`` and its template element ``c``."""
     keep = [c for c in rows.columns if c != text]
-    cut = rows.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-                      .alias("found"))
+    # ß has no capital but SS
+    body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("ß"), F.lit("ss"))
+    cut = rows.select(*keep, F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)).alias("found"))
     return cut.select(*keep, F.filter(
         F.transform("found", lambda x, i: F.struct(
             x.alias("r"), _element(x, F.get(F.col("found"), i - 1)).alias("c"))),
         lambda t: t["c"].isNotNull()).alias("tokens"))
 
 
+def _typed(c: Column) -> Column:
+    """Placeholders that do not depend on letter case."""
+    return (c == NUMBER) | (c == UNIT)
+
+
+def _folded(t: Column) -> Column:
+    """Element of a token in the form without letter case."""
+    return F.when(t["c"] == NAME, F.lower(t["r"])).otherwise(t["c"])
+
+
 def _plain(c: Column) -> Column:
     return ~c.isin(NUMBER, UNIT, NAME)
 
@@ -78,21 +93,25 @@ def _slots(tokens: Column) -> Column:
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``windows``, one ``(hash, values)`` per window of
-    ``tokens``; ``values`` are those of its placeholders, parted by PART."""
+    """``rows`` with ``windows``, one ``(hash, folded, values)`` per window of
+    ``tokens``: the hashes of its two forms and the values of its
+    placeholders, parted by PART, names behind NAMED."""
     keep = [c for c in rows.columns if c != "tokens"]
     # transform, not field access: the optimizer would move a cheap field
     # access into the lambdas that read these arrays, once per window
     both = rows.select(*keep, "tokens", F.transform("tokens", lambda t: t["c"]).alias("canon"),
-                       F.transform("tokens", lambda t: F.when(~_plain(t["c"]), t["r"])).alias("held"))
-    size = F.least(F.size("canon"), F.size("held"))
+                       F.transform("tokens", _folded).alias("low"),
+                       F.transform("tokens", lambda t: F.when(t["c"] == NAME, F.concat(F.lit(NAMED), t["r"])).when(
+                           _typed(t["c"]), t["r"])).alias("held"))
+    size = F.least(F.size("canon"), F.size("low"), F.size("held"))
 
-    def window(canon: Column, held: Column) -> Column:
-        return F.struct(F.xxhash64(canon).alias("hash"), F.array_join(held, PART).alias("values"))
+    def window(canon: Column, low: Column, held: Column) -> Column:
+        return F.struct(F.xxhash64(canon).alias("hash"), F.xxhash64(low).alias("folded"),
+                        F.array_join(held, PART).alias("values"))
 
     made = (F.when(size >= WORDS, F.transform(F.sequence(F.lit(1), size - (WORDS - 1)), lambda i: window(
-        F.slice("canon", i, WORDS), F.slice("held", i, WORDS))))
-        .when(size > 0, F.array(window(F.col("canon"), F.col("held")))))
+        F.slice("canon", i, WORDS), F.slice("low", i, WORDS), F.slice("held", i, WORDS))))
+        .when(size > 0, F.array(window(F.col("canon"), F.col("low"), F.col("held")))))
     return both.select(*keep, "tokens", made.alias("windows"))
 
 
@@ -100,13 +119,15 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(item, first, hash, plain, item_slots, total)``: one row per distinct
     window of each item, at its first place, with its number of plain words.
     The first word may stand inside a sentence of a document, so its window
-    is there with a name in that place too; it has the same ``first``."""
+    is there with a name in that place too; it has the same ``first``, and so
+    have the windows' other forms, whose names are plain words."""
     rows = items.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("body"))
     cut = windows(templates(rows.where("item is not null").distinct(), "body"))
-    each = cut.select("item", "tokens", F.posexplode_outer("windows").alias("first", "w")).where("w is not null")
-    each = (each.select("item", "first", F.col("w.hash").alias("hash"),
-                        F.slice("tokens", F.col("first") + 1, WORDS).alias("part"))
-            .groupBy("item", "hash").agg(F.min_by(F.struct("first", "part"), "first").alias("w"))
+    places = cut.select("item", "tokens", F.posexplode_outer("windows").alias("at", "w")).where("w is not null")
+    places = places.select("item", "at", F.min("at").over(Window.partitionBy("item", "w.hash")).alias("first"),
+                           F.col("w.hash").alias("hash"), F.col("w.folded").alias("folded"),
+                           F.slice("tokens", F.col("at") + 1, WORDS).alias("part"))
+    each = (places.groupBy("item", "hash").agg(F.min_by(F.struct("first", "part"), "first").alias("w"))
             .select("item", "hash", "w.*"))
     each = each.join(each.groupBy("item").agg(F.count("*").alias("total")), "item")
     head = F.get("part", F.lit(0))
@@ -114,7 +135,12 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
              .withColumn("part", F.concat(F.array(F.struct(head["r"].alias("r"), F.lit(NAME).alias("c"))),
                                           F.slice("part", 2, WORDS)))
              .withColumn("hash", F.xxhash64(F.transform("part", lambda t: t["c"]))))
-    return each.unionByName(named).select(
+    lower = (places.where(F.col("folded") != F.col("hash")).groupBy("item", "first", "folded")
+             .agg(F.min_by("part", "at").alias("part"))
+             .join(each.select("item", "total").distinct(), "item")
+             .select("item", "first", F.col("folded").alias("hash"), F.transform("part", lambda t: F.struct(
+                 t["r"].alias("r"), _folded(t).alias("c"))).alias("part"), "total"))
+    return each.unionByName(named).unionByName(lower).select(
         "item", "first", "hash", F.size(F.filter("part", lambda t: _plain(t["c"]))).alias("plain"),
         _slots(F.col("part")).alias("item_slots"), "total")
 
@@ -130,9 +156,24 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     # size and moves it, with all that makes the array, below the lambdas
     spots = (windows(templates(rows, "body")).select("row_id", F.explode_outer("windows").alias("w"))
              .where("w is not null").select("row_id", "w.*"))
-    index = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
-    # equal windows have their placeholders in the same places
+    small = known.count() <= BROADCAST_WINDOWS
+    index = F.broadcast(known) if small else known
+    # windows with a hit in either form, before one row becomes two
+    keys = stored(known.select("hash").distinct(), "item_hashes")
+    keys = F.broadcast(keys) if small else keys
+    spots = (spots.withColumn("folded", F.when(F.col("folded") != F.col("hash"), F.col("folded")))
+             .join(keys.select("hash", F.lit(True).alias("hit")), "hash", "left")
+             .join(keys.select(F.col("hash").alias("folded"), F.lit(True).alias("low_hit")), "folded", "left")
+             .where("hit or low_hit"))
+    forms = F.array(F.when(F.col("hit"), F.struct(F.col("hash").alias("hash"), F.lit(False).alias("low"))),
+                    F.when(F.col("low_hit"), F.struct(F.col("folded").alias("hash"), F.lit(True).alias("low"))))
+    spots = (spots.select("row_id", "values", F.explode_outer(forms).alias("f")).where("f is not null")
+             .select("row_id", "values", "f.*"))
+    # equal windows have their placeholders in the same places; the form
+    # without letter case has no names
     values = F.when(F.col("values") != "", F.split("values", PART)).otherwise(F.array().cast("array<string>"))
+    values = F.transform(F.filter(values, lambda v: ~(F.col("low") & v.startswith(NAMED))),
+                         lambda v: F.replace(v, F.lit(NAMED), F.lit("")))
     slots = F.zip_with("item_slots", values, lambda a, b: F.struct(
         F.concat(a["c"], a["r"]).alias("slot"), a["r"].alias("item_value"), b.alias("doc_value")))
     hits = stored(spots.join(index, "hash").select("row_id", "item", "first", "total", "plain", slots.alias("slots")),

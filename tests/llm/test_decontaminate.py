@@ -60,6 +60,21 @@ def test_re_parameterised_questions(spark):
     assert not got[3].contaminated and not got[4].contaminated and not got[5].contaminated
 
 
+def test_letter_case(spark):
+    around = "Some words come first, and then. {} And here the text goes on with more words."
+    german = "Die Schüler messen auf der Straße 12 Bäume und rechnen mit Anna die Höhe aller Bäume im Garten aus"
+    other = CHANGED.upper().replace("OSKAR", "ANNA").replace("BERLIN", "PARIS").replace("BREMEN", "LYON")
+    got = run(spark, [(1, around.format(ITEM.upper())), (2, around.format(ITEM.lower())), (3, ITEM.upper()),
+                      (4, around.format(german.upper())), (5, german.lower()), (6, around.format(other)),
+                      (7, around.format(MIXED.upper())), (8, around.format(ITEM.title())), (9, around.upper())],
+              [(10, ITEM), (11, german)])
+    assert {i: r["items"] for i, r in got.items()} == {1: [10], 2: [10], 3: [10], 4: [11], 5: [11], 6: [10], 7: [],
+                                                       8: [10], 9: []}
+    assert all(got[i].containment == 1.0 and got[i].exact for i in (1, 2, 3, 4, 5, 8)) and not got[6].exact
+    # an item in capitals, a document in usual letters
+    assert run(spark, [(1, around.format(ITEM))], [(10, ITEM.upper())])[1].exact
+
+
 def test_tables_of_numbers_are_clean(spark):
     numbers = " ".join(str(i * 37 % 101) for i in range(60))
     other = " ".join(str(i * 53 % 97) for i in range(60))
