@@ -1,10 +1,10 @@
 """Corpus pipeline over ``documents``: quality, near copies, benchmark
-passages, secrets, subword encoding.
+passages, secrets, subword encoding and decoding.
 
 Each stage calls one operator of ``parcelscope.llm`` on all that the stage
 before it kept; its result is written as Parquet and read again as the next
 one's input.  All stages but the last return the columns of ``documents``;
-the last returns the piece ids of what is left.
+the last returns the piece ids of what is left and what they decode to.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parcelscope.llm.common import stored, table
 from parcelscope.llm.decontaminate import drop_contaminated
-from parcelscope.llm.piece_lattice import encode
+from parcelscope.llm.piece_lattice import encode, with_decoded
 from parcelscope.llm.secret_forest import redact, scan
 from parcelscope.llm.simhash import keep_first
 from parcelscope.llm.site_quality import keep_good
@@ -52,9 +52,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_pieces, ids)``: the encoded texts."""
-    found = encode(docs, public_tokenizers.path(VOCABULARY))
-    return found.select(F.col("row_id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids")
+    """``(doc_id, n_pieces, ids, n_decoded, decoded_sha256)``: the encoded
+    texts, and length and digest of the texts that the ids decode to."""
+    model = public_tokenizers.path(VOCABULARY)
+    return with_decoded(encode(docs, model), model).withColumnRenamed("row_id", "doc_id")
 
 
 STAGES = [("quality_classifier", quality), ("simhash_near_dedup", near_copies),

@@ -33,6 +33,7 @@ mask holds (62 characters) is merged by a priority queue instead of the fold.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -53,6 +54,7 @@ BLOCK_BYTES = 32 << 20
 MASK_CHARS = 62
 BROADCAST_PIECES = 1_000_000
 ENCODED = "row_id bigint, ids array<int>"
+DECODED = "row_id bigint, n_pieces int, ids array<int>, n_decoded bigint, decoded_sha256 string"
 
 
 class Vocabulary:
@@ -138,27 +140,18 @@ class Vocabulary:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        back = self._byte_of
-        for i in ids:
-            if i in back:
-                raw.append(back[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.control:
-                out.append(self.names[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(META, " ")
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(self._spelled[ids].tolist()).decode("utf-8", "replace").replace(META, " ")
         return text[1:] if text[:1] == " " else text
 
     @property
-    def _byte_of(self) -> dict[int, int]:
-        if not hasattr(self, "_back"):
-            self._back = {i: b for b, i in self.bytes.items()}
-        return self._back
+    def _spelled(self) -> np.ndarray:
+        """Bytes of each piece; none for control pieces."""
+        if not hasattr(self, "_out"):
+            self._out = np.array([b"" if i in self.control else n.encode() for i, n in enumerate(self.names)], object)
+            for b, i in self.bytes.items():
+                self._out[i] = bytes([b])
+        return self._out
 
 
 @lru_cache(maxsize=2)
@@ -437,13 +430,36 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                texts = [own.decode(x) for x in b.column(1).to_pylist()]
+                texts = [own.decode(x.values.to_numpy()) for x in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row_id", "text"])
 
     return encoded.select("row_id", "ids").mapInArrow(run, "row_id bigint, text string")
 
 
+def with_decoded(encoded: DataFrame, model_path: str) -> DataFrame:
+    """``(row_id, n_pieces, ids, n_decoded, decoded_sha256)`` from ``(row_id,
+    ids)``: each row's ids with the length in characters and the digest of
+    the text that they decode to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = load(model_path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                count, length, digest = [], [], []
+                for ids in b.column(1):
+                    text = own.decode(ids.values.to_numpy())
+                    count.append(len(ids))
+                    length.append(len(text))
+                    digest.append(hashlib.sha256(text.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(count, pa.int32()), b.column(1), pa.array(length, pa.int64()),
+                     pa.array(digest, pa.string())], ["row_id", "n_pieces", "ids", "n_decoded", "decoded_sha256"])
+
+    return encoded.select("row_id", "ids").mapInArrow(run, DECODED)
+
+
 def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select(F.col("row_id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = with_decoded(encode(table(spark, sf_dir, "documents"), model), model)
+    return found.withColumnRenamed("row_id", "doc_id")

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -68,3 +70,17 @@ def test_edge_cases(spark):
     got = sorted([(str(r.row_id), r.ids) for r in encode(docs(spark, given, clash=True), MODEL).collect()])
     assert got == sorted([(str(i), LIBRARY.encode(t or "")) for i, t in given])
     assert encode(docs(spark, []), MODEL).count() == 0
+
+
+def _decoded(text):
+    return len(text), hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_registered_queries_decode(spark, smoke_dir):
+    given = {i: t or "" for i, t in rows(smoke_dir, "documents", "doc_id", "text")}
+    got = op9_piece_lattice(spark, smoke_dir).collect()
+    assert {r.doc_id: (r.n_decoded, r.decoded_sha256) for r in got} == {i: _decoded(t) for i, t in given.items()}
+    few = docs(spark, [(1, None), (2, ""), (3, "a▁b  日本😀"), (3, "a▁b  日本😀"), (None, "x\n")])
+    got = corpus_pipeline.pieces(spark, few, smoke_dir).collect()
+    assert sorted((str(r.doc_id), r.n_decoded, r.decoded_sha256) for r in got) == sorted(
+        (str(i), *_decoded(t)) for i, t in [(1, ""), (2, ""), (3, "a b  日本😀"), (3, "a b  日本😀"), (None, "x\n")])
