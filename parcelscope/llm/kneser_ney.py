@@ -19,10 +19,13 @@ Spark aggregates.  A prediction is marked ``rejected`` when that chance is
 under ``reject_below`` or its cross-entropy lies over ``reject_sd`` standard
 deviations above its language's mean.
 
-Size bound: the model goes to the workers as one broadcast of at most
-``max_grams`` n-grams of the highest order (the lower orders have fewer).
-A table beyond that drops the n-grams seen fewest times, as pruned n-gram
-models do; the counts, discounts and the scored texts still cover all rows.
+Counts, discounts, continuations and weights come from the full table and no
+n-gram is left out.  Up to ``max_grams`` n-grams of the highest order the
+model is one broadcast.  A larger one is split into parts by the two middle
+characters of its n-grams, with which all longer n-grams and contexts that an
+n-gram needs go along (those of two characters and fewer are in each part);
+each part is broadcast in turn and adds up the costs of its own n-grams of
+every text, and the sums over the parts are the whole model's.
 
 Edge cases.  A null text, or one without a letter, gets ``und`` with score 0
 (so does every row when nothing could be learned).  Repeated rows are
@@ -180,7 +183,8 @@ def _tables(counts: DataFrame) -> DataFrame:
 
 
 def prune(counts: DataFrame, max_grams: int) -> DataFrame:
-    """The n-grams kept in a model of at most ``max_grams``."""
+    """The n-grams of a smaller model of at most ``max_grams``, for callers
+    that want one; ``identify`` leaves none out."""
     if counts.count() <= max_grams:
         return counts
     steps = counts.groupBy(F.floor(F.log2("n")).alias("step")).count().orderBy(F.desc("step")).collect()
@@ -193,10 +197,25 @@ def prune(counts: DataFrame, max_grams: int) -> DataFrame:
     return counts.where(F.col("n") >= least)
 
 
+def _part_of(a, b, parts: int):
+    """Part of the n-grams with these middle characters (code points)."""
+    return (a * 31 + b) % parts
+
+
+def parted(tables: DataFrame, parts: int, part: int) -> DataFrame:
+    """The rows of ``_tables`` that the n-grams of one part need."""
+    # the middle characters' place in an n-gram of k, or in its context
+    at = F.col("k") - (ORDER - 2)
+    first, second = (F.ascii(F.substring("gram", at + i, F.lit(1))) for i in (0, 1))
+    return tables.where((F.col("k") < ORDER - 1) | (_part_of(first, second, parts) == part))
+
+
 class Model:
-    """Sorted hash arrays per language and order."""
+    """Sorted hash arrays per language and order; of one part of the n-grams
+    where there is more than one."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, parts: int = 1, part: int = 0):
+        self.parts, self.part = parts, part
         kind, k, lang = (np.array(rows[c].to_pylist()) for c in ("kind", "k", "lang"))
         value = rows["v"].to_numpy()
         grams = np.array(rows["gram"].to_pylist(), dtype=object)
@@ -235,27 +254,68 @@ class Model:
         return out
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy ``[rows, languages]`` and characters scored."""
+        """Cross-entropy ``[rows, languages]`` and characters scored; over
+        the part's n-grams alone where there is more than one part."""
+        total, chars = self.costs(texts)
+        return total / np.maximum(chars, 1)[:, None], chars
+
+    def costs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of -log P over the part's n-grams, and all characters."""
         n = len(texts)
         row, word, names = _words(texts)
         total, chars = np.zeros((n, len(self.langs))), np.zeros(n, np.int64)
         if len(row) and self.langs:
             grams, source = _windows(names)
             _, one, back = np.unique(_mix(grams), return_index=True, return_inverse=True)
-            cost = self.cost(grams[one])
+            own = grams[one]
+            cost = np.zeros((len(own), len(self.langs)))
+            middle = own[:, 1:3].astype(np.int64)
+            mine = _part_of(middle[:, 0], middle[:, 1], self.parts) == self.part
+            cost[mine] = self.cost(own[mine])
             size = np.bincount(source, minlength=len(names))
             chars = np.bincount(row, size[word], n).astype(np.int64)
             for j in range(len(self.langs)):
                 per_word = np.bincount(source, cost[back, j], len(names))
                 total[:, j] = np.bincount(row, per_word[word], n)
-        return total / np.maximum(chars, 1)[:, None], chars
+        return total, chars
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
-          max_grams: int = 2_000_000) -> Model:
-    """Model of all rows with a language."""
+def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
+            max_grams: int = 2_000_000) -> tuple[DataFrame, int]:
+    """Model tables of all rows with a language, and in how many parts they
+    have about ``max_grams`` n-grams each."""
     counts = stored(gram_counts(docs, lang_col, text_col), "gram_counts")
-    return Model(_tables(prune(counts, max_grams)).toArrow())
+    parts = max(1, -(-counts.count() // max_grams))
+    tables = _tables(counts)
+    return (tables if parts == 1 else stored(tables, "model")), parts
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
+    """Model of all rows with a language, in one part."""
+    return Model(_tables(stored(gram_counts(docs, lang_col, text_col), "gram_counts")).toArrow())
+
+
+def _winners(total: np.ndarray, chars: np.ndarray, letters: np.ndarray, langs: list[str]) -> list[pa.Array]:
+    """Winner, cross-entropy, margin to the runner-up and characters."""
+    n, none = len(chars), (chars == 0) | ~letters
+    if langs:
+        ce = total / np.maximum(chars, 1)[:, None]
+        best = ce.argmin(axis=1)
+        low = ce[np.arange(n), best]
+        rest = ce.copy()
+        rest[np.arange(n), best] = np.inf
+        margin = rest.min(axis=1) - low if len(langs) > 1 else low
+    else:
+        best, low, margin, none = np.zeros(n, int), np.zeros(n), np.zeros(n), np.ones(n, bool)
+    names = [None if no else langs[b] for no, b in zip(none, best)]
+    return [pa.array(names, pa.string()), pa.array(low), pa.array(margin), pa.array(np.where(none, 0, chars))]
+
+
+def _letters(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False).astype(bool)
+
+
+NAMES = ["row_id", "lang", "learn", "best", "ce", "margin", "chars"]
 
 
 def score_rows(rows: DataFrame, model: Model) -> DataFrame:
@@ -266,27 +326,54 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for part in slices(batches, 3):
-            ce, chars = own.entropies(part.column(3))
-            n = part.num_rows
-            none = (chars == 0) | ~pc.fill_null(pc.match_substring_regex(part.column(3), r"\p{L}"), False) \
-                .to_numpy(zero_copy_only=False).astype(bool)
-            if own.langs:
-                best = ce.argmin(axis=1)
-                low = ce[np.arange(n), best]
-                rest = ce.copy()
-                rest[np.arange(n), best] = np.inf
-                margin = rest.min(axis=1) - low if len(own.langs) > 1 else low
-            else:
-                best, low, margin, none = np.zeros(n, int), np.zeros(n), np.zeros(n), np.ones(n, bool)
-            names = [None if no else own.langs[b] for no, b in zip(none, best)]
+            total, chars = own.costs(part.column(3))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), pa.array(names, pa.string()),
-                 pa.array(low), pa.array(margin), pa.array(np.where(none, 0, chars))],
-                ["row_id", "lang", "learn", "best", "ce", "margin", "chars"])
+                [part.column(0), part.column(1), part.column(2),
+                 *_winners(total, chars, _letters(part.column(3)), own.langs)], NAMES)
 
     return rows.mapInArrow(run, SCORES)
 
 
+def score_in_parts(rows: DataFrame, tables: DataFrame, parts: int) -> DataFrame:
+    """As ``score_rows``, for a model in more than one part: each part's sums
+    are stored per distinct text, and added up."""
+    sums, langs = None, []
+    # one text for all rows without one
+    keyed = rows.withColumn("key", F.sha2(F.coalesce("body", F.lit("")), 256))
+    for p in range(parts):
+        model = Model(parted(tables, parts, p).toArrow(), parts, p)
+        langs = model.langs
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for part in slices(batches, 1):
+                total, chars = own.costs(part.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(chars),
+                     pa.array(_letters(part.column(1)))], ["key", "costs", "chars", "letters"])
+
+        # equal texts have equal sums
+        one = stored(keyed.select("key", "body").mapInArrow(
+            run, "key string, costs array<double>, chars bigint, letters boolean").dropDuplicates(["key"]), "part_costs")
+        shared.unpersist()
+        sums = one if sums is None else stored(
+            sums.join(one.select("key", F.col("costs").alias("more")), "key")
+            .select("key", F.zip_with("costs", "more", lambda a, b: a + b).alias("costs"), "chars", "letters"), "costs")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                total = np.array(b.column(3).to_pylist(), float).reshape(b.num_rows, len(langs))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), b.column(2),
+                     *_winners(total, b.column(4).to_numpy(),
+                               b.column(5).to_numpy(zero_copy_only=False).astype(bool), langs)], NAMES)
+
+    return (keyed.drop("body").join(sums, "key").select("row_id", "lang", "learn", "costs", "chars", "letters")
+            .mapInArrow(decide, SCORES))
+
+
 def _evidence() -> Column:
     return F.log1p(F.col("margin") * F.col("chars"))
 
@@ -320,8 +407,9 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
                        F.col(lang_col).cast("string").alias("lang"),
                        F.coalesce(learn_from, F.lit(False)).alias("learn"),
                        F.col(text_col).cast("string").alias("body"))
-    model = learn(rows.where("learn"), "lang", "body", max_grams)
-    scores = stored(score_rows(rows, model), "lang_scores")
+    tables, parts = learned(rows.where("learn"), "lang", "body", max_grams)
+    scores = stored(score_rows(rows, Model(tables.toArrow())) if parts == 1 else
+                    score_in_parts(rows, tables, parts), "lang_scores")
     a, b = calibration(scores)
     usual = (scores.where("learn and best = lang").groupBy(F.col("best").alias("of"))
              .agg((F.avg("ce") + reject_sd * F.coalesce(F.stddev_samp("ce"), F.lit(0.0))).alias("most")))

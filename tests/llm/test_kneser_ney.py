@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,3 +89,20 @@ def test_edge_cases(spark):
     nothing = identify(docs(spark, given), learn_from=F.lit(False)).collect()
     assert {r.best for r in nothing} == {"und"}
     assert identify(docs(spark, []), learn_from=F.lit(True)).count() == 0
+
+
+def test_no_n_gram_is_left_out(spark):
+    """Many parts give what one broadcast gives, also beside a hot language."""
+    rng = random.Random(3)
+    letters = {"en": "etaoinshrdlu", "de": "enisratdhulcgöü", "zh": "的一是不了人我在有他這中", "small": "wxyzq"}
+    given = [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(12)), lang)
+             for i in range(120) for lang in [("en", "en", "en", "en", "de", "zh")[i % 6]]]
+    given += [(200, "wxyz zyxw xyq", "small"), (201, "wxyz", None), (202, None, "en"), (203, "", "de"),
+              (204, "12", "en"), (5, given[0][1], "en"), (5, given[0][1], "en"), (None, "wxyz", "small")]
+    frame = docs(spark, given, clash=True).repartition(3)
+    def found(**kw):
+        got = identify(frame, learn_from=F.col("doc_id").isNotNull(), **kw).collect()
+        return sorted((str(r.row_id), r.best, round(r.score, 9), r.rejected) for r in got), [r.ce for r in got]
+    (whole, ce), (parts, split) = found(), found(max_grams=200)
+    assert whole == parts and np.allclose(sorted(ce), sorted(split))
+    assert ("201", "small") in {x[:2] for x in parts}
