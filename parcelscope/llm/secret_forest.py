@@ -1,16 +1,21 @@
 """Secret scans with a random forest for false-positive removal, in
 DataFrame functions (the forest is Spark's own).
 
-Candidates are maximal runs of twelve or more key characters that hold a
-digit.  Features: length, character shares, entropy, transitions between
+Candidates are maximal runs of twelve or more key characters (a run may start
+with any of them and needs no digit, but a letter or digit), and, after a
+credential word and ``=`` or ``:``, the whole value of any length and of any
+characters: up to the closing quote, or to the next space, quote, comma,
+semicolon or bracket.  Runs under twelve characters without a credential word
+are none.  Everything else is left to the forest.  Features: length, character shares, entropy, transitions between
 character classes, the share of the run covered by words of a dictionary
 (letter runs that occur in at least ``MIN_DOCS`` documents of the table),
 path shape of the run and of the document's path, and the neighbouring words.
 
 Labelled findings come with the call as ``(row_id, nth, secret)``; where a
 corpus has none, ``distant_labels`` makes them: a run assigned to a
-credential word is a secret, a number, host, file name, date, UUID or path
-without one is not, and everything else stays unlabelled and is left to the
+credential word is a secret (with a digit, or six or more characters that are
+no dictionary words), a number, host, file name, date, UUID, path or run of
+dictionary words without one is not, and everything else stays unlabelled and is left to the
 forest.  The forest learns from at most ``max_labelled`` labelled findings,
 those first in the order of a hash, and then decides on every finding.
 
@@ -32,8 +37,8 @@ from pyspark.sql import functions as F
 
 from parcelscope.llm.common import scratch_path, stored, table
 
-CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_.\-]*[0-9])"
-             r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{10,}[A-Za-z0-9+/_\-]={0,2}")
+CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?=[+/_.\-]*[A-Za-z0-9])"
+             r"[A-Za-z0-9+/_\-][A-Za-z0-9+/_.\-]{10,}[A-Za-z0-9+/_\-]={0,2}")
 NEAR = 48                       # characters of context on each side
 MIN_DOCS = 20
 MAX_LABELLED = 20_000
@@ -41,6 +46,13 @@ MASK = "[SECRET]"
 # Words that name a credential, and words of made-up ones.
 CREDENTIAL = (r"token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|auth|"
               r"bearer|credential|client[_\- ]?id|signature")
+# Java's lookbehind may have any bounded length; the first one is quick and
+# fails nearly everywhere.
+_AFTER = r"(?<=[=:>\s\"'`])(?<=[=:>]\s{0,4}[\"'`]?)(?<=(?i:" + CREDENTIAL + \
+    r")[A-Za-z0-9_\-]{0,16}[\"'`]?\s{0,4}[=:]>?\s{0,4}"
+VALUE = "|".join([rf"{_AFTER}{q})[^{q}\r\n]++(?={q})" for q in "\"'`"]
+                 + [_AFTER + r")(?![=>])[^\s\"'`,;<>(){}\[\]]*[^\s\"'`,;<>(){}\[\].:]"])
+FOUND = f"(?:{VALUE})|{CANDIDATE}"
 MADE_UP = r"example|sample|dummy|fake|test|placeholder|changeme|xxxx"
 HARMLESS = (r"^(?:[0-9.+\-/]+"                                  # numbers, dates, phones, versions
             r"|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"    # UUIDs
@@ -59,20 +71,29 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path: Column) -> Dat
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"),
                        F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     # the search alone runs on every text; it ends at the first candidate
-    held = rows.where(F.col("body").rlike(CANDIDATE)).distinct()
-    runs = stored(held.select("row_id", "path", "body",
-                              F.regexp_extract_all("body", F.lit(CANDIDATE), F.lit(0)).alias("runs")),
-                  "candidate_rows")
-    cut = runs.select("row_id", "path", F.xxhash64("body").alias("row_key"), "runs",
-                      F.split("body", CANDIDATE, -1).alias("parts"))
-    each = cut.select("row_id", "row_key", "path", F.posexplode("runs").alias("nth", "run"), "parts", "runs")
-    before = F.get("parts", F.col("nth"))
-    return each.select(
-        "row_id", "row_key", "path", "nth",
-        (F.length(F.array_join(F.slice("parts", 1, F.col("nth") + 1), ""))
-         + F.length(F.array_join(F.slice("runs", 1, F.col("nth")), ""))).alias("start"),
-        "run", F.right(before, F.lit(NEAR)).alias("before"),
-        F.left(F.coalesce(F.get("parts", F.col("nth") + 1), F.lit("")), F.lit(NEAR)).alias("after"))
+    held = rows.where(F.col("body").rlike(FOUND)).distinct()
+    cut = stored(held.select("row_id", "path", F.xxhash64("body").alias("row_key"),
+                             F.regexp_extract_all("body", F.lit(FOUND), F.lit(0)).alias("runs"),
+                             F.split("body", FOUND, -1).alias("parts")), "candidate_rows")
+    sizes = F.zip_with("parts", "runs", lambda p, r: F.length(p) + F.coalesce(F.length(r), F.lit(0)))
+    cut = cut.select("row_id", "path", "row_key", "runs", "parts", sizes.alias("sizes"))
+
+    def text(name: str, i: Column) -> Column:
+        return F.coalesce(F.when(i >= 0, F.get(F.col(name), i)), F.lit(""))
+
+    # the context runs on over the candidates next to this one
+    each = F.transform("runs", lambda run, i: F.struct(
+        i.alias("nth"),
+        (F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, b: a + b) + F.length(text("parts", i))).alias("start"),
+        run.alias("run"),
+        F.right(F.concat(F.right(text("parts", i - 1), F.lit(NEAR)), text("runs", i - 1), text("parts", i)),
+                F.lit(NEAR)).alias("before"),
+        F.left(F.concat(text("parts", i + 1), text("runs", i + 1), F.left(text("parts", i + 2), F.lit(NEAR))),
+               F.lit(NEAR)).alias("after")))
+    # sizes is named outside the lambda too, so it is made once a row
+    made = F.when(F.size("sizes") > 0, each)
+    return (cut.select("row_id", "row_key", "path", F.explode_outer(made).alias("c")).where("c is not null")
+            .select("row_id", "row_key", "path", "c.*"))
 
 
 def dictionary(docs: DataFrame, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -130,7 +151,10 @@ def distant_labels(found: DataFrame) -> DataFrame:
     named = F.lower("before").rlike(f"(?:{CREDENTIAL})[\"']?\\s*[=:]\\s*[\"'`]?$")
     plain = F.col("run").rlike(HARMLESS)
     made_up = F.lower(F.concat("run", F.lit(" "), "after")).rlike(MADE_UP)
-    label = F.when(named & ~plain & ~made_up, 1).when(~named & (plain | made_up), 0)
+    digit = F.col("run").rlike("[0-9]")
+    keyed = ~F.col("run").rlike("\\s") & (digit | ((F.col("covered") < 0.5) & (F.length("run") >= 6)))
+    worded = ~digit & (F.col("covered") >= 0.8)
+    label = F.when(named & keyed & ~plain & ~made_up, 1).when(~named & (plain | made_up | worded), 0)
     return (found.select("row_id", "row_key", "nth", label.alias("secret")).where("secret is not null"))
 
 
@@ -185,8 +209,8 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     joined = docs.join(per_row, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__key")), "left")
     # null without a secret, so that the regular expressions run on few rows
     hit = F.when(F.col("__nths").isNotNull(), body)
-    runs = F.regexp_extract_all(hit, F.lit(CANDIDATE), F.lit(0))
-    staged = joined.withColumns({"__parts": F.split(hit, CANDIDATE, -1), "__runs": runs})
+    runs = F.regexp_extract_all(hit, F.lit(FOUND), F.lit(0))
+    staged = joined.withColumns({"__parts": F.split(hit, FOUND, -1), "__runs": runs})
     pieces = F.transform("__parts", lambda p, i: F.concat(p, F.coalesce(
         F.when(F.array_contains("__nths", i), F.lit(mask)).otherwise(F.get(F.col("__runs"), i)), F.lit(""))))
     # the arrays are named outside the lambda too, so they are made once a row
