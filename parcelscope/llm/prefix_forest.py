@@ -11,7 +11,7 @@ space is filled there.  All entries of these runs are candidates, none is
 capped, and each is scored in double precision on the original vectors.
 
 Inner products of vectors of different length: vectors are put into bands of
-length (a factor of two wide); within a band a vector is divided by the
+length (``BANDS`` to a factor of two); within a band a vector is divided by the
 longest length and gets one more component that makes it a unit vector, a
 query gets a zero there.  Every band is a forest of its own, so a few very
 long vectors do not press all others together.
@@ -57,6 +57,7 @@ SYMBOLS = 15                # of four bits each
 BITS = 4 * SYMBOLS
 ENOUGH = 16_000             # candidates of a query, added up over the trees
 CELL = 1 << 18              # entries that a task holds at once
+BANDS = 4                   # of length, to a factor of two
 STEP = 4                    # bits by which larger cells are cut deeper
 BLOCK = 32_768              # vectors scored by a task at once
 LEAST_BLOCKS = 8            # so that small tables are spread as well
@@ -432,12 +433,12 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     rows = stored(vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast(kind).alias("embedding"))
                   .where(F.coalesce(fine, F.lit(False)))
                   .select("vec_id", "embedding", F.size(v).alias("dim"), length.alias("length"))
-                  .withColumn("band", F.round(F.log2("length")).cast("int"))
+                  .withColumn("band", F.round(BANDS * F.log2("length")).cast("int"))
                   .withColumn("qrow", F.monotonically_increasing_id()), "vectors")
     same = Window.partitionBy("embedding").orderBy("vec_id")
     index = stored(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1)
                    .select("vec_id", "embedding", "dim", "band", "length"), "index")
-    # one row a dimension and power of two
+    # one row a dimension and band of length
     forests = Forests(index.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
                       .orderBy("dim", "band").collect(), trees, enough)
     blocks = max(LEAST_BLOCKS, math.ceil(index.count() / BLOCK))
