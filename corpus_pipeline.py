@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parcelscope.llm.common import stored, table
 from parcelscope.llm.decontaminate import drop_contaminated
-from parcelscope.llm.piece_lattice import encode, with_decoded
+from parcelscope.llm.piece_lattice import encode
 from parcelscope.llm.secret_forest import redact, scan
 from parcelscope.llm.simhash import keep_first
 from parcelscope.llm.site_quality import keep_good
@@ -55,7 +55,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_pieces, ids, n_decoded, decoded_sha256)``: the encoded
     texts, and length and digest of the texts that the ids decode to."""
     model = public_tokenizers.path(VOCABULARY)
-    return with_decoded(encode(docs, model), model).withColumnRenamed("row_id", "doc_id")
+    return encode(docs, model, decoded=True).withColumnRenamed("row_id", "doc_id")
 
 
 STAGES = [("quality_classifier", quality), ("simhash_near_dedup", near_copies),

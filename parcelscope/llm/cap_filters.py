@@ -21,9 +21,9 @@ a spanning forest of the links, never the pairs themselves.
 Edge cases.  A vector that is null, empty, zero or holds a null or
 non-finite component, or has a null label or id, links with nothing
 (component_id is its own id).  Vectors of different dimension are never
-compared.  Each row of a repeated id and vector counts as a vector.  An id
-names one vector; if it comes with several, their links are added up.  An
-empty table gives no rows; other columns are ignored.
+compared.  Each row is a vector of its own, also where an id repeats: its
+links are those of its own vector, and rows of one id are connected only by
+links.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -274,9 +274,10 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     names = stored(rows.where("fine").select("label").distinct()
                    .select("label", F.xxhash64("label").alias("label_key")), "label_keys")
     classes = stored(rows.where("fine").groupBy("label", "embedding")
-                     .agg(F.min("row_id").alias("rep"), F.count("*").alias("mult"))
+                     .agg(F.min("row_id").alias("first_id"), F.count("*").alias("mult"))
                      .join(names, "label")
-                     .select("rep", "mult", "label", F.col("label_key"), "embedding",
+                     # the class's own number; ids may repeat over classes
+                     .select(F.monotonically_increasing_id().alias("rep"), "first_id", "mult", "label", F.col("label_key"), "embedding",
                              F.size("embedding").cast("bigint").alias("dim")), "classes")
     count = classes.count()
     listed = stored(decode_filters(classes, count), "filter_lists")
@@ -300,18 +301,24 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                           .repartition(parts, *key).sortWithinPartitions(*key), least), "found")
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = connected_components(found.where("a <> b").select("a", "b"))
-    nodes = stored(classes.join(links, "rep", "left")
-                   .join(labels.withColumnsRenamed({"node": "rep", "label": "component"}), "rep", "left")
+    linked = stored(labels.join(classes.select(F.col("rep").alias("node"), "first_id"), "node"), "linked")
+    least_id = linked.groupBy("label").agg(F.min("first_id").alias("component"))
+    linked = linked.join(least_id, "label").select(F.col("node").alias("rep"), "component")
+    nodes = stored(classes.join(links, "rep", "left").join(linked, "rep", "left")
                    .where("mult > 1 or n is not null")
-                   .select("rep", "embedding", F.col("label").alias("l"), "mult",
+                   .select("first_id", "embedding", F.col("label").alias("l"), "mult",
                            (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-                           F.coalesce("component", "rep").alias("component")), "nodes")
+                           F.coalesce("component", "first_id").alias("component")), "nodes")
     # a copy finds its class by the vector itself, a lone vector by its id
+    # and a hash of the vector (which only has to tell one id's vectors apart)
     copies = nodes.where("mult > 1").select("l", F.col("embedding").alias("e"), F.col("n_links").alias("n1"),
                                             F.col("component").alias("c1"))
-    single = nodes.where("mult = 1").select("rep", F.col("n_links").alias("n2"), F.col("component").alias("c2"))
+    single = nodes.where("mult = 1").select("first_id", F.col("l").alias("l2"), F.xxhash64("embedding").alias("h2"),
+                                            F.col("n_links").alias("n2"), F.col("component").alias("c2"))
+    rows = rows.withColumn("h", F.xxhash64("embedding"))
     return (rows.join(copies, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & F.col("fine"), "left")
-            .join(single, (F.col("row_id") == F.col("rep")) & F.col("fine"), "left")
+            .join(single, (F.col("row_id") == F.col("first_id")) & (F.col("label") == F.col("l2"))
+                  & (F.col("h") == F.col("h2")) & F.col("fine"), "left")
             .select("row_id", F.coalesce("n1", "n2", F.lit(0)).cast("bigint").alias("n_links"),
                     F.coalesce("c1", "c2", "row_id").alias("component_id")))
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parcelscope.session import shared_dir
 
@@ -41,6 +42,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, order, most: int) -> DataFrame:
+    """At most ``most`` of ``rows`` (a stored table), those first in the order
+    of the 64-bit hash ``order``; the same rows for any partitioning.  Where
+    there are more, only rows under a bound of the hash that leaves about 1.2
+    times as many are sorted, not ``most`` of every partition."""
+    count = rows.count()
+    if count > most:
+        rows = rows.where(order <= F.lit(int(2 ** 64 * min(1.0, 1.2 * most / count)) - 2 ** 63 - 1))
+    return rows.orderBy(order, *rows.columns[:1]).limit(most)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int,
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices whose text in ``column`` has at most about

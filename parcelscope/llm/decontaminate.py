@@ -222,7 +222,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that hold no benchmark item."""
     gone = stored(matches(docs, items, id_col, text_col).select(F.col("row_id").alias("gone_id")).distinct(),
                   "contaminated_ids")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.gone_id")), "left_anti")
 
 
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -428,5 +428,5 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     found = identify(docs, learn_from=part != 2)
     return found.select(F.col("row_id").alias("doc_id"),
-                        (F.crc32(F.col("row_id").cast("string")) % 4 == 2).alias("held_out"),
+                        F.coalesce(F.crc32(F.col("row_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
                         F.col("best").alias("lang_pred"), "score", "rejected")

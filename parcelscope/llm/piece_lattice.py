@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from parcelscope.llm.common import slices, stored, table
 
 META = "▁"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 MASK_CHARS = 62
 BROADCAST_PIECES = 1_000_000
 ENCODED = "row_id bigint, ids array<int>"
@@ -144,6 +144,18 @@ class Vocabulary:
         text = b"".join(self._spelled[ids].tolist()).decode("utf-8", "replace").replace(META, " ")
         return text[1:] if text[:1] == " " else text
 
+    def read_back(self, rows: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        """Rows and their ids with what the ids decode to: length, digest."""
+        flat, cut = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        length, digest = [], []
+        for a, b in zip(cut[:-1], cut[1:]):
+            text = self.decode(flat[a:b])
+            length.append(len(text))
+            digest.append(hashlib.sha256(text.encode()).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [rows, pa.array(np.diff(cut), pa.int32()), lists, pa.array(length, pa.int64()),
+             pa.array(digest, pa.string())], ["row_id", "n_pieces", "ids", "n_decoded", "decoded_sha256"])
+
     @property
     def _spelled(self) -> np.ndarray:
         """Bytes of each piece; none for control pieces."""
@@ -310,8 +322,11 @@ def _spelled(cuts: DataFrame, mark: str) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), piece), mark).alias("spelled"))
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row_id, ids)`` for every row: the piece ids of its whole text."""
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """``(row_id, ids)`` for every row: the piece ids of its whole text.  With
+    ``decoded`` the rows are decoded where they are put together, which gives
+    the columns of ``with_decoded``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).cast("string").alias("body"))
     vocabulary = load(model_path)
 
@@ -403,11 +418,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 ends = np.concatenate(([0], np.cumsum(per_row)))
                 out_ids.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
                 out_rows.append(part.column(0))
-        return pa.table({"row_id": pa.chunked_array(out_rows, pa.int64()),
-                         "ids": pa.chunked_array(out_ids, pa.list_(pa.int32()))})
+        if not decoded:
+            return pa.table({"row_id": pa.chunked_array(out_rows, pa.int64()),
+                             "ids": pa.chunked_array(out_ids, pa.list_(pa.int32()))})
+        return pa.Table.from_batches([own.read_back(r, i) for r, i in zip(out_rows, out_ids)],
+                                     None if out_rows else own.read_back(pa.array([], pa.int64()), pa.array(
+                                         [], pa.list_(pa.int32()))).schema)
 
     texts = rows.mapInArrow(text_rows, "block bigint, packed binary")
-    return texts.groupBy("block").cogroup(book.groupBy("block")).applyInArrow(put_together, ENCODED)
+    return texts.groupBy("block").cogroup(book.groupBy("block")).applyInArrow(put_together,
+                                                                              DECODED if decoded else ENCODED)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -445,15 +465,7 @@ def with_decoded(encoded: DataFrame, model_path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                count, length, digest = [], [], []
-                for ids in b.column(1):
-                    text = own.decode(ids.values.to_numpy())
-                    count.append(len(ids))
-                    length.append(len(text))
-                    digest.append(hashlib.sha256(text.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(count, pa.int32()), b.column(1), pa.array(length, pa.int64()),
-                     pa.array(digest, pa.string())], ["row_id", "n_pieces", "ids", "n_decoded", "decoded_sha256"])
+                yield own.read_back(b.column(0), b.column(1))
 
     return encoded.select("row_id", "ids").mapInArrow(run, DECODED)
 
@@ -461,5 +473,5 @@ def with_decoded(encoded: DataFrame, model_path: str) -> DataFrame:
 def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = with_decoded(encode(table(spark, sf_dir, "documents"), model), model)
+    found = encode(table(spark, sf_dir, "documents"), model, decoded=True)
     return found.withColumnRenamed("row_id", "doc_id")

@@ -35,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import scratch_path, stored, table
+from parcelscope.llm.common import bounded_sample, scratch_path, stored, table
 
 CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?=[+/_.\-]*[A-Za-z0-9])"
              r"[A-Za-z0-9+/_\-][A-Za-z0-9+/_.\-]{10,}[A-Za-z0-9+/_\-]={0,2}")
@@ -71,7 +71,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path: Column) -> Dat
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"),
                        F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     # the search alone runs on every text; it ends at the first candidate
-    held = rows.where(F.col("body").rlike(FOUND)).distinct()
+    held = rows.where(F.col("body").rlike(FOUND))
     cut = stored(held.select("row_id", "path", F.xxhash64("body").alias("row_key"),
                              F.regexp_extract_all("body", F.lit(FOUND), F.lit(0)).alias("runs"),
                              F.split("body", FOUND, -1).alias("parts")), "candidate_rows")
@@ -92,8 +92,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path: Column) -> Dat
                F.lit(NEAR)).alias("after")))
     # sizes is named outside the lambda too, so it is made once a row
     made = F.when(F.size("sizes") > 0, each)
-    return (cut.select("row_id", "row_key", "path", F.explode_outer(made).alias("c")).where("c is not null")
-            .select("row_id", "row_key", "path", "c.*"))
+    # rows that repeat an id and text are one; texts themselves never move
+    key = ["row_id", "row_key", "path"]
+    return (cut.select(*key, F.explode_outer(made).alias("c")).where("c is not null")
+            .select(*key, "c.*").dropDuplicates([*key, "nth"]))
 
 
 def dictionary(docs: DataFrame, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -181,8 +183,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                                                F.col("nth").alias("l_nth"), F.col("secret").cast("double").alias("label")),
                                   F.col("row_id").eqNullSafe(F.col("l_id")) & (F.col("row_key") == F.col("l_key"))
                                   & (F.col("nth") == F.col("l_nth")))
-                   .select(*key, "features", "label", order.alias("o")).orderBy("o", *key).limit(max_labelled)
-                   .select("features", "label"), "labelled_findings")
+                   .select(order.alias("o"), *key, "features", "label"), "labelled_findings")
+    train = stored(bounded_sample(train, F.col("o"), max_labelled).select("features", "label"), "training_rows")
     kinds = [r.label for r in train.groupBy("label").count().orderBy("label").collect()]    # at most two rows
     if len(kinds) == 2:
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt",

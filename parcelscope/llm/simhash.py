@@ -139,12 +139,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select(F.col("row_id").alias("gone_id")).distinct())
     again = stored(groups.groupBy(F.col("row_id").alias("again_id")).count()
                    .where("count > 1").select("again_id"), "again")
-    rest = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    own = F.col(f"d.{id_col}")
+    rest = docs.alias("d").join(gone.alias("g"), own.eqNullSafe(F.col("g.gone_id")), "left_anti")
     if again.isEmpty():
         return rest
-    same = F.col(id_col).eqNullSafe(F.col("again_id"))
-    return (rest.join(again, same, "left_anti")
-            .unionByName(rest.join(again, same, "left_semi").dropDuplicates([id_col, text_col])))
+    same = own.eqNullSafe(F.col("a.again_id"))
+    return (rest.alias("d").join(again.alias("a"), same, "left_anti")
+            .unionByName(rest.alias("d").join(again.alias("a"), same, "left_semi").dropDuplicates([id_col, text_col])))
 
 
 def op7_simhash_groups(spark, sf_dir: str) -> DataFrame:

@@ -26,14 +26,16 @@ may repeat; an empty table gives no rows; other columns are ignored by
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parcelscope.llm.common import SLICE_BYTES, stored, table
+from parcelscope.llm.common import SLICE_BYTES, bounded_sample, slices, stored, table
 
 MAX_LABELLED = 50_000
 MAX_STRENGTH = 1e4
@@ -115,8 +117,8 @@ def _logit(p: Column) -> Column:
 
 def train(measured: DataFrame, labels: DataFrame, max_labelled: int) -> Evidence:
     """From ``(row_id, found, ...)`` and ``(row_id, y)``."""
-    rows = (measured.join(labels, "row_id").select("row_id", "found", "y")
-            .orderBy(F.xxhash64("row_id"), "row_id").limit(max_labelled).toArrow())
+    labelled = stored(measured.join(labels, "row_id").select("row_id", "found", "y"), "labelled")
+    rows = bounded_sample(labelled, F.xxhash64("row_id"), max_labelled).toArrow()
     flat = rows["found"].combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0)
     return Evidence(flat.reshape(-1, len(NAMES)), rows["y"].to_numpy().astype(float))
 
@@ -174,9 +176,9 @@ def _fit(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col:
     return measured, model, rates
 
 
-def _verdict(model: Evidence, found: Column, least: float) -> dict[str, Column]:
+def _verdict(model: Evidence, found: Column, least: float, rate: str = "site_rate") -> dict[str, Column]:
     odds = model.log_odds(found)
-    chance = _chance(odds + _logit(F.col("site_rate")) - math.log(model.base / (1 - model.base)))
+    chance = _chance(odds + _logit(F.col(rate)) - math.log(model.base / (1 - model.base)))
     return {"evidence": odds, "quality": chance, "kept": chance >= least}
 
 
@@ -196,15 +198,28 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id",
               text_col: str = "text", least: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs`` that are not rejected.  Features are measured
-    again beside the text and joined to the sites, so that texts move only
-    if the table of sites is too large for Spark to broadcast."""
+    again in a pass that takes the rows along, a slice of bounded text at a
+    time, and joined to the sites, so that texts move only if the table of
+    sites is too large for Spark to broadcast."""
     _, model, rates = _fit(docs, labels, host, path, id_col, text_col, "doc_id", "quality", max_labelled)
-    sites = rates.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "site_rate")
-    rows = docs.select(F.struct("*").alias("__row"), F.coalesce(host.cast("string"), F.lit("")).alias("__host"),
-                       F.coalesce(path.cast("string"), F.lit("")).alias("__path"),
-                       features(F.col(text_col).cast("string")).alias("__found"))
-    kept = _verdict(model, F.col("__found"), least)["kept"]
-    return rows.join(sites, ["__host", "__path"]).where(kept).select("__row.*")
+    sites = rates.select(F.col("host").alias("__host"), F.col("path").alias("__path"),
+                         F.col("site_rate").alias("__rate"))
+    rows = docs.withColumns({text_col: F.col(text_col).cast("string"),
+                             "__host": F.coalesce(host.cast("string"), F.lit("")),
+                             "__path": F.coalesce(path.cast("string"), F.lit(""))})
+    text = docs.columns.index(text_col)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            found = text_features(part.column(text))
+            lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1],
+                                             pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "__found"])
+
+    measured = rows.mapInArrow(beside, T.StructType([*rows.schema.fields, T.StructField(
+        "__found", T.ArrayType(T.DoubleType()))]))
+    kept = _verdict(model, F.col("__found"), least, "__rate")["kept"]
+    return measured.join(sites, ["__host", "__path"]).where(kept).select(*docs.columns)
 
 
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

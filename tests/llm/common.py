@@ -2,7 +2,8 @@
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Extra columns whose names clash with the operators' own.
-CLASHING = ", fp bigint, label string, row_id string, ids string, items string, site_rate double, secret string"
+CLASHING = (", fp bigint, label string, row_id string, ids string, items string, site_rate double, secret string, "
+            "gone_id string, again_id string, component_id int")
 
 
 def docs(spark, rows, clash=False):
@@ -13,7 +14,7 @@ def docs(spark, rows, clash=False):
         full.append((i, text, lang, source, None if text is None else len(text)))
     if not clash:
         return spark.createDataFrame(full, DOCS)
-    return spark.createDataFrame([(*r, 5, "x", "y", "z", "w", 0.5, "v") for r in full], DOCS + CLASHING)
+    return spark.createDataFrame([(*r, 5, "x", "y", "z", "w", 0.5, "v", "u", "t", 3) for r in full], DOCS + CLASHING)
 
 
 def read(sf_dir, table):

@@ -15,11 +15,12 @@ def brute(given, least=0.98):
             continue
         x = np.array(vec, np.float64)
         fine[k] = (i, x / np.linalg.norm(x), label)
-    links, root = {k: 0 for k in range(len(given))}, {i: i for i, _, _ in given}
+    links, root = {k: 0 for k in range(len(given))}, {k: (i, k) for k, (i, _, _) in enumerate(given)}
+    first = {(i, k): (i, k) for k, (i, _, _) in enumerate(given)}
 
     def find(x):
-        while root[x] != x:
-            x = root[x]
+        while first[x] != x:
+            x = first[x]
         return x
     for a in fine:
         for b in fine:
@@ -27,9 +28,9 @@ def brute(given, least=0.98):
                     and fine[a][1] @ fine[b][1] >= least:
                 links[a] += 1
                 links[b] += 1
-                x, y = find(fine[a][0]), find(fine[b][0])
-                root[max(x, y)] = min(x, y)
-    return sorted([(i, links[k], None if i is None else find(i)) for k, (i, _, _) in enumerate(given)], key=str)
+                x, y = find(root[a]), find(root[b])
+                first[max(x, y)] = min(x, y)
+    return sorted([(i, links[k], None if i is None else find(root[k])[0]) for k, (i, _, _) in enumerate(given)], key=str)
 
 
 def run(spark, given):
@@ -72,6 +73,14 @@ def test_edge_cases(spark):
     assert run(spark, []) == []
 
 
+def test_an_id_with_several_vectors(spark):
+    one, near, far = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [3.0, -1.0, 0.0]
+    given = [(1, one, 1), (1, near, 1), (2, [1.0, 2.0, 3.02], 1)]
+    assert run(spark, given) == brute(given) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    given += [(1, one, 2), (5, near, 2), (1, far, 1), (7, far, 1), (7, one, 1), (7, one, 1)]
+    assert run(spark, given) == brute(given)
+
+
 def test_decoded_lists_are_the_exceeding_directions():
     code = Code(16, 200)
     rng = np.random.default_rng(5)

@@ -45,7 +45,7 @@ def test_stages_take_an_empty_table(spark, smoke_dir):
 
 def test_registered():
     import __spark_entry__ as entry
-    assert {re.match(r"op(\d+)_", name)[1] for name in QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", name)[1] for name in QUERIES} == {str(i) for i in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 

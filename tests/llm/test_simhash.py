@@ -73,7 +73,7 @@ def test_keep_first(spark):
              (None, "same text here now")]
     kept = keep_first(docs(spark, given, clash=True))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
-    assert len(kept.columns) == 12
+    assert len(kept.columns) == 15
 
 
 def test_empty(spark):

@@ -55,7 +55,7 @@ def test_edge_cases(spark):
     kept = keep_good(docs(spark, given, clash=True), labels, F.col("source"), F.col("lang")).collect()
     ids = [r.doc_id for r in kept]
     assert ids.count(102) == 2 and None in ids and set(range(30)) & set(ids) == {i for i in range(30) if i % 3}
-    assert len(kept[0]) == 12
+    assert len(kept[0]) == 15
     nobody = score(docs(spark, given), _labels(spark, []), F.col("source"), F.col("lang")).collect()
     assert len(nobody) == len(given) and all(r.kept for r in nobody)
     assert score(docs(spark, []), _labels(spark, [1]), F.col("source"), F.col("lang")).count() == 0
