@@ -96,6 +96,6 @@ def test_edge_cases(spark):
     got = run(spark, given, items)
     assert [got[i]["items"] for i in (1, 2, 3, 4, 5, 6, None)] == [[], [], [13], [10], [], [10], [10]]
     clean = drop_contaminated(docs(spark, given, clash=True), benchmark(spark, items))
-    assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 5] and len(clean.columns) == 12
+    assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 5] and len(clean.columns) == 15
     assert run(spark, given, [])[4].contaminated is False
     assert verdicts(docs(spark, []), benchmark(spark, items)).count() == 0
