@@ -204,12 +204,38 @@ GROUP BY reason"""
 # repeated line keys are reported by key_uniqueness, not rejected
 _FACT_BAD = " OR ".join(f"COALESCE({bad}, FALSE)" for _, _, bad in FACT_RULES)
 
-SQL["load_audit"] = with_ctes(CTES, FACT_DEPS, f"""
-SELECT 'fact_deliveries' AS table_name, 'FULL' AS load_type,
-       CAST(SUM(CASE WHEN bad THEN 0 ELSE 1 END) AS BIGINT) AS rows_inserted, CAST(0 AS BIGINT) AS rows_updated,
-       CAST(SUM(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS rows_rejected, 'SUCCESS' AS status,
-       CAST(NULL AS VARCHAR) AS error_message
-FROM (SELECT ({_FACT_BAD}) AS bad FROM {_FACT_SRC})""")
+# rows, rejected rows, partitions and newest value of each stored table
+_STORED = with_ctes(
+    CTES, STAR_DEPS + ["dim_driver", "dim_warehouse", "inv_base", "inventory", "forecast"], f"""
+, mart AS (SELECT DISTINCT d.year_month, p.city, f.category_name FROM fact f JOIN dim_date d ON f.date_key = d.date_key
+           JOIN dim_postcode p ON f.postcode_pc4 = p.postcode_pc4),
+stored(table_name, good, bad, partitions, newest) AS (
+  SELECT 'fact_deliveries', SUM(CASE WHEN bad THEN 0 ELSE 1 END), SUM(CASE WHEN bad THEN 1 ELSE 0 END),
+         COUNT(DISTINCT CASE WHEN NOT bad THEN year_month END),
+         {ymd('MAX(CASE WHEN NOT bad THEN CAST(dispatch_datetime AS DATE) END)')}
+  FROM (SELECT ({_FACT_BAD}) AS bad, year_month, dispatch_datetime FROM {_FACT_SRC})
+  UNION ALL SELECT 'dim_date', COUNT(*), 0, 1, NULL FROM dim_date
+  UNION ALL SELECT 'dim_postcode', COUNT(*), 0, 1, NULL FROM dim_postcode
+  UNION ALL SELECT 'dim_driver', COUNT(*), 0, 1, NULL FROM dim_driver
+  UNION ALL SELECT 'dim_warehouse', COUNT(*), 0, 1, NULL FROM dim_warehouse
+  UNION ALL SELECT 'dim_product_category', COUNT(DISTINCT p_type), 0, 1, NULL FROM part
+  UNION ALL SELECT 'mart_inventory_snapshot', COUNT(*), 0, COUNT(DISTINCT snapshot_date), {ymd('MAX(snapshot_date)')}
+  FROM inventory
+  UNION ALL SELECT 'mart_daily_forecast', COUNT(*), 0, 1, {ymd('MAX(forecast_date)')} FROM forecast
+  UNION ALL SELECT 'kpi_state', COUNT(*), 0, COUNT(DISTINCT year_month), NULL FROM mart
+  UNION ALL SELECT 'mart_monthly_kpi', COUNT(DISTINCT (year_month, city)), 0, COUNT(DISTINCT year_month), NULL FROM mart)
+""")
+
+SQL["load_audit"] = _STORED + """
+SELECT table_name, 'FULL' AS load_type, CAST(good AS BIGINT) AS rows_inserted, CAST(0 AS BIGINT) AS rows_updated,
+       CAST(bad AS BIGINT) AS rows_rejected, 'SUCCESS' AS status, CAST(NULL AS VARCHAR) AS error_message,
+       TRUE AS has_duration
+FROM stored"""
+
+SQL["load_manifest"] = _STORED + """
+SELECT table_name, 'FULL' AS load_type, CAST(good AS BIGINT) AS row_count, CAST(partitions AS BIGINT) AS partitions,
+       newest
+FROM stored"""
 
 SQL["daily_forecast"] = with_ctes(CTES, ["forecast", "forecast_full"], f"""
 SELECT {ymd('forecast_date')} AS forecast_date, city, day_of_week, {big('week_number')} AS week_number,

@@ -72,6 +72,9 @@ SELECT {_M1_COLS},
 FROM ({m1()})
 WINDOW w AS (PARTITION BY city ORDER BY year_month)""")
 
+# a late batch and a correction change nothing in what the sums come to
+SQL["mart_after_late_batch"] = SQL["monthly_kpi"]
+
 _CUT = ("f.dispatch_datetime < CAST((SELECT MAX(CAST(dispatch_datetime AS DATE)) FROM fact) "
         "- INTERVAL 30 DAY AS TIMESTAMP)")
 

@@ -160,6 +160,40 @@ def outcome_counts(tagged: DataFrame, labels: list[str]) -> DataFrame:
     return agg.select(F.inline(rows)).filter(F.col("rows") > 0)
 
 
+def outcome_counts_by_key(df: DataFrame, rules: list[Rule], unique_keys, parent: DataFrame,
+                          parent_key: str) -> DataFrame:
+    """``outcome_counts`` of ``tag_rejects(df, rules, unique_keys, [(parent,
+    parent_key)])`` without tagging a row: ``df`` is read once and
+    aggregated to its unique keys (a repeated key is a count over one), these
+    sums together with the parent's keys to ``parent_key`` (no parent row: an
+    orphan), and those to the one result.  Every step sums map-side first, so
+    a hot order, or a line that is there a million times, is one row per task;
+    there is no join and no window.  ``parent_key`` is one of ``unique_keys``."""
+    keys = list(unique_keys)
+    label = {i: f"{r.name}:{r.column}" for i, r in enumerate(rules)}
+    bad = {i: F.coalesce(~r.ok, F.lit(False)) for i, r in enumerate(rules)}     # a NULL check passes
+    fine = ~reduce(lambda a, b: a | b, bad.values())
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(fine).alias("fine"),
+                                    *[F.count_if(b).alias(f"r{i}") for i, b in bad.items()])
+    repeated = F.coalesce(F.col("n") > 1, F.lit(False)) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    sums = ["n", "fine", "again", *[f"r{i}" for i in label]]
+    lines = per_key.select(parent_key, "n", F.when(repeated, 0).otherwise(F.col("fine")).cast("bigint").alias("fine"),
+                           F.when(repeated, F.col("n")).otherwise(0).cast("bigint").alias("again"),
+                           *[f"r{i}" for i in label], F.lit(0).alias("known"))
+    marks = parent.select(F.col(parent_key), *[F.lit(0).cast("bigint").alias(c) for c in sums], F.lit(1).alias("known"))
+    per_parent = lines.unionByName(marks).groupBy(parent_key).agg(
+        *[F.sum(c).alias(c) for c in sums], F.max("known").alias("known"))
+    orphan = F.col(parent_key).isNotNull() & (F.col("known") == 0)
+    total = per_parent.agg(F.sum(F.when(orphan, 0).otherwise(F.col("fine"))).alias("valid"),
+                           F.sum(F.when(orphan, F.col("n")).otherwise(0)).alias("orphan"),
+                           *[F.sum(c).alias(c) for c in ["n", "again", *[f"r{i}" for i in label]]])
+    outcomes = [("valid", F.col("valid")), ("rejected", F.col("n") - F.col("valid")),
+                *[(label[i], F.col(f"r{i}")) for i in label],
+                ("duplicate:" + ",".join(keys), F.col("again")), ("orphan:" + parent_key, F.col("orphan"))]
+    rows = F.array(*[F.struct(F.lit(k).alias("reason"), c.cast("bigint").alias("rows")) for k, c in outcomes])
+    return total.select(F.inline(rows)).filter(F.col("rows") > 0)
+
+
 def split_valid(df: DataFrame, rules: list[Rule], unique_keys=None,
                 references: list[tuple[DataFrame, str]] | None = None):
     """(valid, rejected); every input row lands in exactly one of them and
@@ -185,7 +219,7 @@ def reject_summary(rejected: DataFrame) -> DataFrame:
 # appends a RUNNING row at start and a final row at the end
 def audit_rows(counts: DataFrame, table_name: str, load_type: str = "FULL",
                status: str = "SUCCESS", start=None, end=None, error: str | None = None,
-               loaded_by: str = "parcelscope") -> DataFrame:
+               loaded_by: str = "parcelscope", load_id: str | None = None) -> DataFrame:
     """Audit row(s) built from a DataFrame of counts (columns
     ``rows_inserted``, optional ``rows_updated``, ``rows_rejected``) — the
     counts stay in Spark, nothing is collected."""
@@ -202,7 +236,7 @@ def audit_rows(counts: DataFrame, table_name: str, load_type: str = "FULL",
         start_c.alias("start_time"), end_c.alias("end_time"),
         derive.duration_seconds(start_c, end_c).alias("duration_seconds"),
         F.lit(status).alias("status"), F.lit(error).cast("string").alias("error_message"),
-        F.lit(loaded_by).alias("loaded_by"))
+        F.lit(loaded_by).alias("loaded_by"), F.lit(load_id).cast("string").alias("load_id"))
 
 
 def log_load(audit: DataFrame, path: str) -> None:

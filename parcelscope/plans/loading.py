@@ -16,7 +16,9 @@ from parcelscope import schemas as S
 from parcelscope.operators import quality as Q
 from parcelscope.plans import marts
 from parcelscope.sources import calendar, ingest
-from parcelscope.sources.model import AUDIT_LOG
+from parcelscope.sources.load import load_log
+from parcelscope.sources.manifest import literal_rows
+from parcelscope.sources.model import MARKS
 
 
 # S13 — calendar over the whole years the shipments span
@@ -61,8 +63,20 @@ def flat_tables(m) -> dict:
     }
 
 
+# stored table behind each flat table
+FLAT_OF = {"dim_postcodes": "dim_postcode", "dim_drivers": "dim_driver", "fact_deliveries": "fact_deliveries",
+           "warehouse_inventory": "mart_inventory_snapshot", "daily_volume_forecast": "mart_daily_forecast",
+           "kpi_summary": "mart_monthly_kpi"}
+
+
 def verify_counts(m, expected: dict | None = None) -> DataFrame:
-    return ingest.verify_counts(flat_tables(m), expected)
+    """Counts of a committed model are the manifest's, noted while each table
+    was written; other models are counted."""
+    if not m.commits:
+        return ingest.verify_counts(flat_tables(m), expected)
+    shape = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("row_count", T.LongType())])
+    counts = literal_rows(m.spark, shape, [(flat, m.commits[t].row_count) for flat, t in FLAT_OF.items()])
+    return counts if expected is None else ingest.with_expected(counts, expected)
 
 
 # S11 — a load's tables against its sources: counts, status, total, flag
@@ -171,27 +185,35 @@ def lineitem_rules() -> list:
 
 
 def lineitem_validation(m) -> DataFrame:
-    """Rows per outcome in one pass: 'valid', 'rejected', and per reason
-    that occurs (a row with two reasons counts under both)."""
+    """Rows per outcome: 'valid', 'rejected', and per reason that occurs (a
+    row with two reasons counts under both), from one scan of the lines."""
     orders = m.sources["orders"].select(F.col("o_orderkey").alias("l_orderkey"))
-    keys, refs = ["l_orderkey", "l_linenumber"], [(orders, "l_orderkey")]
-    tagged = Q.tag_rejects(m.sources["lineitem"], lineitem_rules(), unique_keys=keys,
-                           references=refs)
-    return Q.outcome_counts(tagged, Q.reason_labels(lineitem_rules(), keys, refs))
+    return Q.outcome_counts_by_key(m.sources["lineitem"], lineitem_rules(), ["l_orderkey", "l_linenumber"],
+                                   orders, "l_orderkey")
+
+
+# S6 S11 M10 — what the load committed: rows, partitions and newest values
+def load_manifest(m) -> DataFrame:
+    """The manifest rows of the model's tables, as committed."""
+    ids = {c.load_id for c in m.commits.values()}
+    rows = m.catalog.commits().filter(F.col("load_id").isin(list(ids)))
+    marks = {t: k for t, own in MARKS.items() for k in own}
+    newest = F.coalesce(*[F.when(F.col("table_name") == t, F.col("marks")[k]) for t, k in marks.items()])
+    return rows.select("table_name", "load_type", "row_count", F.size("parts").alias("partitions"),
+                       newest.alias("newest"))
 
 
-# M10 — audit rows of a full load of the fact (times excluded here)
+# M10 — the log of the load: one row per table of the run (times left out)
 def load_audit(m) -> DataFrame:
-    """The newest log row of the load that wrote the model; for a model that
-    was not written, the row its load would log."""
-    if m.materialized_at:
-        log = Q.latest_status(ingest.read_table(m.spark, f"{m.materialized_at.rstrip('/')}/{AUDIT_LOG}",
-                                                S.AUDIT_LOAD_LOG))
+    """The final log rows of the load that committed the model's fact; for a
+    model that was not written, the fact's row its load would log."""
+    if m.commits:
+        log = Q.latest_status(load_log(m.catalog).filter(F.col("load_id") == m.commits["fact_deliveries"].load_id))
     else:
         tagged = Q.tag_rejects(m.fact_deliveries, fact_rules())
         log = Q.audit_rows(Q.validation_counts(tagged), "fact_deliveries", "FULL", "SUCCESS")
     return log.select("table_name", "load_type", "rows_inserted", "rows_updated", "rows_rejected", "status",
-                      "error_message")
+                      "error_message", (F.col("duration_seconds") >= 0).alias("has_duration"))
 
 
 # P7 — the daily volume mart with its derived forecast error

@@ -57,6 +57,7 @@ QUERIES = {
     "monthly_kpi_with_mom": lambda m: marts.with_mom_changes(marts.build_monthly_kpi(m))
     .drop("refreshed_at"),
     "refresh_monthly_kpi": marts.refresh_after_partial_load,
+    "mart_after_late_batch": marts.mart_after_late_batch,
     # load, inspection, quality and audit jobs
     "verify_counts": loading.verify_counts,
     "verify_load": loading.verify_load,
@@ -74,5 +75,6 @@ QUERIES = {
     "reference_integrity": loading.reference_integrity,
     "lineitem_validation": loading.lineitem_validation,
     "load_audit": loading.load_audit,
+    "load_manifest": loading.load_manifest,
     "daily_forecast": loading.daily_forecast,
 }

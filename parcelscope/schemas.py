@@ -238,5 +238,15 @@ AUDIT_LOAD_LOG = _s(
     ("rows_rejected", T.LongType()), ("start_time", T.TimestampType()),
     ("end_time", T.TimestampType()), ("duration_seconds", D(18, 2)),
     ("status", T.StringType()), ("error_message", T.StringType()),
-    ("loaded_by", T.StringType()),
+    ("loaded_by", T.StringType()), ("load_id", T.StringType()),
+)
+
+# stored sums the monthly mart is projected from, one row per month, city and
+# category; additive, so a batch is merged in and a withdrawn one taken out
+KPI_STATE = _s(
+    ("year_month", T.StringType()), ("city", T.StringType()), ("category_name", T.StringType()),
+    ("n", T.LongType()), ("ok", T.LongType()), ("fails", T.LongType()), ("returns", T.LongType()),
+    ("cost", D(20, 2)), ("n_cost", T.LongType()), ("value", D(22, 2)), ("co2", D(20, 4)),
+    ("n_co2", T.LongType()), ("km", D(20, 2)), ("weight", D(20, 2)), ("n_weight", T.LongType()),
+    ("zero", T.LongType()),
 )

@@ -82,6 +82,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, the same for every
+    session of the cluster (a checkpoint folder is one session's own); a
+    local session without the setting has its own scratch folder."""
+    own = ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A path under the cluster-wide checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

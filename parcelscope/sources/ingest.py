@@ -34,7 +34,7 @@ def rename(df: DataFrame, mapping: dict) -> DataFrame:
 # S6
 def write_table(df: DataFrame, path: str | None, mode: str = "overwrite",
                 partition_by: list | None = None, sort_within: list | None = None,
-                fmt: str = "parquet", **options) -> None:
+                fmt: str = "parquet", tasks: int | None = None, **options) -> None:
     """Full replace (``mode='overwrite'``) of a table, Parquet by default.
 
     ``sort_within`` orders rows inside each written file so Parquet
@@ -42,11 +42,12 @@ def write_table(df: DataFrame, path: str | None, mode: str = "overwrite",
     columns (e.g. failed shipments only).  ``fmt`` is any Spark data source
     (``"jdbc"`` with ``url``/``dbtable`` options and ``path=None`` replaces a
     database table, as the published load does); ``options`` go to the
-    writer."""
+    writer.  A small table of many partitions is dealt to ``tasks`` tasks by
+    partition, as its bytes alone would make one task of it."""
     w = df
     if partition_by:
         # AQE splits a partition value that holds a large share of the rows
-        w = df.hint("rebalance", *partition_by)
+        w = df.hint("rebalance", *partition_by) if tasks is None else df.repartition(tasks, *partition_by)
     if sort_within:
         w = w.sortWithinPartitions(*(partition_by or []), *sort_within)
     writer = w.write.mode(mode).format(fmt).options(**options)
@@ -103,11 +104,14 @@ def verify_counts(tables: dict, expected: dict | None = None) -> DataFrame:
               .select(F.lit(name).alias("table_name"), "row_count")
               for name, df in tables.items()]
     out = reduce(DataFrame.unionByName, counts)
-    if expected is None:
-        return out
+    return out if expected is None else with_expected(out, expected)
+
+
+def with_expected(counts: DataFrame, expected: dict) -> DataFrame:
+    """``(table_name, row_count)`` with the expected count and the status."""
     exp = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(int(v)))])
     e = F.element_at(exp, F.col("table_name"))
-    return out.withColumns({
+    return counts.withColumns({
         "expected_count": e,
         "status": F.when(F.col("row_count") == e, F.lit("OK")).otherwise(F.lit("MISMATCH")),
     })

@@ -13,7 +13,9 @@ from parcelscope.operators import quality as Q
 from parcelscope.operators.upsert import upsert
 from parcelscope.plans import advanced, business, marts, overview, views
 from parcelscope.sources import calendar, tpch_fixture
-from parcelscope.sources.model import AUDIT_LOG, build_model, load_fact, materialize, read_sources
+from parcelscope.sources.load import Load, load_log
+from parcelscope.sources.manifest import Catalog
+from parcelscope.sources.model import build_model, materialize, read_sources, write_table
 from tests import micro
 
 
@@ -87,25 +89,27 @@ def test_the_load_leaves_rejected_rows_out_and_logs_them(spark, tmp_path):
     ships = [micro.shipment(i, "2024-01-10", 1001) for i in range(5)]
     ships[0]["weight_kg"] = Decimal("0.00")
     ships[1]["vehicle_type"] = "Balloon"
-    root = str(tmp_path)
-    load_fact(micro.model(spark, ships).fact_deliveries, root)
-    assert spark.read.parquet(f"{root}/fact_deliveries").count() == 3
-    bad = {r.shipment_id: list(r.reject_reasons) for r in spark.read.parquet(f"{root}/rejected/fact_deliveries").collect()}
+    catalog = Catalog(spark, str(tmp_path))
+    with Load(catalog, "FULL", ["fact_deliveries"]) as load:
+        write_table(load, micro.model(spark, ships), "fact_deliveries")
+    commit = catalog.newest()["fact_deliveries"]
+    assert catalog.read(commit, S.FACT_DELIVERIES).count() == commit.row_count == 3
+    bad = {r.shipment_id: list(r.reject_reasons) for r in catalog.rejected("fact_deliveries", S.FACT_DELIVERIES).collect()}
     assert bad == {"S0": ["range:weight_kg"], "S1": ["domain:vehicle_type"]}
-    log = spark.read.parquet(f"{root}/{AUDIT_LOG}")
+    log = load_log(catalog)
     assert sorted((r.status, r.rows_inserted, r.rows_rejected) for r in log.collect()) == [("RUNNING", 0, 0), ("SUCCESS", 3, 2)]
     newest = Q.latest_status(log).first()
     assert newest.status == "SUCCESS" and newest.duration_seconds >= 0 and newest.start_time <= newest.end_time
 
 
 def test_a_failed_load_is_logged(spark, tmp_path):
-    root = str(tmp_path)
-    broken = micro.model(spark, [micro.shipment(1, "2024-01-10", 1001)]).fact_deliveries.withColumn(
+    catalog, m = Catalog(spark, str(tmp_path)), micro.model(spark, [micro.shipment(1, "2024-01-10", 1001)])
+    m.tables["fact_deliveries"] = m.fact_deliveries.withColumn(
         "carrier", F.raise_error(F.lit("source is gone")).cast("string"))
-    with pytest.raises(Exception, match="source is gone"):
-        load_fact(broken, root)
-    newest = Q.latest_status(spark.read.parquet(f"{root}/{AUDIT_LOG}")).first()
-    assert newest.status == "FAILED" and newest.error_message
+    with pytest.raises(Exception, match="source is gone"), Load(catalog, "FULL", ["fact_deliveries"]) as load:
+        write_table(load, m, "fact_deliveries")
+    newest = Q.latest_status(load_log(catalog)).first()
+    assert newest.status == "FAILED" and newest.error_message and catalog.newest() == {}
 
 
 def test_holidays_and_peaks_from_tables(spark):

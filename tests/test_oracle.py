@@ -22,7 +22,7 @@ def duck(smoke_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(SQL) == set(NAMES) <= set(E.queries())
+    assert set(NAMES) <= set(SQL) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -81,6 +81,20 @@ def test_monthly_mart_one_scan_no_join(written):
     assert "SortMergeJoin" not in p
 
 
+def test_monthly_mart_ranks_categories_without_a_window(written):
+    p = plan(QUERIES["monthly_kpi"](written))
+    assert "Window" not in p and "min_by" in p
+
+
+def test_line_validation_reads_the_lines_once_and_joins_nothing(raw, no_auto_broadcast):
+    p = plan(QUERIES["lineitem_validation"](raw))
+    assert len(scans(p, "lineitem.parquet")) == 1 and len(scans(p, "orders.parquet")) == 1
+    assert "Join" not in p and "Window" not in p
+    # lines are summed per key before they are shuffled
+    exchange = p.index("Exchange hashpartitioning(l_orderkey#", p.index("Exchange hashpartitioning(l_orderkey#") + 1)
+    assert "partial_count" in p[exchange:p.index("FileScan", exchange)]
+
+
 def test_failed_only_filter_reaches_parquet(written):
     p = plan(QUERIES["reason_counts"](written))
     (fact,) = scans(p, "fact_deliveries")
@@ -129,7 +143,7 @@ def test_no_zone_join_where_no_city_is_asked_for(written):
 
 
 def test_no_job_runs_while_a_plan_is_built(spark, written):
-    stores = {"refresh_monthly_kpi"}        # runs its load and its refresh
+    stores = {"refresh_monthly_kpi", "mart_after_late_batch"}        # run their loads and refreshes
     for name in set(QUERIES) - stores:
         spark.sparkContext.setJobGroup(f"plan-{name}", name)
         QUERIES[name](written)

@@ -30,6 +30,25 @@ def _fact_summary(spark, smoke_dir):
             .agg(F.count(F.lit(1)).alias("n"), F.sum("delivery_cost_eur").alias("cost")))
 
 
+def test_validation_of_a_hot_order_and_a_hot_line(spark):
+    """A third of the lines on one order, another third on one (order, line):
+    the same outcomes as by tagging every row."""
+    from parcelscope.operators import quality as Q
+    n = 3000
+    i = F.col("id")
+    lines = spark.range(0, n, 1, 8).select(
+        F.when(i % 3 == 0, 7).when(i % 3 == 1, 8).when(i % 50 == 2, F.lit(None)).otherwise(i).cast("bigint").alias("k"),
+        F.when(i % 3 == 1, 1).otherwise(i).cast("bigint").alias("line"), (i % 40).alias("quantity"))
+    orders = spark.range(0, n).where("id % 5 <> 4").select(F.col("id").alias("k"))
+    rules = [*Q.not_null("k"), Q.in_range("quantity", lo=0, lo_inclusive=False)]
+    tagged = Q.tag_rejects(lines, rules, ["k", "line"], [(orders, "k")])
+    want = {tuple(r) for r in Q.outcome_counts(tagged, Q.reason_labels(rules, ["k", "line"], [(orders, "k")])).collect()}
+    got = Q.outcome_counts_by_key(lines, rules, ["k", "line"], orders, "k")
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 6
+    empty = Q.outcome_counts_by_key(lines.limit(0), rules, ["k", "line"], orders, "k")
+    assert empty.collect() == []
+
+
 def test_hot_order_key_is_split_and_results_unchanged(spark, smoke_dir):
     expected = sorted(tuple(r) for r in _fact_summary(spark, smoke_dir).collect())
     old = {k: spark.conf.get(k, None) for k in FORCE_SKEW}
