@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 
 from parcelscope import schemas as S
 from parcelscope.operators import quality as Q
-from parcelscope.plans import marts
+from parcelscope.operators.joins import top1_per_group
+from parcelscope.plans import marts, routes
 from parcelscope.sources import calendar, ingest
 from parcelscope.sources.load import load_log
 from parcelscope.sources.manifest import literal_rows
-from parcelscope.sources.model import MARKS
+from parcelscope.sources.model import MARKS, with_calendar
 
 
 # S13 — calendar over the whole years the shipments span
@@ -26,6 +27,37 @@ def calendar_span(m) -> DataFrame:
     return calendar.calendar_spanning(m.fact_deliveries, "dispatch_datetime")
 
 
+# S13 — holidays and peak periods as tables, here found in the shipments:
+# each year's busiest month inside its busiest quarter, and its busiest day
+def busy_periods(m):
+    """(holidays, peaks) tables for ``with_calendar``."""
+    days = (m.fact_deliveries.groupBy("date_key").agg(F.count(F.lit(1)).alias("n"))
+            .join(m.dim_date.select("date_key", "full_date", "year"), "date_key"))
+    top_day = top1_per_group(days, ["year"], [F.desc("n"), F.asc("full_date")])
+    holidays = top_day.select("full_date", F.concat(F.lit("Busiest day "), F.col("year")).alias("holiday_name"))
+
+    def busiest(unit: str, label: str, priority: int):
+        start = F.to_date(F.date_trunc(unit, "full_date"))
+        n = days.groupBy("year", start.alias("start_date")).agg(F.sum("n").alias("n"))
+        end = F.date_sub(F.add_months("start_date", 1 if unit == "month" else 3), 1)
+        return top1_per_group(n, ["year"], [F.desc("n"), F.asc("start_date")]).select(
+            "start_date", end.alias("end_date"), F.concat(F.lit(label), F.col("year")).alias("peak_event_name"),
+            F.lit(priority).alias("priority"))
+
+    return holidays, busiest("month", "Busiest month ", 1).unionByName(busiest("quarter", "Busiest quarter ", 2))
+
+
+def calendar_from_tables(m) -> DataFrame:
+    """The calendar's marked days, with holidays and peaks from tables."""
+    return (with_calendar(m, *busy_periods(m)).dim_date.where("is_public_holiday or is_peak_period")
+            .select("date_key", "full_date", "is_public_holiday", "holiday_name", "is_peak_period", "peak_event_name"))
+
+
+def peaks_from_tables(m) -> DataFrame:
+    """KB4 on the model whose peaks come from a table."""
+    return routes.peak_vs_normal(with_calendar(m, *busy_periods(m)))
+
+
 # S8
 def profile_deliveries(m) -> DataFrame:
     return ingest.profile(m.flat_fact)

@@ -62,6 +62,8 @@ QUERIES = {
     "verify_counts": loading.verify_counts,
     "verify_load": loading.verify_load,
     "calendar_span": loading.calendar_span,
+    "calendar_from_tables": loading.calendar_from_tables,
+    "peaks_from_tables": loading.peaks_from_tables,
     "profile_deliveries": loading.profile_deliveries,
     "dispatch_range": loading.dispatch_range,
     "city_list": loading.city_list,

@@ -71,23 +71,47 @@ def calendar_columns(days: DataFrame, holidays=DEFAULT_HOLIDAYS,
     )
 
 
+BIN_DAYS = 64
+
+
+def period_of(days: DataFrame, periods: DataFrame, name: str, bin_days: int = BIN_DAYS) -> DataFrame:
+    """``(full_date, name)`` of the ``days`` that lie in a period
+    (``start_date``, ``end_date``, both included, ``name`` and, optional, a
+    ``priority``).  An interval join by bins of days: a period is there once
+    per bin that it touches, not once per day, a day looks only at the periods
+    of its bin.  Where periods overlap the smallest priority wins (none is
+    last), then the shorter one, the earlier one, the name.  Periods with a
+    null or reversed bound or no name are ignored."""
+    epoch = F.lit("1970-01-01").cast("date")
+
+    def bin_of(d):
+        return F.floor(F.datediff(d, epoch) / bin_days)
+
+    given = periods if "priority" in periods.columns else periods.withColumn("priority", F.lit(None).cast("int"))
+    bins = (given.where("start_date <= end_date").where(F.col(name).isNotNull())
+            .select(F.col("start_date").alias("s"), F.col("end_date").alias("e"), F.col(name).alias("name"),
+                    F.col("priority").cast("bigint").alias("priority"))
+            .withColumn("bin", F.explode(F.sequence(bin_of("s"), bin_of("e")))))
+    own = days.select("full_date").where("full_date is not null").distinct().withColumn("bin", bin_of("full_date"))
+    order = F.struct(F.col("priority").isNull(), F.col("priority"), F.datediff("e", "s"), F.col("s"), F.col("name"))
+    return (own.join(bins, "bin").where(F.col("full_date").between(F.col("s"), F.col("e")))
+            .groupBy("full_date").agg(F.min_by("name", order).alias(name)))
+
+
 def mark_days(dim_date: DataFrame, holidays: DataFrame | None = None,
               peaks: DataFrame | None = None) -> DataFrame:
     """Holidays and peak periods from the caller's tables in place of the
     rules: ``holidays`` with ``full_date``, ``holiday_name`` (movable feasts
     too) and ``peaks`` with ``start_date``, ``end_date``, ``peak_event_name``
-    (both ends included).  A day named twice takes the name that comes first
-    in the alphabet; rows with a null date are ignored."""
+    (see ``period_of`` for overlaps).  A holiday named twice takes the name
+    that comes first in the alphabet; rows with a null date are ignored."""
     out, columns = dim_date, dim_date.columns
     if holidays is not None:
         named = holidays.groupBy("full_date").agg(F.min("holiday_name").alias("holiday_name"))
         out = (out.drop("holiday_name").join(named, "full_date", "left")
                .withColumn("is_public_holiday", F.col("holiday_name").isNotNull()))
     if peaks is not None:
-        days = (peaks.where("start_date <= end_date")
-                .select(F.explode(F.sequence("start_date", "end_date")).alias("full_date"), "peak_event_name")
-                .groupBy("full_date").agg(F.min("peak_event_name").alias("peak_event_name")))
-        out = (out.drop("peak_event_name").join(days, "full_date", "left")
+        out = (out.drop("peak_event_name").join(period_of(dim_date, peaks, "peak_event_name"), "full_date", "left")
                .withColumn("is_peak_period", F.col("peak_event_name").isNotNull()))
     return out.select(*columns)
 

@@ -169,7 +169,7 @@ def model_for(spark: SparkSession, sf_dir: str) -> Model:
 
 # Version of the derivation: a committed load of other rules is not reused.
 DERIVATION = "r3"
-PARTITION_COLUMNS = {"fact_deliveries": "year_month", "mart_inventory_snapshot": "snapshot_date"}
+PARTITION_COLUMNS = {"fact_deliveries": ["year_month"], "mart_inventory_snapshot": ["snapshot_date"]}
 # rows sorted inside each month's files: failures and zones cluster, so the
 # failed-only and per-zone filters skip row groups by their statistics
 SORT_COLUMNS = {"fact_deliveries": ["attempt_1_status", "postcode_pc4"]}
@@ -254,7 +254,7 @@ def materialize(model: Model, path: str | None = None) -> Model:
 def write_table(load: Load, model: Model, name: str, keep: str = "none") -> None:
     """One table of the model as part of a load run."""
     from parcelscope.plans.loading import fact_rules
-    load.write(name, model.tables[name], declared_schemas()[name], PARTITION_COLUMNS.get(name),
+    load.write(name, model.tables[name], declared_schemas()[name], PARTITION_COLUMNS.get(name, [None])[0],
                SORT_COLUMNS.get(name), rules=fact_rules() if name == "fact_deliveries" else None,
                marks={k: F.expr(e) for k, e in MARKS.get(name, {}).items()}, keep=keep,
                small=name == "mart_inventory_snapshot")
@@ -275,6 +275,18 @@ def commit_model(model: Model, catalog: Catalog, print_: str = "") -> Model:
     return open_model(catalog, load.by_table(), model)
 
 
+def with_calendar(m: Model, holidays: DataFrame | None = None, peaks: DataFrame | None = None) -> Model:
+    """The model with holidays and peaks from tables (S13): the calendar is
+    marked by them, and each shipment's peak flag is its day's."""
+    days = calendar.mark_days(m.dim_date, holidays, peaks)
+    columns = m.fact_deliveries.columns
+    flag = days.select("date_key", F.col("is_peak_period").alias("is_peak"))
+    fact = (m.fact_deliveries.join(flag, "date_key", "left")
+            .withColumn("is_peak_period", F.coalesce("is_peak", F.lit(False))).select(*columns))
+    return Model(m.spark, {**m.tables, "dim_date": days, "fact_deliveries": fact}, m.source,
+                 m.materialized_at, m.sources, m.marks)
+
+
 def load_new_days(model: Model, loaded: Model) -> Model:
     """Incremental load of the fact by the high-water mark: ``model``'s
     shipments dispatched after the newest committed day become folders of

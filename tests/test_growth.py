@@ -123,6 +123,26 @@ def test_holidays_and_peaks_from_tables(spark):
         dt.date(2024, 3, 30), dt.date(2024, 3, 31), dt.date(2024, 4, 1), dt.date(2024, 4, 2)]
 
 
+def test_overlapping_periods_and_bins(spark):
+    days = calendar.build_dim_date(spark, "2023-12-01", "2025-06-30")
+    d = dt.date
+    rows = [(d(2024, 1, 1), d(2024, 12, 31), "Year", 3), (d(2024, 2, 1), d(2024, 4, 30), "Spring", 2),
+            (d(2024, 2, 10), d(2024, 2, 12), "Short", 2), (d(2024, 2, 11), d(2024, 2, 13), "Later", 2),
+            (d(2024, 3, 1), d(2024, 3, 1), "First", 1), (d(2024, 5, 9), d(2024, 5, 1), "Reversed", 0),
+            (None, d(2024, 5, 9), "Open", 0), (d(2024, 6, 1), d(2024, 6, 1), None, 0), (d(2024, 12, 31), d(2025, 1, 1), "Eve", None)]
+    periods = spark.createDataFrame(rows, "start_date date, end_date date, peak_event_name string, priority int")
+    want = {}
+    for r in days.collect():
+        own = [(p is None, p or 0, (e - s).days, s, n) for s, e, n, p in rows
+               if s and e and n and s <= r.full_date <= e]
+        if own:
+            want[r.full_date] = min(own)[-1]
+    for width in (1, 7, 64, 1000):
+        got = calendar.period_of(days, periods, "peak_event_name", bin_days=width).collect()
+        assert {r.full_date: r.peak_event_name for r in got} == want
+    assert {"Year", "Spring", "Short", "Later", "First", "Eve"} == set(want.values())
+
+
 def test_label_names_the_zones_that_are_summed(spark):
     m = micro.model(spark, [micro.shipment(1, "2024-01-10", 3025, failed=True, reason=S.NOT_HOME)])
     first = business.combined_impact(m).first()
