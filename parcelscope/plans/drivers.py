@@ -43,7 +43,7 @@ def driver_scorecard(m, target=S.TARGET_DAILY_VOLUME, weights=S.SCORE_WEIGHTS) -
             "efficiency_index": F.round(F.col("benchmark_daily_vol").cast(M.COUNT_T) / dec(target) * 100, 1),
             "composite_score": F.round(score, 1),
         })
-        .orderBy(F.desc("composite_score")))
+        .orderBy(F.desc("composite_score"), "driver_id"))
 
 
 # KC2 [A4 O2 F5]
@@ -74,7 +74,7 @@ def driver_outliers(m, labels=S.ALERT_LABELS) -> DataFrame:
                      F.round(fail - mu, 2).alias("above_avg_pp"),
                      F.round(M.zscore(fail, mu, sd), 2).alias("z_score"),
                      status.alias("alert_status"))
-            .orderBy(F.desc_nulls_first("z_score")))
+            .orderBy(F.desc_nulls_first("z_score"), "driver_id"))
 
 
 # KC4 [A4 A5]
@@ -86,4 +86,4 @@ def vehicle_fail_stats(m) -> DataFrame:
         F.round(F.max("fail_rate_pct"), 2).alias("max_fail_rate"),
         _round_std("fail_rate_pct").alias("stddev_fail_rate"),
         M.round_mean(F.col("on_time_rate_pct"), 2).alias("avg_otd_rate"))
-        .orderBy("avg_fail_rate"))
+        .orderBy("avg_fail_rate", "vehicle_type"))

@@ -29,7 +29,7 @@ def inventory_status(m, labels=S.PROCUREMENT_FLAGS) -> DataFrame:
         "reorder_qty", "avg_daily_outbound", "stock_status",
         derive.procurement_action(labels=labels).alias("procurement_flag"),
         "stockout_days_ytd", "inventory_value_eur", "last_replenish_date", "supplier_lead_days")
-        .orderBy(F.desc("stock_status"), "days_of_supply"))
+        .orderBy(F.desc("stock_status"), "days_of_supply", "sku_code", "warehouse_id"))
 
 
 # KD2 [A2 P14]
@@ -40,7 +40,7 @@ def inventory_value(m) -> DataFrame:
         count_if(F.col("stock_status") == "Critical").alias("critical_sku_count"),
         count_if(F.col("stock_status") == "Low").alias("low_sku_count"),
         F.sum("stockout_days_ytd").alias("total_stockout_days"))
-        .orderBy(F.desc("total_inventory_value_eur")))
+        .orderBy(F.desc("total_inventory_value_eur"), "city", "warehouse_id"))
 
 
 # KD3 [W6] — 7-row moving mean of the already rounded daily average

@@ -36,7 +36,7 @@ def postcode_performance(m) -> DataFrame:
         F.round(exact, 2).alias("actual_fail_rate_pct"),
         F.round(exact - F.col("historical_fail_rate_pct"), 2).alias("fail_rate_vs_benchmark_pp"),
         "avg_route_km", "avg_cost_eur", "avg_co2_grams")
-        .orderBy(F.desc("actual_fail_rate_pct")))
+        .orderBy(F.desc("actual_fail_rate_pct"), "postcode_pc4"))
 
 
 # KB2 [P18 W2 F3] — groups by the raw reason, labels NULL as 'No Failure'; the share is
@@ -47,7 +47,7 @@ def fail_reason_by_city(m) -> DataFrame:
     return (g.select("city", derive.fail_reason_label().alias("fail_reason"), "occurrences",
                      M.share_of_total(F.col("occurrences"), Window.partitionBy("city"), 2)
                      .alias("pct_of_city_shipments"))
-            .orderBy("city", F.desc("occurrences")))
+            .orderBy("city", F.desc("occurrences"), "fail_reason"))
 
 
 # KB3 [W2 A7]
@@ -65,7 +65,7 @@ def vehicle_mix_by_city(m) -> DataFrame:
                      .alias("city_vehicle_mix_pct"),
                      "avg_route_km", "avg_cost_eur", "avg_co2_grams", "fail_rate_pct",
                      "is_zero_emission")
-            .orderBy("city", F.desc("shipments")))
+            .orderBy("city", F.desc("shipments"), "vehicle_type"))
 
 
 # KB4 [P16 A7] — the peak flag is the shipment's, the event name the calendar's

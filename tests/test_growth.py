@@ -174,3 +174,21 @@ def test_results_come_in_their_order(smoke_model):
     assert got == sorted(got)
     got = rows(business.postcode_fail_top(smoke_model), "fail_rate_pct", "postcode_pc4")
     assert got == sorted(got, key=lambda r: (-r[0], r[1]))
+
+
+def test_sorts_end_in_a_unique_key(smoke_model):
+    """Any two runs give the same order: the last keys tell all rows apart."""
+    from parcelscope.plans import drivers, inventory, routes
+    none_first = lambda v: (v is not None, -v if v is not None else 0)       # noqa: E731
+    down = lambda v: tuple(-ord(c) for c in v)                               # noqa: E731
+    for query, key in [
+        (routes.postcode_performance, lambda r: (-r.actual_fail_rate_pct, r.postcode_pc4)),
+        (routes.fail_reason_by_city, lambda r: (r.city, -r.occurrences, r.fail_reason)),
+        (routes.vehicle_mix_by_city, lambda r: (r.city, -r.shipments, r.vehicle_type)),
+        (drivers.driver_scorecard, lambda r: (-r.composite_score, r.driver_id)),
+        (drivers.driver_outliers, lambda r: (none_first(r.z_score), r.driver_id)),
+        (drivers.vehicle_fail_stats, lambda r: (r.avg_fail_rate, r.vehicle_type)),
+        (inventory.inventory_status, lambda r: (down(r.stock_status), r.days_of_supply, r.sku_code, r.warehouse_id)),
+        (inventory.inventory_value, lambda r: (-r.total_inventory_value_eur, r.city, r.warehouse_id))]:
+        keys = [key(r) for r in query(smoke_model).collect()]
+        assert keys == sorted(keys) and len(set(keys)) == len(keys) > 1, query.__name__
