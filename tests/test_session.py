@@ -27,3 +27,15 @@ def test_submitted_settings_win():
 def test_shared_dir_is_under_the_checkpoint_folder(spark):
     base = spark.sparkContext.getCheckpointDir()
     assert shared_dir(spark, "model", "x").startswith(base.rstrip("/") + "/parcelscope/")
+
+
+def test_a_missing_library_of_the_optional_package_leaves_the_other_queries():
+    import subprocess
+    import sys
+
+    from parcelscope.plans.registry import QUERIES
+    for name in ("zstandard", "numpy", "public_tokenizers"):
+        code = (f"import sys; sys.modules[{name!r}] = None; import __spark_entry__ as e; "
+                "print(len(e.queries()), len(e.oracle_sql()))")
+        out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+        assert out.stdout.split() == [str(len(QUERIES))] * 2, out.stderr[-500:]
