@@ -5,6 +5,12 @@ Each stage calls one operator of ``parcelscope.llm`` on all that the stage
 before it kept; its result is written as Parquet and read again as the next
 one's input.  All stages but the last return the columns of ``documents``;
 the last returns the piece ids of what is left and what they decode to.
+
+Edge cases.  The stages take nulls in any column, empty and very long texts,
+repeated rows and empty tables, each with the result that its operator's text
+states; other columns, whatever their names, go along through all stages but
+the last.  A document without an id is judged like any other and keeps its
+null; of rows that repeat an id and text one stays.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ Either way a character without a piece is an edge of its own and becomes the
 pieces of its UTF-8 bytes.
 
 Texts are put together again by block, a run of rows of one task with at most
-``BLOCK_BYTES`` of text: a block's distinct fragments go to the lattice and
+``block_bytes`` of text: a block's distinct fragments go to the lattice and
 come back to the block, so what is shuffled is each block's vocabulary and
 its texts once, compressed, and no occurrence of a fragment.  Blocks are found
 twice and must come out alike, so the input has to give the same rows in the
@@ -190,12 +190,12 @@ def _joined_spaces(lists: pa.ListArray) -> bool:
     return bool(pc.any(pc.equal(flat, "")).as_py())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices of about 4 MB with the number of their block."""
     task, block, held = TaskContext.get().partitionId(), 0, 0
     for part in slices(batches, 1):
         size = part.column(1).nbytes if part.num_rows else 0
-        if held and held + size > BLOCK_BYTES:
+        if held and held + size > most:
             block, held = block + 1, 0
         held += size
         yield task << 32 | block, part
@@ -323,10 +323,11 @@ def _spelled(cuts: DataFrame, mark: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-           decoded: bool = False) -> DataFrame:
+           decoded: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(row_id, ids)`` for every row: the piece ids of its whole text.  With
     ``decoded`` the rows are decoded where they are put together, which gives
-    the columns of ``with_decoded``."""
+    the columns of ``with_decoded``.  Larger blocks repeat fewer fragments in
+    the shuffle and hold more in a task; the result is the same."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).cast("string").alias("body"))
     vocabulary = load(model_path)
 
@@ -341,7 +342,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             words.clear()
             names.clear()
 
-        for block, part in _blocks(batches):
+        for block, part in _blocks(batches, block_bytes):
             if block != at and names:
                 yield from emit()
             at = block
@@ -353,7 +354,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for block, part in _blocks(batches):
+        for block, part in _blocks(batches, block_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
                 out.write_batch(part)
@@ -473,5 +474,5 @@ def with_decoded(encoded: DataFrame, model_path: str) -> DataFrame:
 def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = encode(table(spark, sf_dir, "documents"), model, decoded=True)
+    found = encode(table(spark, sf_dir, "documents"), model, decoded=True, block_bytes=24 << 20)
     return found.withColumnRenamed("row_id", "doc_id")

@@ -6,6 +6,10 @@ import sentencepiece
 import public_tokenizers
 from parcelscope.llm.queries import QUERIES
 from parcelscope.llm.secret_forest import MASK
+from pyspark.sql import functions as F
+
+from parcelscope.llm.common import stored
+from tests.llm import common
 from tests.llm.common import rows
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_simhash import brute_components, brute_fingerprint
@@ -43,6 +47,28 @@ def test_stages_take_an_empty_table(spark, smoke_dir):
         assert stage(spark, docs, smoke_dir).count() == 0
 
 
+def test_stages_in_a_chain_take_awkward_rows(spark, smoke_dir):
+    """Nulls in every column, empty, long and repeated texts, clashing names."""
+    plain = "The quick brown fox looked at the old house by the river and walked on. "
+    given = [(1, plain * 3), (1, plain * 3), (2, None), (3, ""), (None, plain + "Nobody knows this one."),
+             (4, plain * 60_000, None, None), (5, 'config token = "0123456789abcdef0123456789abcdef01234567" ' + plain, None, "s"),
+             (6, "Ünïcode   text\nwith  lines\n" + plain, "de", None), (6, plain + "Another text of the same id.")]
+    docs = common.docs(spark, given, clash=True).withColumn("n_chars", F.when(F.col("doc_id") != 6, F.col("n_chars")))
+    columns, kept = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, smoke_dir), name)
+        assert docs.columns == columns, name
+        now = sorted(str((r.doc_id, r.n_chars)) for r in docs.select("doc_id", "n_chars").collect())
+        assert kept is None or len(now) <= len(kept), name
+        kept = now
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert len([i for i, _ in texts if i == 1]) <= 1 and not any("0123456789abcdef" in (t or "") for _, t in texts)
+    assert all(r.gone_id == "u" and r.site_rate == 0.5 for r in docs.select("gone_id", "site_rate").collect())
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, smoke_dir).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in last) == sorted((str(i), library.encode(t or "")) for i, t in texts)
+
+
 def test_registered():
     import __spark_entry__ as entry
     assert {re.match(r"op(\d+)_", name)[1] for name in QUERIES} == {str(i) for i in range(1, 14)}
