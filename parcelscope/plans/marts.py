@@ -193,10 +193,10 @@ def store_state(load: Load, m, partials: DataFrame | None = None) -> None:
     """The sums of the whole fact and the mart projected from the written
     sums, as tables of a full load."""
     sums = _as_state(_partials(m) if partials is None else partials)
-    state = load.write("kpi_state", sums, S.KPI_STATE, "year_month", small=True,
+    state = load.write("kpi_state", sums, S.KPI_STATE, "year_month", folders=False,
                        marks={"base": F.lit(m.commits["fact_deliveries"].load_id if "fact_deliveries" in m.commits else "")})
     written = load.catalog.read(load.by_table()["kpi_state"], S.KPI_STATE)
-    load.write("mart_monthly_kpi", _mart_from_partials(written), S.MART_MONTHLY_KPI, "year_month", small=True,
+    load.write("mart_monthly_kpi", _mart_from_partials(written), S.MART_MONTHLY_KPI, "year_month", folders=False,
                marks={"base": F.lit(state.marks.get("base", ""))})
 
 
@@ -221,14 +221,14 @@ def merge_state(catalog: Catalog, added: DataFrame, withdrawn: DataFrame | None
         key = [*KEYS, "category_name"]
         merged = (old.unionByName(delta).groupBy(*key).agg(*[F.sum(c).alias(c) for c in _SUMS])
                   .filter(F.col("n") > 0))
-        load.write("kpi_state", _as_state(merged), S.KPI_STATE, "year_month", keep="others", small=True,
+        load.write("kpi_state", _as_state(merged), S.KPI_STATE, "year_month", replaces=months, folders=False,
                    marks={"base": F.lit(base)})
         fresh = _mart_from_partials(catalog.read(load.by_table()["kpi_state"], S.KPI_STATE, values=months))
         current = catalog.read(commits["mart_monthly_kpi"], S.MART_MONTHLY_KPI, values=months)
         known = upsert_counts(current, fresh, KEYS).first()
         load.write("mart_monthly_kpi", upsert(current, fresh, KEYS, S.MART_UPDATE_COLUMNS,
                                               touch={"refreshed_at": F.current_timestamp()}),
-                   S.MART_MONTHLY_KPI, "year_month", keep="others", small=True, marks={"base": F.lit(base)},
+                   S.MART_MONTHLY_KPI, "year_month", replaces=months, folders=False, marks={"base": F.lit(base)},
                    updated=known.rows_updated)
     return sorted(months), commits | load.by_table()
 

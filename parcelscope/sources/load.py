@@ -117,16 +117,17 @@ class Load:
 
     def write(self, name: str, df: DataFrame, schema: T.StructType, partition: str | None = None,
               sort_within: list | None = None, rules: list | None = None, marks: dict[str, Column] | None = None,
-              keep: str = "none", updated: int = 0, small: bool = False) -> Commit:
+              replaces: list | None = None, adds: bool = False, updated: int = 0, small: bool = False,
+              folders: bool = True) -> Commit:
         """Write one table of the run and note its commit.
 
-        ``marks`` maps names to aggregates over the valid rows.  ``keep`` says
-        what becomes of the parent version's partitions: ``none`` (a full
-        replace), ``others`` (those with a value that is written now are
-        replaced) or ``all`` (the new rows are added to them).  ``updated``
-        of the written rows are logged as updates.  ``small`` tables of many
+        ``marks`` maps names to aggregates over the valid rows.  The new rows
+        replace the parent version, or only its partitions of the values
+        ``replaces``, or are added to it (``adds``).  ``updated`` of the
+        written rows are logged as updates.  ``small`` tables of many
         partitions are dealt to tasks by partition, large ones rebalanced by
-        size."""
+        size.  Without ``folders`` a small table's partitions are not folders
+        but sorted runs of its file; versions still refer to each of them."""
         began, folder = _now(), self.catalog.folder(name, self.load_id)
         good = F.lit(True)
         if rules:
@@ -135,7 +136,9 @@ class Load:
         seen = Observation(f"{name}-{self.load_id}")
         df = df.observe(seen, F.count_if(good).alias("rows"), F.count_if(~good).alias("bad"),
                         *[F.max(F.when(good, c)).cast("string").alias(f"mark_{k}") for k, c in (marks or {}).items()])
-        by = (["rejected"] if rules else []) + ([partition] if partition else [])
+        by = (["rejected"] if rules else []) + ([partition] if partition and folders else [])
+        if partition and not folders:
+            df = df.hint("rebalance").sortWithinPartitions(partition)
         ingest.write_table(df, folder, partition_by=by or None, sort_within=sort_within,
                            tasks=self.catalog.spark.sparkContext.defaultParallelism if small else None)
         found = self._observed(seen, folder, schema, marks)
@@ -144,10 +147,11 @@ class Load:
             parts = [(self.load_id, None, found["rows"])]
         else:
             parts = self.catalog.parts_of(name, self.load_id, partition, schema, rejected=bool(rules))
-        if keep != "none" and parent is not None:
-            parts = (self.catalog.replaced(parent, parts) if keep == "others" else
-                     sorted([tuple(p) for p in parent.parts] + parts, key=lambda p: p[1] or ""))
-        noted = {} if keep == "none" or parent is None else dict(parent.marks)
+        kept = parent is not None and (adds or replaces is not None)
+        if kept:
+            parts = (sorted([tuple(p) for p in parent.parts] + parts, key=lambda p: p[1] or "") if adds else
+                     self.catalog.replaced(parent, parts, replaces))
+        noted = dict(parent.marks) if kept else {}
         for k in marks or {}:
             new = found[f"mark_{k}"]
             noted[k] = max(x for x in (noted.get(k), new) if x is not None) if new is not None else noted.get(k)

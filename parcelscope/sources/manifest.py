@@ -147,7 +147,8 @@ class Catalog:
         full = T.StructType([*schema.fields, *extra])
         df = (self.spark.read.schema(full).option("basePath", base)
               .parquet(*[self.folder(commit.table_name, x) for x in loads]))
-        if key is not None and (len(loads) > 1 or values is not None):
+        # a load's own version is all of its folder
+        if key is not None and (set(loads) != {commit.load_id} or values is not None):
             def kept(load: str, own: list) -> Column:
                 some = F.col(key).cast("string").isin([v for v in own if v is not None])
                 return (F.col("load_id") == load) & (some | F.col(key).isNull() if None in own else some)
@@ -173,10 +174,10 @@ class Catalog:
                 .groupBy(F.col(partition_column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect())
         return sorted(((load_id, r.v, r.n) for r in rows), key=lambda p: p[1] or "")
 
-    def replaced(self, commit: Row | None, new_parts: list) -> list:
-        """Parts of the next version: ``new_parts`` in place of those of the
-        same value, the others as they are."""
-        fresh = {v for _, v, _ in new_parts}
+    def replaced(self, commit: Row | None, new_parts: list, values) -> list:
+        """Parts of the next version: ``new_parts`` in place of those with one
+        of ``values``, the others as they are."""
+        fresh = set(values) | {v for _, v, _ in new_parts}
         old = [] if commit is None else [(p.load_id, p.value, p.row_count) for p in commit.parts if p.value not in fresh]
         return sorted(old + new_parts, key=lambda p: p[1] or "")
 

@@ -251,12 +251,12 @@ def materialize(model: Model, path: str | None = None) -> Model:
     return commit_model(model, Catalog(model.spark, path or shared_dir(model.spark, "model", uuid.uuid4().hex)))
 
 
-def write_table(load: Load, model: Model, name: str, keep: str = "none") -> None:
+def write_table(load: Load, model: Model, name: str, **kept) -> None:
     """One table of the model as part of a load run."""
     from parcelscope.plans.loading import fact_rules
     load.write(name, model.tables[name], declared_schemas()[name], PARTITION_COLUMNS.get(name, [None])[0],
                SORT_COLUMNS.get(name), rules=fact_rules() if name == "fact_deliveries" else None,
-               marks={k: F.expr(e) for k, e in MARKS.get(name, {}).items()}, keep=keep,
+               marks={k: F.expr(e) for k, e in MARKS.get(name, {}).items()}, **kept,
                small=name == "mart_inventory_snapshot")
 
 
@@ -298,7 +298,7 @@ def load_new_days(model: Model, loaded: Model) -> Model:
     new = model.fact_deliveries.filter(F.col("dispatch_datetime") >= after)
     fresh = Model(model.spark, {**model.tables, "fact_deliveries": new}, model.source, sources=model.sources)
     with Load(loaded.catalog, "INCREMENTAL", ["fact_deliveries", "dim_date"], model.source) as load:
-        write_table(load, fresh, "fact_deliveries", keep="all")
+        write_table(load, fresh, "fact_deliveries", adds=True)
         write_table(load, fresh, "dim_date")
     return open_model(loaded.catalog, loaded.commits | load.by_table(), model)
 
@@ -323,7 +323,7 @@ def correct_shipments(loaded: Model, batch: DataFrame, withdrawn: DataFrame | No
         load.write(FEED, feed, FEED_SCHEMA(), "year_month")
         months_now = stored.join(gone, key, "left_anti").select(*columns).unionByName(batch.select(*columns))
         fresh = Model(spark, {name: months_now}, loaded.source)
-        write_table(load, fresh, name, keep="others")
+        write_table(load, fresh, name, replaces=months)
     return open_model(catalog, loaded.commits | load.by_table(), loaded)
 
 

@@ -162,8 +162,16 @@ def test_late_and_corrected_shipments(spark, tmp_path):
     for table, before in old.items():
         after = files(tmp_path, table)
         assert {p: t for p, t in after.items() if p in before} == before
-        assert not [p for p in set(after) - set(before) if "year_month=2024-03" in p], table
+        new = spark.read.option("basePath", f"{tmp_path}/{table}").parquet(*(set(after) - set(before)))
+        assert {r[0] for r in new.select(F.col("year_month").cast("string")).distinct().collect()} == {"2024-01", "2024-02"}
     assert marts.refresh_stored(now) == []
+    # a month that loses its last shipment is gone from the fact and the sums
+    last = spark.createDataFrame([("S3", "2024-03")], "shipment_id string, year_month string")
+    end = M.correct_shipments(now, batch.limit(0), last)
+    assert "S3" not in {r.shipment_id for r in end.fact_deliveries.collect()} and end.fact_deliveries.count() == 4
+    assert marts.refresh_stored(end) == ["2024-03"]
+    state = m.catalog.read(m.catalog.newest()["kpi_state"], S.KPI_STATE)
+    assert {r.year_month for r in state.collect()} == {"2024-01", "2024-02"}
 
 
 def test_a_full_load_in_between_rebuilds_the_sums(spark, tmp_path):
