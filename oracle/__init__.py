@@ -9,6 +9,7 @@ from oracle.star_sql import SQL as _STAR
 from oracle.dims_sql import SQL as _DIMS
 from oracle.marts_sql import SQL as _MARTS
 from oracle.loading_sql import SQL as _LOADING
+from oracle.order_sql import SQL as _ORDER
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(_BUSINESS)
@@ -16,3 +17,4 @@ ORACLE.update(_STAR)
 ORACLE.update(_DIMS)
 ORACLE.update(_MARTS)
 ORACLE.update(_LOADING)
+ORACLE.update(_ORDER)

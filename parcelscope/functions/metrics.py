@@ -86,6 +86,11 @@ def share_of_total(n: Column, over, digits: int) -> Column:
     return F.round(n.cast(COUNT_T) * 100 / nz(F.sum(n).over(over)).cast(COUNT_T), digits)
 
 
+def share_of(n: Column, total: Column, digits: int) -> Column:
+    """W1 — ``ROUND(n * 100 / total, digits)`` with the total as a column (``ranks.total``)."""
+    return F.round(n.cast(COUNT_T) * 100 / nz(total).cast(COUNT_T), digits)
+
+
 def delta_pp(cur: Column, prev: Column, digits: int) -> Column:
     """W3 / A8 — change in percentage points; 0 for the first row of a series."""
     return F.round(cur - F.coalesce(prev, cur), digits)

@@ -15,6 +15,7 @@ from parcelscope.functions import derive
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if, dec, sum_if
 from parcelscope.operators.joins import day_zone_rollup, newest, per_zone, star
+from parcelscope.operators.ranks import total
 
 
 def N():
@@ -85,7 +86,7 @@ def worst_postcodes(m, k: int = 10, cuts=S.LOCKER_CUTS_KPI, labels=S.LOCKER_LABE
         .orderBy(F.desc("wasted_cost_eur"), "postcode_pc4").limit(k))
 
 
-# KE4 [P17 W1] — share of weekly volume: window over the seven aggregated rows
+# KE4 [P17 W1] — share of weekly volume: total of the seven aggregated rows
 def weekday_pattern(m) -> DataFrame:
     p = day_zone_rollup(m, [
         N().alias("total_shipments"), count_if(FAIL()).alias("_fails"),
@@ -99,7 +100,7 @@ def weekday_pattern(m) -> DataFrame:
         F.round(M.ratio(F.col("_km"), F.col("_n_km")), 2).alias("avg_route_km"))
     return (g.select(derive.day_name().alias("day_of_week"), "day_of_week_number",
                      "total_shipments", "avg_cost_eur", "fail_rate_pct", "avg_route_km",
-                     M.share_of_total(F.col("total_shipments"), Window.partitionBy(), 1)
+                     M.share_of(F.col("total_shipments"), total(g, F.col("total_shipments")), 1)
                      .alias("pct_of_weekly_volume"))
             .orderBy("day_of_week_number"))
 

@@ -1,8 +1,8 @@
 """Business questions 1–5 on the flat model (city stored on the fact).
 
 Every query is one scan of the fact with partial (map-side) aggregation;
-shares of a total are windows over the *aggregated* rows (a handful of
-cities, reasons or vehicles), never over raw rows.  Top-k lists end in the
+shares of a total are made over the *aggregated* rows (cities, reasons or
+vehicles), never over raw rows; a total of all rows is a scalar subquery.  Top-k lists end in the
 postcode as a tie-break because their sort keys are rounded and tie.
 """
 
@@ -15,6 +15,7 @@ from parcelscope import schemas as S
 from parcelscope.functions import metrics as M
 from parcelscope.functions.metrics import count_if, dec, sum_if
 from parcelscope.operators.joins import per_zone
+from parcelscope.operators.ranks import total
 
 
 def FAILED():
@@ -95,14 +96,15 @@ def reason_counts(m) -> DataFrame:
             .orderBy(F.desc("total_fails"), "fail_reason"))
 
 
-# Q2b [P12 W1 A10 A11] — share of all failures: window over the aggregated reasons
+# Q2b [P12 W1 A10 A11] — share of all failures: reasons are free text, so their total is a
+# scalar subquery over the aggregated rows, not a window that holds them all
 def reason_cost(m) -> DataFrame:
     g = (m.flat_rows.filter(FAILED()).groupBy("fail_reason")
          .agg(N().alias("total_fails"),
               F.round(F.sum("delivery_cost_eur"), 0).alias("wasted_cost_eur"),
               F.round(F.sum("co2_emission_kg") * 1000, 1).alias("wasted_co2_grams")))
     return (g.select("fail_reason", "total_fails",
-                     M.share_of_total(F.col("total_fails"), Window.partitionBy(), 1)
+                     M.share_of(F.col("total_fails"), total(g, F.col("total_fails")), 1)
                      .alias("pct_of_all_fails"),
                      "wasted_cost_eur", "wasted_co2_grams")
             .orderBy(F.desc("total_fails"), "fail_reason"))
@@ -136,12 +138,11 @@ def co2_by_vehicle(m) -> DataFrame:
               F.round(F.sum(co2), 3).alias("total_co2_kg"),
               M.round_mean(co2, 2, 1000).alias("avg_co2_grams"),
               M.rate(FAILED(), 1).alias("fail_rate_pct")))
-    all_rows = Window.partitionBy()
-    total_n = F.sum("total_shipments").over(all_rows).cast(M.COUNT_T)
+    total_n = total(g, F.col("total_shipments"))
     return (g.select("vehicle_type", "total_shipments",
-                     M.share_of_total(F.col("total_shipments"), all_rows, 1).alias("fleet_share_pct"),
+                     M.share_of(F.col("total_shipments"), total_n, 1).alias("fleet_share_pct"),
                      "total_co2_kg", "avg_co2_grams", "fail_rate_pct",
-                     F.round(F.col("_co2") / M.nz(total_n) * 100, 1).alias("share_of_total_co2_pct"))
+                     F.round(F.col("_co2") / M.nz(total_n.cast(M.COUNT_T)) * 100, 1).alias("share_of_total_co2_pct"))
             .orderBy(F.desc("total_co2_kg"), "vehicle_type"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelscope.plans import (advanced, business, drivers, inventory, loading, marts, overview,
+from parcelscope.plans import (advanced, business, drivers, inventory, loading, marts, order, overview,
                                routes, views)
 
 # zones of the mapped data that stand for the locker scenario's (FIXTURES.md)
@@ -58,6 +58,8 @@ QUERIES = {
     .drop("refreshed_at"),
     "refresh_monthly_kpi": marts.refresh_after_partial_load,
     "mart_after_late_batch": marts.mart_after_late_batch,
+    # order of the sorted statements
+    "statement_positions": order.statement_positions,
     # load, inspection, quality and audit jobs
     "verify_counts": loading.verify_counts,
     "verify_load": loading.verify_load,
