@@ -10,6 +10,7 @@ from oracle.dims_sql import SQL as _DIMS
 from oracle.marts_sql import SQL as _MARTS
 from oracle.loading_sql import SQL as _LOADING
 from oracle.order_sql import SQL as _ORDER
+from oracle.sheets_sql import SQL as _SHEETS
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(_BUSINESS)
@@ -18,3 +19,4 @@ ORACLE.update(_DIMS)
 ORACLE.update(_MARTS)
 ORACLE.update(_LOADING)
 ORACLE.update(_ORDER)
+ORACLE.update(_SHEETS)

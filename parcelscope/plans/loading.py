@@ -16,9 +16,10 @@ from parcelscope import schemas as S
 from parcelscope.operators import quality as Q
 from parcelscope.operators.joins import top1_per_group
 from parcelscope.plans import marts, routes
-from parcelscope.sources import calendar, ingest
+from parcelscope.session import shared_dir
+from parcelscope.sources import calendar, ingest, raw_fixture, sheets
 from parcelscope.sources.load import load_log
-from parcelscope.sources.manifest import literal_rows
+from parcelscope.sources.manifest import Catalog, literal_rows, new_id
 from parcelscope.sources.model import MARKS, with_calendar
 
 
@@ -248,6 +249,33 @@ def load_audit(m) -> DataFrame:
                       "error_message", (F.col("duration_seconds") >= 0).alias("has_duration"))
 
 
+# S1–S6 M5 M9 — raw sheets loaded by their contracts (each call is a load of its own)
+def load_raw(m, *wanted):
+    """(catalog, tables) of a load of the raw files of some sheets."""
+    root = shared_dir(m.spark, "sheets", new_id())
+    raw = {}
+    for s in wanted:
+        raw_fixture.write_raw(m, s, f"{root}/raw/{s.name}")
+        raw[s.name] = sheets.read_sheet(m.spark, f"{root}/raw/{s.name}", s)
+    catalog = Catalog(m.spark, f"{root}/tables")
+    return catalog, sheets.load_sheets(catalog, raw, wanted)
+
+
+def _loaded(sheet):
+    return lambda m: load_raw(m, sheet)[1][sheet.name]
+
+
+sheet_drivers, sheet_deliveries = _loaded(sheets.DRIVERS), _loaded(sheets.DELIVERIES)
+sheet_inventory, sheet_forecast = _loaded(sheets.INVENTORY), _loaded(sheets.FORECAST)
+
+
+def sheet_rejects(m) -> DataFrame:
+    """Refused rows of the sheets per reason."""
+    catalog, _ = load_raw(m, *sheets.SHEETS)
+    return Q.union_all([Q.reject_summary(sheets.rejects(catalog, s)).select(F.lit(s.name).alias("sheet"), "reason", "rejected_rows")
+                        for s in sheets.SHEETS])
+
+
 # P7 — the daily volume mart with its derived forecast error
 def daily_forecast(m) -> DataFrame:
     return m.mart_daily_forecast.select(

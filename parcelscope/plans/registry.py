@@ -81,4 +81,10 @@ QUERIES = {
     "load_audit": loading.load_audit,
     "load_manifest": loading.load_manifest,
     "daily_forecast": loading.daily_forecast,
+    # raw sheets, loaded from files by their contracts
+    "sheet_drivers": loading.sheet_drivers,
+    "sheet_deliveries": loading.sheet_deliveries,
+    "sheet_inventory": loading.sheet_inventory,
+    "sheet_forecast": loading.sheet_forecast,
+    "sheet_rejects": loading.sheet_rejects,
 }
