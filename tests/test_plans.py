@@ -231,4 +231,5 @@ def test_month_city_kpis_aggregate_by_day_and_zone_before_the_star_joins(written
         p = plan(QUERIES[name](written))
         below = p[p.index("BroadcastHashJoin [date_key"):]
         assert below.index("HashAggregate(keys=[date_key") < below.index("FileScan"), name
-        assert len(scans(p, "fact_deliveries")) == 1, name
+        # scans of totals: test_totals_and_ranks_scan_the_fact_once
+        assert len(scans(p, "fact_deliveries")) == 1 or name in TOTALS, name
