@@ -121,18 +121,19 @@ def tag_rejects(df: DataFrame, rules: list[Rule], unique_keys=None,
     window over a key); references from a flag joined from the parent keys.
     """
     tagged = df
-    reasons = [F.when(~r.ok, F.lit(f"{r.name}:{r.column}")) for r in rules]
+    fine = F.lit("")        # not null: rows are checked in generated code, without a lambda over the reasons
+    reasons = [F.when(~r.ok, F.lit(f"{r.name}:{r.column}")).otherwise(fine) for r in rules]
     if unique_keys:
         keys = list(unique_keys)
         dup = duplicate_keys(df, keys).select(*keys, F.lit(True).alias("_dup"))
         tagged = tagged.join(dup, keys, "left")
-        reasons.append(F.when(F.col("_dup"), F.lit("duplicate:" + ",".join(keys))))
+        reasons.append(F.when(F.col("_dup"), F.lit("duplicate:" + ",".join(keys))).otherwise(fine))
     for i, (parent, key) in enumerate(references or []):
         flag = f"_ref{i}"
         pk = parent.select(key).distinct().withColumn(flag, F.lit(True))
         tagged = tagged.join(pk, key, "left")
-        reasons.append(F.when(F.col(key).isNotNull() & F.col(flag).isNull(), F.lit("orphan:" + key)))
-    tagged = tagged.withColumn("reject_reasons", F.array_compact(F.array(*reasons)))
+        reasons.append(F.when(F.col(key).isNotNull() & F.col(flag).isNull(), F.lit("orphan:" + key)).otherwise(fine))
+    tagged = tagged.withColumn("reject_reasons", F.array_remove(F.array(*reasons), ""))
     helper = [c for c in tagged.columns if c.startswith("_dup") or c.startswith("_ref")]
     return tagged.drop(*helper)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -32,6 +33,16 @@ MODEL_TABLES = ["fact_deliveries", "dim_date", "dim_postcode", "dim_driver", "di
                 "dim_product_category", "mart_inventory_snapshot", "mart_daily_forecast"]
 
 
+@dataclass
+class Staged:
+    """How a table is made: ``rows`` with its source columns, and ``derive(rows,
+    kept)``, which gives the table's columns after those named ``kept``.  It
+    holds for ``table``, the DataFrame made that way, and no other."""
+    table: DataFrame
+    rows: DataFrame
+    derive: Callable
+
+
 @dataclass
 class Model:
     spark: SparkSession
@@ -44,6 +55,8 @@ class Model:
     # where the tables are committed, and the manifest row of each
     catalog: Catalog | None = None
     commits: dict = field(default_factory=dict)
+    # tables whose load moves their source columns instead of their rows
+    staged: dict = field(default_factory=dict)
 
     def __getattr__(self, name):
         tables = self.__dict__.get("tables", {})
@@ -142,9 +155,9 @@ def read_sources(spark: SparkSession, sf_dir: str) -> dict:
 
 def build_model(spark: SparkSession, sf_dir: str) -> Model:
     src = read_sources(spark, sf_dir)
+    rows = tpch_fixture.fact_rows(src["lineitem"], src["orders"], src["customer"], src["part"])
     tables = {
-        "fact_deliveries": tpch_fixture.build_fact(src["lineitem"], src["orders"],
-                                                   src["customer"], src["part"]),
+        "fact_deliveries": tpch_fixture.derive_fact(rows),
         "dim_date": calendar.calendar_spanning(src["lineitem"], "l_shipdate"),
         "dim_postcode": tpch_fixture.build_dim_postcode(src["nation"], src["region"]),
         "dim_driver": tpch_fixture.build_dim_driver(src["supplier"], src["region"]),
@@ -153,7 +166,8 @@ def build_model(spark: SparkSession, sf_dir: str) -> Model:
         "mart_inventory_snapshot": tpch_fixture.build_inventory_snapshot(src["lineitem"], src["part"]),
         "mart_daily_forecast": tpch_fixture.build_daily_forecast(src["events"], src["region"]),
     }
-    return Model(spark, tables, source=sf_dir, sources=src)
+    staged = {"fact_deliveries": Staged(tables["fact_deliveries"], rows, tpch_fixture.derive_fact)}
+    return Model(spark, tables, source=sf_dir, sources=src, staged=staged)
 
 
 _CACHE: dict = {}
@@ -254,7 +268,12 @@ def materialize(model: Model, path: str | None = None) -> Model:
 def write_table(load: Load, model: Model, name: str, **kept) -> None:
     """One table of the model as part of a load run."""
     from parcelscope.plans.loading import fact_rules
-    load.write(name, model.tables[name], declared_schemas()[name], PARTITION_COLUMNS.get(name, [None])[0],
+    staged = model.staged.get(name)
+    if staged and staged.table is model.tables[name]:
+        rows, kept["derive"] = staged.rows, staged.derive
+    else:
+        rows = model.tables[name]
+    load.write(name, rows, declared_schemas()[name], PARTITION_COLUMNS.get(name, [None])[0],
                SORT_COLUMNS.get(name), rules=fact_rules() if name == "fact_deliveries" else None,
                marks={k: F.expr(e) for k, e in MARKS.get(name, {}).items()}, **kept,
                small=name == "mart_inventory_snapshot")

@@ -35,27 +35,35 @@ REORDER_QTY = 1000
 BASE_CAPACITY = 5000
 CAPACITY_STEP = 2000
 FORECAST_BASE = 60
+# columns of the fact that follow from its own others (``derive.fact_flags``)
+FLAGS = ("is_first_attempt_fail", "is_returned", "is_zero_emission", "is_multi_attempt")
 
 
 def _wh(idx) -> F.Column:
     return F.concat(F.lit(WAREHOUSE_PREFIX), idx.cast("string"))
 
 
-def build_fact(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
-               part: DataFrame) -> DataFrame:
+def fact_rows(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
+    """The source columns of each shipment, not yet derived: about half the
+    bytes of the fact's row, so a load moves these."""
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                          "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                          "l_linestatus", "l_shipdate")
     o = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-    p = part.select("p_partkey", "p_type")
+    p = part.select("p_partkey", F.xxhash64("p_type").alias("category_id"))
     # Join order: orders ⋈ customer first (order-sized shuffle), so line
     # items are shuffled only twice — by order key, then by part key — when
     # the sides are too large to broadcast.
     oc = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     j = (li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(p, F.col("l_partkey") == F.col("p_partkey")))
+    return j.select(*li.columns, "o_orderpriority", "c_nationkey", "c_mktsegment", "category_id")
 
+
+def derive_fact(rows: DataFrame, kept=()) -> DataFrame:
+    """The fact's columns of ``fact_rows``, after the columns ``kept``; a fact
+    column among these is taken as it is."""
     failed = (F.col("l_returnflag") == "R") & (
         F.col("l_quantity") <= F.lit(8) + (F.col("c_nationkey") % 5) * 4)
     second_ok = F.col("l_linestatus") == "F"
@@ -66,14 +74,14 @@ def build_fact(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
     final = (F.when(~failed, F.lit("Delivered"))
              .when(second_ok, F.lit("Delivered (2nd attempt)"))
              .otherwise(F.lit(S.RETURNED)))
-    fact = j.select(
+    columns = [
         F.concat_ws("-", F.lit("SHP"), F.col("l_orderkey").cast("string"),
                     F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
                     F.col("l_suppkey").cast("string")).alias("shipment_id"),
         (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int").alias("date_key"),
         (F.col("c_nationkey") + POSTCODE_BASE).cast("short").alias("postcode_pc4"),
         _wh(F.col("l_suppkey") % 5).alias("warehouse_id"),
-        F.xxhash64(F.col("p_type")).alias("category_id"),
+        F.col("category_id"),
         F.col("l_shipdate").alias("dispatch_datetime"),
         F.when(final != S.RETURNED,
                F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber") * 7))
@@ -98,8 +106,15 @@ def build_fact(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
         (F.col("l_linenumber") * 5).cast("decimal(5,1)").alias("wind_speed_kmh"),
         F.month(day).isin(11, 12).alias("is_peak_period"),
         F.date_format(day, "yyyy-MM").alias("year_month"),
-    )
-    return derive.fact_flags(fact)
+    ]
+    names = [f for f in S.FACT_DELIVERIES.fieldNames() if f not in FLAGS]
+    own = [c.alias(n) for n, c in zip(names, columns) if n not in kept]
+    return derive.fact_flags(rows.select(*kept, *own))
+
+
+def build_fact(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
+               part: DataFrame) -> DataFrame:
+    return derive_fact(fact_rows(lineitem, orders, customer, part))
 
 
 def build_dim_postcode(nation: DataFrame, region: DataFrame) -> DataFrame:

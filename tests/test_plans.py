@@ -64,6 +64,36 @@ def test_fact_build_prunes_columns_and_shuffles_line_items_twice(raw, no_auto_br
     assert "hashpartitioning(o_custkey" in p
 
 
+def test_the_load_shuffles_source_columns_not_the_derived_rows(spark, raw, tmp_path, monkeypatch):
+    from parcelscope.sources import ingest, model
+    from parcelscope.sources.load import Load
+    from parcelscope.sources.manifest import Catalog
+    seen, write = [], ingest.write_table
+    monkeypatch.setattr(ingest, "write_table", lambda df, *a, **k: (seen.append(df), write(df, *a, **k)))
+    catalog = Catalog(spark, str(tmp_path))
+    with Load(catalog, "FULL", ["fact_deliveries"]) as load:
+        model.write_table(load, raw, "fact_deliveries")
+    p = plan(seen[0])
+    dealt = p.index("Exchange hashpartitioning(year_month")
+    assert "concat_ws" in p[:dealt] and "concat_ws" not in p[dealt:]
+    assert p.count("Sort [") == 1 and p.index("Sort [") < dealt, "sorted once, before the rows are derived"
+    got = catalog.read(load.by_table()["fact_deliveries"], model.declared_schemas()["fact_deliveries"])
+    want = raw.fact_deliveries.select(*got.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_a_replaced_table_is_not_loaded_from_the_stage(raw):
+    from parcelscope.sources import model
+
+    class Seen:
+        def write(self, name, df, *a, **k):
+            self.df, self.derive = df, k.get("derive")
+
+    seen, few = Seen(), raw.fact_deliveries.limit(1)
+    model.write_table(seen, model.Model(raw.spark, {**raw.tables, "fact_deliveries": few}, staged=raw.staged), "fact_deliveries")
+    assert seen.df is few and seen.derive is None
+
+
 def test_star_queries_broadcast_dimensions_only(written):
     for name in ["headline_kpis", "otd_trend", "postcode_performance", "co2_savings",
                  "deliveries_enriched", "monthly_kpi", "city_scorecard", "worst_postcodes"]:
