@@ -296,11 +296,13 @@ def commit_model(model: Model, catalog: Catalog, print_: str = "") -> Model:
 
 def with_calendar(m: Model, holidays: DataFrame | None = None, peaks: DataFrame | None = None) -> Model:
     """The model with holidays and peaks from tables (S13): the calendar is
-    marked by them, and each shipment's peak flag is its day's."""
+    marked by them, and each shipment's peak flag is its day's.  The calendar
+    has one row a day; the joins that mark it hide that from Spark, which
+    would shuffle the shipments to it."""
     days = calendar.mark_days(m.dim_date, holidays, peaks)
     columns = m.fact_deliveries.columns
     flag = days.select("date_key", F.col("is_peak_period").alias("is_peak"))
-    fact = (m.fact_deliveries.join(flag, "date_key", "left")
+    fact = (m.fact_deliveries.join(F.broadcast(flag), "date_key", "left")
             .withColumn("is_peak_period", F.coalesce("is_peak", F.lit(False))).select(*columns))
     return Model(m.spark, {**m.tables, "dim_date": days, "fact_deliveries": fact}, m.source,
                  m.materialized_at, m.sources, m.marks)

@@ -94,6 +94,14 @@ def test_a_replaced_table_is_not_loaded_from_the_stage(raw):
     assert seen.df is few and seen.derive is None
 
 
+def test_peaks_from_tables_do_not_shuffle_the_shipments(written, no_auto_broadcast):
+    from parcelscope.plans import loading
+    from parcelscope.sources.model import with_calendar
+    p = plan(with_calendar(written, *loading.busy_periods(written)).fact_deliveries)
+    assert re.search(r"\w+Join", p).group(0) == "BroadcastHashJoin"
+    assert re.search(r"FileScan|Exchange", p).group(0) == "FileScan"
+
+
 def test_star_queries_broadcast_dimensions_only(written):
     for name in ["headline_kpis", "otd_trend", "postcode_performance", "co2_savings",
                  "deliveries_enriched", "monthly_kpi", "city_scorecard", "worst_postcodes"]:
