@@ -167,32 +167,43 @@ def outcome_counts_by_key(df: DataFrame, rules: list[Rule], unique_keys, parent:
     parent_key)])`` without tagging a row: ``df`` is read once and
     aggregated to its unique keys (a repeated key is a count over one), these
     sums together with the parent's keys to ``parent_key`` (no parent row: an
-    orphan), and those to the one result.  Every step sums map-side first, so
-    a hot order, or a line that is there a million times, is one row per task;
-    there is no join and no window.  ``parent_key`` is one of ``unique_keys``."""
+    orphan), and those to the one result.  A broken rule does not depend on
+    the keys: it is a row without keys, by the rule's number, beside the row's
+    own, so that a key has two sums to keep and not one per rule.  Every step
+    sums map-side first, so a hot order, or a line that is there a million
+    times, is one row per task; there is no join and no window.
+    ``parent_key`` is one of ``unique_keys``."""
     keys = list(unique_keys)
+    own = -1        # the number of a row that stands for itself
     label = {i: f"{r.name}:{r.column}" for i, r in enumerate(rules)}
-    bad = {i: F.coalesce(~r.ok, F.lit(False)) for i, r in enumerate(rules)}     # a NULL check passes
-    fine = ~reduce(lambda a, b: a | b, bad.values())
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(fine).alias("fine"),
-                                    *[F.count_if(b).alias(f"r{i}") for i, b in bad.items()])
-    repeated = F.coalesce(F.col("n") > 1, F.lit(False)) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    sums = ["n", "fine", "again", *[f"r{i}" for i in label]]
-    lines = per_key.select(parent_key, "n", F.when(repeated, 0).otherwise(F.col("fine")).cast("bigint").alias("fine"),
-                           F.when(repeated, F.col("n")).otherwise(0).cast("bigint").alias("again"),
-                           *[f"r{i}" for i in label], F.lit(0).alias("known"))
-    marks = parent.select(F.col(parent_key), *[F.lit(0).cast("bigint").alias(c) for c in sums], F.lit(1).alias("known"))
-    per_parent = lines.unionByName(marks).groupBy(parent_key).agg(
+    numbers = F.array(*[F.when(~r.ok, i).otherwise(own) for i, r in enumerate(rules)])      # a NULL check passes
+    checked = df.select(*keys, F.array_remove(numbers, own).alias("broken"))
+    each = checked.select(*keys, (F.size("broken") == 0).alias("ok"),
+                          F.explode_outer(F.concat(F.array(F.lit(own)), "broken")).alias("rule"))
+    per_key = (each.select(*[F.when(F.col("rule") == own, F.col(k)).alias(k) for k in keys], "rule", "ok")
+               .groupBy(*keys, "rule").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("fine")))
+    repeated = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], (F.col("rule") == own) & (F.col("n") > 1))
+    sums = ["n", "fine", "again"]
+    lines = per_key.select(parent_key, "rule", "n", F.when(repeated, 0).otherwise(F.col("fine")).cast("bigint").alias("fine"),
+                           F.when(repeated, F.col("n")).otherwise(0).cast("bigint").alias("again"), F.lit(0).alias("known"))
+    marks = parent.select(F.col(parent_key), F.lit(own).alias("rule"), *[F.lit(0).cast("bigint").alias(c) for c in sums],
+                          F.lit(1).alias("known"))
+    per_parent = lines.unionByName(marks).groupBy(parent_key, "rule").agg(
         *[F.sum(c).alias(c) for c in sums], F.max("known").alias("known"))
-    orphan = F.col(parent_key).isNotNull() & (F.col("known") == 0)
-    total = per_parent.agg(F.sum(F.when(orphan, 0).otherwise(F.col("fine"))).alias("valid"),
-                           F.sum(F.when(orphan, F.col("n")).otherwise(0)).alias("orphan"),
-                           *[F.sum(c).alias(c) for c in ["n", "again", *[f"r{i}" for i in label]]])
+    row = F.col("rule") == own
+    orphan = row & F.col(parent_key).isNotNull() & (F.col("known") == 0)
+
+    def total(where: Column, c: str) -> Column:
+        return F.sum(F.when(where, F.col(c)).otherwise(0))
+
+    totals = per_parent.agg(total(row & ~orphan, "fine").alias("valid"), total(orphan, "n").alias("orphan"),
+                            total(row, "n").alias("n"), F.sum("again").alias("again"),
+                            *[total(F.col("rule") == i, "n").alias(f"r{i}") for i in label])
     outcomes = [("valid", F.col("valid")), ("rejected", F.col("n") - F.col("valid")),
                 *[(label[i], F.col(f"r{i}")) for i in label],
                 ("duplicate:" + ",".join(keys), F.col("again")), ("orphan:" + parent_key, F.col("orphan"))]
     rows = F.array(*[F.struct(F.lit(k).alias("reason"), c.cast("bigint").alias("rows")) for k, c in outcomes])
-    return total.select(F.inline(rows)).filter(F.col("rows") > 0)
+    return totals.select(F.inline(rows)).filter(F.col("rows") > 0)
 
 
 def split_valid(df: DataFrame, rules: list[Rule], unique_keys=None,

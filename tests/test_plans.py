@@ -133,6 +133,13 @@ def test_line_validation_reads_the_lines_once_and_joins_nothing(raw, no_auto_bro
     assert "partial_count" in p[exchange:p.index("FileScan", exchange)]
 
 
+def test_line_validation_keeps_two_sums_per_line(raw):
+    p = plan(QUERIES["lineitem_validation"](raw))
+    (line,) = [x for x in p.splitlines() if "HashAggregate(keys=[l_orderkey" in x and "partial_count" in x]
+    assert line.count("partial_count") == 2
+    assert "lambda" not in p
+
+
 def test_failed_only_filter_reaches_parquet(written):
     p = plan(QUERIES["reason_counts"](written))
     (fact,) = scans(p, "fact_deliveries")
