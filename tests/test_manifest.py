@@ -190,3 +190,18 @@ def test_the_refresh_reads_the_batch_only(spark, tmp_path):
     added, gone = M.changed_rows(now, m.commits["fact_deliveries"].load_id)
     read = added.inputFiles() + gone.inputFiles()
     assert read and all("/fact_changes/" in f for f in read)
+
+
+def test_a_derived_load_sorts_smaller_partitions(spark):
+    from parcelscope.sources.load import ADVISORY, DEALT_SIZE, smaller_partitions
+    with pytest.raises(ValueError), smaller_partitions(spark):
+        assert spark.conf.get(ADVISORY) == DEALT_SIZE
+        raise ValueError
+    assert spark.conf.get(ADVISORY, None) is None
+    spark.conf.set(ADVISORY, "5m")
+    try:
+        with smaller_partitions(spark):
+            assert spark.conf.get(ADVISORY) == "5m"
+        assert spark.conf.get(ADVISORY) == "5m"
+    finally:
+        spark.conf.unset(ADVISORY)
