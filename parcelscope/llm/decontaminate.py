@@ -92,27 +92,32 @@ def _slots(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~_plain(t["c"]))
 
 
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t["c"]))
+
+
+def _five(values: Column, at: Column) -> list[Column]:
+    """The values from one place on; null behind the last, which neither
+    xxhash64 nor concat_ws counts."""
+    return [F.get(values, at + k) for k in range(WORDS)]
+
+
 def windows(rows: DataFrame) -> DataFrame:
     """``rows`` with ``windows``, one ``(hash, folded, values)`` per window of
     ``tokens``: the hashes of its two forms and the values of its
     placeholders, parted by PART, names behind NAMED."""
     keep = [c for c in rows.columns if c != "tokens"]
-    # transform, not field access: the optimizer would move a cheap field
-    # access into the lambdas that read these arrays, once per window
-    both = rows.select(*keep, "tokens", F.transform("tokens", lambda t: t["c"]).alias("canon"),
-                       F.transform("tokens", _folded).alias("low"),
+    # each token is hashed once, and a window's hash is made of five of these
+    # numbers: no window is cut out of an array
+    each = rows.select(*keep, "tokens", _hashes(F.col("tokens")).alias("canon"),
+                       F.transform("tokens", lambda t: F.xxhash64(_folded(t))).alias("low"),
                        F.transform("tokens", lambda t: F.when(t["c"] == NAME, F.concat(F.lit(NAMED), t["r"])).when(
                            _typed(t["c"]), t["r"])).alias("held"))
     size = F.least(F.size("canon"), F.size("low"), F.size("held"))
-
-    def window(canon: Column, low: Column, held: Column) -> Column:
-        return F.struct(F.xxhash64(canon).alias("hash"), F.xxhash64(low).alias("folded"),
-                        F.array_join(held, PART).alias("values"))
-
-    made = (F.when(size >= WORDS, F.transform(F.sequence(F.lit(1), size - (WORDS - 1)), lambda i: window(
-        F.slice("canon", i, WORDS), F.slice("low", i, WORDS), F.slice("held", i, WORDS))))
-        .when(size > 0, F.array(window(F.col("canon"), F.col("low"), F.col("held")))))
-    return both.select(*keep, "tokens", made.alias("windows"))
+    made = F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - WORDS, F.lit(0))), lambda i: F.struct(
+        F.xxhash64(*_five(F.col("canon"), i)).alias("hash"), F.xxhash64(*_five(F.col("low"), i)).alias("folded"),
+        F.concat_ws(PART, *_five(F.col("held"), i)).alias("values"))))
+    return each.select(*keep, "tokens", made.alias("windows"))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,7 +139,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = (each.where((F.col("first") == 0) & _plain(head["c"]) & (F.lower(head["r"]) != head["r"]))
              .withColumn("part", F.concat(F.array(F.struct(head["r"].alias("r"), F.lit(NAME).alias("c"))),
                                           F.slice("part", 2, WORDS)))
-             .withColumn("hash", F.xxhash64(F.transform("part", lambda t: t["c"]))))
+             .withColumn("hash", F.xxhash64(*_five(_hashes(F.col("part")), F.lit(0)))))
     lower = (places.where(F.col("folded") != F.col("hash")).groupBy("item", "first", "folded")
              .agg(F.min_by("part", "at").alias("part"))
              .join(each.select("item", "total").distinct(), "item")

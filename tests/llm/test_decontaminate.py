@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from parcelscope.llm.decontaminate import drop_contaminated, op3_template_decontamination, templates, verdicts
+from parcelscope.llm.decontaminate import drop_contaminated, op3_template_decontamination, templates, verdicts, windows
 from tests.llm.common import docs, rows
 
 ITEM = ("A train leaves Paris at 9 and drives 120 km per hour towards Lyon while Anna counts 17 cows on the field. "
@@ -89,6 +89,19 @@ def test_templates(spark):
     assert [t.r for t in row.tokens[2:4]] == ["3.5", "kg"]
 
 
+def test_windows_hash_each_token_once(spark):
+    """A window's hash is made of its tokens' hashes; no window is cut out."""
+    given = [(1, "It weighs 3.5 kg in Rome. Then Bob goes"), (2, "just Four words here"), (3, "..."), (4, None)]
+    made = windows(templates(spark.createDataFrame(given, "i int, t string"), "t")).select("i", "windows")
+    got = [(r.i, w) for r in sorted(made.collect()) for w in r.windows or ()]
+    assert [(i, w["values"]) for i, w in got] == [
+        (1, "3.5\x1fkg"), (1, "3.5\x1fkg\x1f\x1eRome"), (1, "3.5\x1fkg\x1f\x1eRome"),
+        (1, "kg\x1f\x1eRome\x1f\x1eBob"), (1, "\x1eRome\x1f\x1eBob"), (2, "\x1eFour")]
+    assert len({w["hash"] for _, w in got}) == 6
+    assert [w["hash"] == w["folded"] for _, w in got] == [True] + [False] * 5
+    assert "slice(" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_edge_cases(spark):
     long = "filler words go on and on. " * 8000 + ITEM
     given = [(1, None), (2, ""), (3, "two words"), (4, long), (4, long), (None, ITEM), (5, "..."), (6, ITEM + " " + ITEM)]
