@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,6 +51,7 @@ from parcelscope.llm.common import slices, stored, table
 META = "▁"
 BLOCK_BYTES = 8 << 20
 MASK_CHARS = 62
+RUN_WORDS = 1 << 17     # words of a slice that become ids at a time
 BROADCAST_PIECES = 1_000_000
 ENCODED = "row_id bigint, ids array<int>"
 DECODED = "row_id bigint, n_pieces int, ids array<int>, n_decoded bigint, decoded_sha256 string"
@@ -76,25 +76,33 @@ class Vocabulary:
         self.normal = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type == p.NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == p.BYTE}
         self.control = {i for i, p in enumerate(model.pieces) if p.type in (p.CONTROL, p.UNKNOWN)}
+        self._names = pa.array(list(self.normal), pa.string())
+        self._ids = np.array([i for i, _ in self.normal.values()], np.int32)
         self.longest = max(map(len, self.normal), default=1)
         # the library's score of an unknown character
         self.unknown = min((s for _, s in self.normal.values()), default=0.0) - 10.0
         met = {ord(a) << 21 | ord(b) for p in self.normal for a, b in zip(p, p[1:])}
         self.met = np.append(np.array(sorted(met), np.int64), np.iinfo(np.int64).max)
+        # of characters under 256: whether no piece has both side by side
+        self._parted = np.ones(1 << 16, bool)
+        self._parted[[(pair >> 21) << 8 | pair & 255 for pair in met if pair >> 21 < 256 and pair & 0x1FFFFF < 256]] = False
         # parts the pieces of a spelled fragment; a character of no piece, so
         # in a text it is a fragment of its own
         used = set("".join(self.normal))
         self.mark = next(chr(c) for c in range(1, 0x110000) if chr(c) not in used)
 
-    def fragments(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+    def fragments(self, words: pa.Array) -> tuple[list[str], np.ndarray]:
         """All fragments of the words, end to end, and how many each has."""
-        text = "".join(words)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_py()
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         if not len(points):
             return [], np.zeros(len(words), np.int64)
-        pair = points[:-1] << 21 | points[1:]
-        cut = np.append(True, self.met[np.searchsorted(self.met, pair)] != pair)
-        length = np.fromiter(map(len, words), np.int64, len(words))
+        a, b = points[:-1], points[1:]
+        cut = np.append(True, self._parted[(a & 255) << 8 | (b & 255)])
+        wide = np.flatnonzero((a | b) > 255)
+        pair = a[wide].astype(np.int64) << 21 | b[wide]
+        cut[wide + 1] = self.met[np.searchsorted(self.met, pair)] != pair
+        length = pc.utf8_length(words).to_numpy().astype(np.int64)
         first = np.cumsum(length) - length
         cut[first[length > 0]] = True
         at = np.flatnonzero(cut)
@@ -129,16 +137,25 @@ class Vocabulary:
             push(i)
         return [i for i in range(n) if alive[i]]
 
-    def ids(self, spelled: str) -> list[int]:
-        """Piece ids of a fragment whose pieces are parted by the mark."""
-        out: list[int] = []
-        for piece in [spelled] if spelled == self.mark else spelled.split(self.mark):
-            known = self.normal.get(piece)
-            if known:
-                out.append(known[0])
-            else:
-                out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return out
+    def ids(self, spelled: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Fragments whose pieces are parted by the mark: without the marks,
+        all their piece ids end to end, and how many each has."""
+        names, alone = pc.replace_substring(spelled, self.mark, ""), pc.equal(spelled, self.mark)
+        lists = pc.split_pattern(spelled, self.mark)
+        if pc.any(alone).as_py():
+            names = pc.if_else(alone, spelled, names)
+            lists = pc.if_else(alone, pa.scalar([self.mark], lists.type), lists)
+        pieces = lists.flatten()
+        at = pc.fill_null(pc.index_in(pieces, value_set=self._names), -1).to_numpy()
+        known = at >= 0
+        spelled_bytes = [p.encode() for p in _strings(pieces.filter(pa.array(~known)))]
+        size = np.ones(len(at), np.int64)
+        size[~known] = np.fromiter(map(len, spelled_bytes), np.int64, len(spelled_bytes))
+        ids = np.empty(int(size.sum()), np.int32)
+        first = np.cumsum(size) - size
+        ids[first[known]] = self._ids[at[known]]
+        ids[_ranges(first[~known], size[~known])] = [self.bytes[x] for b in spelled_bytes for x in b]
+        return _strings(names), ids, _sums(size, pc.list_value_length(lists).to_numpy())
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(self._spelled[ids].tolist()).decode("utf-8", "replace").replace(META, " ")
@@ -180,14 +197,32 @@ def _word_lists(texts: pa.Array) -> pa.ListArray:
     return pc.if_else(pc.equal(texts, ""), pa.scalar([], lists.type), lists)
 
 
-def _spell(words: list[str]) -> list[str]:
-    return [w if w[:1] == "\n" else META + w for w in words]
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def _joined_spaces(lists: pa.ListArray) -> bool:
-    """Whether runs of spaces occur, whose pieces span words."""
-    flat = lists.flatten()
-    return bool(pc.any(pc.equal(flat, "")).as_py())
+def _spell(words: pa.Array) -> pa.Array:
+    return pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(META, words, ""))
+
+
+def _with_runs(words: pa.Array, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of rows of the given lengths, where empty words (a space with a
+    space behind it) are joined to the next word as META characters, so that
+    runs stay together.  The last word of a row and a word before a line feed
+    stay as they are."""
+    empty = pc.equal(words, "").to_numpy(zero_copy_only=False)
+    if not empty.any():
+        return words, lengths
+    ends = np.cumsum(lengths)
+    goes = empty & ~np.append(pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)[1:], True)
+    goes[ends[lengths > 0] - 1] = False
+    stay = np.flatnonzero(~goes)
+    run = np.diff(stay, prepend=-1) - 1
+    lengths = lengths - _sums(goes.astype(np.int64), lengths)
+    words, joined = words.take(pa.array(stay)), run > 0
+    after = words.filter(pa.array(joined)).to_pylist()
+    return pc.replace_with_mask(words, pa.array(joined), pa.array(
+        [META * r + w for r, w in zip(run[joined].tolist(), after)], words.type)), lengths
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -206,31 +241,10 @@ class Coder:
 
     def __init__(self, texts: pa.Array):
         lists = _word_lists(texts)
-        if _joined_spaces(lists):
-            lists = self._with_runs(lists)
-        self.lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        coded = pc.dictionary_encode(lists.flatten())
+        words, self.lengths = _with_runs(lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = pc.dictionary_encode(words)
         self.codes = coded.indices.to_numpy()
-        self.words = _spell(coded.dictionary.to_pylist())
-
-    @staticmethod
-    def _with_runs(lists: pa.ListArray) -> pa.ListArray:
-        """Empty words (a space with a space behind it) joined to the next
-        word as META characters, so that runs stay together."""
-        out = []
-        for words in lists.to_pylist():
-            if "" not in words:
-                out.append(words)
-                continue
-            row, run = [], 0
-            for k, w in enumerate(words):
-                if w == "" and k + 1 < len(words) and words[k + 1][:1] != "\n":
-                    run += 1
-                else:
-                    row.append(META * run + w)
-                    run = 0
-            out.append(row)
-        return pa.array(out, lists.type)
+        self.words = _spell(coded.dictionary)
 
 
 def pieces_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
@@ -279,11 +293,14 @@ def encode_fragments(fragments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     n = F.length("fragment")
     pieces = pieces_table(fragments.sparkSession, vocabulary)
     least = 2 if vocabulary.bpe else 1      # merges start from single characters
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - least), lambda s: F.transform(
-        F.sequence(F.lit(least), F.least(F.lit(vocabulary.longest), n - s)),
-        lambda k: F.struct(s.alias("s"), (s + k).alias("t"), F.substring("fragment", s + 1, k).alias("piece")))))
-    matched = (fragments.where(n >= 2).select("fragment", F.explode_outer(spans).alias("e"))
-               .select("fragment", "e.*").join(pieces, "piece"))
+    # two explodes of numbers are compiled with the join, nested lambdas that
+    # make an array of substrings are not; coalesce: no filter that cuts twice
+    spans = (fragments.where(n >= 2)
+             .select("fragment", F.explode_outer(F.sequence(F.lit(0), n - least)).alias("s"))
+             .select("fragment", "s", F.explode_outer(F.sequence(
+                 F.lit(least), F.least(F.lit(vocabulary.longest), n - F.col("s")))).alias("k")))
+    piece = F.coalesce(F.substring("fragment", F.col("s") + 1, F.col("k")), F.lit(""))
+    matched = spans.select("fragment", "s", (F.col("s") + F.col("k")).alias("t"), piece.alias("piece")).join(pieces, "piece")
     if vocabulary.bpe:
         edges = matched.groupBy("fragment").agg(F.sort_array(F.collect_list(F.struct(
             (-F.col("score")).alias("cost"), "s", "t"))).alias("edges"))
@@ -346,14 +363,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             if block != at and names:
                 yield from emit()
             at = block
-            fresh = [w for w in Coder(part.column(1)).words if w not in words]
-            words.update(fresh)
+            found = Coder(part.column(1)).words
+            listed = _strings(found)
+            fresh = found.filter(pa.array([w not in words for w in listed], pa.bool_()))
+            words.update(listed)
             names.update(own.fragments(fresh)[0])
         if names:
             yield from emit()
 
     def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=5)
         for block, part in _blocks(batches, block_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
@@ -391,14 +410,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         own, unpack = load(model_path), zstandard.ZstdDecompressor()
         # every fragment's ids end to end in one array
-        number, numbers, size = {}, array("i"), array("q")
-        for at in range(0, right.num_rows, 1 << 14):
-            for spelled in right["spelled"].slice(at, 1 << 14).to_pylist():
-                number[spelled if spelled == own.mark else spelled.replace(own.mark, "")] = len(size)
-                found = own.ids(spelled)
-                numbers.extend(found)
-                size.append(len(found))
-        flat, size = np.array(numbers, np.int32), np.array(size, np.int64)
+        number, numbers, sizes = {}, [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for at in range(0, right.num_rows, 1 << 16):
+            for chunk in right["spelled"].slice(at, 1 << 16).chunks:
+                names, found, size = own.ids(chunk)
+                number.update(zip(names, range(len(number), len(number) + len(names))))
+                numbers.append(found)
+                sizes.append(size)
+        flat, size = np.concatenate(numbers), np.concatenate(sizes)
         start = np.cumsum(size) - size
         out_ids, out_rows = [], []
         for packed in left["packed"]:
@@ -409,16 +428,17 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     which = np.fromiter((number[f] for f in spelled), np.int64, len(spelled))
                 except KeyError as missing:
                     raise ValueError("the input gave other rows the second time: store it first") from missing
-                # words to fragments, rows to words, then fragments to ids
                 first = np.cumsum(count) - count
-                frags = _ranges(first[coder.codes], count[coder.codes])
-                per_row = _sums(count[coder.codes], coder.lengths)
-                seq = which[frags]
-                ids = flat[_ranges(start[seq], size[seq])]
-                per_row = _sums(size[seq], per_row)
-                ends = np.concatenate(([0], np.cumsum(per_row)))
-                out_ids.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
-                out_rows.append(part.column(0))
+                word = np.append(0, np.cumsum(coder.lengths))
+                for a, b in _runs(word):
+                    # words to fragments, rows to words, then fragments to ids
+                    codes = coder.codes[word[a]:word[b]]
+                    seq = which[_ranges(first[codes], count[codes])]
+                    ids = flat[_ranges(start[seq], size[seq])]
+                    per_row = _sums(size[seq], _sums(count[codes], coder.lengths[a:b]))
+                    ends = np.append(0, np.cumsum(per_row))
+                    out_ids.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+                    out_rows.append(part.column(0).slice(a, b - a))
         if not decoded:
             return pa.table({"row_id": pa.chunked_array(out_rows, pa.int64()),
                              "ids": pa.chunked_array(out_ids, pa.list_(pa.int32()))})
@@ -431,6 +451,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                                                                               DECODED if decoded else ENCODED)
 
 
+def _runs(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most RUN_WORDS words (or one row of more); row k's
+    words are ends[k] to ends[k + 1]."""
+    a, n = 0, len(ends) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + RUN_WORDS, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ..., for size[0] numbers, then start[1], ..."""
     total = int(size.sum())
@@ -474,5 +504,5 @@ def with_decoded(encoded: DataFrame, model_path: str) -> DataFrame:
 def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = encode(table(spark, sf_dir, "documents"), model, decoded=True, block_bytes=24 << 20)
+    found = encode(table(spark, sf_dir, "documents"), model, decoded=True, block_bytes=32 << 20)
     return found.withColumnRenamed("row_id", "doc_id")

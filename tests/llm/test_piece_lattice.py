@@ -2,12 +2,15 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from parcelscope.llm.piece_lattice import MASK_CHARS, decode, encode, load, op9_piece_lattice
+from parcelscope.llm.piece_lattice import (
+    MASK_CHARS, META, RUN_WORDS, _runs, _with_runs, decode, encode, encode_fragments, load, op9_piece_lattice)
 from tests.llm.common import docs, rows
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +75,25 @@ def test_edge_cases(spark):
     assert encode(docs(spark, []), MODEL).count() == 0
 
 
+def test_substrings_are_compiled_with_the_join(spark):
+    """Starts and lengths are exploded, not an array of all substrings."""
+    found = encode_fragments(spark.createDataFrame([("thing",), ("x",)], "fragment string"), load(MODEL))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(sequence(") == 2 and "flatten(" not in plan
+
+
+def test_words_and_ids_by_column():
+    words, lengths = _with_runs(pa.array(["", "", "a", "", "\n", "", "b", "", ""]), np.array([0, 3, 2, 0, 4]))
+    assert words.to_pylist() == [META * 2 + "a", "", "\n", META + "b", META] and lengths.tolist() == [0, 1, 2, 0, 2]
+    own = load(MODEL)
+    names, ids, size = own.ids(pa.array([own.mark, f"th{own.mark}ing", f"a{own.mark}\u0378"]))
+    assert names == [own.mark, "thing", "a\u0378"] and size.tolist() == [1, 2, 3]
+    assert ids.tolist() == [own.bytes[ord(own.mark)], *(own.normal[p][0] for p in ("th", "ing", "a")),
+                            *(own.bytes[b] for b in "\u0378".encode())]
+    ends = np.array([0, 5, 5, RUN_WORDS, RUN_WORDS + 1, 4 * RUN_WORDS, 4 * RUN_WORDS])
+    assert list(_runs(ends)) == [(0, 3), (3, 4), (4, 5), (5, 6)] and list(_runs(np.array([0]))) == []
+
+
 def _decoded(text):
     return len(text), hashlib.sha256(text.encode()).hexdigest()
 
