@@ -111,7 +111,9 @@ def close_pairs(fps: DataFrame, distance: int) -> DataFrame:
         for low0, width0 in cuts[:k]:
             first = first & (F.bit_count(x.bitwiseAND(F.lit(_signed(((1 << width0) - 1) << low0)))) >= 2)
         own = own | first
-    return left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("slot") == F.col("slot_b"))
+    # Spark sizes the index like the fingerprints it is exploded from and would
+    # broadcast it, many times its own limit
+    return left.join(right.hint("merge"), (F.col("sig") == F.col("sig_b")) & (F.col("slot") == F.col("slot_b"))
                      & (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & own).select("a", "b")
 
 

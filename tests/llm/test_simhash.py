@@ -55,6 +55,14 @@ def test_close_pairs_at_every_distance(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_the_signatures_are_never_broadcast(spark):
+    # 33 of them a fingerprint, of which Spark's estimate knows nothing
+    pairs = close_pairs(spark.createDataFrame([(x,) for x in (0, 1, 3, 1 << 40)], "fp bigint"), 2)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(0, 1), (0, 3), (0, 1 << 40), (1, 3), (1, 1 << 40)]
+    ran = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in ran and "Broadcast" not in ran
+
+
 def test_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     given = [(5, None), (6, ""), (7, " \t\n"), (1, "one"), (2, "ONE"), (3, "two words"), (None, "one"),
