@@ -404,7 +404,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     # the fragment is its spelling without the marks, so it is not shuffled twice
     single = F.array_join(F.transform(F.sequence(F.lit(1), F.length("fragment")),
                                       lambda i: F.substring("fragment", i, F.lit(1))), vocabulary.mark)
-    book = (parts.join(coded, F.col("fragment") == F.replace("spelled", F.lit(vocabulary.mark), F.lit("")), "left")
+    # a row per distinct fragment: packed, its file is small enough for a
+    # broadcast that would be many times as large
+    whole = F.replace("spelled", F.lit(vocabulary.mark), F.lit(""))
+    book = (parts.join(coded.hint("merge"), F.col("fragment") == whole, "left")
             .select("block", F.coalesce("spelled", single).alias("spelled")))
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -168,7 +168,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     dictionary ``(word)``."""
     found = stored(candidates(docs, id_col, text_col, F.lit("") if path is None else path), "candidates")
     known = stored(coverage(found, dictionary(docs, text_col) if words is None else words), "coverage")
-    ready = stored(measured(found.join(known, "run")), "measured_candidates")
+    # a row per distinct run: packed, its file is small enough for a broadcast
+    # that would be many times as large
+    ready = stored(measured(found.join(known.hint("merge"), "run")), "measured_candidates")
     names = [f"f_{k}" for k in FEATURES]
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
     if labels is None:

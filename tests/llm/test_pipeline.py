@@ -69,6 +69,26 @@ def test_stages_in_a_chain_take_awkward_rows(spark, smoke_dir):
     assert sorted((str(r.doc_id), r.ids) for r in last) == sorted((str(i), library.encode(t or "")) for i, t in texts)
 
 
+def test_rows_per_distinct_text_are_never_broadcast(spark, monkeypatch):
+    """Packed, the files of distinct runs and fragments are far smaller than
+    what a broadcast of them holds."""
+    from parcelscope.llm import piece_lattice, secret_forest
+    ran = {}
+
+    def kept(df, name):
+        ran[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(secret_forest, "stored", kept)
+    given = common.docs(spark, [(i, f"the token = {i:040x} was here") for i in range(40)])
+    assert secret_forest.scan(given).count() == 40
+    assert "Broadcast" not in ran["measured_candidates"] and "SortMergeJoin" in ran["measured_candidates"]
+    coded = piece_lattice.encode(given, public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    assert coded.count() == 40
+    ran = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in ran and "SortMergeJoin" in ran
+
+
 def test_registered():
     import __spark_entry__ as entry
     assert {re.match(r"op(\d+)_", name)[1] for name in QUERIES} == {str(i) for i in range(1, 14)}
