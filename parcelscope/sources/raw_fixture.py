@@ -78,6 +78,6 @@ RAW = {DRIVERS.name: drivers, DELIVERIES.name: deliveries, INVENTORY.name: inven
 
 
 def write_raw(m, sheet: Sheet, path: str) -> None:
-    """The sheet as CSV files under its raw names."""
+    """The sheet as packed CSV files under its raw names."""
     texts = RAW[sheet.name](m).select(*[F.col(f.raw).cast("string") for f in sheet.fields])
-    texts.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    texts.write.csv(path, header=True, compression="gzip", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -136,7 +136,7 @@ def load_sheets(catalog: Catalog, raw: dict[str, DataFrame], sheets: Iterable[Sh
     todo = [s for s in sheets if s.name in raw]
     with Load(catalog, "FULL", [s.name for s in todo]) as load:
         for s in todo:
-            load.write(s.name, conform(raw[s.name], s), s.schema, rules=s.rules())
+            load.write(s.name, conform(raw[s.name], s), s.schema, rules=s.rules(), as_read=True)
         commits = load.by_table()
     return {s.name: catalog.read(commits[s.name], s.schema) for s in todo}
 

@@ -1,12 +1,14 @@
 """Raw sheets: contracts, spellings, defaults, refused rows, files."""
 
 import datetime as dt
+import glob
+import time
 from decimal import Decimal
 
 import pytest
 
-from parcelscope.sources import sheets
-from parcelscope.sources.load import load_log
+from parcelscope.sources import raw_fixture, sheets
+from parcelscope.sources.load import Load, load_log
 from parcelscope.sources.manifest import Catalog
 
 GOOD = {"driver_id": "D1", "name": "Ann", "city": "Utrecht", "years_experience": "4", "vehicle_type": "CARGO  bike",
@@ -79,3 +81,41 @@ def test_empty_sheet(spark, tmp_path):
     raw = sheets.read_sheet(spark, f"{tmp_path}/raw", sheets.DRIVERS)
     catalog = Catalog(spark, f"{tmp_path}/tables")
     assert sheets.load_sheets(catalog, {"dim_drivers": raw}, [sheets.DRIVERS])["dim_drivers"].count() == 0
+
+
+def test_raw_sheets_are_packed(spark, smoke_model, tmp_path):
+    raw_fixture.write_raw(smoke_model, sheets.DRIVERS, f"{tmp_path}/raw")
+    files = glob.glob(f"{tmp_path}/raw/part-*")
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    texts = sheets.read_sheet(spark, f"{tmp_path}/raw", sheets.DRIVERS)
+    assert texts.columns == [f.raw for f in sheets.DRIVERS.fields]
+    assert texts.count() == smoke_model.dim_driver.count()
+
+
+def test_rows_are_written_by_the_tasks_that_read_them(spark, tmp_path):
+    own = GOOD | {"driver_id": None, "city": None}
+    raw = spark.range(0, 30, 1, 3).selectExpr("concat('D', id) AS driver_id", "if(id % 10 = 0, '', 'Utrecht') AS city",
+                                              *[f"'{v}' AS {c}" for c, v in own.items() if v])
+    catalog = Catalog(spark, f"{tmp_path}/tables")
+    loaded = sheets.load_sheets(catalog, {"dim_drivers": raw}, [sheets.DRIVERS])["dim_drivers"]
+    assert loaded.count() == 27 and sheets.rejects(catalog, sheets.DRIVERS).count() == 3
+    for kind in ("true", "false"):      # one file for each of the three tasks: nothing was moved
+        assert len(glob.glob(f"{tmp_path}/tables/dim_drivers/*/rejected={kind}/*.parquet")) == 3
+
+
+def test_a_load_leaves_no_shuffled_files(spark, tmp_path):
+    def shuffled():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        files = env.blockManager().diskBlockManager().getAllFiles().mkString(",").split(",")
+        return {f for f in files if "/shuffle_" in f}
+
+    catalog = Catalog(spark, f"{tmp_path}/tables")
+    rows = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    with Load(catalog, "FULL", ["t"]) as load:
+        before = shuffled()
+        load.write("t", rows, rows.schema)
+        until = time.time() + 10
+        while shuffled() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not shuffled() - before
+    assert catalog.read(catalog.newest()["t"], rows.schema).count() == 7
